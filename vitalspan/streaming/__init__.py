@@ -1,0 +1 @@
+"""Intentionally empty: the data model is batch only (dated event tables, no watermarks or state)."""
