@@ -21,6 +21,7 @@ INPUTS = {"age": "age", "pulse": "pulse", "sbp": "sys_bp", "creatinine": "crea",
 INPUT_RANGES = {"age": (18, 110), "pulse": (10, 300), "sbp": (10, 300), "creatinine": (0, 10), "killip": (1, 4),
                 "arrest": (0, 1), "enzymes": (0, 1), "stemi": (0, 1)}
 CREATININE_UNIT = 88.42
+MAX_LEVELS = 1000
 HORIZON_DAYS = {"6m": 183.0, "1y": 365.0, "3y": 1095.0}
 
 
@@ -107,7 +108,12 @@ def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical:
     start = base.agg(
         *[F.percentile_approx(c, 0.5, 10000).alias(c) for c in numeric],
         *[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
-    levels = {c: [r[0] for r in base.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(1000).collect()] for c in categorical}
+    levels = {}
+    for c in categorical:
+        found = [r[0] for r in base.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; treat it as text, not as a category")
+        levels[c] = found
     state = base.withColumns({f"_na_{c}": F.col(c).isNull() for c in holes}).fillna({c: v for c, v in start.items() if v is not None})
     state = settle(state)
     for _ in range(iterations):
