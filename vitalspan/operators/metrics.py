@@ -44,8 +44,8 @@ def concordance(
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
     split = base.withColumn("_level", levels).select(
-        *by, "_level", F.shiftright("_t", F.col("_level") + 1).alias("_prefix"),
-        F.when(F.shiftright("_t", F.col("_level")).bitwiseAND(F.lit(1)) == 0, F.lit(True)).otherwise(F.lit(False)).alias("_early"),
+        *by, "_level", F.expr("shiftright(_t, _level + 1)").alias("_prefix"),
+        (F.expr("shiftright(_t, _level)").bitwiseAND(F.lit(1)) == 0).alias("_early"),
         "_e", "_r", "_n",
     ).where("_e OR NOT _early").drop("_e")
     same_time = base.select(

@@ -91,6 +91,32 @@ def running(
     return out.select(*[c for c in df.columns if c not in aggs], *aggs)
 
 
+def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fill missing values with the last known one before, else the first known one after, within each group.
+
+    One shuffle and one sort by group and block; values crossing a block border come from the small offset table.
+    """
+    rows = with_blocks(df, by, order, block_rows=block_rows)
+    by = list(by) or ["_all"]
+    at = F.struct(*order)
+    totals = rows.where("_cut").groupBy(*by, "_block").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{c}") for c in columns],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_f_{c}") for c in columns])
+    blocks = Window.partitionBy(*by).orderBy("_block")
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    offsets = totals.select(
+        *[F.col(c).alias(f"_b_{c}") for c in [*by, "_block"]],
+        *[F.last(f"_l_{c}", True).over(earlier).alias(f"_d_{c}") for c in columns],
+        *[F.first(f"_f_{c}", True).over(later).alias(f"_u_{c}") for c in columns])
+    joined = rows.join(F.broadcast(offsets), _same(rows, offsets, [(c, f"_b_{c}") for c in [*by, "_block"]]), "left")
+    inside = Window.partitionBy(*by, "_block").orderBy(*order)
+    down, up = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    filled = joined.withColumns({
+        c: F.coalesce(F.last(c, True).over(down), F.col(f"_d_{c}"), F.first(c, True).over(up), F.col(f"_u_{c}")) for c in columns
+    })
+    return filled.select(*df.columns)
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],

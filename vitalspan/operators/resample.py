@@ -8,6 +8,7 @@ exploded inside the map side of an aggregation: what is shuffled is one row per
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +33,18 @@ def md5_uniform(key: str, replicate: str) -> Column:
 
 
 def poisson_weight(u: Column) -> Column:
-    w = F.lit(0)
-    for p in POISSON_CDF:
-        w = w + (u >= F.lit(p)).cast("int")
-    return w
+    return reduce(lambda a, b: a + b, [(u >= F.lit(p)).cast("int") for p in POISSON_CDF])
 
 
 def with_replicates(df: DataFrame, key: str, n: int, seed: int = 42, uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """Rows for replicates 1..n with weight ``w_boot``; replicate 0 carries the original data with weight 1."""
+    """Rows for replicates 1..n with weight ``w_boot``; replicate 0 carries the original data with weight 1.
+
+    Copies that would get weight 0 are dropped.
+    """
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
     u = uniform(key, "replicate") if uniform else hashed_uniform(key, "replicate", seed)
-    return rows.withColumn("w_boot", F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight(u))).where("w_boot > 0")
+    rows = rows.withColumn("_u", u).where((F.col("replicate") == 0) | (F.col("_u") >= POISSON_CDF[0]))
+    return rows.withColumn("w_boot", F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight(F.col("_u")))).drop("_u")
 
 
 def interval_of(replicates: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
