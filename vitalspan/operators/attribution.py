@@ -54,7 +54,7 @@ def group_importance(importance: DataFrame, by: Sequence[str] = ("timepoint",))
 
 def cumulative_importance(importance: DataFrame, by: Sequence[str] = ("timepoint",), mark: int = 25) -> DataFrame:
     """Running share in descending order of importance, one row per feature; the top ranks are marked."""
-    w = Window.partitionBy(*by).orderBy(F.col("shap").desc(), "fgroup", "fname").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(F.round("shap", 12).desc(), "fgroup", "fname").rowsBetween(Window.unboundedPreceding, 0)
     top = F.sum("shap").over(w)
     return importance.withColumns({"start": top - F.col("shap"), "end": top, "marked": F.col("rank") <= mark})
 
@@ -117,7 +117,8 @@ def cumulative_contribution(rows: DataFrame, k: int, base: float = BASE_SURVIVAL
     w = Window.partitionBy(*by).orderBy(F.abs("shap").desc(), label)
     ranked = rows.withColumn("_rn", F.row_number().over(w))
     named = ranked.withColumn("label", F.when(F.col("_rn") > k, "rest").otherwise(F.col(label)))
-    short = named.groupBy(*by, "label").agg(F.sum("shap").alias("shap"))
+    # a fixed scale keeps signs and order independent of the order of summation
+    short = named.groupBy(*by, "label").agg(F.round(F.sum("shap"), 12).alias("shap"))
     short = short.withColumn("dir", F.when(F.col("shap") < 0, "neg").otherwise("pos"))
     whole = Window.partitionBy(*by)
     short = short.withColumn("yhat", F.lit(base) + F.sum("shap").over(whole))
@@ -224,7 +225,7 @@ def sample_cases(bands: DataFrame, k: int = 1, seed: int = 42, shuffle: Column |
 
 def feature_distribution(df: DataFrame, k: int = 10, by: Sequence[str] = ("timepoint",)) -> DataFrame:
     """Direction and share of single feature columns with their rank, top ``k`` per time point."""
-    sums = df.groupBy(*by, "feature").agg(F.sum("shap").alias("_s"), F.sum(F.abs("shap")).alias("_a"))
+    sums = df.groupBy(*by, "feature").agg(F.round(F.sum("shap"), 12).alias("_s"), F.sum(F.abs("shap")).alias("_a"))
     shares = share_within(sums, "_a", by, "shap")
     direction = F.when(F.col("_s") < 0, "non-survival").when(F.col("_s") > 0, "survival").otherwise("0")
     return top_k(shares.withColumn("direction", direction), by, [F.col("shap").desc(), F.col("feature")], k, "rank").drop("_s", "_a")

@@ -42,7 +42,7 @@ class HazardModel:
         return spark.createDataFrame(rows, "interval INT, feature STRING, weight DOUBLE")
 
 
-def training_rows(features: DataFrame, labels: DataFrame, n_intervals: int) -> DataFrame:
+def training_rows(features: DataFrame, labels: DataFrame, n_intervals: int, width: int) -> DataFrame:
     """Person-period rows with label, interval indicator and feature vector. A time on a break gives two rows."""
     periods = person_periods(labels.select("pid", "died", "survived"))
     outcomes = F.filter(
@@ -50,15 +50,20 @@ def training_rows(features: DataFrame, labels: DataFrame, n_intervals: int) -> D
     rows = periods.select("pid", "interval", F.explode(outcomes).alias("label")).join(features, "pid")
     indicator = F.transform(F.sequence(F.lit(0), F.lit(n_intervals - 1)), lambda i: (i == F.col("interval")).cast("double"))
     return rows.select(
-        "pid", "interval", "label", array_to_vector(indicator).alias("_i"),
-        array_to_vector(F.concat(F.array(F.lit(1.0)), F.col("features"))).alias("_x"))
+        "pid", "interval", "label", array_to_vector(indicator).alias("_i", metadata=_numeric(n_intervals)),
+        array_to_vector(F.concat(F.array(F.lit(1.0)), F.col("features"))).alias("_x", metadata=_numeric(width + 1)))
+
+
+def _numeric(n: int) -> dict:
+    """Column metadata declaring a vector of ``n`` numeric attributes, needed to build interactions."""
+    return {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": str(i)} for i in range(n)]}, "num_attrs": n}}
 
 
 def fit_hazard(features: DataFrame, labels: DataFrame, breaks: Sequence[float], names: Sequence[str], reg: float = 0.0,
                elastic: float = 0.0, max_iter: int = 100) -> HazardModel:
     """Fit on ``features (pid, features ARRAY<DOUBLE>)`` and ``labels (pid, died, survived)``."""
     n = len(breaks) - 1
-    rows = Interaction(inputCols=["_i", "_x"], outputCol="_f").transform(training_rows(features, labels, n))
+    rows = Interaction(inputCols=["_i", "_x"], outputCol="_f").transform(training_rows(features, labels, n, len(names)))
     estimator = LogisticRegression(
         featuresCol="_f", labelCol="label", fitIntercept=False, standardization=False, regParam=reg, elasticNetParam=elastic, maxIter=max_iter)
     model = estimator.fit(rows.select("label", "_f"))
@@ -130,14 +135,16 @@ def training_medians(features: DataFrame, names: Sequence[str]) -> list[float]:
 ABLATION_TAUS = (168.0, 364.0, 730.0, 1095.0, 1460.0, 1825.0)
 
 
-def _interp(curves: np.ndarray, times: np.ndarray, taus: Sequence[float]) -> np.ndarray:
-    """Column-wise linear interpolation on a common grid; outside the grid NaN."""
-    out = np.full((curves.shape[0], len(taus)), np.nan)
+def _interpolation(times: Sequence[float], taus: Sequence[float]) -> np.ndarray:
+    """Matrix that turns curves on a grid into their linear interpolation at each horizon; outside the grid NaN."""
+    out = np.zeros((len(times), len(taus)))
     for j, tau in enumerate(taus):
-        if times[0] <= tau <= times[-1]:
-            i = min(int(np.searchsorted(times, tau, side="right")) - 1, len(times) - 2)
-            share = (tau - times[i]) / (times[i + 1] - times[i])
-            out[:, j] = curves[:, i] + (curves[:, i + 1] - curves[:, i]) * share
+        if not times[0] <= tau <= times[-1]:
+            out[:, j] = np.nan
+            continue
+        i = min(int(np.searchsorted(times, tau, side="right")) - 1, len(times) - 2)
+        share = (tau - times[i]) / (times[i + 1] - times[i])
+        out[i, j], out[i + 1, j] = 1.0 - share, share
     return out
 
 
@@ -148,7 +155,8 @@ def ablate_features(model: HazardModel, features: DataFrame, medians: Sequence[f
     Replacing columns only shifts the logits, so the base logits are computed once per patient and each feature adds
     its own small correction.
     """
-    weights, times, med = model.weights, np.asarray(model.breaks[1:]), np.asarray(medians, dtype=float)
+    weights, med = model.weights, np.asarray(medians, dtype=float)
+    at = _interpolation(model.breaks[1:], taus)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +167,7 @@ def ablate_features(model: HazardModel, features: DataFrame, medians: Sequence[f
             for name, idx in [("full", []), *groups.items()]:
                 cols = list(idx)
                 logits = base + (med[cols] - x[:, cols]) @ weights[:, [c + 1 for c in cols]].T if cols else base
-                values = _interp(np.cumprod(1.0 - 1.0 / (1.0 + np.exp(-logits)), axis=1), times, taus)
+                values = np.cumprod(1.0 - 1.0 / (1.0 + np.exp(-logits)), axis=1) @ at
                 yield pd.DataFrame({
                     "pid": np.repeat(batch["pid"].to_numpy(), len(taus)), "feature": name,
                     "tau": np.tile(np.asarray(taus, dtype=float), len(batch)), "surv": values.reshape(-1),
@@ -213,7 +221,7 @@ def attribute(model: HazardModel, features: DataFrame, background: np.ndarray, t
 
 def cluster_features(medians: DataFrame, levels: Sequence[str], k: int = 6, seed: int = 2022, feature: str = "fname") -> DataFrame:
     """Cluster features by their median attribution per level."""
-    wide = to_wide(medians, [feature], "text", "median", levels).fillna(0.0)
+    wide = settle(to_wide(medians, [feature], "text", "median", levels).fillna(0.0))
     names = {c: f"_c{i}" for i, c in enumerate(levels)}
     ready = VectorAssembler(inputCols=list(names.values()), outputCol="_x").transform(wide.withColumnsRenamed(names))
     model = KMeans(k=k, seed=seed, maxIter=1000, featuresCol="_x", predictionCol="cluster").fit(ready)

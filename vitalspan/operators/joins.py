@@ -131,11 +131,13 @@ def bracket_join(df: DataFrame, value: str, brackets: DataFrame, out: str, lo: s
     rows = brackets.select(lo, hi, out).limit(LITERAL_ROWS + 1).collect()
     x = F.col(value)
     if len(rows) <= LITERAL_ROWS:
-        hit = F.lit(None)
-        for r in rows:
-            upper = F.lit(True) if r[hi] is None else x <= F.lit(r[hi])
-            hit = F.when((x > F.lit(r[lo])) & upper, F.lit(r[out])).otherwise(hit)
-        return df.withColumn(out, hit)
+        if not rows:
+            return df.withColumn(out, F.lit(None))
+        cells = F.array(*[
+            F.struct(F.lit(float(r[lo])).alias("l"), F.lit(float("inf") if r[hi] is None else float(r[hi])).alias("h"), F.lit(r[out]).alias("o"))
+            for r in rows
+        ])
+        return df.withColumn(out, F.get(F.filter(cells, lambda p: (x > p["l"]) & (x <= p["h"])), F.lit(0))["o"])
     edge = F.struct(F.col(lo).alias("l"), F.col(hi).alias("h"), F.col(out).alias("o"))
     tagged = df.withColumn("_at", x.cast("double")).withColumn("_side", F.lit(0)).unionByName(
         brackets.select(F.col(lo).cast("double").alias("_at"), F.lit(1).alias("_side"), edge.alias("_edge")),

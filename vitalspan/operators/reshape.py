@@ -189,12 +189,15 @@ def value_kind(long: DataFrame, feature: Sequence[str], value: str, levels: Colu
 
 def signed_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Direction (sign of the sum) and magnitude (sum of absolute values)."""
-    return df.groupBy(*by).agg(F.signum(F.sum(value)).alias("direction"), F.sum(F.abs(value)).alias("magnitude"))
+    return df.groupBy(*by).agg(F.signum(F.round(F.sum(value), 12)).alias("direction"), F.sum(F.abs(value)).alias("magnitude"))
 
 
-def dense_ranked(df: DataFrame, by: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Dense rank by descending value. For aggregated tables: one row per feature and group."""
-    return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(value).desc())))
+def dense_ranked(df: DataFrame, by: Sequence[str], value: str, out: str = "rank", scale: int = 9) -> DataFrame:
+    """Dense rank by descending value. For aggregated tables: one row per feature and group.
+
+    Values are compared at a fixed scale, so the last bits of a floating-point sum cannot split a tie.
+    """
+    return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.round(value, scale).desc())))
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str | None = None) -> DataFrame:

@@ -26,22 +26,24 @@ HORIZON_DAYS = {"6m": 183.0, "1y": 365.0, "3y": 1095.0}
 
 
 def _points(x: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """Points of the nearest tabulated value, the lower one on a tie, as nested comparisons with the midpoints."""
+    """Points of the nearest tabulated value, the lower one on a tie.
+
+    The position is the number of neighbouring pairs in which the upper value is strictly nearer.
+    """
     ordered = sorted(points)
-    out = F.lit(ordered[-1][1])
-    for (a, score), (b, _) in reversed(list(zip(ordered, ordered[1:]))):
-        out = F.when(x - F.lit(a) <= F.lit(b) - x, F.lit(score)).otherwise(out)
-    return F.when(x.isNotNull(), out)
+    scores = F.lit([float(s) for _, s in ordered])
+    pairs = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for (a, _), (b, _) in zip(ordered, ordered[1:])])
+    place = F.size(F.filter(pairs, lambda p: x - p["a"] > p["b"] - x))
+    return F.when(x.isNotNull(), F.get(scores, place))
 
 
 def six_month_probability(score: Column, bands: Sequence[tuple] = L.BANDS) -> Column:
     """Percent probability of a point sum: band lookup, scaling, cap. NULL below the first band."""
-    p = F.lit(None).cast("double")
-    for lo, hi, prob in bands:
-        inside = score > F.lit(float(lo))
-        if hi is not None:
-            inside = inside & (score <= F.lit(float(hi)))
-        p = F.when(inside, F.lit(float(prob))).otherwise(p)
+    rows = F.array(*[
+        F.struct(F.lit(float(lo)).alias("lo"), F.lit(float("inf") if hi is None else float(hi)).alias("hi"), F.lit(float(p)).alias("p"))
+        for lo, hi, p in bands
+    ])
+    p = F.get(F.filter(rows, lambda b: (score > b["lo"]) & (score <= b["hi"])), F.lit(0))["p"]
     scaled = p * 100 * F.lit(L.SIX_MONTH_FACTOR)
     return F.when(scaled > L.SIX_MONTH_LIMIT, F.lit(float(L.SIX_MONTH_CAP))).otherwise(scaled)
 
@@ -64,11 +66,14 @@ def risk_score(df: DataFrame, points: Sequence[tuple[float, float, str, str]] |
     for value, score, term, model in rows:
         table.setdefault(model, {}).setdefault(term, []).append((value, score))
     typed = df.select(pid, *keep, *[F.col(c).cast("double").alias(f"_x_{t}") for t, c in inputs.items()])
-    cells = []
-    for model, terms in table.items():
-        total = reduce(lambda a, b: a + b, [_points(F.col(f"_x_{t}"), pts) for t, pts in terms.items()])
-        cells.append(F.struct(F.lit(model).alias("model"), total.alias("score"), horizon_probability(model, total).alias("prob")))
-    return typed.select(pid, *keep, F.inline(F.array(*cells)))
+    sums = {m: reduce(lambda a, b: a + b, [_points(F.col(f"_x_{t}"), pts) for t, pts in terms.items()]) for m, terms in table.items()}
+    # tabulated points have at most seven decimals; rounding keeps sums exactly on the edges of the bands
+    scored = typed.select(pid, *keep, *[F.round(c, 7).alias(f"_score_{m}") for m, c in sums.items()])
+    cells = [
+        F.struct(F.lit(m).alias("model"), F.col(f"_score_{m}").alias("score"), horizon_probability(m, F.col(f"_score_{m}")).alias("prob"))
+        for m in table
+    ]
+    return scored.select(pid, *keep, F.inline(F.array(*cells)))
 
 
 def in_score_range(inputs: dict[str, str] = INPUTS) -> Column:

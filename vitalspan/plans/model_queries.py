@@ -1 +1,121 @@
-"""Placeholder."""
+"""Hazard model: fit, cross-validate, score, ablate and attribute over the patient views."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from vitalspan.operators import attribution as A
+from vitalspan.operators import features as X
+from vitalspan.operators import hazard as Z
+from vitalspan.plans.registry import q6, query, rounded
+from vitalspan.plans.views import v_attributions, v_patients, v_surv
+
+NAMES = ["age", "sex", "season"]
+N_INTERVALS, MAX_TIME = 8, 1500
+
+# A model with given weights, so that scoring can be checked against SQL.
+GIVEN = Z.HazardModel(
+    [0.0, 300.0, 700.0, 1200.0, 1900.0], NAMES,
+    np.array([[-2.5, 0.8, 0.3, 0.2], [-2.0, 1.1, 0.1, -0.3], [-1.8, 0.9, -0.2, 0.4], [-1.5, 1.3, 0.2, 0.1]]))
+
+
+def feature_arrays(spark, sf):
+    """Dense features of every patient: scaled age, sex, share of the year at the index date."""
+    return v_patients(spark, sf).select(
+        "pid", F.array((F.col("age") - 15) / 90, F.col("sex").cast("double"), F.dayofyear("index_date") / F.lit(366.0)).alias("features"))
+
+
+def _fitted(spark, sf, **params):
+    surv = v_surv(spark, sf)
+    breaks = X.time_breaks(surv, N_INTERVALS, MAX_TIME).first()["breaks"]  # n_intervals + 1 numbers
+    train = surv.where("train")
+    known = X.survival_labels(train, breaks)
+    features = feature_arrays(spark, sf)
+    return Z.fit_hazard(features, known, breaks, NAMES, **params), features, surv, breaks
+
+
+_INPUT_SQL = "fx AS (SELECT pid, (age - 15) / 90 AS x1, CAST(CAST(sex AS INTEGER) AS DOUBLE) AS x2, dayofyear(index_date) / 366.0 AS x3 FROM v_patients)"
+
+
+def _curve_sql(name: str, source: str, x=("x1", "x2", "x3"), keys: str = "pid") -> str:
+    """SQL of the survival values s1..s4 of the given model."""
+    keep = lambda row: f"(1 - 1 / (1 + exp(-({row[0]} + {row[1]} * {x[0]} + {row[2]} * {x[1]} + {row[3]} * {x[2]}))))"
+    rows = [keep(r) for r in GIVEN.weights]
+    products = ", ".join(" * ".join(rows[: i + 1]) + f" AS s{i + 1}" for i in range(len(rows)))
+    return f"{name} AS (SELECT {keys}, {products} FROM {source})"
+
+
+@query("score_hazard", "J3 I5", f"""
+WITH {_INPUT_SQL}, {_curve_sql("cv", "fx")}
+""" + " UNION ALL ".join(f"SELECT pid, CAST({t} AS DOUBLE) AS time, {q6(f's{i + 1}', 'surv')} FROM cv" for i, t in enumerate(GIVEN.breaks[1:])))
+def score_hazard(spark, sf):
+    return rounded(Z.score(GIVEN, feature_arrays(spark, sf)), "surv")
+
+
+_SCORE_TAUS = (300.0, 365.0, 1095.0, 1825.0, 2000.0)
+
+
+def _tau_sql(tau: float) -> str:
+    times = GIVEN.breaks[1:]
+    for i, (a, b) in enumerate(zip(times, times[1:])):
+        if a <= tau <= b:
+            return f"s{i + 1} + (s{i + 2} - s{i + 1}) * ({tau} - {a}) / ({b} - {a})"
+    return "CAST(NULL AS DOUBLE)"
+
+
+@query("score_at_horizons", "J3 I6", f"WITH {_INPUT_SQL}, {_curve_sql('cv', 'fx')} " + " UNION ALL ".join(
+    f"SELECT pid, CAST({t} AS DOUBLE) AS tau, {q6(_tau_sql(t), 'surv')} FROM cv" for t in _SCORE_TAUS))
+def score_at_horizons(spark, sf):
+    return rounded(Z.score_at(GIVEN, feature_arrays(spark, sf), _SCORE_TAUS), "surv")
+
+
+_ABLATION_TAUS = (364.0, 1095.0)
+_GROUPS = {"age": [0], "sex_season": [1, 2]}
+
+
+def _ablation_sql() -> str:
+    med = "md AS (SELECT quantile_cont(x1, 0.5) AS m1, quantile_cont(x2, 0.5) AS m2, quantile_cont(x3, 0.5) AS m3 FROM fx JOIN v_surv USING (pid) WHERE train)"
+    variants = {"full": ("x1", "x2", "x3"), "age": ("m1", "x2", "x3"), "sex_season": ("x1", "m2", "m3")}
+    ctes = ", ".join(_curve_sql(f"c_{n}", "fx, md", x) for n, x in variants.items())
+    rows = " UNION ALL ".join(
+        f"SELECT pid, '{n}' AS feature, CAST({t} AS DOUBLE) AS tau, {q6(_tau_sql(t), 'surv')} FROM c_{n}" for n in variants for t in _ABLATION_TAUS)
+    return f"WITH {_INPUT_SQL}, {med}, {ctes} {rows}"
+
+
+@query("ablate_features", "J4 I6 D16", _ablation_sql())
+def ablate_features(spark, sf):
+    features = feature_arrays(spark, sf)
+    train = features.join(v_surv(spark, sf).where("train").select("pid"), "pid", "left_semi")
+    medians = Z.training_medians(train, NAMES)
+    return rounded(Z.ablate_features(GIVEN, features, medians, _GROUPS, _ABLATION_TAUS), "surv")
+
+
+@query("fit_hazard", "J1 H22 H23")
+def fit_hazard(spark, sf):
+    model, *_ = _fitted(spark, sf, reg=0.001)
+    return model.coefficients(spark)
+
+
+@query("cross_validate_hazard", "J2 H24 I18")
+def cross_validate_hazard(spark, sf):
+    surv = v_surv(spark, sf).where("train")
+    breaks = X.time_breaks(surv, 4, MAX_TIME).first()["breaks"]
+    known = X.survival_labels(surv, breaks)
+    return Z.cross_validate(feature_arrays(spark, sf), known, breaks, NAMES, {"reg": [0.0, 0.01]}, k=2, max_iter=20)
+
+
+@query("attribute_survival", "J5")
+def attribute_survival(spark, sf):
+    features = feature_arrays(spark, sf)
+    surv = v_surv(spark, sf)
+    background = Z.sample_background(features.join(surv.where("train").select("pid"), "pid", "left_semi"), 25)
+    test = features.join(surv.where("NOT train").select("pid"), "pid", "left_semi")
+    return rounded(Z.attribute(GIVEN, test, background, 1095.0), "shap")
+
+
+@query("cluster_features", "J6 D16 D20")
+def cluster_features(spark, sf):
+    collapsed = A.collapse_one_hot(v_attributions(spark, sf))
+    medians = A.median_by_level(collapsed.where(F.col("text").isin("A", "N", "R", "missing")))
+    return rounded(Z.cluster_features(medians, ["A", "N", "R", "missing"], k=6), "A", "N", "R", "missing")
