@@ -71,19 +71,17 @@ def extract(x, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(_c(x), pattern, group), F.lit(""))
 
 
-FEATURE_GROUP = r"^([^_]+)"
-FEATURE_NAME = r"^[^_]+_([^_]+)"
-FEATURE_VALUE = r"^[^_]+_[^_]+_([^_]+)"
-FEATURE_STEM = r"^[^_]+_[^_]+"
-
-
 def split_feature(x) -> dict[str, Column]:
     """``group_name[_value]`` as three columns; missing parts are NULL."""
-    return {
-        "fgroup": extract(x, FEATURE_GROUP, 1),
-        "fname": extract(x, FEATURE_NAME, 1),
-        "fvalue": extract(x, FEATURE_VALUE, 1),
-    }
+    x = _c(x)
+    part = lambda i: F.nullif(F.split_part(x, F.lit("_"), F.lit(i)), F.lit(""))
+    return {"fgroup": part(1), "fname": part(2), "fvalue": part(3)}
+
+
+def feature_stem(x) -> Column:
+    """The ``group_name`` part of a feature, NULL without a name."""
+    x = _c(x)
+    return F.when(F.instr(x, "_") > 0, F.substring_index(x, "_", 2))
 
 
 def normalise_code(code) -> Column:

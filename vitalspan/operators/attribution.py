@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.functions.scalars import FEATURE_STEM, cut_breaks, extract, from_min_max, recode, split_feature
+from vitalspan.functions.scalars import cut_breaks, feature_stem, from_min_max, recode, split_feature
 from vitalspan.operators.joins import join_rounded
 from vitalspan.operators.ordered import quantiles, random_rank
 from vitalspan.operators.reshape import dense_ranked, share_within, top_k, with_group_stats
@@ -35,7 +35,7 @@ def with_parts(df: DataFrame) -> DataFrame:
 
 def per_patient(df: DataFrame, by: Sequence[str] = ("timepoint",)) -> DataFrame:
     """Attribution of a whole feature per patient: the sum over its one-hot columns."""
-    return df.groupBy(*by, extract("feature", FEATURE_STEM).alias("stem"), "pid").agg(F.sum("shap").alias("shap"))
+    return df.groupBy(*by, feature_stem("feature").alias("stem"), "pid").agg(F.sum("shap").alias("shap"))
 
 
 def global_importance(df: DataFrame, by: Sequence[str] = ("timepoint",)) -> DataFrame:
@@ -76,14 +76,15 @@ def collapse_one_hot(df: DataFrame, by: Sequence[str] = ("pid", "timepoint"), em
     Features with a single column keep their value and get no label. Pure aggregation: a feature has few levels.
     """
     rows = df if "fname" in df.columns else with_parts(df)
-    levels = F.array_sort(F.collect_list(F.struct(F.col("fvalue").alias("v"), F.col("vals").alias("x"))))
+    level = F.coalesce("fvalue", F.lit(""))
+    on = F.when(F.col("vals") == 1, level)
     per = rows.groupBy(*by, "fgroup", "fname").agg(
-        F.count("*").alias("_n"), F.sum("shap").alias("shap"), F.max("vals").alias("_x"), levels.alias("_l"))
-    places = F.transform("_l", lambda p, i: F.struct(p["v"].alias("v"), p["x"].alias("x"), (i + 1).alias("i")))
-    active = F.filter(places, lambda p: p["x"] == 1)
-    text = F.when(F.size(active) > 0, F.array_join(F.transform(active, lambda p: p["v"]), ";")).otherwise(F.lit(empty))
-    ordinal = F.aggregate(active, F.lit(0.0), lambda acc, p: acc + p["i"])
-    several = F.col("_n") > 1
+        F.count("*").alias("_n"), F.sum("shap").alias("shap"), F.max("vals").alias("_x"), F.collect_list(level).alias("_l"), F.collect_list(on).alias("_a"))
+    several, active = F.col("_n") > 1, F.array_sort("_a")
+    text = F.when(F.size("_a") > 0, F.array_join(F.filter(active, lambda v: v != ""), ";")).otherwise(F.lit(empty))
+    place = lambda v: F.array_position(F.array_sort("_l"), v).cast("double")
+    ordinal = F.when(F.size("_a") == 0, 0.0).when(F.size("_a") == 1, place(F.get("_a", F.lit(0)))).otherwise(
+        F.aggregate("_a", F.lit(0.0), lambda acc, v: acc + place(v)))
     return per.select(
         *by, "fgroup", "fname", F.when(several, text).alias("text"), F.when(several, ordinal).otherwise(F.col("_x")).alias("value"), "shap")
 
@@ -149,7 +150,7 @@ def attribution_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("pid", "feature", "timepoint", "vals", F.col("shap").alias("shap_a"))
     right = b.select("pid", "feature", "timepoint", "vals", F.col("shap").alias("shap_b"))
     joined = join_rounded(left, right, ["pid", "feature", "timepoint", "vals"])
-    sums = joined.groupBy("pid", extract("feature", FEATURE_STEM).alias("feature")).agg(
+    sums = joined.groupBy("pid", feature_stem("feature").alias("feature")).agg(
         F.sum("shap_a").alias("shap_a"), F.sum("shap_b").alias("shap_b"))
     deltas = with_parts(sums).withColumn("delta", F.col("shap_b") - F.col("shap_a"))
     medians = quantiles(deltas, ["fname"], "delta", [0.5], "_q").select("fname", F.col("_q")[0].alias("q50"))

@@ -149,20 +149,38 @@ def supplement(df: DataFrame, extra: DataFrame) -> DataFrame:
     return merged.withColumns(fixes)
 
 
-def filled_at_index(df: DataFrame, by: str, order: Sequence[str], is_index: Column, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+ID_BITS = 46
+
+
+def packed_order(day: str, entry: str) -> Column:
+    """Date and non-negative entry number as one BIGINT, so that ``max_by`` runs in a hash aggregate.
+
+    Entry numbers of 2**46 and more are refused rather than misordered.
+    """
+    entry_id = F.col(entry).cast("bigint")
+    fits = entry_id.between(0, (1 << ID_BITS) - 1)
+    refuse = F.raise_error(F.lit("entry number outside the packable range")).cast("bigint")
+    key = F.shiftleft(F.unix_date(day).cast("bigint"), ID_BITS) + entry_id
+    return F.when(entry_id.isNull() | F.col(day).isNull(), F.lit(None)).when(fits, key).otherwise(refuse)
+
+
+def filled_at_index(df: DataFrame, by: str, order: Column, is_index: Column, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Values carried to each key's index row: the last known one up to it, else the first known one after it.
 
-    Same result as filling down then up and keeping the index row, but as one aggregation without a sort.
+    Same result as filling down then up and keeping the index row, but as hash aggregations without a sort.
+    ``order`` is one primitive value per row, unique within the key.
     """
-    at = df.where(is_index).groupBy(by).agg(F.min(F.struct(*order)).alias("_at"), *[F.first(c).alias(c) for c in keep])
-    rows = df.select(by, *columns, F.struct(*order).alias("_o")).join(at.select(by, "_at"), by)
+    ordered = df.withColumn("_o", order)
+    at = ordered.where(is_index).select(by, F.col("_o").alias("_at"), *keep)
+    rows = ordered.select(by, "_o", *columns).join(at.select(by, "_at"), by)
     def carried(c):
         known = F.col(c).isNotNull()
-        return F.coalesce(
-            F.max_by(c, F.when(known & (F.col("_o") <= F.col("_at")), F.col("_o"))),
-            F.min_by(c, F.when(known & (F.col("_o") > F.col("_at")), F.col("_o"))),
-        ).alias(c)
-    filled = rows.groupBy(by).agg(*[carried(c) for c in columns])
+        return [
+            F.max_by(c, F.when(known & (F.col("_o") <= F.col("_at")), F.col("_o"))).alias(f"_d_{c}"),
+            F.min_by(c, F.when(known & (F.col("_o") > F.col("_at")), F.col("_o"))).alias(f"_u_{c}"),
+        ]
+    filled = rows.groupBy(by).agg(*[x for c in columns for x in carried(c)])
+    filled = filled.select(by, *[F.coalesce(f"_d_{c}", f"_u_{c}").alias(c) for c in columns])
     return filled.join(at.drop("_at"), by) if keep else filled
 
 
@@ -203,7 +221,7 @@ def baseline_table(patients: DataFrame, procedures: DataFrame, extras: Sequence[
     rows = rows.withColumns(categorical_baseline()).join(index, "pid")
     measured = ["height", "weight", "pulse", "sys_bp", "dia_bp"]
     fixed = ["sex", "age", "crea", "arrest", "enzymes", "stemi", "smoking", "vessels", "dominance", "nyha", "ccs", "killip"]
-    return filled_at_index(rows, "pid", ["proc_date", "entryid"], F.col("entryid") == F.col("_entry"), measured, fixed)
+    return filled_at_index(rows, "pid", packed_order("proc_date", "entryid"), F.col("entryid") == F.col("_entry"), measured, fixed)
 
 
 def clinical_two(patients: DataFrame, procedures: DataFrame, baseline: DataFrame) -> DataFrame:

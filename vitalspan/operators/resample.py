@@ -26,10 +26,16 @@ def hashed_uniform(key: str, replicate: str, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.col(replicate), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def md5_uniform(key: str, replicate: str) -> Column:
-    """Uniform number in [0, 1) from a text digest, reproducible in other SQL engines; slower."""
-    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(replicate).cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+# Modulus and multipliers of the portable generator below.
+MODULUS, KEY_FACTOR, REPLICATE_FACTOR = 1000003, 7919, 104729
+
+
+def portable_uniform(key: str, replicate: str) -> Column:
+    """Uniform number in [0, 1) from integer arithmetic only, reproducible in any SQL engine."""
+    m = F.lit(MODULUS)
+    x = F.pmod(F.col(key) * F.lit(KEY_FACTOR) + F.col(replicate) * F.lit(REPLICATE_FACTOR), m)
+    y = F.pmod(x * x + F.lit(12345), m)
+    return F.pmod(y * y + x, m) / F.lit(float(MODULUS))
 
 
 def poisson_weight(u: Column) -> Column:

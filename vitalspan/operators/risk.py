@@ -25,16 +25,19 @@ MAX_LEVELS = 1000
 HORIZON_DAYS = {"6m": 183.0, "1y": 365.0, "3y": 1095.0}
 
 
-def _points(x: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """Points of the nearest tabulated value, the lower one on a tie.
+def _nearest(x: Column, at: Sequence[float]) -> Column:
+    """0-based position of the nearest of the sorted values ``at``, the lower one on a tie.
 
-    The position is the number of neighbouring pairs in which the upper value is strictly nearer.
+    Evenly spaced values are found by arithmetic, short lists by a chain of comparisons.
     """
-    ordered = sorted(points)
-    scores = F.lit([float(s) for _, s in ordered])
-    pairs = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for (a, _), (b, _) in zip(ordered, ordered[1:])])
-    place = F.size(F.filter(pairs, lambda p: x - p["a"] > p["b"] - x))
-    return F.when(x.isNotNull(), F.get(scores, place))
+    gaps = {round(b - a, 9) for a, b in zip(at, at[1:])}
+    if len(gaps) == 1:
+        step = F.ceil((x - F.lit(at[0])) / F.lit(gaps.pop()) - F.lit(0.5))
+        return F.when(x.isNotNull(), F.least(F.greatest(step, F.lit(0)), F.lit(len(at) - 1)).cast("int"))
+    out = F
+    for i, (a, b) in enumerate(zip(at, at[1:])):
+        out = out.when(x - F.lit(a) <= F.lit(b) - x, F.lit(i))
+    return F.when(x.isNotNull(), out.otherwise(F.lit(len(at) - 1)))
 
 
 def six_month_probability(score: Column, bands: Sequence[tuple] = L.BANDS) -> Column:
@@ -65,10 +68,16 @@ def risk_score(df: DataFrame, points: Sequence[tuple[float, float, str, str]] |
     table: dict[str, dict[str, list]] = {}
     for value, score, term, model in rows:
         table.setdefault(model, {}).setdefault(term, []).append((value, score))
-    typed = df.select(pid, *keep, *[F.col(c).cast("double").alias(f"_x_{t}") for t, c in inputs.items()])
-    sums = {m: reduce(lambda a, b: a + b, [_points(F.col(f"_x_{t}"), pts) for t, pts in terms.items()]) for m, terms in table.items()}
+    # one position per term and set of tabulated values, shared by the models
+    values = {(t, tuple(sorted(v for v, _ in pts))) for terms in table.values() for t, pts in terms.items()}
+    names = {key: f"_i_{n}" for n, key in enumerate(sorted(values))}
+    placed = df.select(pid, *keep, *[_nearest(F.col(inputs[t]).cast("double"), at).alias(n) for (t, at), n in names.items()])
+    def points(term, pts):
+        ordered = sorted(pts)
+        return F.get(F.lit([float(s) for _, s in ordered]), F.col(names[term, tuple(v for v, _ in ordered)]))
+    sums = {m: reduce(lambda a, b: a + b, [points(t, pts) for t, pts in terms.items()]) for m, terms in table.items()}
     # tabulated points have at most seven decimals; rounding keeps sums exactly on the edges of the bands
-    scored = typed.select(pid, *keep, *[F.round(c, 7).alias(f"_score_{m}") for m, c in sums.items()])
+    scored = placed.select(pid, *keep, *[F.round(c, 7).alias(f"_score_{m}") for m, c in sums.items()])
     cells = [
         F.struct(F.lit(m).alias("model"), F.col(f"_score_{m}").alias("score"), horizon_probability(m, F.col(f"_score_{m}")).alias("prob"))
         for m in table

@@ -176,24 +176,21 @@ def interpolate_at(
 ) -> DataFrame:
     """Piecewise-linear prediction at each horizon; outside the grid NULL, or the end value with ``clamp``.
 
-    A patient's curve has one row per break (tens), gathered in one array; horizons are then expressions.
+    Every break is paired with the next one of its curve (tens of rows per window), and each pair keeps the horizons
+    that fall into it, so each (curve, horizon) comes from exactly one row and nothing is gathered or regrouped.
     """
-    ready = predictions.where(F.col(value).isNotNull())
-    curves = ready.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("s")))).alias("_p"))
-    cells = [F.struct(F.lit(float(t)).alias("tau"), _safe_interpolate(F.col("_p"), float(t), clamp).alias(out)) for t in taus]
-    return curves.select(*by, F.inline(F.array(*cells)))
-
-
-def _safe_interpolate(points: Column, tau: float, clamp: bool) -> Column:
-    below = F.filter(points, lambda p: p["t"] <= F.lit(tau))
-    above = F.filter(points, lambda p: p["t"] >= F.lit(tau))
-    lo, hi = F.try_element_at(below, F.lit(-1)), F.get(above, F.lit(0))
-    inner = F.when(lo["t"] == hi["t"], lo["s"]).otherwise(
-        lo["s"] + (hi["s"] - lo["s"]) * F.try_divide(F.lit(tau) - lo["t"], hi["t"] - lo["t"]))
-    if clamp:
-        return F.when(lo.isNull(), hi["s"]).when(hi.isNull(), lo["s"]).otherwise(inner)
-    return F.when(lo.isNotNull() & hi.isNotNull(), inner)
+    w = Window.partitionBy(*by).orderBy("_t1")
+    ready = predictions.where(F.col(value).isNotNull()).select(
+        *by, F.col(time).cast("double").alias("_t1"), F.col(value).cast("double").alias("_s1"))
+    pairs = ready.withColumns({
+        "_t2": F.lead("_t1").over(w), "_s2": F.lead("_s1").over(w), "_first": F.lag("_t1").over(w).isNull()})
+    rows = pairs.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
+    tau, t1, t2 = F.col("tau"), F.col("_t1"), F.col("_t2")
+    inside = (tau >= t1) & (tau < F.coalesce(t2, F.lit(float("inf"))))
+    rows = rows.where(inside | (F.col("_first") & (tau < t1)))
+    share = (tau - t1) / (t2 - t1)
+    within = F.when(tau == t1, F.col("_s1")).when((tau > t1) & t2.isNotNull(), F.col("_s1") + (F.col("_s2") - F.col("_s1")) * share)
+    return rows.select(*by, "tau", (F.coalesce(within, F.col("_s1")) if clamp else within).alias(out))
 
 
 def curve_at(survival: Column, breaks: Sequence[float], tau: float, clamp: bool = False) -> Column:

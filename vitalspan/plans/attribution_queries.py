@@ -10,6 +10,7 @@ from vitalspan.operators.ordered import running
 from vitalspan.operators.reshape import signed_summary, top_k, with_group_stats
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import v_attributions, v_trials
+from vitalspan.session import settle
 
 STEM = "split_part(feature, '_', 1) || '_' || split_part(feature, '_', 2)"
 IMPORTANCE_SQL = f"""
@@ -86,7 +87,7 @@ fp AS (SELECT DISTINCT pid, fgroup, fname, COALESCE(fvalue, '-') AS fv, value FR
 hit AS (SELECT fp.pid, it.pid AS other, COUNT(*) AS k FROM fp JOIN it ON it.fgroup = fp.fgroup AND it.fname = fp.fname AND it.fv = fp.fv AND it.value = fp.value GROUP BY 1, 2)
 SELECT sz.pid, COUNT(hit.other) AS n_matches FROM sz LEFT JOIN hit ON hit.pid = sz.pid AND hit.k = sz.k GROUP BY sz.pid""")
 def fingerprint_matches(spark, sf):
-    active = _active(spark, sf)
+    active = settle(_active(spark, sf))  # used by both sides of the match
     order = [F.round(F.abs("shap"), 9).desc(), F.col("fgroup"), F.col("fname"), F.col("fvalue").asc_nulls_first()]
     top = top_k(active, ["pid"], order, 3)
     return match_fingerprints(active, "pid", top, ["fgroup", "fname", "fvalue", "value"])
