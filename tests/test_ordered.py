@@ -25,7 +25,7 @@ def test_hot_group_is_cut_and_small_ones_are_not(rows):
     assert with_blocks(df, ["g"], ["o"]).agg(F.max("_block")).first()[0] == 0
 
 
-@pytest.mark.parametrize("block_rows", [7, 50, 1 << 20])
+@pytest.mark.parametrize("block_rows", [3, 7, 50, 1 << 20])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_equals_plain_window(rows, block_rows, descending):
     pdf, df = rows

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators.ordered import BLOCK_ROWS, quantiles, running
 from vitalspan.operators.reshape import histogram_2d, to_wide
-from vitalspan.operators.survival import censoring_curve, kaplan_meier, km_at, step_at
+from vitalspan.operators.survival import censoring_curve, kaplan_meier, km_at, step_at, whole_days
 from vitalspan.session import settle
 
 
@@ -75,7 +75,10 @@ def ipcw(scored: DataFrame, surv: DataFrame, taus: Sequence[float], strata: Sequ
     subjects censored before the horizon get no weight.
     """
     curve = censoring_curve(surv, strata)
-    outcome = surv.join(curve.select(*strata, "time", "g_before"), [*strata, "time"]).select(pid, *strata, "time", "event", "g_before")
+    steps = curve.select(*strata, "time", "g_before")
+    if whole_days(surv, "time"):  # at most one row per follow-up day and stratum
+        steps = F.broadcast(steps)
+    outcome = surv.join(steps, [*strata, "time"]).select(pid, *strata, "time", "event", "g_before")
     at_tau = step_at(curve, strata, taus, {"g": 1.0}).withColumnRenamed("tau", tau).withColumnRenamed("g", "g_tau")
     joined = scored.join(outcome, [pid, *[s for s in strata if s in scored.columns]]).join(at_tau, [*strata, tau])
     case = F.col("event") & (F.col("time") <= F.col(tau))

@@ -22,9 +22,14 @@ RISK_BREAKS = (0.0, 0.5, 0.75, 0.875, 0.95, 1.0)
 RISK_BREAKS_COARSE = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
+def whole_days(df: DataFrame, time: str) -> bool:
+    """Whether the time column counts whole units, so that distinct times are bounded by the calendar."""
+    return dict(df.dtypes)[time] in ("int", "bigint", "smallint", "tinyint", "date")
+
+
 def cumulate(df: DataFrame, by: Sequence[str], time: str, sums: dict[str, Column | str], descending: bool = False) -> DataFrame:
     """Running sums along distinct times of each stratum (current time included)."""
-    if dict(df.dtypes)[time] in ("int", "bigint", "smallint", "tinyint", "date"):
+    if whole_days(df, time):
         order = F.col(time).desc() if descending else F.col(time).asc()
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(v).over(w) for n, v in sums.items()})
