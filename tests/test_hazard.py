@@ -110,3 +110,13 @@ def test_delta_of_equal_tables_is_zero(spark):
     a = attributions(spark)
     assert all(r["q50"] == 0.0 and r["rank"] == 1 for r in attribution_delta(a, a).collect())
     assert {r["fgroup"] for r in with_parts(a.withColumn("feature", F.lit("diag-simple_DI21"))).collect()} == {"diag-1"}
+
+
+def test_study_matrix_keeps_patients_without_features(spark):
+    events = spark.createDataFrame([(1, -10, "lvl3", "B"), (2, -900, "lvl3", "A"), (2, -900, "chap", "C")], "pid BIGINT, time INT, level STRING, code STRING")
+    surv = spark.createDataFrame([(i, True, 5 + i, i % 2 == 0) for i in range(1, 9)], "pid BIGINT, train BOOLEAN, time INT, event BOOLEAN")
+    features, names = Z.study_matrix({"diagnoses": events}, surv, "001", {"diag_window": 1.0, "diag_level": "lvl3"})
+    got = {r["pid"]: r["features"] for r in features.collect()}
+    assert names == ["diag-simple_B"] and got[1] == [1.0] and got[2] == [0.0] and len(got) == 8
+    out = Z.cross_validate_study({"diagnoses": events}, surv, "001", {"diag_window": [1.0, 5.0]}, [0.0, 7.0, 14.0], [0.1], k=2, max_iter=5).collect()
+    assert sorted(r["diag_window"] for r in out) == ["1.0", "5.0"] and all(r["loss"] > 0 for r in out)

@@ -74,3 +74,9 @@ def test_imputation_fills_everything_and_keeps_known_cells(spark):
         assert out.loc[i, "a"] == a and (b is None or out.loc[i, "b"] == b) and (c is None or out.loc[i, "c"] == c)
     guessed = [(out.loc[i, "b"], 2 * a) for i, a, b, _ in rows if b is None]
     assert sum(abs(x - y) for x, y in guessed) / len(guessed) < 4
+
+
+def test_plausible_input_ranges(spark):
+    schema = "pid INT, age DOUBLE, pulse INT, sys_bp INT, crea DOUBLE, killip INT, arrest BOOLEAN, enzymes BOOLEAN, stemi BOOLEAN"
+    df = spark.createDataFrame([(1, 60.0, None, 120, 1.0, 1, False, True, False), (2, 12.0, 80, 120, 1.0, 1, False, True, False)], schema)
+    assert {r["pid"]: r["ok"] for r in df.select("pid", R.in_score_range().alias("ok")).collect()} == {1: True, 2: False}

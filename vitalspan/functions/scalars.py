@@ -197,7 +197,8 @@ def datetime_from_parts(day, hour=None, minute=None) -> Column:
 
 
 def parse_ymd_hm(text) -> Column:
-    return F.try_to_timestamp(_c(text), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    """Text ``yyyy-mm-dd hh:mm`` to a timestamp without time zone; NULL when it does not parse."""
+    return _c(text).try_cast("timestamp_ntz")
 
 
 def elapsed_days(start, end) -> Column:

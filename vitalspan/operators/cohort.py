@@ -138,17 +138,6 @@ def repair_vitals(df: DataFrame) -> DataFrame:
     return df.withColumns({"sys_bp": sys_bp, "dia_bp": dia_bp})
 
 
-def supplement(df: DataFrame, extra: DataFrame) -> DataFrame:
-    """Fill missing measures from a one-row-per-patient table, then drop implausible creatinine and pulse."""
-    merged = join_coalesced(df, extra, ["pid"])
-    fixes = {}
-    if "crea" in merged.columns:
-        fixes["crea"] = S.clean_range("crea", hi=400)
-    if "pulse" in merged.columns:
-        fixes["pulse"] = S.clean_range("pulse", 30, 300)
-    return merged.withColumns(fixes)
-
-
 ID_BITS = 46
 
 

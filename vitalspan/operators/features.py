@@ -258,19 +258,42 @@ def study_patients(surv: DataFrame, tables: dict[str, DataFrame], study: str) ->
     return surv.join(tables["polygenic_scores"].select("pid").distinct(), "pid", "left_semi")
 
 
-def study_features(tables: dict[str, DataFrame], patients: DataFrame, study: str, **overrides: dict) -> DataFrame:
+def study_features(tables: dict[str, DataFrame], patients: DataFrame, study: str, overrides: dict[str, dict] | None = None) -> DataFrame:
+    """Long feature rows of a study; ``overrides`` replaces parameters of its sets, by set name."""
+    overrides = overrides or {}
     sets = {alias: {**params, **overrides.get(alias, {})} for alias, params in STUDIES[study].items()}
     return assemble_features(tables, study_patients(patients, tables, study), sets)
 
 
-def feature_arrays(long: DataFrame, vocabulary: DataFrame, width: int, out: str = "features") -> DataFrame:
-    """Dense array per patient in vocabulary order, absent features 0. For the model boundary only."""
+def feature_arrays(long: DataFrame, vocabulary: DataFrame, width: int, out: str = "features", patients: DataFrame | None = None) -> DataFrame:
+    """Dense array per patient in vocabulary order, absent features 0. For the model boundary only.
+
+    With ``patients`` every one of them gets a row, also those without any feature.
+    """
     cells = long.join(vocabulary, "feature").groupBy("pid").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("column_index").cast("int"), F.coalesce("value", F.lit(0.0))))).alias("_m"))
+    if patients is not None:
+        cells = patients.select("pid").join(cells, "pid", "left")
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
     return cells.select("pid", dense.alias(out))
 
 
+# Which parameter of which feature set a search parameter sets; windows are given in years.
+SEARCH_TARGETS = {
+    "diag_window": (DIAGNOSES, "horizon", 365), "diag_level": (DIAGNOSES, "level", None), "bioc_window": (LABS, "horizon", 365),
+    "proc_window": (PROCEDURES, "horizon", 365), "pgs_limit": (GENETIC, "limit", None),
+}
+
+
+def search_overrides(params: dict) -> dict[str, dict]:
+    """Search parameters as overrides for :func:`study_features`."""
+    out: dict[str, dict] = {}
+    for name, value in params.items():
+        alias, key, unit = SEARCH_TARGETS[name]
+        out.setdefault(alias, {})[key] = value if unit is None else float(value) * unit
+    return out
+
+
 def feature_dictionary(features: DataFrame, long: DataFrame, *definitions: DataFrame) -> DataFrame:
     """Name parts, joined values, inferred type and the first available definition of every feature.
 

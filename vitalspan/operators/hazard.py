@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.operators.features import kfold_assign, person_periods
+from vitalspan.operators.features import (
+    feature_arrays, index_features, kfold_assign, person_periods, search_overrides, study_features, study_patients, survival_labels,
+)
 from vitalspan.operators.metrics import discrete_nll
 from vitalspan.operators.ordered import quantiles
 from vitalspan.operators.reshape import to_wide
@@ -124,6 +127,28 @@ def cross_validate(features: DataFrame, labels: DataFrame, breaks: Sequence[floa
     return features.sparkSession.createDataFrame(results, schema)
 
 
+def study_matrix(tables: dict[str, DataFrame], patients: DataFrame, study: str, params: dict | None = None) -> tuple[DataFrame, list[str]]:
+    """Feature arrays of a study's patients and the column names, under the given search parameters."""
+    members = study_patients(patients, tables, study)
+    long = settle(study_features(tables, patients, study, search_overrides(params or {})))
+    vocabulary = index_features(long.select("feature"))
+    names = [r["feature"] for r in vocabulary.orderBy("column_index").collect()]
+    return feature_arrays(long, vocabulary, len(names), patients=members), names
+
+
+def cross_validate_study(tables: dict[str, DataFrame], surv: DataFrame, study: str, feature_grid: dict[str, Sequence], breaks: Sequence[float],
+                         reg: Sequence[float] = (0.0,), k: int = 5, seed: int = 42, max_iter: int = 50) -> DataFrame:
+    """Held-out loss for every combination of feature windows, code level, tail share and regularisation."""
+    labels = settle(survival_labels(surv, breaks))
+    parts = []
+    for values in product(*feature_grid.values()):
+        params = dict(zip(feature_grid, values))
+        features, names = study_matrix(tables, surv, study, params)
+        losses = cross_validate(features, labels, breaks, names, {"reg": reg}, k, seed, max_iter)
+        parts.append(losses.select(*[F.lit(str(v)).alias(n) for n, v in params.items()], "reg", "loss"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def training_medians(features: DataFrame, names: Sequence[str]) -> list[float]:
     """Exact median of every feature column; one number per feature reaches the driver."""
     cells = features.select(F.posexplode("features").alias("i", "x"))

@@ -133,7 +133,7 @@ def tables(spark, sf) -> dict[str, DataFrame]:
     }
 
 
-@query("assemble_features", "H20 H21 A8", f"""
+@query("assemble_features", "H20 H21 A8 M5", f"""
 WITH {DIAG_SQL}, {LAB_SQL}, {_FIT_SQL}, r AS ({_unpivot_sql('al', {k: v for k, v in _CLINICAL_1.items() if not k.startswith(("arrest", "enzymes"))}, 'clnc-1', True)}
 UNION ALL SELECT DISTINCT pid, 'diag-simple_' || code, CAST(1 AS DOUBLE) FROM diag WHERE level = 'lvl3' AND time > -3650
 UNION ALL SELECT pid, 'bioc-1_' || qid || '_' || CASE value WHEN -1 THEN 'low' WHEN 0 THEN 'normal' ELSE 'high' END, CAST(1 AS DOUBLE) FROM labs WHERE time <= 3650)

@@ -10,6 +10,7 @@ from vitalspan.operators import features as X
 from vitalspan.operators import hazard as Z
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import v_attributions, v_patients, v_surv
+from vitalspan.session import settle
 
 NAMES = ["age", "sex", "season"]
 N_INTERVALS, MAX_TIME = 8, 1500
@@ -105,6 +106,16 @@ def cross_validate_hazard(spark, sf):
     return Z.cross_validate(feature_arrays(spark, sf), known, breaks, NAMES, {"reg": [0.0, 0.01]}, k=2, max_iter=20)
 
 
+@query("cross_validate_study", "J2 H20 H21")
+def cross_validate_study(spark, sf):
+    """Two code levels of the diagnosis features, chosen by held-out loss."""
+    from vitalspan.plans.cohort_queries import diagnosis_events
+    surv = v_surv(spark, sf).where("train")
+    breaks = X.time_breaks(surv, 4, MAX_TIME).first()["breaks"]
+    tables = {"diagnoses": settle(diagnosis_events(spark, sf))}
+    return Z.cross_validate_study(tables, surv, "001", {"diag_window": [2.0], "diag_level": ["block", "chap"]}, breaks, [0.01], k=2, max_iter=10)
+
+
 @query("attribute_survival", "J5")
 def attribute_survival(spark, sf):
     features = feature_arrays(spark, sf)

@@ -197,7 +197,7 @@ def concordance(spark, sf):
     return rounded(longs(out, "pairs", "concordant", "tied"), "c_index", "dxy")
 
 
-@query("td_auc", "I9", f"WITH {interp_sql(TAUS)}, {CENS_SQL}, {WEIGHT_SQL}, {auc_sql('model, tau')} SELECT model, tau, {q6('auc', 'auc')} FROM auc")
+@query("td_auc", "I9 M4", f"WITH {interp_sql(TAUS)}, {CENS_SQL}, {WEIGHT_SQL}, {auc_sql('model, tau')} SELECT model, tau, {q6('auc', 'auc')} FROM auc")
 def td_auc(spark, sf):
     return rounded(M.td_auc(weighted(spark, sf, TAUS), ["model", "tau"]), "auc")
 
@@ -303,7 +303,7 @@ bw AS (SELECT {key}, replicate, CASE WHEN replicate = 0 THEN 1 ELSE {_POISSON} E
 bs AS (SELECT s.*, b.replicate, b.w_boot FROM {source} s JOIN bw b ON b.{key} = s.{key} WHERE b.w_boot > 0)"""
 
 
-@query("bootstrap_mean_prediction", "I15", f"""
+@query("bootstrap_mean_prediction", "I15 M3", f"""
 WITH {interp_sql([365.0, 1825.0])}, {boot_sql("interp", 200)},
 m AS (SELECT model, tau, replicate, SUM(pred * w_boot) / SUM(w_boot) AS m FROM bs GROUP BY model, tau, replicate)
 SELECT model, tau, {q6("MAX(CASE WHEN replicate = 0 THEN m END)", "estimate")}, {q6("quantile_cont(m, 0.025) FILTER (WHERE replicate > 0)", "lower")},

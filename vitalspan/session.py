@@ -18,7 +18,7 @@ DEFAULTS = {
 
 
 def build_session(app: str = "vitalspan", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the library's settings; cluster settings given by spark-submit win over nothing here."""
+    """A session with the library's settings; ``conf`` overrides them. Cluster sizes are left to spark-submit."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -29,7 +29,7 @@ def build_session(app: str = "vitalspan", master: str | None = None, **conf: str
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a scratch folder only for a local master without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
