@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
-MARK_EVERY = 128
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -43,17 +42,18 @@ def with_blocks(
         .where(F.col(order[0]).isNotNull())
         .groupBy(*[F.col(c).alias(f"_b_{c}") for c in by])
         .agg(F.array_sort(F.collect_set(key)).alias("_cuts"))
-        .withColumn("_marks", F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.lit(MARK_EVERY)), lambda i: F.element_at("_cuts", i)))
+        .withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+        .withColumn("_marks", F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.col("_step")), lambda i: F.element_at("_cuts", i)))
     )
     joined = base.join(F.broadcast(cuts), _same(base, cuts, [(c, f"_b_{c}") for c in by]), "left")
-    # two-step search: first among every MARK_EVERY-th cut point, then among the cut points after the last mark passed
-    marked = joined.withColumn("_from", F.greatest(F.size(F.filter("_marks", lambda m: m <= key)) - 1, F.lit(0)) * F.lit(MARK_EVERY))
-    passed = F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.lit(MARK_EVERY)), lambda c: c <= key))
+    # two-step search: first among evenly spaced cut points (marks), then among those after the last mark passed
+    marked = joined.withColumn("_from", F.greatest(F.size(F.filter("_marks", lambda m: m <= key)) - 1, F.lit(0)) * F.col("_step"))
+    passed = F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.col("_step")), lambda c: c <= key))
     block = F.size("_cuts") - passed if descending else passed
     return (
         marked.withColumn("_block", F.when(F.col("_cuts").isNotNull(), block).otherwise(F.lit(0)))
         .withColumn("_cut", F.col("_cuts").isNotNull())
-        .drop("_cuts", "_marks", "_from", *[f"_b_{c}" for c in by])
+        .drop("_cuts", "_marks", "_step", "_from", *[f"_b_{c}" for c in by])
     )
 
 
