@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vitalspan.functions.scalars import min_max, split_feature
 from vitalspan.operators.ordered import BLOCK_ROWS, random_rank, running
 from vitalspan.operators.reshape import to_long, value_kind, with_group_stats
+from vitalspan.session import settle
 
 # Names of the feature sets and the label of each laboratory flag.
 DIAGNOSES, CLINICAL_1, CLINICAL_2, LABS, PROCEDURES, GENETIC = "diag-simple", "clnc-1", "clnc-2", "bioc-1", "proc-1", "pgss-1"
@@ -183,7 +184,7 @@ def winsorize(df: DataFrame, by: Sequence[str], value: str, limit: float, block_
 
 def polygenic_features(scores: DataFrame, patients: DataFrame, limit: float = 0.0) -> DataFrame:
     """Winsorised scores standardised per score. Patients without any score are 0; a single missing score is NULL."""
-    clamped = winsorize(scores, ["name"], "score", limit)
+    clamped = settle(winsorize(scores, ["name"], "score", limit))  # read twice below
     stats = with_group_stats(clamped, ["name"], {"_m": F.avg("score"), "_s": F.stddev_samp("score")})
     z = stats.select("pid", "name", zscore(F.col("score"), "_m", "_s", None).alias("value"))
     names = scores.select("name").distinct().agg(F.array_sort(F.collect_list("name")).alias("_names")).withColumn("_k", F.lit(0))

@@ -157,7 +157,7 @@ def calibration_quantile(scored: DataFrame, by: Sequence[str], n: int = 20, pred
 
     ``scored`` has one row per patient and horizon with ``time`` and ``event``; ``by`` includes the horizon column.
     """
-    rows = quantile_strata(scored.where(F.col(pred).isNotNull()), by, pred, n)
+    rows = quantile_strata(settle(scored.where(F.col(pred).isNotNull())), by, pred, n)
     group = [*by, "stratum"]
     means = rows.groupBy(*group).agg(F.avg(pred).alias("pred"), F.count("*").alias("n"))
     curve = kaplan_meier(rows, group)

@@ -11,6 +11,7 @@ from vitalspan.operators.reshape import missing_rates
 from vitalspan.plans.cohort_queries import DIAG_SQL, LAB_SQL, PROC_SQL, diagnosis_events, lab_events, proc_events
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import table, v_attributions, v_baseline, v_code_parents, v_scores, v_surv
+from vitalspan.session import settle
 from vitalspan.sources import lookups as L
 
 HORIZON = 730.0
@@ -119,7 +120,7 @@ SELECT pid, name, {q6("z", "z")}, {q6("(z - MIN(z) OVER (PARTITION BY name)) / (
 def score_winsor_zscore(spark, sf):
     from vitalspan.operators.attribution import rescale_within
     from vitalspan.operators.reshape import with_group_stats
-    clamped = X.winsorize(v_scores(spark, sf), ["name"], "score", 0.05)
+    clamped = settle(X.winsorize(v_scores(spark, sf), ["name"], "score", 0.05))
     stats = with_group_stats(clamped, ["name"], {"_m": F.avg("score"), "_s": F.stddev_samp("score")})
     z = stats.select("pid", "name", X.zscore(F.col("score"), "_m", "_s", None).alias("z"))
     return rounded(rescale_within(z, ["name"], "z", "scaled", -1.0, 1.0), "z", "scaled")

@@ -84,7 +84,7 @@ def append_and_read_table(spark, sf):
     return longs(back.groupBy("train").agg(F.count("*").alias("n"), F.sum("time").alias("days")), "days")
 
 
-_WIDE_TIMES = [20.0, 420.0, 820.0]
+_WIDE_TIMES = TIMES
 
 
 @query("wide_predictions", "A10 D20", "SELECT pid, model, " + ", ".join(q6(f"MAX(CASE WHEN time = {t} THEN surv END)", f"t{t:g}") for t in _WIDE_TIMES) + " FROM v_predictions GROUP BY pid, model")
@@ -390,9 +390,9 @@ def value_kinds(spark, sf):
 
 
 @query("wide_and_long", "D19 D20 A10", f"""
-SELECT pid, name, {q6("score", "value")} FROM v_scores WHERE name IN ('ENGAGE', 'SEG1', 'SEG2')""")
+SELECT pid, name, {q6("score", "value")} FROM v_scores""")
 def wide_and_long(spark, sf):
-    names = ["ENGAGE", "SEG1", "SEG2"]
+    names = ["ENGAGE", "SEG1", "SEG2", "SEG3", "SEG4", "SEG5"]
     wide = H.to_wide(v_scores(spark, sf), ["pid"], "name", "score", names)
     return rounded(H.to_long(wide, ["pid"], names).where(F.col("value").isNotNull()), "value")
 
