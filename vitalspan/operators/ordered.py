@@ -41,19 +41,19 @@ def with_blocks(
         base.where(F.pmod(F.xxhash64(*order), F.lit(block_rows)) == 0)
         .where(F.col(order[0]).isNotNull())
         .groupBy(*[F.col(c).alias(f"_b_{c}") for c in by])
-        .agg(F.array_sort(F.collect_set(key)).alias("_cuts"))
-        .withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
-        .withColumn("_marks", F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.col("_step")), lambda i: F.element_at("_cuts", i)))
+        .agg(F.array_sort(F.collect_set(key)).alias("_blk_cuts"))
+        .withColumn("_blk_step", F.ceil(F.sqrt(F.size("_blk_cuts"))).cast("int"))
+        .withColumn("_blk_marks", F.transform(F.sequence(F.lit(1), F.size("_blk_cuts"), F.col("_blk_step")), lambda i: F.element_at("_blk_cuts", i)))
     )
     joined = base.join(F.broadcast(cuts), _same(base, cuts, [(c, f"_b_{c}") for c in by]), "left")
     # two-step search: first among evenly spaced cut points (marks), then among those after the last mark passed
-    marked = joined.withColumn("_from", F.greatest(F.size(F.filter("_marks", lambda m: m <= key)) - 1, F.lit(0)) * F.col("_step"))
-    passed = F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.col("_step")), lambda c: c <= key))
-    block = F.size("_cuts") - passed if descending else passed
+    marked = joined.withColumn("_blk_from", F.greatest(F.size(F.filter("_blk_marks", lambda m: m <= key)) - 1, F.lit(0)) * F.col("_blk_step"))
+    passed = F.col("_blk_from") + F.size(F.filter(F.slice("_blk_cuts", F.col("_blk_from") + 1, F.col("_blk_step")), lambda c: c <= key))
+    block = F.size("_blk_cuts") - passed if descending else passed
     return (
-        marked.withColumn("_block", F.when(F.col("_cuts").isNotNull(), block).otherwise(F.lit(0)))
-        .withColumn("_cut", F.col("_cuts").isNotNull())
-        .drop("_cuts", "_marks", "_step", "_from", *[f"_b_{c}" for c in by])
+        marked.withColumn("_block", F.when(F.col("_blk_cuts").isNotNull(), block).otherwise(F.lit(0)))
+        .withColumn("_cut", F.col("_blk_cuts").isNotNull())
+        .drop("_blk_cuts", "_blk_marks", "_blk_step", "_blk_from", *[f"_b_{c}" for c in by])
     )
 
 
