@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalspan.llm import quality
+from vitalspan.llm import packing, quality, secrets
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +68,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
 """
 
+
+def secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in each document: the fixed rules' matches and what fits the formats learned from them."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs), carried=["doc_id"])
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.digest("spans"), 256).alias("base_sha256"),
+        secrets.digest("spans", (*secrets.KINDS, secrets.LEARNED)).alias("spans"))
+
+
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, concatenated and cut."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), carried=["doc_id"])
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continues",
+        "continued")
+
+
 QUERIES: dict[str, LlmQuery] = {
+    "op1_secret_grammars": LlmQuery(secret_grammars),
+    "op4_packed_sequences": LlmQuery(packed_sequences),
     "op8_host_quality": LlmQuery(host_quality, HOST_QUALITY_SQL),
 }
