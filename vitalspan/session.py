@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     Used where an expensive input feeds several branches of one plan. The written table survives lost
@@ -47,5 +47,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
