@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, packing, quality, secrets, warc
+from vitalspan.llm import chat, decontaminate, packing, quality, secrets, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -140,10 +140,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain test items, with the best passage's score and the verified overlaps."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op4_packed_sequences": LlmQuery(packed_sequences),
     "op6_web_archive": LlmQuery(web_archive, WEB_ARCHIVE_SQL),
     "op8_host_quality": LlmQuery(host_quality, HOST_QUALITY_SQL),
+    "op9_benchmark_leaks": LlmQuery(benchmark_leaks),
     "op10_chat_format": LlmQuery(chat_format, CHAT_FORMAT_SQL),
 }
