@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,17 @@ from vitalspan.session import settle
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
+#: Latin letters, whose small forms all Unicode versions agree on, and ASCII punctuation.
+LETTERS_THEN_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of words, remembered.
 
-    Right for tokenizers that treat words between white space one by one (white space is dropped before any merge), as
-    the ids of a text are then the ids of its words in order.
+    Right for tokenizers that put texts in lower case, drop white space and merge letters, digits and other characters
+    apart: the ids of a text are then those of its words in order.
     """
 
     def __init__(self, specification: str):
@@ -58,26 +61,48 @@ class WordEncoder:
             self.used += len(ids)
             self.slots[word] = slot
 
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """The slot of each word."""
+        coded = words.dictionary_encode()
+        spelled = coded.dictionary.to_pylist()
+        unknown = [w for w in spelled if w not in self.slots]
+        if unknown:
+            self._learn(unknown)
+        slots = np.fromiter((self.slots[w] for w in spelled), dtype=np.int64, count=len(spelled))
+        return slots[coded.indices.to_numpy(zero_copy_only=False)]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by ``end_id``, and where each text's ids start."""
+        """The ids of all texts, each followed by ``end_id``, and where each text's ids start.
+
+        Words of letters with punctuation behind them are looked up as two words, since the tokenizer parts them there.
+        """
         words = split_words(texts)
-        spelled = words.vocabulary.to_pylist()
         if len(self.slots) > REMEMBERED_WORDS:
             self.forget()
-        unknown = [w for w in spelled if w not in self.slots]
-        if unknown:
-            self._learn(unknown)
-        slots = np.fromiter((self.slots[w] for w in spelled), dtype=np.int64, count=len(spelled))[words.codes]
-        lengths = self.lengths[slots]
+        parted = pc.extract_regex(words.vocabulary, LETTERS_THEN_MARKS)
+        letters, marks = pc.struct_field(parted, "letters"), pc.struct_field(parted, "marks")
+        fronts = self._slots(pc.coalesce(pc.utf8_lower(letters), words.vocabulary))
+        backs = self._slots(pc.fill_null(marks, ""))
+        both = np.stack([fronts, backs], axis=1).ravel()
+        spelled = self.ids[spread(self.begins[both], self.lengths[both])]  # of the vocabulary, word after word
+        sizes = self.lengths[fronts] + self.lengths[backs]
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[words.codes]
         at = np.concatenate([[0], np.cumsum(lengths)])
-        rows = np.arange(len(texts) + 1)
-        starts = at[words.starts] + rows
+        starts = at[words.starts] + np.arange(len(texts) + 1)
         out = np.full(int(starts[-1]), end_id, dtype=np.uint32)
-        place = np.arange(at[-1])
-        out[place + np.repeat(words.rows, lengths)] = self.ids[place + np.repeat(self.begins[slots] - at[:-1], lengths)]
+        own = np.ones(len(out), dtype=bool)
+        own[starts[1:] - 1] = False
+        out[own] = spelled[spread(begins[words.codes], lengths)]
         return out, starts
 
 
+def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of ranges, one range after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(begins - before, lengths)
+
+
 def encoder(specification: Broadcast) -> WordEncoder:
     key = hashlib.sha256(specification.value.encode()).hexdigest()
     if key not in _ENCODERS:

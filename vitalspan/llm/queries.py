@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, packing, quality, secrets, warc
+from vitalspan.llm import chat, decontaminate, html, packing, quality, secrets, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -146,10 +146,18 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page, found under the path that won at its host."""
+    found = html.extract(table(spark, sf_dir, "pages"), carried=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op4_packed_sequences": LlmQuery(packed_sequences),
     "op6_web_archive": LlmQuery(web_archive, WEB_ARCHIVE_SQL),
+    "op7_main_text": LlmQuery(main_text),
     "op8_host_quality": LlmQuery(host_quality, HOST_QUALITY_SQL),
     "op9_benchmark_leaks": LlmQuery(benchmark_leaks),
     "op10_chat_format": LlmQuery(chat_format, CHAT_FORMAT_SQL),
