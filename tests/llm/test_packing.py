@@ -12,8 +12,11 @@ from vitalspan.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def _ids(text: str | None) -> list[int]:
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("window", [4096, 64])
@@ -52,3 +55,14 @@ def test_no_rows_and_clashing_columns(spark, no_docs):
     docs = spark.createDataFrame([(1, "a b", 9, "x")], "doc_id bigint, text string, start int, _tokens string")
     row = packing.pack(docs, PATH).collect()[0]
     assert (row.doc_id, row.start, row.doc_tokens) == (1, 0, 3)
+
+
+def test_words_are_encoded_as_in_whole_texts(spark):
+    import pyarrow as pa
+
+    texts = ["The the. THE,, don't it's' ÉTÉ! été\u0301. e\u0301! Straße; STRASSE ÿ- Ÿ\u00d7\u00f7 a\u0130b. <|endoftext|>. x<|startoftext|>",
+             "a\u00a0b\u2003c d\x1ce 12,34 a1! 日本語。 日本語! 🙂!! ### $$$x 'll 's the's \u01c5. ﬁ! ǰ̌.", "", None]
+    known = packing.WordEncoder(open(PATH).read())
+    for _ in range(2):
+        ids, starts = known.encode(pa.array(texts), 2)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [_ids(t) for t in texts]
