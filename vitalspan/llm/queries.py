@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, html, packing, quality, secrets, warc
+from vitalspan.llm import chat, decontaminate, html, packing, quality, secrets, substrings, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -153,9 +153,17 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
+
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the passages of 20 words or more that occur earlier."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op4_packed_sequences": LlmQuery(packed_sequences),
+    "op5_repeated_passages": LlmQuery(repeated_passages),
     "op6_web_archive": LlmQuery(web_archive, WEB_ARCHIVE_SQL),
     "op7_main_text": LlmQuery(main_text),
     "op8_host_quality": LlmQuery(host_quality, HOST_QUALITY_SQL),
