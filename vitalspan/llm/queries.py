@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, html, packing, quality, secrets, substrings, warc
+from vitalspan.llm import chat, decontaminate, html, near, packing, quality, secrets, substrings, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -160,8 +160,15 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates and its number of links: five-word shingles, Jaccard 0.8 or more."""
+    return near.join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
+    "op2_near_duplicates": LlmQuery(near_duplicates),
     "op4_packed_sequences": LlmQuery(packed_sequences),
     "op5_repeated_passages": LlmQuery(repeated_passages),
     "op6_web_archive": LlmQuery(web_archive, WEB_ARCHIVE_SQL),
