@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from vitalspan.session import settle
 
 WINDOW = 4096
 END_ID = 2
+#: Text that is encoded together; more of it has fewer different words a byte.
+SLICE_BYTES = 8 << 20
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
 REMEMBERED_WORDS = 500_000
 #: Latin letters, whose small forms all Unicode versions agree on, and ASCII punctuation.
@@ -50,26 +53,32 @@ class WordEncoder:
         self.begins, self.lengths = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, slot = coded.ids, len(self.slots)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(ids)))
-            if slot == len(self.begins):
-                self.begins, self.lengths = np.resize(self.begins, 2 * slot), np.resize(self.lengths, 2 * slot)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.begins[slot], self.lengths[slot] = self.used, len(ids)
-            self.used += len(ids)
-            self.slots[word] = slot
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), dtype=np.uint32, count=int(lengths.sum()))
+        slot, end = len(self.slots), self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), end))
+        if slot + len(words) > len(self.begins):
+            room = max(2 * len(self.begins), slot + len(words))
+            self.begins, self.lengths = np.resize(self.begins, room), np.resize(self.lengths, room)
+        self.ids[self.used : end] = ids
+        self.begins[slot : slot + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[slot : slot + len(words)] = lengths
+        self.used = end
+        self.slots.update(zip(words, range(slot, slot + len(words)), strict=True))
 
     def _slots(self, words: pa.Array) -> np.ndarray:
         """The slot of each word."""
         coded = words.dictionary_encode()
         spelled = coded.dictionary.to_pylist()
-        unknown = [w for w in spelled if w not in self.slots]
+        found = list(map(self.slots.get, spelled))
+        unknown = [i for i, slot in enumerate(found) if slot is None]
         if unknown:
-            self._learn(unknown)
-        slots = np.fromiter((self.slots[w] for w in spelled), dtype=np.int64, count=len(spelled))
-        return slots[coded.indices.to_numpy(zero_copy_only=False)]
+            self._learn([spelled[i] for i in unknown])
+            for i in unknown:
+                found[i] = self.slots[spelled[i]]
+        return np.array(found, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and where each text's ids start.
@@ -113,7 +122,7 @@ def encoder(specification: Broadcast) -> WordEncoder:
 def _tokenize(specification: Broadcast, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, before = encoder(specification), TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", SLICE_BYTES):
             ids, starts = known.encode(batch.column("_text"), end_id)
             small = not len(ids) or int(ids.max()) < 1 << 16
             ids = ids.astype("<u2") if small else ids.astype("<u4")

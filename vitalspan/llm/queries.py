@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, html, near, packing, quality, secrets, substrings, warc
+from vitalspan.llm import chat, decontaminate, html, near, packing, quality, secrets, substrings, toxicity, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -166,9 +166,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
 
+
+def toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by its nearest labelled examples, learned without the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.is_held_out(F.col("doc_id"))))
+    nearest = F.expr("array_join(transform(slice(evidence, 1, 3), e -> concat(e.id, ':', round(e.cosine, 4))), ',')")
+    return toxicity.score(docs, model, carried=["doc_id"]).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        nearest.alias("evidence"))
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op2_near_duplicates": LlmQuery(near_duplicates),
+    "op3_toxic_neighbours": LlmQuery(toxic_neighbours),
     "op4_packed_sequences": LlmQuery(packed_sequences),
     "op5_repeated_passages": LlmQuery(repeated_passages),
     "op6_web_archive": LlmQuery(web_archive, WEB_ARCHIVE_SQL),
