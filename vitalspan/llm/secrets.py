@@ -286,18 +286,22 @@ def redact_text(text: str, formats: Formats, mark: str) -> str:
 def redact(docs: DataFrame, formats: Formats, text: str = "text", length: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark`` (overlapping spans by one); nulls stay null.
 
-    The column named by ``length``, if any, gets the new number of code points. Rows without spans stay as they are.
+    The column named by ``length``, if any, gets the new number of code points of changed texts. Other rows stay as they are.
     """
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(formats)
     names, at = docs.columns, docs.columns.index(text)
+    size_at = names.index(length) if length else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, names[at]):
-            new = [None if t is None else redact_text(t, shared.value, mark) for t in batch.column(at).to_pylist()]
+            old = batch.column(at).to_pylist()
+            new = [None if t is None else redact_text(t, shared.value, mark) for t in old]
+            if size_at is not None:
+                sizes = [n if a == b else len(b) for a, b, n in zip(old, new, batch.column(size_at).to_pylist(), strict=True)]
+                batch = batch.set_column(size_at, names[size_at], pa.array(sizes, batch.schema.field(size_at).type))
             yield batch.set_column(at, names[at], pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(spans: str, kinds: tuple[str, ...] = KINDS) -> Column:

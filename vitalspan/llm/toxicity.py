@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalspan.llm.near import shingles
 from vitalspan.llm.texts import sliced, split_words
 from vitalspan.session import settle
 
@@ -24,9 +25,11 @@ from vitalspan.session import settle
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4096
 PREFIXES = (4, 5, 6)
-#: A term stays if so many examples have it, and one class this many times as often as the other, beyond chance
-#: (a likelihood ratio of twice the logarithm of the number of terms).
+#: A term stays if so many examples have it, and as many as this share of the smaller class (what a few copies of one text
+#: have is no sign), and one class this many times as often as the other, beyond chance (a likelihood ratio of twice the
+#: logarithm of the number of terms).
 MIN_EXAMPLES = 3
+MIN_SHARE = 0.01
 MIN_LIFT = 3.0
 NEIGHBOURS = 25
 BLOCK_EXAMPLES = 64
@@ -58,6 +61,18 @@ def document_terms(texts: pa.Array, known: dict[str, int] | None = None) -> tupl
     return keys // width, keys % width, often, list(numbers) if known is None else []
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hash of each text's five-word shingles, which most copies share; texts without words have none."""
+    for batch in sliced(batches, "_text"):
+        own, begins = shingles(batch.column("_text"), 5)
+        least = np.zeros(batch.num_rows, dtype=np.uint64)
+        full = np.flatnonzero(np.diff(begins))
+        if len(full):
+            least[full] = np.minimum.reduceat(own, begins[full])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("_id", "_text", "_toxic")), pa.array(least.view(np.int64))], ["_id", "_text", "_toxic", "_sketch"])
+
+
 def _term_counts(known: dict[str, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """In each slice the numbers of documents, and of toxic ones, that have a term."""
 
@@ -153,11 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         F.max(F.col(label).cast("long")).alias("_toxic"))
     chosen = settle(known.orderBy(F.xxhash64("_id"), "_id").limit(most))  # so many rows at most, hence broadcast
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    examples = settle(texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]))
+    labelled = texts.join(F.broadcast(chosen), "_id").mapInArrow(_sketched, "_id bigint, _text string, _toxic bigint, _sketch bigint")
+    # Copies are one example of each label: what they share would otherwise look like a sign.
+    examples = settle(labelled.groupBy("_sketch", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("e")).select("e.*", "_toxic"))
     totals = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).collect()[0]
     n, toxic = int(totals[0]), int(totals[1])
     counted = examples.select("_text", "_toxic").mapInArrow(_term_counts(None), "term string, n bigint, t bigint")
-    table = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= MIN_EXAMPLES)
+    table = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(
+        F.col("n") >= max(MIN_EXAMPLES, MIN_SHARE * min(toxic, n - toxic)))
     inside, outside = (F.col("t") + 0.5) / (toxic + 1), (F.col("n") - F.col("t") + 0.5) / (n - toxic + 1)
     base = (toxic + 0.5) / (n + 1)
     gain = lambda count, share: F.when(count > 0, count * F.log(count / (F.col("n") * share))).otherwise(0.0)
