@@ -235,7 +235,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", carried: list[str]
             row, term, often, _ = document_terms(batch.column("_text"), index.terms)
             scores, evidence = np.full(batch.num_rows, silent), [[] for _ in range(batch.num_rows)]
             has, begins = np.unique(row, return_index=True)
-            for i, a, b in zip(has.tolist(), begins.tolist(), [*begins[1:].tolist(), len(row)], strict=True):
+            ends = np.append(begins, len(row))[1:]
+            for i, a, b in zip(has.tolist(), begins.tolist(), ends.tolist(), strict=True):
                 near, cosine = index.nearest(term[a:b], often[a:b])
                 if len(near):
                     scores[i] = index.score(near, cosine)
