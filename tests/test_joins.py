@@ -55,16 +55,23 @@ def test_nearest_lookup_takes_the_lower_value_on_a_tie(spark):
     assert found == {("t", 15.0): 1.0, ("t", 15.1): 2.0, ("t", -5.0): 1.0, ("t", 99.0): 2.0, ("t", None): None, ("w", 1.0): None}
 
 
-@pytest.mark.parametrize("literal", [True, False])
-def test_bracket_join_both_ways(spark, monkeypatch, literal):
-    if not literal:
-        monkeypatch.setattr(J, "LITERAL_ROWS", 2)
+def test_bracket_join(spark):
     brackets = spark.createDataFrame([(0.0, 7.0, "a"), (7.0, 27.0, "b"), (30.0, 40.0, "c"), (240.0, None, "d")], "`from` DOUBLE, `to` DOUBLE, band STRING")
     rows = spark.createDataFrame([(v,) for v in (0.0, 0.1, 7.0, 7.5, 28.0, 40.0, 240.0, 241.0, None, 7.0)], "x DOUBLE")
     out = sorted(((r["x"], r["band"]) for r in J.bracket_join(rows, "x", brackets, "band").collect()), key=str)
     assert out == sorted([(0.0, None), (0.1, "a"), (7.0, "a"), (7.0, "a"), (7.5, "b"), (28.0, None), (40.0, "c"), (240.0, None), (241.0, "d"), (None, None)], key=str)
 
 
+def test_bracket_join_with_open_and_many_brackets(spark):
+    rows = spark.range(-5, 10_005).select((F.col("id") / 1).alias("x"), F.col("id").alias("_at0"))
+    many = spark.range(10_000).select(F.col("id").cast("double").alias("from"), (F.col("id") + 1.0).alias("to"), F.col("id").alias("band"))
+    opened = many.unionByName(spark.createDataFrame([(None, 0.0, -1), (10_000.0, None, -2)], "`from` DOUBLE, `to` DOUBLE, band BIGINT"))
+    out = {int(r["x"]): r["band"] for r in J.bracket_join(rows, "x", opened, "band").collect()}
+    assert out == {x: -1 if x <= 0 else -2 if x > 10_000 else x - 1 for x in range(-5, 10_005)}
+    none = J.bracket_join(rows, "x", many.limit(0), "band")
+    assert dict(none.dtypes)["band"] == "bigint" and none.where("band IS NOT NULL").count() == 0
+
+
 def test_fingerprints_against_brute_force(spark):
     rng = random.Random(3)
     held = {p: {(f"f{i}", rng.randint(0, 1)) for i in range(8) if rng.random() < 0.8 or i == 0} for p in range(60)}
@@ -73,7 +80,10 @@ def test_fingerprints_against_brute_force(spark):
     items = spark.createDataFrame([(p, f, v) for p, s in held.items() for f, v in s], "pid BIGINT, f STRING, v INT")
     top = spark.createDataFrame([(p, f, v) for p, s in prints.items() for f, v in s], "pid BIGINT, f STRING, v INT")
     out = {r["pid"]: r["n_matches"] for r in J.fingerprint_matches(items, "pid", top, ["f", "v"]).collect()}
-    assert out == {p: sum(s <= other for other in held.values()) for p, s in prints.items()}
+    want = {p: sum(s <= other for other in held.values()) for p, s in prints.items()}
+    assert out == want
+    kept = J.rows_of_matched(items, "pid", J.fingerprint_matches(items, "pid", top, ["f", "v"]), 3)
+    assert {r["pid"] for r in kept.collect()} == {p for p, n in want.items() if n >= 3}
 
 
 def test_align_fills_only_absent_rows(spark):

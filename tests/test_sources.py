@@ -96,5 +96,9 @@ def test_index_values_come_from_before_then_after(spark):
     rows = spark.createDataFrame(
         [(1, dt.date(2010, 1, i), i, x, y, z) for i, x, y, z in ((1, 5, None, None), (2, None, None, None), (3, 9, 7, None), (4, None, 8, None))],
         "pid INT, d DATE, e INT, x INT, y INT, z INT")
-    out = C.filled_at_index(rows, "pid", C.packed_order("d", "e"), F.col("e") == 2, ["x", "y", "z"]).first()
+    for entry in (lambda e: e, lambda e: e - 10, lambda e: e + 2**60):  # negative and huge entry numbers
+        placed = rows.withColumns({"e": entry(F.col("e").cast("bigint")), "_d": F.lit(dt.date(2010, 1, 2)), "_e": entry(F.lit(2).cast("bigint"))})
+        out = C.filled_at_index(placed, "pid", ["d", "e"], ["_d", "_e"], ["x", "y", "z"]).first()
+        assert (out["x"], out["y"], out["z"]) == (5, 7, None)
+    out = C.filled_at_index(placed, "pid", ["d", "e"], ["_d", "_e"], ["x", "y", "z"]).first()
     assert (out["x"], out["y"], out["z"]) == (5, 7, None)

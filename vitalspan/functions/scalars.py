@@ -113,10 +113,6 @@ def estimate_label(estimate, lower, upper, digits: int = 1, bound_digits: int =
     )
 
 
-def percent_label(x, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", _c(x).cast("double") * 100)
-
-
 # --- numbers ---------------------------------------------------------------------------------------------------
 
 
@@ -217,5 +213,5 @@ def age_years(born, at) -> Column:
 
 
 def age_days_at(age_at_index, index_date, event_date) -> Column:
-    """Age in days at an event, from the age in years at the index date."""
-    return F.floor(_c(age_at_index) * F.lit(365.25)) + F.datediff(_c(event_date), _c(index_date))
+    """Age in days at an event, from the age in years at the index date (rounded to whole days)."""
+    return F.round(_c(age_at_index) * F.lit(365.25)).cast("bigint") + F.datediff(_c(event_date), _c(index_date))

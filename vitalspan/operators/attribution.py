@@ -102,12 +102,6 @@ def active_rows(df: DataFrame, by: Sequence[str] = ("pid",), empty: str = "norma
     return per.select(*by, "fgroup", "fname", "shap", F.inline(kept))
 
 
-def row_label(age_name: str = "age") -> Column:
-    """``name: value`` with ages on their original scale."""
-    value = F.when(F.col("fname") == age_name, from_min_max("value", 15, 105)).otherwise(F.col("value"))
-    return F.concat(F.col("fname"), F.lit(": "), F.coalesce("fvalue", F.round(value, 1).cast("string")))
-
-
 def cumulative_contribution(rows: DataFrame, k: int, base: float = BASE_SURVIVAL, order: str = "magnitude", by: Sequence[str] = ("pid",),
                             label: str = "label") -> DataFrame:
     """Per patient the ``k`` largest contributions and a ``rest`` row, with running start and end values.

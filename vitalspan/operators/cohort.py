@@ -138,39 +138,24 @@ def repair_vitals(df: DataFrame) -> DataFrame:
     return df.withColumns({"sys_bp": sys_bp, "dia_bp": dia_bp})
 
 
-ID_BITS = 46
-
-
-def packed_order(day: str, entry: str) -> Column:
-    """Date and non-negative entry number as one BIGINT, so that ``max_by`` runs in a hash aggregate.
-
-    Entry numbers of 2**46 and more are refused rather than misordered.
-    """
-    entry_id = F.col(entry).cast("bigint")
-    fits = entry_id.between(0, (1 << ID_BITS) - 1)
-    refuse = F.raise_error(F.lit("entry number outside the packable range")).cast("bigint")
-    key = F.shiftleft(F.unix_date(day).cast("bigint"), ID_BITS) + entry_id
-    return F.when(entry_id.isNull() | F.col(day).isNull(), F.lit(None)).when(fits, key).otherwise(refuse)
-
-
-def filled_at_index(df: DataFrame, by: str, order: Column, is_index: Column, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def filled_at_index(df: DataFrame, by: str, order: Sequence[str], at: Sequence[str], columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Values carried to each key's index row: the last known one up to it, else the first known one after it.
 
-    Same result as filling down then up and keeping the index row, but as hash aggregations without a sort.
-    ``order`` is one primitive value per row, unique within the key.
+    ``at`` are the columns that hold the index row's place in ``order`` on every row of the key. One aggregation by key
+    gives the carried columns and those that the index row itself has (``keep``); keys without that row give none.
     """
-    ordered = df.withColumn("_o", order)
-    at = ordered.where(is_index).select(by, F.col("_o").alias("_at"), *keep)
-    rows = ordered.select(by, "_o", *columns).join(at.select(by, "_at"), by)
+    place, index = F.struct(*order), F.struct(*[F.col(a).alias(o) for a, o in zip(at, order)])
+    known_place = reduce(lambda a, b: a & b, [F.col(o).isNotNull() for o in order])
+    rows = df.withColumns({"_o": F.when(known_place, place), "_at": index})
     def carried(c):
         known = F.col(c).isNotNull()
         return [
             F.max_by(c, F.when(known & (F.col("_o") <= F.col("_at")), F.col("_o"))).alias(f"_d_{c}"),
             F.min_by(c, F.when(known & (F.col("_o") > F.col("_at")), F.col("_o"))).alias(f"_u_{c}"),
         ]
-    filled = rows.groupBy(by).agg(*[x for c in columns for x in carried(c)])
-    filled = filled.select(by, *[F.coalesce(f"_d_{c}", f"_u_{c}").alias(c) for c in columns])
-    return filled.join(at.drop("_at"), by) if keep else filled
+    own = F.max_by(F.struct(F.lit(True).alias("_has"), *keep), F.when(F.col("_o") == F.col("_at"), F.col("_o")))
+    filled = rows.groupBy(by).agg(own.alias("_own"), *[x for c in columns for x in carried(c)]).where("_own._has")
+    return filled.select(by, *[F.coalesce(f"_d_{c}", f"_u_{c}").alias(c) for c in columns], *[F.col(f"_own.{c}").alias(c) for c in keep])
 
 
 # Text prefixes of the categorical source columns and their codes.
@@ -197,7 +182,8 @@ def categorical_baseline() -> dict[str, Column]:
 
 def baseline_table(patients: DataFrame, procedures: DataFrame, extras: Sequence[DataFrame] = ()) -> DataFrame:
     """Cleaned, supplemented baseline: one row per patient, measured at (or carried to) the index procedure."""
-    index = patients.select("pid", F.col("entryid").alias("_entry"), (F.col("sex") == "M").alias("sex"), "age")
+    index = patients.select(
+        "pid", F.col("index_date").alias("_day"), F.col("entryid").alias("_entry"), (F.col("sex") == "M").alias("sex"), "age")
     rows = repair_vitals(procedures.withColumnsRenamed({"height_cm": "height", "weight_kg": "weight", "creatinine": "crea"}))
     rows = rows.withColumns({
         "enzymes": F.col("enzymes") == "Positiv",
@@ -210,7 +196,7 @@ def baseline_table(patients: DataFrame, procedures: DataFrame, extras: Sequence[
     rows = rows.withColumns(categorical_baseline()).join(index, "pid")
     measured = ["height", "weight", "pulse", "sys_bp", "dia_bp"]
     fixed = ["sex", "age", "crea", "arrest", "enzymes", "stemi", "smoking", "vessels", "dominance", "nyha", "ccs", "killip"]
-    return filled_at_index(rows, "pid", packed_order("proc_date", "entryid"), F.col("entryid") == F.col("_entry"), measured, fixed)
+    return filled_at_index(rows, "pid", ["proc_date", "entryid"], ["_day", "_entry"], measured, fixed)
 
 
 def clinical_two(patients: DataFrame, procedures: DataFrame, baseline: DataFrame) -> DataFrame:

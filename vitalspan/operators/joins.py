@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.scalars import between_or_unknown
 from vitalspan.operators.ordered import running
+from vitalspan.session import settle
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -119,33 +120,22 @@ def nearest_lookup_join(df: DataFrame, value: str, lookup: DataFrame, on: Sequen
     return df.join(grouped, list(on), "left").withColumn(out, F.when(x.isNotNull(), best["o"])).drop("_pts")
 
 
-LITERAL_ROWS = 1000
-
-
 def bracket_join(df: DataFrame, value: str, brackets: DataFrame, out: str, lo: str = "from", hi: str = "to") -> DataFrame:
     """Take ``out`` from the bracket with ``lo < value <= hi``; NULL outside all brackets. Brackets do not overlap.
 
-    Up to ``LITERAL_ROWS`` brackets become a literal array. More of them are merged with the values by a running
-    maximum over the common order, which needs no broadcast.
+    NULL bounds are open. Distinct values and lower edges are merged in one order, a running maximum carries the last
+    edge to each value, and the rows meet their value again in an equi-join: brackets may be as many as values, and
+    nothing is collected.
     """
-    rows = brackets.select(lo, hi, out).limit(LITERAL_ROWS + 1).collect()
-    x = F.col(value)
-    if len(rows) <= LITERAL_ROWS:
-        if not rows:
-            return df.withColumn(out, F.lit(None))
-        cells = F.array(*[
-            F.struct(F.lit(float(r[lo])).alias("l"), F.lit(float("inf") if r[hi] is None else float(r[hi])).alias("h"), F.lit(r[out]).alias("o"))
-            for r in rows
-        ])
-        return df.withColumn(out, F.get(F.filter(cells, lambda p: (x > p["l"]) & (x <= p["h"])), F.lit(0))["o"])
-    edge = F.struct(F.col(lo).alias("l"), F.col(hi).alias("h"), F.col(out).alias("o"))
-    tagged = df.withColumn("_at", x.cast("double")).withColumn("_side", F.lit(0)).unionByName(
-        brackets.select(F.col(lo).cast("double").alias("_at"), F.lit(1).alias("_side"), edge.alias("_edge")),
-        allowMissingColumns=True,
-    )
-    merged = running(tagged, [], ["_at", "_side"], {"_last": ("max", F.col("_edge"))})
-    inside = x.cast("double") <= F.coalesce(F.col("_last.h"), F.lit(float("inf")))
-    return merged.where("_side = 0").withColumn(out, F.when(inside, F.col("_last.o"))).drop("_at", "_side", "_edge", "_last")
+    infinity = F.lit(float("inf"))
+    edge = F.struct(
+        F.coalesce(F.col(lo).cast("double"), -infinity).alias("l"), F.coalesce(F.col(hi).cast("double"), infinity).alias("h"), F.col(out).alias("o"))
+    values = df.select(F.col(value).cast("double").alias("_at")).where("_at IS NOT NULL").distinct().withColumn("_side", F.lit(0))
+    edges = brackets.select(edge.alias("_edge")).select(F.col("_edge.l").alias("_at"), F.lit(1).alias("_side"), "_edge")
+    merged = running(values.unionByName(edges, allowMissingColumns=True), [], ["_at", "_side"], {"_last": ("max", F.col("_edge"))})
+    found = merged.where("_side = 0 AND _at <= _last.h").select("_at", F.col("_last.o").alias("_found"))
+    joined = df.withColumn("_x", F.col(value).cast("double")).join(found, F.col("_x") == F.col("_at"), "left")
+    return joined.withColumn(out, F.col("_found")).drop("_x", "_at", "_found")
 
 
 def with_values(df: DataFrame, name: str, values: Sequence) -> DataFrame:
@@ -168,31 +158,29 @@ def align_to(df: DataFrame, keys: DataFrame, on: Sequence[str], fill: dict | Non
 def fingerprint_matches(items: DataFrame, owner: str, fingerprints: DataFrame, item: Sequence[str]) -> DataFrame:
     """For each owner's item set, the number of ``items`` owners that hold the whole set.
 
-    Equal sets are counted once. Holders of an item are kept as bitmaps of 32,768 consecutive owners, so a set is
-    matched by intersecting bitmaps: no pair of owners is ever formed, and an item held by a third of all owners
-    costs one bitmap row per 32,768 of them. The work is the number of distinct sets times their items times the
-    chunks an item occurs in. ``owner`` is a BIGINT key; dense keys fill the bitmaps best.
+    Equal sets are matched once. A set starts with the holders of its rarest item and loses those that miss the next
+    rarer one, item by item, in joins by owner and item; a frequent item is only looked up for owners that hold all
+    rarer ones. So the work follows the holders of the rarest items, and no pair of owners is formed otherwise.
     """
     code = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in item])
-    sets = (
-        fingerprints.groupBy(owner).agg(F.array_sort(F.collect_set(code)).alias("_set"))
-    )
-    distinct = sets.select("_set").distinct()
-    needed = distinct.select("_set", F.explode("_set").alias("_item"))
-    wanted = needed.select("_item").distinct()
-    maps = (
-        items.select(F.col(owner), code.alias("_item")).join(wanted, "_item", "left_semi")
-        .groupBy("_item", F.bitmap_bucket_number(owner).alias("_chunk"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(owner)).alias("_bits"))
-    )
-    matched = (
-        needed.join(maps, "_item")
-        .groupBy("_set", "_chunk")
-        .agg(F.count("*").alias("_have"), F.bitmap_and_agg("_bits").alias("_bits"))
-        .where(F.col("_have") == F.size("_set"))
-        .groupBy("_set").agg(F.sum(F.bitmap_count("_bits")).alias("n_matches"))
-    )
-    return (
-        sets.join(matched, "_set", "left")
-        .select(owner, F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
-    )
+    held = settle(items.select(F.col(owner).alias("_owner"), code.alias("_item")).distinct())
+    sets = fingerprints.groupBy(owner).agg(F.array_sort(F.collect_set(code)).alias("_set"))
+    sets = settle(sets.withColumn("_id", F.md5(F.array_join("_set", "\u0002").cast("binary"))))
+    often = held.groupBy("_item").agg(F.count("*").alias("_often"))
+    needed = sets.select("_id", "_set").distinct().select("_id", F.explode("_set").alias("_item"))
+    ranked = needed.join(often, "_item", "left").groupBy("_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col("_item").alias("i")))).alias("_o"))
+    ranked = settle(ranked.select("_id", F.transform("_o", lambda x: x["i"]).alias("_order")))
+    longest = ranked.agg(F.max(F.size("_order"))).first()[0] or 0
+    found = ranked.withColumn("_item", F.get("_order", F.lit(0))).join(held, "_item").drop("_item")
+    for k in range(1, longest):
+        step = found.withColumn("_item", F.get("_order", F.lit(k)))
+        hits = held.withColumn("_hit", F.lit(True))
+        found = step.join(hits, ["_owner", "_item"], "left").where("_item IS NULL OR _hit").drop("_item", "_hit")
+    matched = found.groupBy("_id").agg(F.count("*").alias("n_matches"))
+    return sets.join(matched, "_id", "left").select(owner, F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
+
+
+def rows_of_matched(items: DataFrame, owner: str, matches: DataFrame, at_least: int) -> DataFrame:
+    """The rows of the owners whose set has ``at_least`` holders, with that number."""
+    return items.join(matches.where(F.col("n_matches") >= at_least), owner)

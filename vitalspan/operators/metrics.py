@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators.ordered import BLOCK_ROWS, quantiles, running
 from vitalspan.operators.reshape import histogram_2d, to_wide
-from vitalspan.operators.survival import censoring_curve, kaplan_meier, km_at, step_at, whole_days
+from vitalspan.operators.survival import censoring_curve, kaplan_meier, km_at, step_at
 from vitalspan.session import settle
 
 
@@ -54,7 +54,7 @@ def concordance(
     sides = split.unionByName(same_time).groupBy(*cell, "_r").agg(
         F.sum(F.when(F.col("_early"), F.col("_n")).otherwise(0)).alias("_first"),
         F.sum(F.when(~F.col("_early"), F.col("_n")).otherwise(0)).alias("_later"))
-    ranked = running(sides, cell, ["_r"], {"_upto": ("sum", "_later")}, block_rows=block_rows)
+    ranked = running(settle(sides), cell, ["_r"], {"_upto": ("sum", "_later")}, block_rows=block_rows)
     sums = ranked.groupBy(*cell).agg(
         F.sum(F.col("_first") * (F.col("_upto") - F.col("_later"))).alias("_conc"),
         F.sum(F.col("_first") * F.col("_later")).alias("_tied"),
@@ -75,9 +75,8 @@ def ipcw(scored: DataFrame, surv: DataFrame, taus: Sequence[float], strata: Sequ
     subjects censored before the horizon get no weight.
     """
     curve = censoring_curve(surv, strata)
+    curve = settle(curve)  # read by two joins, whose planner then knows its size
     steps = curve.select(*strata, "time", "g_before")
-    if whole_days(surv, "time"):  # at most one row per follow-up day and stratum
-        steps = F.broadcast(steps)
     outcome = surv.join(steps, [*strata, "time"]).select(pid, *strata, "time", "event", "g_before")
     at_tau = step_at(curve, strata, taus, {"g": 1.0}).withColumnRenamed("tau", tau).withColumnRenamed("g", "g_tau")
     joined = scored.join(outcome, [pid, *[s for s in strata if s in scored.columns]]).join(at_tau, [*strata, tau])
@@ -110,7 +109,7 @@ def td_roc(weighted: DataFrame, by: Sequence[str], risk: str = "risk", block_row
     """ROC points: sensitivity and 1 - specificity when scores at or above each distinct score are positive."""
     table = settle(score_table(weighted, by, risk))
     ranked = running(table, by, [risk], {"_tp": ("sum", "cases"), "_fp": ("sum", "controls")}, descending=True, block_rows=block_rows)
-    totals = table.groupBy(*by).agg(F.sum("cases").alias("_cases"), F.sum("controls").alias("_controls"))
+    totals = settle(table.groupBy(*by).agg(F.sum("cases").alias("_cases"), F.sum("controls").alias("_controls")))
     return ranked.join(totals, list(by)).select(
         *by, risk, F.try_divide("_tp", "_cases").alias("tpr"), F.try_divide("_fp", "_controls").alias("fpr"))
 
@@ -147,7 +146,7 @@ def brier_ipa(weighted: DataFrame, surv: DataFrame, by: Sequence[str], taus: Seq
 
 def quantile_strata(df: DataFrame, by: Sequence[str], value: str, n: int, out: str = "stratum", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Equal-count strata from exact value cut-points, so ties stay together; right-closed, lowest value included."""
-    cuts = quantiles(df, by, value, [i / n for i in range(1, n)], "_cuts", block_rows)
+    cuts = settle(quantiles(df, by, value, [i / n for i in range(1, n)], "_cuts", block_rows))  # one row a group
     joined = df.join(cuts, list(by)) if by else df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
     return joined.withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(value))) + 1).drop("_cuts")
 
@@ -157,7 +156,7 @@ def calibration_quantile(scored: DataFrame, by: Sequence[str], n: int = 20, pred
 
     ``scored`` has one row per patient and horizon with ``time`` and ``event``; ``by`` includes the horizon column.
     """
-    rows = quantile_strata(settle(scored.where(F.col(pred).isNotNull())), by, pred, n)
+    rows = settle(quantile_strata(settle(scored.where(F.col(pred).isNotNull())), by, pred, n))
     group = [*by, "stratum"]
     means = rows.groupBy(*group).agg(F.avg(pred).alias("pred"), F.count("*").alias("n"))
     curve = kaplan_meier(rows, group)

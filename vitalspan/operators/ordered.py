@@ -3,8 +3,13 @@
 A window with ``orderBy`` sorts each of its partitions in one task, so a stratum with a third of all rows would
 be one task's work. Here every long group is cut into blocks of about ``block_rows`` rows first. The cut points
 are the order values whose hash is divisible by ``block_rows``: a fixed function of the data, so all branches of
-a plan (and re-run tasks) agree on the blocks. The cut-point and offset tables hold about one row per
-``block_rows`` input rows, which bounds what is broadcast: 10**11 rows give about 10**5 values.
+a plan (and re-run tasks) agree on the blocks.
+
+A row finds its block in two steps. Cut points whose hash is divisible by ``FAN`` times as much are the group's
+marks; each row gets the marks of its group and picks the last one it has passed. The cut points between two
+marks are one short list, found by group and mark. So a row meets some ``FAN`` values besides the marks, which
+are few: 10**11 rows in one group give about 10**5 cut points and 800 marks. Both tables and the offsets have one
+row per ``block_rows`` input rows at most, which bounds what is broadcast (10**12 rows: a million numbers).
 
 Rows with equal order values always share a block, so aggregate to distinct order values first.
 """
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+FAN = 128
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -30,31 +36,31 @@ def _key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def with_blocks(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], descending: bool = False, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add ``_block`` (0-based, in running direction) and ``_cut`` (true when the group has several blocks)."""
+def with_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block`` (the last cut point passed, NULL before the first one) and ``_cut`` (whether the group is cut)."""
     key = _key(order)
     base = df if by else df.withColumn("_all", F.lit(0))
     by = list(by) or ["_all"]
+    names = [f"_b_{c}" for c in by]
+    token = F.xxhash64(*order)
     cuts = (
-        base.where(F.pmod(F.xxhash64(*order), F.lit(block_rows)) == 0)
-        .where(F.col(order[0]).isNotNull())
-        .groupBy(*[F.col(c).alias(f"_b_{c}") for c in by])
-        .agg(F.array_sort(F.collect_set(key)).alias("_blk_cuts"))
-        .withColumn("_blk_step", F.ceil(F.sqrt(F.size("_blk_cuts"))).cast("int"))
-        .withColumn("_blk_marks", F.transform(F.sequence(F.lit(1), F.size("_blk_cuts"), F.col("_blk_step")), lambda i: F.element_at("_blk_cuts", i)))
+        base.where((F.pmod(token, F.lit(block_rows)) == 0) & F.col(order[0]).isNotNull())
+        .select(*[F.col(c).alias(n) for c, n in zip(by, names)], key.alias("_blk_key"),
+                (F.pmod(token, F.lit(block_rows * FAN)) == 0).alias("_blk_is_mark"))
+        .distinct()
     )
-    joined = base.join(F.broadcast(cuts), _same(base, cuts, [(c, f"_b_{c}") for c in by]), "left")
-    # two-step search: first among evenly spaced cut points (marks), then among those after the last mark passed
-    marked = joined.withColumn("_blk_from", F.greatest(F.size(F.filter("_blk_marks", lambda m: m <= key)) - 1, F.lit(0)) * F.col("_blk_step"))
-    passed = F.col("_blk_from") + F.size(F.filter(F.slice("_blk_cuts", F.col("_blk_from") + 1, F.col("_blk_step")), lambda c: c <= key))
-    block = F.size("_blk_cuts") - passed if descending else passed
-    return (
-        marked.withColumn("_block", F.when(F.col("_blk_cuts").isNotNull(), block).otherwise(F.lit(0)))
-        .withColumn("_cut", F.col("_blk_cuts").isNotNull())
-        .drop("_blk_cuts", "_blk_marks", "_blk_step", "_blk_from", *[f"_b_{c}" for c in by])
+    passed = Window.partitionBy(*names).orderBy("_blk_key").rowsBetween(Window.unboundedPreceding, 0)
+    lists = (
+        cuts.withColumn("_blk_of", F.last(F.when(F.col("_blk_is_mark"), F.col("_blk_key")), True).over(passed))
+        .groupBy(*names, "_blk_of").agg(F.collect_list("_blk_key").alias("_blk_cuts"))
     )
+    marks = cuts.groupBy(*names).agg(F.collect_list(F.when(F.col("_blk_is_mark"), F.col("_blk_key"))).alias("_blk_marks"))
+    last = lambda values: F.array_max(F.filter(values, lambda c: c <= key))
+    rows = base.join(F.broadcast(marks), _same(base, marks, list(zip(by, names))), "left").drop(*names)
+    rows = rows.withColumn("_blk_mark", last("_blk_marks"))
+    found = rows.join(F.broadcast(lists), _same(rows, lists, [*zip(by, names), ("_blk_mark", "_blk_of")]), "left")
+    return found.withColumns({"_block": last("_blk_cuts"), "_cut": F.col("_blk_marks").isNotNull()}).drop(
+        *names, "_blk_marks", "_blk_mark", "_blk_of", "_blk_cuts")
 
 
 def running(
@@ -71,18 +77,19 @@ def running(
     ``min`` over a struct ``(order, value)`` carries a value forward.
     """
     values = {f"_v_{name}": F.col(v) if isinstance(v, str) else v for name, (_, v) in aggs.items()}
-    rows = with_blocks(df.withColumns(values), by, order, descending, block_rows)
+    rows = with_blocks(df.withColumns(values), by, order, block_rows)
     by = list(by) or ["_all"]
     totals = (
         rows.where("_cut")
         .groupBy(*by, "_block")
         .agg(*[_AGG[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in aggs.items()])
     )
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = F.col("_block").desc() if descending else F.col("_block").asc()  # the block before the first cut point is NULL
+    earlier = Window.partitionBy(*by).orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(c).alias(f"_b_{c}") for c in [*by, "_block"]],
         *[_AGG[kind](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (kind, _) in aggs.items()],
-    ).where(F.col("_b__block") > 0)
+    )
     joined = rows.join(F.broadcast(offsets), _same(rows, offsets, [(c, f"_b_{c}") for c in [*by, "_block"]]), "left")
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     window = Window.partitionBy(*by, "_block").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,7 +108,7 @@ def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], columns:
 
     One shuffle and one sort by group and block; values crossing a block border come from the small offset table.
     """
-    rows = with_blocks(df, by, order, block_rows=block_rows)
+    rows = with_blocks(df, by, order, block_rows)
     by = list(by) or ["_all"]
     at = F.struct(*order)
     totals = rows.where("_cut").groupBy(*by, "_block").agg(

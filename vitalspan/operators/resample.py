@@ -7,49 +7,48 @@ exploded inside the map side of an aggregation: what is shuffled is one row per
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.operators.metrics import brier, td_auc
+from vitalspan.operators.metrics import brier, calibration_area, td_auc
 from vitalspan.operators.ordered import running
 from vitalspan.operators.survival import normal_two_sided
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON_CDF = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998981, 0.99999887)
+def poisson_steps() -> tuple[float, ...]:
+    """Cumulative probabilities of a Poisson variable with mean 1, up to the last one below 1 in double precision."""
+    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while total + term > total and total + term < 1.0:
+        total += term
+        steps.append(total)
+        k += 1
+        term /= k
+    return tuple(steps)
 
 
-def hashed_uniform(key: str, replicate: str, seed: int = 42) -> Column:
-    """Uniform number in [0, 1) from a 64-bit hash."""
-    return F.pmod(F.xxhash64(F.col(key), F.col(replicate), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+POISSON_CDF = poisson_steps()
 
 
-# Modulus and multipliers of the portable generator below.
-MODULUS, KEY_FACTOR, REPLICATE_FACTOR = 1000003, 7919, 104729
-
-
-def portable_uniform(key: str, replicate: str) -> Column:
-    """Uniform number in [0, 1) from integer arithmetic only, reproducible in any SQL engine."""
-    m = F.lit(MODULUS)
-    x = F.pmod(F.col(key) * F.lit(KEY_FACTOR) + F.col(replicate) * F.lit(REPLICATE_FACTOR), m)
-    y = F.pmod(x * x + F.lit(12345), m)
-    return F.pmod(y * y + x, m) / F.lit(float(MODULUS))
+def hashed_uniform(key: str, replicate: str) -> Column:
+    """Uniform number in [0, 1): the first 48 bits of the MD5 of ``key:replicate``, the same in any SQL engine."""
+    text = F.concat_ws(":", F.col(key).cast("string"), F.col(replicate).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def poisson_weight(u: Column) -> Column:
     return reduce(lambda a, b: a + b, [(u >= F.lit(p)).cast("int") for p in POISSON_CDF])
 
 
-def with_replicates(df: DataFrame, key: str, n: int, seed: int = 42, uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
+def with_replicates(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows for replicates 1..n with weight ``w_boot``; replicate 0 carries the original data with weight 1.
 
     Copies that would get weight 0 are dropped.
     """
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    u = uniform(key, "replicate") if uniform else hashed_uniform(key, "replicate", seed)
-    rows = rows.withColumn("_u", u).where((F.col("replicate") == 0) | (F.col("_u") >= POISSON_CDF[0]))
+    rows = rows.withColumn("_u", hashed_uniform(key, "replicate")).where((F.col("replicate") == 0) | (F.col("_u") >= POISSON_CDF[0]))
     return rows.withColumn("w_boot", F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight(F.col("_u")))).drop("_u")
 
 
@@ -63,31 +62,28 @@ def interval_of(replicates: DataFrame, by: Sequence[str], value: str, level: flo
         F.stddev_samp(boot).alias("se"))
 
 
-def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, key: str, n: int = 200, level: float = 0.95, seed: int = 42,
-                   uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
+def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, key: str, n: int = 200, level: float = 0.95) -> DataFrame:
     """Mean with a percentile interval."""
-    rows = with_replicates(df, key, n, seed, uniform)
+    rows = with_replicates(df, key, n)
     means = rows.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("w_boot")) / F.sum("w_boot")).alias("_m"))
     return interval_of(means, by, "_m", level)
 
 
-def bootstrap_metric(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid", seed: int = 42,
-                     uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
+def bootstrap_metric(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid") -> DataFrame:
     """AUC or Brier score per group and replicate (0 is the original data)."""
-    rows = with_replicates(weighted, key, n, seed, uniform)
+    rows = with_replicates(weighted, key, n)
     fn = {"auc": td_auc, "brier": brier}[metric]
     return fn(rows, [*by, "replicate"], weight="w_boot")
 
 
-def bootstrap_ci(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid", level: float = 0.95,
-                 seed: int = 42, uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
-    return interval_of(bootstrap_metric(weighted, by, metric, n, key, seed, uniform), by, metric, level)
+def bootstrap_ci(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid", level: float = 0.95) -> DataFrame:
+    return interval_of(bootstrap_metric(weighted, by, metric, n, key), by, metric, level)
 
 
 def contrast(weighted: DataFrame, reference: str, metric: str, by: Sequence[str] = ("tau",), model: str = "model", n: int = 100,
-             key: str = "pid", level: float = 0.95, seed: int = 42, uniform: Callable[[str, str], Column] | None = None) -> DataFrame:
+             key: str = "pid", level: float = 0.95) -> DataFrame:
     """Difference of a metric between every model and the reference, paired by replicate, with interval and p-value."""
-    values = bootstrap_metric(weighted, [model, *by], metric, n, key, seed, uniform)
+    values = bootstrap_metric(weighted, [model, *by], metric, n, key)
     base = values.where(F.col(model) == reference).select(*by, "replicate", F.col(metric).alias("_base"))
     delta = values.where(F.col(model) != reference).join(base, [*by, "replicate"]).withColumn("delta", F.col(metric) - F.col("_base"))
     out = interval_of(delta, [model, *by], "delta", level).withColumnRenamed("estimate", "delta")

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.operators.reshape import missing_rates
 from vitalspan.session import settle
 from vitalspan.sources import lookups as L
 
@@ -21,7 +20,6 @@ INPUTS = {"age": "age", "pulse": "pulse", "sbp": "sys_bp", "creatinine": "crea",
 INPUT_RANGES = {"age": (18, 110), "pulse": (10, 300), "sbp": (10, 300), "creatinine": (0, 10), "killip": (1, 4),
                 "arrest": (0, 1), "enzymes": (0, 1), "stemi": (0, 1)}
 CREATININE_UNIT = 88.42
-MAX_LEVELS = 1000
 HORIZON_DAYS = {"6m": 183.0, "1y": 365.0, "3y": 1095.0}
 
 
@@ -95,10 +93,6 @@ def mark_imputed(df: DataFrame, columns: Sequence[str], out: str = "imputed") ->
     return df.withColumn(out, reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
 
 
-def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return missing_rates(df, columns)
-
-
 def risk_scores_table(df: DataFrame, imputed: DataFrame | None = None, score_type: str = "GRACE2.0") -> DataFrame:
     """``pid, time, type, imputed, value`` for the three horizons, from baseline rows (Killip class 1 if missing)."""
     flagged = mark_imputed(df.fillna({"killip": 1}), list(INPUTS.values())).select("pid", "imputed")
@@ -108,8 +102,8 @@ def risk_scores_table(df: DataFrame, imputed: DataFrame | None = None, score_typ
     return scores.select("pid", time.alias("time"), F.lit(score_type).alias("type"), "imputed", F.col("prob").alias("value"))
 
 
-def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), iterations: int = 3,
-                  trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), iterations: int = 15,
+                  trees: int = 75, depth: int = 5, seed: int = 42) -> DataFrame:
     """Iterative random-forest imputation of numeric and text columns.
 
     Missing cells start at the column median or most frequent level; then each column is predicted from all others,
@@ -122,32 +116,27 @@ def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical:
     start = base.agg(
         *[F.percentile_approx(c, 0.5, 10000).alias(c) for c in numeric],
         *[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
-    levels = {}
-    for c in categorical:
-        found = [r[0] for r in base.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; treat it as text, not as a category")
-        levels[c] = found
     state = base.withColumns({f"_na_{c}": F.col(c).isNull() for c in holes}).fillna({c: v for c, v in start.items() if v is not None})
+    codes = {c: StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep").fit(state) for c in categorical}
+    hot = {c: OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False, handleInvalid="keep").fit(codes[c].transform(state)) for c in categorical}
     state = settle(state)
     for _ in range(iterations):
         for target in holes:
             others = [c for c in [*numeric, *categorical] if c != target]
-            hot = {f"_h_{c}_{i}": F.when(F.col(c) == v, 1.0).otherwise(0.0) for c in others if c in levels for i, v in enumerate(levels[c])}
-            staged = state.withColumns(hot) if hot else state
-            assembler = VectorAssembler(inputCols=[c for c in others if c not in levels] + list(hot), outputCol="_x")
+            staged = state
+            for c in categorical:
+                staged = hot[c].transform(codes[c].transform(staged))
+            assembler = VectorAssembler(inputCols=[f"_h_{c}" if c in hot else c for c in others], outputCol="_x")
             ready = assembler.transform(staged)
             known = ready.where(~F.col(f"_na_{target}"))
-            if target in levels:
-                indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
-                model = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", probabilityCol="_pp", rawPredictionCol="_pr",
-                                               numTrees=trees, maxDepth=depth, seed=seed).fit(indexer.transform(known))
-                names = F.array(*[F.lit(v) for v in indexer.labels])
-                guess = F.get(names, F.col("_p").cast("int"))
+            if target in codes:
+                model = RandomForestClassifier(featuresCol="_x", labelCol=f"_i_{target}", predictionCol="_p", probabilityCol="_pp", rawPredictionCol="_pr",
+                                               numTrees=trees, maxDepth=depth, seed=seed).fit(known)
+                guessed = IndexToString(inputCol="_p", outputCol="_g", labels=codes[target].labels).transform(model.transform(ready))
             else:
-                model = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed).fit(known)
-                guess = F.col("_p")
-            filled = model.transform(ready).withColumn(target, F.when(F.col(f"_na_{target}"), guess).otherwise(F.col(target)))
+                model = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="_g", numTrees=trees, maxDepth=depth, seed=seed).fit(known)
+                guessed = model.transform(ready)
+            filled = guessed.withColumn(target, F.when(F.col(f"_na_{target}"), F.col("_g")).otherwise(F.col(target)))
             state = filled.select(*state.columns)
         state = settle(state)
     return state.select(key, *numeric, *categorical)

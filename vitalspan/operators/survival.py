@@ -1,8 +1,7 @@
 """Survival curves and tests. Everything works on the table of distinct times per stratum.
 
-Follow-up counted in whole days has at most some ten thousand distinct times per stratum however many patients
-there are, so integer time columns use an ordinary window on that table. Fractional times have no such bound and
-go through :func:`vitalspan.operators.ordered.running`.
+That table is written once, as each curve runs over it several times; its running sums go through
+:func:`vitalspan.operators.ordered.running`, so any number of distinct times will do.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.scalars import cut_breaks
 from vitalspan.operators.ordered import running
+from vitalspan.session import settle
 
 Z95 = 1.959963984540054
 
@@ -22,17 +22,8 @@ RISK_BREAKS = (0.0, 0.5, 0.75, 0.875, 0.95, 1.0)
 RISK_BREAKS_COARSE = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
-def whole_days(df: DataFrame, time: str) -> bool:
-    """Whether the time column counts whole units, so that distinct times are bounded by the calendar."""
-    return dict(df.dtypes)[time] in ("int", "bigint", "smallint", "tinyint", "date")
-
-
 def cumulate(df: DataFrame, by: Sequence[str], time: str, sums: dict[str, Column | str], descending: bool = False) -> DataFrame:
     """Running sums along distinct times of each stratum (current time included)."""
-    if whole_days(df, time):
-        order = F.col(time).desc() if descending else F.col(time).asc()
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(v).over(w) for n, v in sums.items()})
     return running(df, by, [time], {n: ("sum", v) for n, v in sums.items()}, descending=descending)
 
 
@@ -41,7 +32,7 @@ def event_table(df: DataFrame, by: Sequence[str] = (), time: str = "time", event
     w = F.lit(1) if weight is None else F.col(weight)
     known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
     counts = known.groupBy(*by, time).agg(F.sum(w).alias("n"), F.sum(F.when(F.col(event), w).otherwise(0)).alias("d"))
-    return cumulate(counts, by, time, {"n_risk": "n"}, descending=True)
+    return settle(cumulate(settle(counts), by, time, {"n_risk": "n"}, descending=True))
 
 
 def _product_limit(table: DataFrame, by: Sequence[str], time: str, events: Column, at_risk: Column) -> DataFrame:
@@ -150,7 +141,7 @@ def logrank(df: DataFrame, group: str, groups: Sequence, by: Sequence[str] = (),
     counts = known.groupBy(*by, time).agg(
         F.count("*").alias("n"), F.count_if(one).alias("n1"),
         F.count_if(F.col(event)).alias("d"), F.count_if(F.col(event) & one).alias("d1"))
-    rows = cumulate(counts, by, time, {"r": "n", "r1": "n1"}, descending=True)
+    rows = cumulate(settle(counts), by, time, {"r": "n", "r1": "n1"}, descending=True)
     d, r, r1 = F.col("d").cast("double"), F.col("r").cast("double"), F.col("r1").cast("double")
     expected = d * r1 / r
     variance = F.when(r > 1, d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1)).otherwise(0.0)
@@ -189,10 +180,9 @@ def interpolate_at(
         *by, F.col(time).cast("double").alias("_t1"), F.col(value).cast("double").alias("_s1"))
     pairs = ready.withColumns({
         "_t2": F.lead("_t1").over(w), "_s2": F.lead("_s1").over(w), "_first": F.lag("_t1").over(w).isNull()})
-    rows = pairs.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
     tau, t1, t2 = F.col("tau"), F.col("_t1"), F.col("_t2")
-    inside = (tau >= t1) & (tau < F.coalesce(t2, F.lit(float("inf"))))
-    rows = rows.where(inside | (F.col("_first") & (tau < t1)))
+    inside = lambda t: ((t >= t1) & (t < F.coalesce(t2, F.lit(float("inf"))))) | (F.col("_first") & (t < t1))
+    rows = pairs.withColumn("tau", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in taus]), inside)))
     share = (tau - t1) / (t2 - t1)
     within = F.when(tau == t1, F.col("_s1")).when((tau > t1) & t2.isNotNull(), F.col("_s1") + (F.col("_s2") - F.col("_s1")) * share)
     return rows.select(*by, "tau", (F.coalesce(within, F.col("_s1")) if clamp else within).alias(out))

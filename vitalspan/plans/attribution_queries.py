@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalspan.operators import attribution as A
-from vitalspan.operators.joins import fingerprint_matches as match_fingerprints
+from vitalspan.operators.joins import fingerprint_matches as match_fingerprints, rows_of_matched
 from vitalspan.operators.ordered import running
 from vitalspan.operators.reshape import signed_summary, top_k, with_group_stats
 from vitalspan.plans.registry import q6, query, rounded
@@ -80,17 +80,30 @@ def top_features_per_patient(spark, sf):
     return rounded(top_k(_active(spark, sf), ["pid"], order, 8, "rn"), "shap")
 
 
-@query("fingerprint_matches", "C16 E5", f"""
-WITH {ACTIVE_SQL}, tp AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pid ORDER BY round(abs(shap), 9) DESC, fgroup, fname, fvalue NULLS FIRST) AS rn FROM act) WHERE rn <= 3),
+_MATCH_SQL = f"""WITH {ACTIVE_SQL}, tp AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pid ORDER BY round(abs(shap), 9) DESC, fgroup, fname, fvalue NULLS FIRST) AS rn FROM act) WHERE rn <= 8),
 it AS (SELECT DISTINCT pid, fgroup, fname, COALESCE(fvalue, '-') AS fv, value FROM act),
 fp AS (SELECT DISTINCT pid, fgroup, fname, COALESCE(fvalue, '-') AS fv, value FROM tp), sz AS (SELECT pid, COUNT(*) AS k FROM fp GROUP BY pid),
-hit AS (SELECT fp.pid, it.pid AS other, COUNT(*) AS k FROM fp JOIN it ON it.fgroup = fp.fgroup AND it.fname = fp.fname AND it.fv = fp.fv AND it.value = fp.value GROUP BY 1, 2)
-SELECT sz.pid, COUNT(hit.other) AS n_matches FROM sz LEFT JOIN hit ON hit.pid = sz.pid AND hit.k = sz.k GROUP BY sz.pid""")
-def fingerprint_matches(spark, sf):
-    active = settle(_active(spark, sf))  # used by both sides of the match
+hit AS (SELECT fp.pid, it.pid AS other, COUNT(*) AS k FROM fp JOIN it ON it.fgroup = fp.fgroup AND it.fname = fp.fname AND it.fv = fp.fv AND it.value = fp.value GROUP BY 1, 2),
+nm AS (SELECT sz.pid, COUNT(hit.other) AS n_matches FROM sz LEFT JOIN hit ON hit.pid = sz.pid AND hit.k = sz.k GROUP BY sz.pid)"""
+
+
+def _matches(spark, sf):
+    """Patients with the number of patients that hold all of their top eight features, and the rows searched."""
+    active = settle(_active(spark, sf))
     order = [F.round(F.abs("shap"), 9).desc(), F.col("fgroup"), F.col("fname"), F.col("fvalue").asc_nulls_first()]
-    top = top_k(active, ["pid"], order, 3)
-    return match_fingerprints(active, "pid", top, ["fgroup", "fname", "fvalue", "value"])
+    return match_fingerprints(active, "pid", top_k(active, ["pid"], order, 8), ["fgroup", "fname", "fvalue", "value"]), active
+
+
+@query("fingerprint_matches", "C16 E5", f"{_MATCH_SQL} SELECT pid, n_matches FROM nm")
+def fingerprint_matches(spark, sf):
+    return _matches(spark, sf)[0]
+
+
+@query("fingerprint_rows", "C16 E5", f"{_MATCH_SQL} SELECT pid, n_matches, fgroup, fname, fvalue, value, {q6('shap', 'shap')} FROM act JOIN nm USING (pid) WHERE n_matches >= 5")
+def fingerprint_rows(spark, sf):
+    matches, active = _matches(spark, sf)
+    rows = rows_of_matched(active, "pid", matches, 5)
+    return rounded(rows.select("pid", "n_matches", "fgroup", "fname", "fvalue", "value", "shap"), "shap")
 
 
 _LABEL_SQL = """lab AS (SELECT pid, fname || ':' || COALESCE(fvalue, '') AS label, round(SUM(shap), 9) AS shap FROM act GROUP BY 1, 2),

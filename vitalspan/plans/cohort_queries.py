@@ -236,7 +236,7 @@ def diagnosis_rollup_common(spark, sf):
 
 LAB_SQL = """
 m AS (SELECT t.*, p.index_date, p.age, p.sex, r.npu_code, r.refint_1, r.refint_2,
-    CAST(floor(p.age * 365.25) AS BIGINT) + datediff('day', p.index_date, t.drawn_date) AS age_days, r.valid_from, r.valid_to, r.age_from_days, r.age_to_days
+    CAST(round(p.age * 365.25) AS BIGINT) + datediff('day', p.index_date, t.drawn_date) AS age_days, r.valid_from, r.valid_to, r.age_from_days, r.age_to_days
   FROM v_tests t JOIN v_patients p ON p.pid = t.pid LEFT JOIN v_refint r ON r.npu_code = t.qid AND r.sex = p.sex
   WHERE p.index_date >= t.drawn_date - INTERVAL 1 DAY AND t.result IS NOT NULL),
 k AS (SELECT *, COALESCE(ref_lower, refint_1) AS ref_1, COALESCE(ref_upper, refint_2) AS ref_2 FROM m

@@ -17,12 +17,12 @@ from vitalspan.plans.registry import longs, q6, query, r6, rounded
 from vitalspan.plans.views import (
     table, v_attributions, v_baseline, v_patients, v_persons, v_predictions, v_procedures_raw, v_scores, v_surv, v_tests, v_trials, TIMES,
 )
-from vitalspan.session import shared_folder
+from vitalspan.session import run_folder
 from vitalspan.sources import readers, writers
 
 
 def _fresh(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def feature_parts(spark, sf):
 WITH p AS (SELECT v.pid, v.born, o.index_date, o.age FROM v_persons v JOIN v_patients o ON o.pid = v.pid),
 f AS (SELECT *, CAST(year(index_date) - year(born) - CASE WHEN born + to_years(CAST(year(index_date) - year(born) AS INTEGER)) > index_date THEN 1 ELSE 0 END AS INTEGER) AS y FROM p)
 SELECT pid, {q6("ROUND(y + datediff('day', born + to_years(y), index_date) / CAST(datediff('day', born + to_years(y), born + to_years(y + 1)) AS DOUBLE), 2)", "age_years")},
-  CAST(floor(age * 365.25) + datediff('day', index_date, DATE '1999-01-01') AS BIGINT) AS age_days, COALESCE(index_date BETWEEN born AND CASE WHEN pid % 2 = 0 THEN DATE '1998-01-01' END, TRUE) AS open_range FROM f""")
+  CAST(round(age * 365.25) + datediff('day', index_date, DATE '1999-01-01') AS BIGINT) AS age_days, COALESCE(index_date BETWEEN born AND CASE WHEN pid % 2 = 0 THEN DATE '1998-01-01' END, TRUE) AS open_range FROM f""")
 def dates_and_ages(spark, sf):
     rows = v_persons(spark, sf).select("pid", "born").join(v_patients(spark, sf).select("pid", "index_date", "age"), "pid")
     limit = F.when(F.col("pid") % 2 == 0, F.lit("1998-01-01").cast("date"))

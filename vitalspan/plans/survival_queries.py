@@ -296,9 +296,8 @@ def boot_sql(source: str, n: int, key: str = "pid") -> str:
     """SQL of the replicate weights."""
     return f"""
 reps AS (SELECT CAST(range AS INTEGER) AS replicate FROM range(0, {n + 1})),
-u0 AS (SELECT k.{key}, r.replicate, (CAST(k.{key} AS BIGINT) * 7919 + CAST(r.replicate AS BIGINT) * 104729) % 1000003 AS x FROM (SELECT DISTINCT {key} FROM {source}) k, reps r),
-u1 AS (SELECT *, (x * x + 12345) % 1000003 AS y FROM u0),
-un AS (SELECT {key}, replicate, CAST((y * y + x) % 1000003 AS DOUBLE) / 1000003.0 AS u FROM u1),
+un AS (SELECT k.{key}, r.replicate, CAST(CAST('0x' || substr(md5(CAST(k.{key} AS VARCHAR) || ':' || CAST(r.replicate AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u
+  FROM (SELECT DISTINCT {key} FROM {source}) k, reps r),
 bw AS (SELECT {key}, replicate, CASE WHEN replicate = 0 THEN 1 ELSE {_POISSON} END AS w_boot FROM un),
 bs AS (SELECT s.*, b.replicate, b.w_boot FROM {source} s JOIN bw b ON b.{key} = s.{key} WHERE b.w_boot > 0)"""
 
@@ -309,22 +308,22 @@ m AS (SELECT model, tau, replicate, SUM(pred * w_boot) / SUM(w_boot) AS m FROM b
 SELECT model, tau, {q6("MAX(CASE WHEN replicate = 0 THEN m END)", "estimate")}, {q6("quantile_cont(m, 0.025) FILTER (WHERE replicate > 0)", "lower")},
   {q6("quantile_cont(m, 0.975) FILTER (WHERE replicate > 0)", "upper")}, {q6("stddev_samp(m) FILTER (WHERE replicate > 0)", "se")} FROM m GROUP BY model, tau""")
 def bootstrap_mean_prediction(spark, sf):
-    out = B.bootstrap_mean(predicted(spark, sf, [365.0, 1825.0]), ["model", "tau"], "pred", "pid", 200, uniform=B.portable_uniform)
+    out = B.bootstrap_mean(predicted(spark, sf, [365.0, 1825.0]), ["model", "tau"], "pred", "pid", 200)
     return rounded(out, "estimate", "lower", "upper", "se")
 
 
 @query("bootstrap_auc", "I15 I9", f"""
-WITH {interp_sql([365.0, 1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 50)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {auc_sql("model, tau, replicate", "bx", "ww")}
+WITH {interp_sql([365.0, 1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 100)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {auc_sql("model, tau, replicate", "bx", "ww")}
 SELECT model, tau, {q6("MAX(CASE WHEN replicate = 0 THEN auc END)", "estimate")}, {q6("quantile_cont(auc, 0.025) FILTER (WHERE replicate > 0)", "lower")},
   {q6("quantile_cont(auc, 0.975) FILTER (WHERE replicate > 0)", "upper")}, {q6("stddev_samp(auc) FILTER (WHERE replicate > 0)", "se")} FROM auc GROUP BY model, tau""")
 def bootstrap_auc(spark, sf):
-    out = B.bootstrap_ci(weighted(spark, sf, [365.0, 1095.0]), ["model", "tau"], "auc", 50, uniform=B.portable_uniform)
+    out = B.bootstrap_ci(weighted(spark, sf, [365.0, 1095.0]), ["model", "tau"], "auc", 100)
     return rounded(out, "estimate", "lower", "upper", "se")
 
 
 def _contrast_sql(metric_sql: str, metric: str) -> str:
     return f"""
-WITH {interp_sql([1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 50)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {metric_sql},
+WITH {interp_sql([1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 100)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {metric_sql},
 dl AS (SELECT a.model, a.tau, a.replicate, a.{metric} - b.{metric} AS delta FROM {metric} a JOIN {metric} b ON a.tau = b.tau AND a.replicate = b.replicate AND b.model = '001' WHERE a.model <> '001'),
 st AS (SELECT model, tau, MAX(CASE WHEN replicate = 0 THEN delta END) AS delta, quantile_cont(delta, 0.025) FILTER (WHERE replicate > 0) AS lower,
   quantile_cont(delta, 0.975) FILTER (WHERE replicate > 0) AS upper, stddev_samp(delta) FILTER (WHERE replicate > 0) AS se FROM dl GROUP BY model, tau),
@@ -338,7 +337,7 @@ _BRIER_BOOT = """brier AS (SELECT model, tau, replicate, SUM(CASE WHEN is_case T
 
 
 def _contrast(spark, sf, metric):
-    out = B.contrast(weighted(spark, sf, [1095.0]), "001", metric, n=50, uniform=B.portable_uniform)
+    out = B.contrast(weighted(spark, sf, [1095.0]), "001", metric, n=100)
     label = S.estimate_label(F.col("delta") * 100, F.col("lower") * 100, F.col("upper") * 100)
     return rounded(out.withColumn("label", label), "delta", "lower", "upper", "se", "p")
 

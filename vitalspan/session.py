@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,11 @@ def build_session(app: str = "vitalspan", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a scratch folder only for a local master without one."""
+    """The folder in ``spark.checkpoint.dir``, which every executor must reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="vitalspan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -45,7 +40,25 @@ def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
     Used where an expensive input feeds several branches of one plan. The written table survives lost
     executors, carries real sizes for the join planner and keeps column pruning.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_RUN = "spark.vitalspan.runFolder"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this session's settled tables inside the shared one."""
+    own = spark.conf.get(_RUN, None)
+    if not own or not own.startswith(shared_folder(spark)):
+        own = f"{shared_folder(spark)}/vitalspan-{uuid.uuid4().hex}"
+        spark.conf.set(_RUN, own)
+    return own
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the settled tables of this session. Frames that still read one of them can no longer be used."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark.conf.unset(_RUN)

@@ -65,11 +65,6 @@ def read_feature_list(spark: SparkSession, path) -> DataFrame:
     return rows.distinct()
 
 
-def read_points(spark: SparkSession, path) -> DataFrame:
-    """Points lookup of a clinical risk score: value, score, term, model."""
-    return read_typed(spark, path, "value DOUBLE, score DOUBLE, term STRING, model STRING", sep=",")
-
-
 def read_bands(spark: SparkSession, path) -> DataFrame:
     """Probability bands: from, to (the last one may be ``Inf``), probability."""
     return read_typed(spark, path, "`from` DOUBLE, `to` DOUBLE, probability DOUBLE", sep=",")

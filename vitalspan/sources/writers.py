@@ -4,25 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.operators.validate import require_valid
+from vitalspan.session import settle
 
 
 def append_table(df: DataFrame, path: str, rules: Sequence[dict] = (), parents: dict[str, DataFrame] | None = None,
                  partition_by: Sequence[str] = ()) -> None:
-    """Append rows to a columnar table after its rules hold."""
+    """Append rows to a columnar table after its rules hold, its primary key also against the rows already there.
+
+    The rows are written to the shared folder first, so that what is validated is what is appended.
+    """
+    rows = settle(df)
     if rules:
-        require_valid(df, rules, parents or {})
-    writer = df.write.mode("append")
+        require_valid(rows, rules, parents or {})
+    keys = [list(r["columns"]) for r in rules if r["rule"] == "primary_key"]
+    if keys and table_exists(df.sparkSession, path):
+        old = df.sparkSession.read.parquet(path)
+        for key in keys:
+            if not rows.join(old.select(*key), key, "left_semi").isEmpty():
+                raise ValueError(f"primary key {', '.join(key)} is already in the table at {path}")
+    writer = rows.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored at ``path``, in any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def create_table(df: DataFrame, path: str, key: Sequence[str]) -> None:
-    """Write a new table whose ``key`` must be unique."""
-    require_valid(df, [{"rule": "primary_key", "columns": list(key)}], {})
-    df.write.mode("overwrite").parquet(path)
+    """Write a new table whose ``key`` must be unique; a table that is there already is an error."""
+    rows = settle(df)
+    require_valid(rows, [{"rule": "primary_key", "columns": list(key)}], {})
+    rows.write.mode("errorifexists").parquet(path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", null_token: str = "NULL", compression: str = "none") -> None:
