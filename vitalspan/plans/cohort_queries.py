@@ -175,17 +175,24 @@ def baseline_table(spark, sf):
     return rounded(baseline(spark, sf), "height", "weight", "crea")
 
 
-@query("clinical_two", "H11 B10 B23 B28 C1 A7", f"""
-WITH {_BASELINE_CTE}, yn AS (SELECT p.pid, CASE familiary_ihd WHEN 'Ja' THEN 'yes' WHEN 'Nej' THEN 'no' ELSE 'missing' END AS familiary_ihd,
+CLINICAL_TWO_CTE = f"""{_BASELINE_CTE}, yn AS (SELECT p.pid, CASE familiary_ihd WHEN 'Ja' THEN 'yes' WHEN 'Nej' THEN 'no' ELSE 'missing' END AS familiary_ihd,
   COALESCE(arrhythmia_device IN ('BIV-ICD', 'BIV-PM', 'PM', 'ICD'), FALSE) AS icd_or_pm, LEAST(TRY_CAST(lvef AS DOUBLE), CASE WHEN TRY_CAST(lvef AS DOUBLE) IS NULL THEN NULL ELSE 60 END) AS ef,
   CASE WHEN ischemia_test IS NULL THEN 'missing' WHEN ischemia_test = 'Ikke konklusiv' THEN 'inconclusive' WHEN ischemia_test = 'Ikke udført' THEN 'missing' WHEN ischemia_test = 'Negativ' THEN 'negative' WHEN ischemia_test = 'Positiv' THEN 'positive' END AS ischemia_test,
   CASE abnormal_ekg WHEN 'Ja' THEN 'yes' WHEN 'Nej' THEN 'no' ELSE 'missing' END AS abnormal_ekg, CASE abnormal_qrs WHEN 'Ja' THEN 'yes' WHEN 'Nej' THEN 'no' ELSE 'missing' END AS abnormal_qrs_st
-  FROM v_pats p JOIN v_index i ON i.pid = p.pid AND i.entryid = p.entryid)
-SELECT b.pid, sex, {q6("height", "height")}, {q6("weight", "weight")}, dia_bp, smoking, vessels, dominance, nyha, ccs, familiary_ihd, icd_or_pm,
+  FROM v_pats p JOIN v_index i ON i.pid = p.pid AND i.entryid = p.entryid),
+ct AS (SELECT b.pid, sex, height, weight, dia_bp, smoking, vessels, dominance, nyha, ccs, familiary_ihd, icd_or_pm,
   CASE WHEN ef IS NULL THEN 'missing' WHEN ef <= 10 THEN '[0,10]' WHEN ef <= 20 THEN '(10,20]' WHEN ef <= 30 THEN '(20,30]' WHEN ef <= 40 THEN '(30,40]' WHEN ef <= 50 THEN '(40,50]' ELSE '(50,60]' END AS lvef,
-  ischemia_test, abnormal_ekg, abnormal_qrs_st FROM base b JOIN yn ON yn.pid = b.pid""")
+  ischemia_test, abnormal_ekg, abnormal_qrs_st FROM base b JOIN yn ON yn.pid = b.pid)"""
+
+
+def clinical_two_table(spark, sf) -> DataFrame:
+    return C.clinical_two(v_index(spark, sf), v_pats(spark, sf), baseline(spark, sf))
+
+
+@query("clinical_two", "H11 B10 B23 B28 C1 A7", f"""
+WITH {CLINICAL_TWO_CTE} SELECT pid, sex, {q6("height", "height")}, {q6("weight", "weight")}, dia_bp, smoking, vessels, dominance, nyha, ccs, familiary_ihd, icd_or_pm, lvef, ischemia_test, abnormal_ekg, abnormal_qrs_st FROM ct""")
 def clinical_two(spark, sf):
-    return rounded(C.clinical_two(v_index(spark, sf), v_pats(spark, sf), baseline(spark, sf)), "height", "weight")
+    return rounded(clinical_two_table(spark, sf), "height", "weight")
 
 
 @query("closest_lab", "H6 C8 B15 B18 B21", f"""

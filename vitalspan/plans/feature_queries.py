@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalspan.operators import features as X
 from vitalspan.operators import risk as R
 from vitalspan.operators.reshape import missing_rates
-from vitalspan.plans.cohort_queries import DIAG_SQL, LAB_SQL, PROC_SQL, diagnosis_events, lab_events, proc_events
+from vitalspan.plans.cohort_queries import CLINICAL_TWO_CTE, DIAG_SQL, LAB_SQL, PROC_SQL, clinical_two_table, diagnosis_events, lab_events, proc_events
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import table, v_attributions, v_baseline, v_code_parents, v_scores, v_surv
 from vitalspan.session import settle
@@ -81,18 +81,24 @@ def clinical_features_1(spark, sf):
 
 
 _CLINICAL_2 = {
-    "sex": "CAST(sex AS INTEGER)", "icd-or-pm": "CAST(arrest AS INTEGER)", "height": "COALESCE((height - m_height) / s_height, 0)",
+    "sex": "CAST(sex AS INTEGER)", "icd-or-pm": "CAST(icd_or_pm AS INTEGER)", "height": "COALESCE((height - m_height) / s_height, 0)",
     "weight": "COALESCE((weight - m_weight) / s_weight, 0)", "dia-bp": "COALESCE((dia_bp - m_dia) / s_dia, 0)",
     **_hot_sql("smoking", ["no", "ex", "yes"], "smoking"), **_hot_sql("vessels", ["DIF", "1VD", "2VD", "3VD"], "vessels"),
-    **_hot_sql("ccs", [0, 1, 2, 3, 4], "ccs"),
+    **_hot_sql("dominance", ["B", "R", "L"], "dominance"), **_hot_sql("nyha", [1, 2, 3, 4], "nyha"), **_hot_sql("ccs", [0, 1, 2, 3, 4], "ccs"),
+    **_hot_sql("lvef", ["[0,10]", "(10,20]", "(20,30]", "(30,40]", "(40,50]", "(50,60]", "missing"], "lvef", False),
+    **_hot_sql("ischemia_test", ["inconclusive", "missing", "negative", "positive"], "ischemia-test", False),
+    **_hot_sql("abnormal_ekg", ["missing", "no", "yes"], "abnormal-ekg", False),
+    **_hot_sql("abnormal_qrs_st", ["missing", "no", "yes"], "abnormal-qrs-st", False),
+    **_hot_sql("familiary_ihd", ["missing", "no", "yes"], "familiary-ihd", False),
 }
-_REMOVED = ("dominance", "nyha")
+_FIT_2_SQL = f"""{CLINICAL_TWO_CTE},
+fit2 AS (SELECT AVG(height) AS m_height, stddev_samp(height) AS s_height, AVG(weight) AS m_weight, stddev_samp(weight) AS s_weight, AVG(dia_bp) AS m_dia, stddev_samp(dia_bp) AS s_dia FROM ct),
+al2 AS (SELECT s.pid, b.* EXCLUDE (pid), fit2.*, b.pid IS NOT NULL AS present FROM v_surv s LEFT JOIN ct b ON b.pid = s.pid, fit2)"""
 
 
-@query("clinical_features_2", "H16 H17 H20", f"WITH {_FIT_SQL} {_unpivot_sql('al', _CLINICAL_2, 'clnc-2')}")
+@query("clinical_features_2", "H16 H17 H20", f"WITH {_FIT_2_SQL} {_unpivot_sql('al2', _CLINICAL_2, 'clnc-2')}")
 def clinical_features_2(spark, sf):
-    table_2 = v_baseline(spark, sf).withColumn("icd_or_pm", F.col("arrest"))
-    return rounded(X.clinical_features_2(table_2, v_surv(spark, sf), remove=_REMOVED, explicit={}), "value")
+    return rounded(X.clinical_features_2(clinical_two_table(spark, sf), v_surv(spark, sf)), "value")
 
 
 _WINSOR_SQL = """
@@ -129,21 +135,51 @@ def score_winsor_zscore(spark, sf):
 def tables(spark, sf) -> dict[str, DataFrame]:
     base = v_baseline(spark, sf)
     return {
-        "baseline": base, "diagnoses": diagnosis_events(spark, sf), "biochem": lab_events(spark, sf), "nomesco": proc_events(spark, sf),
-        "polygenic_scores": v_scores(spark, sf), "surv_master": v_surv(spark, sf),
+        "baseline": base, "clinicaltwo": clinical_two_table(spark, sf), "diagnoses": diagnosis_events(spark, sf), "biochem": lab_events(spark, sf),
+        "nomesco": proc_events(spark, sf), "polygenic_scores": v_scores(spark, sf), "surv_master": v_surv(spark, sf),
     }
 
 
-@query("assemble_features", "H20 H21 A8 M5", f"""
-WITH {DIAG_SQL}, {LAB_SQL}, {_FIT_SQL}, r AS ({_unpivot_sql('al', {k: v for k, v in _CLINICAL_1.items() if not k.startswith(("arrest", "enzymes"))}, 'clnc-1', True)}
-UNION ALL SELECT DISTINCT pid, 'diag-simple_' || code, CAST(1 AS DOUBLE) FROM diag WHERE level = 'lvl3' AND time > -3650
-UNION ALL SELECT pid, 'bioc-1_' || qid || '_' || CASE value WHEN -1 THEN 'low' WHEN 0 THEN 'normal' ELSE 'high' END, CAST(1 AS DOUBLE) FROM labs WHERE time <= 3650)
-SELECT feature, COUNT(*) AS n, COUNT(value) AS known, {q6("SUM(value)", "total")} FROM r GROUP BY feature""")
+def _without(columns: dict[str, str], groups) -> dict[str, str]:
+    return {k: v for k, v in columns.items() if k.split("_")[0] not in groups}
+
+
+def _study_sql(study: str) -> str:
+    """SQL of the number of rows, known values and total of each feature of a study."""
+    sets = X.STUDIES[study]
+    part = {
+        X.CLINICAL_1: lambda p: _unpivot_sql("al", _without(_CLINICAL_1, p.get("remove", ())), "clnc-1", True),
+        X.CLINICAL_2: lambda p: _unpivot_sql("al2", _without(_CLINICAL_2, p.get("remove", ())), "clnc-2", True),
+        X.DIAGNOSES: lambda p: f"SELECT DISTINCT pid, 'diag-simple_' || code, CAST(1 AS DOUBLE) FROM diag WHERE level = '{p['level']}' AND time > -{p['horizon']} AND pid IN (SELECT pid FROM v_surv)",
+        X.LABS: lambda p: "SELECT pid, 'bioc-1_' || qid || '_' || CASE value WHEN -1 THEN 'low' WHEN 0 THEN 'normal' ELSE 'high' END, CAST(1 AS DOUBLE) FROM labs "
+                          f"WHERE time <= {p['horizon']} AND regexp_matches(qid, '{p.get('pattern', '')}') AND pid IN (SELECT pid FROM v_surv)",
+        X.PROCEDURES: lambda p: f"SELECT DISTINCT pid, 'proc-1_' || code, CAST(1 AS DOUBLE) FROM procs WHERE time < {p['horizon']} AND pid IN (SELECT pid FROM v_surv)",
+        X.GENETIC: lambda p: "SELECT s.pid, 'pgss-1_' || n.name, CASE WHEN s.pid IN (SELECT pid FROM v_scores) THEN z.z ELSE 0 END "
+                             "FROM v_surv s CROSS JOIN (SELECT DISTINCT name FROM v_scores) n LEFT JOIN z ON z.pid = s.pid AND z.name = n.name",
+    }
+    z = "z AS (SELECT pid, name, (score - AVG(score) OVER (PARTITION BY name)) / stddev_samp(score) OVER (PARTITION BY name) AS z FROM wz)"
+    ctes = {X.CLINICAL_1: _FIT_SQL, X.CLINICAL_2: _FIT_2_SQL, X.DIAGNOSES: DIAG_SQL, X.LABS: LAB_SQL, X.PROCEDURES: PROC_SQL, X.GENETIC: f"{_WINSOR_SQL}, {z}"}
+    rows = " UNION ALL ".join(part[alias](params) for alias, params in sets.items())
+    return f"""WITH {", ".join(ctes[alias] for alias in sets)}, r(pid, feature, value) AS ({rows})
+SELECT feature, COUNT(*) AS n, COUNT(value) AS known, {q6("SUM(value)", "total")} FROM r GROUP BY feature"""
+
+
+def _study(study: str):
+    def run(spark, sf):
+        long = X.study_features(tables(spark, sf), v_surv(spark, sf), study)
+        out = long.groupBy("feature").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.sum("value").alias("total"))
+        return rounded(out, "total")
+    return run
+
+
+for _number in ("004", "006", "007"):
+    query(f"study_{_number}", "H16 H20 H21 M5", _study_sql(_number))(_study(_number))
+
+
+@query("assemble_features", "H20 H21 A8 M5", _study_sql("012"))
 def assemble_features(spark, sf):
-    sets = {k: v for k, v in X.STUDIES["012"].items() if k != X.CLINICAL_2}
-    long = X.assemble_features(tables(spark, sf), v_surv(spark, sf), sets)
-    out = long.groupBy("feature").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.sum("value").alias("total"))
-    return rounded(out, "total")
+    """Study 012, whole."""
+    return _study("012")(spark, sf)
 
 
 @query("study_genetic_only", "H21 C18 G3", f"""
