@@ -178,7 +178,12 @@ def calibration_area(scored: DataFrame, by: Sequence[str], n: int = 20, risk: st
     """One minus the signed area between predicted risk and the binned event rate (trapezoid over bins)."""
     rows = quantile_strata(scored.where(F.col(risk).isNotNull()), by, risk, n)
     bins = rows.groupBy(*by, "stratum").agg(F.avg(risk).alias("x"), F.avg(F.col(event).cast("double")).alias("y"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("stratum")  # at most n rows per group
+    return area_of_bins(bins, by)
+
+
+def area_of_bins(bins: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One minus the signed area between mean risk ``x`` and event rate ``y`` of the bins (``stratum``), few per group."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("stratum")
     x1, gap, gap1 = F.lead("x").over(w), F.col("x") - F.col("y"), F.lead(F.col("x") - F.col("y")).over(w)
     area = bins.withColumn("_a", (x1 - F.col("x")) * (gap + gap1) / 2)
     return area.groupBy(*by).agg((1 - F.sum("_a")).alias("calibration"))

@@ -1,8 +1,9 @@
 """Resampling intervals, paired contrasts and multiple-testing adjustment.
 
-Replicates are Poisson-weighted copies of the data. The weight of a row in a replicate is a function of a hash of
-its key, so all models see the same weights (paired contrasts) and lost tasks reproduce them. Replicates are
-exploded inside the map side of an aggregation: what is shuffled is one row per group, replicate and task.
+Replicates are Poisson-weighted copies of the data. The weight of a row in a replicate is a function of a hash of its key,
+so all models see the same weights (paired contrasts) and lost tasks reproduce them. Means, Brier scores and calibration
+explode replicates inside the map side of an aggregation, so one row per group, replicate and task is shuffled; for the
+AUC each row is shuffled once with its weights.
 """
 
 from __future__ import annotations
@@ -11,12 +12,19 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.operators.metrics import brier, calibration_area, td_auc
-from vitalspan.operators.ordered import running
+from vitalspan.operators.metrics import area_of_bins, brier, quantile_strata
+from vitalspan.operators.ordered import running, with_blocks
 from vitalspan.operators.survival import normal_two_sided
+from vitalspan.session import settle
+
+#: Rows of a block of the bootstrap of the AUC, which a task holds with all their weights.
+BOOTSTRAP_ROWS = 1 << 16
+
 
 def poisson_steps() -> tuple[float, ...]:
     """Cumulative probabilities of a Poisson variable with mean 1, up to the last one below 1 in double precision."""
@@ -34,7 +42,11 @@ POISSON_CDF = poisson_steps()
 
 def hashed_uniform(key: str, replicate: str) -> Column:
     """Uniform number in [0, 1): the first 48 bits of the MD5 of ``key:replicate``, the same in any SQL engine."""
-    text = F.concat_ws(":", F.col(key).cast("string"), F.col(replicate).cast("string"))
+    return _uniform(F.col(key), F.col(replicate))
+
+
+def _uniform(key: Column, replicate: Column) -> Column:
+    text = F.concat_ws(":", key.cast("string"), replicate.cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -69,11 +81,65 @@ def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, key: str, n: in
     return interval_of(means, by, "_m", level)
 
 
+def replicate_weights(key: str, n: int) -> Column:
+    """The weights of a row in replicates 0 to n, as one character each (character 48 is weight 0)."""
+    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: _uniform(F.col(key), r))
+    return F.concat(F.lit("1"), F.array_join(F.transform(u, lambda x: F.char(F.lit(48) + poisson_weight(x))), ""))
+
+
+def bootstrap_auc(weighted: DataFrame, by: Sequence[str], n: int = 100, key: str = "pid", risk: str = "risk",
+                  block_rows: int = BOOTSTRAP_ROWS) -> DataFrame:
+    """AUC per group and replicate (0 is the original data), with each row sorted and sent once.
+
+    Rows are cut into blocks of the order of scores and carry their weights as a short text. A task returns, for its
+    block and each replicate, the weight of cases, of controls, and of pairs won inside the block; what the cases win
+    against earlier blocks follows from the running sum of the controls.
+    """
+    cases, controls = (F.sum(F.when(F.col(c), F.col("w")).otherwise(0.0)).alias(f"_{c}") for c in ("case", "control"))
+    rows = weighted.where(F.col(risk).isNotNull()).groupBy(*by, key, F.col(risk).cast("double").alias("_risk")).agg(cases, controls)
+    rows = with_blocks(rows.where("_case > 0 OR _control > 0"), by, ["_risk"], block_rows).withColumn("_weights", replicate_weights(key, n))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    group = [*by, "_block"]
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_risk", kind="stable")
+        weights = np.frombuffer("".join(pdf["_weights"]).encode(), dtype=np.uint8).reshape(len(pdf), n + 1).astype(np.float64) - 48
+        cases, controls = weights * pdf["_case"].to_numpy()[:, None], weights * pdf["_control"].to_numpy()[:, None]
+        first = np.flatnonzero(np.append(True, np.diff(pdf["_risk"].to_numpy()) != 0))
+        cases, controls = np.add.reduceat(cases, first), np.add.reduceat(controls, first)  # equal scores are one
+        won = (cases * (np.cumsum(controls, axis=0) - controls / 2)).sum(axis=0)
+        out = pd.DataFrame({"replicate": np.arange(n + 1), "_cases": cases.sum(axis=0), "_controls": controls.sum(axis=0), "_won": won})
+        for c in reversed(group):
+            out.insert(0, c, [pdf[c].iloc[0]] * (n + 1))
+        return out
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), "replicate int, _cases double, _controls double, _won double"])
+    parts = rows.select(*group, "_risk", "_case", "_control", "_weights").groupBy(*group).applyInPandas(block, schema)
+    earlier = Window.partitionBy(*by, "replicate").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_before", F.coalesce(F.sum("_controls").over(earlier), F.lit(0.0)))
+    sums = placed.groupBy(*by, "replicate").agg(
+        F.sum(F.col("_won") + F.col("_cases") * F.col("_before")).alias("_won"), F.sum("_cases").alias("_cases"), F.sum("_controls").alias("_controls"))
+    return sums.select(*by, "replicate", F.try_divide(F.col("_won"), F.col("_cases") * F.col("_controls")).alias("auc"))
+
+
+def bootstrap_calibration(scored: DataFrame, by: Sequence[str], n: int = 100, key: str = "pid", bins: int = 20, risk: str = "risk",
+                          event: str = "event") -> DataFrame:
+    """Calibration area per group and replicate. The bins are those of the original data; replicates weigh their rows."""
+    rows = settle(quantile_strata(scored.where(F.col(risk).isNotNull()), by, risk, bins))
+    return area_of_bins(
+        with_replicates(rows, key, n).groupBy(*by, "replicate", "stratum").agg(
+            (F.sum(F.col(risk) * F.col("w_boot")) / F.sum("w_boot")).alias("x"),
+            (F.sum(F.when(F.col(event), F.col("w_boot")).otherwise(0)) / F.sum("w_boot")).alias("y")),
+        [*by, "replicate"])
+
+
 def bootstrap_metric(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid") -> DataFrame:
-    """AUC or Brier score per group and replicate (0 is the original data)."""
-    rows = with_replicates(weighted, key, n)
-    fn = {"auc": td_auc, "brier": brier}[metric]
-    return fn(rows, [*by, "replicate"], weight="w_boot")
+    """``auc``, ``brier`` or ``calibration`` per group and replicate (0 is the original data)."""
+    if metric == "auc":
+        return bootstrap_auc(weighted, by, n, key)
+    if metric == "calibration":
+        return bootstrap_calibration(weighted, by, n, key)
+    return brier(with_replicates(weighted, key, n), [*by, "replicate"], weight="w_boot")
 
 
 def bootstrap_ci(weighted: DataFrame, by: Sequence[str], metric: str, n: int = 100, key: str = "pid", level: float = 0.95) -> DataFrame:

@@ -18,6 +18,7 @@ class Entry:
     run: Query
     sql: str | None
     covers: str
+    raw: str | None = None  # the SQL without the views it reads
 
 
 ENTRIES: dict[str, Entry] = {}
@@ -28,7 +29,7 @@ def query(name: str, covers: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         if name in ENTRIES:
             raise ValueError(name)
-        ENTRIES[name] = Entry(fn, None if sql is None else with_views(sql), covers)
+        ENTRIES[name] = Entry(fn, None if sql is None else with_views(sql), covers, sql)
         return fn
     return register
 

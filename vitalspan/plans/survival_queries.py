@@ -9,8 +9,8 @@ from vitalspan.functions import scalars as S
 from vitalspan.operators import metrics as M
 from vitalspan.operators import resample as B
 from vitalspan.operators import survival as V
-from vitalspan.plans.registry import longs, q6, query, r6, rounded
-from vitalspan.plans.views import v_baseline, v_predictions, v_surv
+from vitalspan.plans.registry import ENTRIES, longs, q6, query, r6, rounded
+from vitalspan.plans.views import v_baseline, v_continuous, v_predictions, v_surv
 
 TAUS = [182.5, 365.0, 730.0, 1095.0]
 GRID = [365 * (0.5 + 0.125 * i) for i in range(37)]
@@ -71,12 +71,12 @@ rk AS (SELECT *, SUM(kw) OVER (PARTITION BY {by} ORDER BY risk) AS below FROM sc
 auc AS (SELECT {by}, CASE WHEN SUM(cw) * SUM(kw) > 0 THEN SUM(cw * (below - kw / 2)) / (SUM(cw) * SUM(kw)) END AS auc FROM rk GROUP BY {by})"""
 
 
-def predicted(spark, sf, taus):
-    return V.interpolate_at(v_predictions(spark, sf), ["model", "pid"], taus)
+def predicted(spark, sf, taus, preds=v_predictions):
+    return V.interpolate_at(preds(spark, sf), ["model", "pid"], taus)
 
 
-def weighted(spark, sf, taus, strata=()):
-    scored = predicted(spark, sf, taus).withColumn("risk", 1 - F.col("pred"))
+def weighted(spark, sf, taus, strata=(), preds=v_predictions):
+    scored = predicted(spark, sf, taus, preds).withColumn("risk", 1 - F.col("pred"))
     return M.ipcw(scored, v_surv(spark, sf), taus, strata)
 
 
@@ -190,16 +190,16 @@ p AS (SELECT a.model, a.tau, COUNT(*) AS pairs, SUM(CASE WHEN a.risk > b.risk TH
   FROM s a JOIN s b ON a.model = b.model AND a.tau = b.tau AND a.event AND (a.time < b.time OR (a.time = b.time AND NOT b.event)) GROUP BY a.model, a.tau)
 SELECT model, tau, CAST(pairs AS BIGINT) AS pairs, CAST(conc AS BIGINT) AS concordant, CAST(tied AS BIGINT) AS tied,
   {q6("(conc + tied / 2.0) / pairs", "c_index")}, {q6("((conc + tied / 2.0) / pairs - 0.5) * 2", "dxy")} FROM p""")
-def concordance(spark, sf):
-    rows = predicted(spark, sf, _C_TAUS).join(v_surv(spark, sf), "pid").withColumn("risk", 1 - F.col("pred"))
+def concordance(spark, sf, preds=v_predictions, **options):
+    rows = predicted(spark, sf, _C_TAUS, preds).join(v_surv(spark, sf), "pid").withColumn("risk", 1 - F.col("pred"))
     time, event = S.censor_at("time", "event", F.col("tau").cast("bigint"))
-    out = M.concordance(rows.withColumns({"time": time, "event": event}), ["model", "tau"])
+    out = M.concordance(rows.withColumns({"time": time, "event": event}), ["model", "tau"], **options)
     return rounded(longs(out, "pairs", "concordant", "tied"), "c_index", "dxy")
 
 
 @query("td_auc", "I9 M4", f"WITH {interp_sql(TAUS)}, {CENS_SQL}, {WEIGHT_SQL}, {auc_sql('model, tau')} SELECT model, tau, {q6('auc', 'auc')} FROM auc")
-def td_auc(spark, sf):
-    return rounded(M.td_auc(weighted(spark, sf, TAUS), ["model", "tau"]), "auc")
+def td_auc(spark, sf, preds=v_predictions, **options):
+    return rounded(M.td_auc(weighted(spark, sf, TAUS, preds=preds), ["model", "tau"], **options), "auc")
 
 
 @query("td_roc", "I9", f"""
@@ -207,8 +207,8 @@ WITH {interp_sql([1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {auc_sql('model, tau')},
 tot AS (SELECT model, tau, SUM(cw) AS c, SUM(kw) AS k FROM sc GROUP BY model, tau),
 cum AS (SELECT model, tau, risk, SUM(cw) OVER (PARTITION BY model, tau ORDER BY risk DESC) AS tp, SUM(kw) OVER (PARTITION BY model, tau ORDER BY risk DESC) AS fp FROM sc)
 SELECT cum.model, cum.tau, {q6('risk', 'risk')}, {q6('tp / c', 'tpr')}, {q6('fp / k', 'fpr')} FROM cum JOIN tot ON tot.model = cum.model AND tot.tau = cum.tau""")
-def td_roc(spark, sf):
-    return rounded(M.td_roc(weighted(spark, sf, [1095.0]), ["model", "tau"]), "risk", "tpr", "fpr")
+def td_roc(spark, sf, preds=v_predictions, **options):
+    return rounded(M.td_roc(weighted(spark, sf, [1095.0], preds=preds), ["model", "tau"], **options), "risk", "tpr", "fpr")
 
 
 @query("brier_ipa", "I10", f"""
@@ -240,8 +240,8 @@ SELECT m.model, m.tau, CAST(m.stratum AS INTEGER) AS stratum, n, {q6("pred", "pr
   {q6("CASE WHEN last < m.tau THEN NULL WHEN t1 IS NULL THEN 1 ELSE surv END", "surv")}, {q6("CASE WHEN last < m.tau THEN NULL WHEN t1 IS NULL THEN 1 ELSE lower END", "lower")},
   {q6("CASE WHEN last < m.tau THEN NULL WHEN t1 IS NULL THEN 1 ELSE upper END", "upper")}
 FROM m JOIN g ON g.model = m.model AND g.tau = m.tau AND g.stratum = m.stratum LEFT JOIN km ON km.model = m.model AND km.tau = m.tau AND km.stratum = m.stratum AND km.time = g.t1""")
-def calibration_20(spark, sf):
-    scored = predicted(spark, sf, [365.0, 1095.0]).join(v_surv(spark, sf), "pid")
+def calibration_20(spark, sf, preds=v_predictions):
+    scored = predicted(spark, sf, [365.0, 1095.0], preds).join(v_surv(spark, sf), "pid")
     return rounded(M.calibration_quantile(scored, ["model", "tau"]), "pred", "surv", "lower", "upper")
 
 
@@ -316,11 +316,39 @@ def bootstrap_mean_prediction(spark, sf):
 WITH {interp_sql([365.0, 1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 100)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {auc_sql("model, tau, replicate", "bx", "ww")}
 SELECT model, tau, {q6("MAX(CASE WHEN replicate = 0 THEN auc END)", "estimate")}, {q6("quantile_cont(auc, 0.025) FILTER (WHERE replicate > 0)", "lower")},
   {q6("quantile_cont(auc, 0.975) FILTER (WHERE replicate > 0)", "upper")}, {q6("stddev_samp(auc) FILTER (WHERE replicate > 0)", "se")} FROM auc GROUP BY model, tau""")
-def bootstrap_auc(spark, sf):
-    out = B.bootstrap_ci(weighted(spark, sf, [365.0, 1095.0]), ["model", "tau"], "auc", 100)
+def bootstrap_auc(spark, sf, preds=v_predictions):
+    out = B.bootstrap_ci(weighted(spark, sf, [365.0, 1095.0], preds=preds), ["model", "tau"], "auc", 100)
     return rounded(out, "estimate", "lower", "upper", "se")
 
 
+@query("bootstrap_calibration", "I15 I14", f"""
+WITH {interp_sql([1095.0])}, s AS (SELECT i.model, i.tau, i.pid, 1 - i.pred AS risk, s.event AND s.time <= i.tau AS event FROM interp i JOIN v_surv s ON s.pid = i.pid),
+{cuts_sql("s", "risk", 20)},
+st AS (SELECT s.*, 1 + len(list_filter(q, lambda c: c < s.risk)) AS stratum FROM s JOIN qs ON qs.model = s.model AND qs.tau = s.tau), {boot_sql("st", 100)},
+b AS (SELECT model, tau, replicate, stratum, SUM(risk * w_boot) / SUM(w_boot) AS x, SUM(CASE WHEN event THEN w_boot ELSE 0 END) / CAST(SUM(w_boot) AS DOUBLE) AS y FROM bs GROUP BY model, tau, replicate, stratum),
+l AS (SELECT *, LEAD(x) OVER (PARTITION BY model, tau, replicate ORDER BY stratum) AS x1, LEAD(x - y) OVER (PARTITION BY model, tau, replicate ORDER BY stratum) AS g1 FROM b),
+m AS (SELECT model, tau, replicate, 1 - SUM((x1 - x) * (x - y + g1) / 2) AS m FROM l GROUP BY model, tau, replicate)
+SELECT model, tau, {q6("MAX(CASE WHEN replicate = 0 THEN m END)", "estimate")}, {q6("quantile_cont(m, 0.025) FILTER (WHERE replicate > 0)", "lower")},
+  {q6("quantile_cont(m, 0.975) FILTER (WHERE replicate > 0)", "upper")}, {q6("stddev_samp(m) FILTER (WHERE replicate > 0)", "se")} FROM m GROUP BY model, tau""")
+def bootstrap_calibration(spark, sf):
+    rows = predicted(spark, sf, [1095.0]).join(v_surv(spark, sf), "pid")
+    rows = rows.withColumns({"risk": 1 - F.col("pred"), "event": F.col("event") & (F.col("time") <= F.col("tau"))})
+    return rounded(B.bootstrap_ci(rows, ["model", "tau"], "calibration", 100), "estimate", "lower", "upper", "se")
+
+
+def _continuous(name: str, covers: str, run, **options) -> None:
+    """The query of that name over predictions that seldom repeat, with blocks of few rows where it has blocks."""
+    sql = ENTRIES[name].raw.replace("v_predictions", "v_continuous")
+    query(f"{name}_continuous", covers, sql)(lambda spark, sf: run(spark, sf, preds=v_continuous, **options))
+
+
+_continuous("concordance", "I8", concordance, block_rows=200)
+_continuous("td_auc", "I9", td_auc, block_rows=100)
+_continuous("td_roc", "I9", td_roc, block_rows=100)
+_continuous("calibration_20", "I12 E9", calibration_20)
+_continuous("bootstrap_auc", "I15 I9", bootstrap_auc)
+
+
 def _contrast_sql(metric_sql: str, metric: str) -> str:
     return f"""
 WITH {interp_sql([1095.0])}, {CENS_SQL}, {WEIGHT_SQL}, {boot_sql("wt", 100)}, bx AS (SELECT *, w * w_boot AS ww FROM bs), {metric_sql},

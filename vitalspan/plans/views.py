@@ -222,6 +222,19 @@ def v_predictions(spark, sf):
     return rows.select("pid", "model", "time", F.exp(-F.col("time") / 1825 * rate).alias("surv"))
 
 
+@_view("v_continuous", """
+SELECT c.c_custkey AS pid, m.model, t.time, EXP(-1 * t.time / 1825 * (CAST(0.05 AS DOUBLE) + (CAST(c.c_acctbal AS DOUBLE) + 1000 + m.k * sqrt(c.c_custkey)) / CAST(9000 AS DOUBLE))) AS surv
+FROM customer c CROSS JOIN (SELECT '001' AS model, 7 AS k UNION ALL SELECT '006', 13) m
+CROSS JOIN (SELECT CAST(n_nationkey * 80 + 20 AS DOUBLE) AS time FROM nation) t""")
+def v_continuous(spark, sf):
+    """Predictions with (nearly) as many values as patients."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in SCORED_MODELS.items()])
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_acctbal").cast("double").alias("b"), F.inline(models))
+    rows = rows.withColumn("time", F.explode(F.array(*[F.lit(t) for t in TIMES])))
+    rate = F.lit(0.05) + (F.col("b") + 1000 + F.col("k") * F.sqrt("pid")) / F.lit(9000.0)
+    return rows.select("pid", "model", "time", F.exp(-F.col("time") / 1825 * rate).alias("surv"))
+
+
 @_view("v_attributions", """
 SELECT o.o_custkey AS pid, 'grp-' || CAST(l.l_linenumber % 3 + 1 AS VARCHAR(10)) || '_' || p.p_brand || CASE WHEN l.l_linenumber > 3 THEN '_' || l.l_returnflag ELSE '' END AS feature,
        SUM(l.l_discount - 0.05) AS shap, CAST(MAX(CASE WHEN l.l_tax > 0.04 THEN 1 ELSE 0 END) AS DOUBLE) AS vals,
