@@ -120,3 +120,30 @@ def test_study_matrix_keeps_patients_without_features(spark):
     assert names == ["diag-simple_B"] and got[1] == [1.0] and got[2] == [0.0] and len(got) == 8
     out = Z.cross_validate_study({"diagnoses": events}, surv, "001", {"diag_window": [1.0, 5.0]}, [0.0, 7.0, 14.0], [0.1], k=2, max_iter=5).collect()
     assert sorted(r["diag_window"] for r in out) == ["1.0", "5.0"] and all(r["loss"] > 0 for r in out)
+
+
+def test_study_matrix_has_the_same_columns_for_any_cohort(spark):
+    diagnoses = spark.createDataFrame([(1, -10, "lvl3", "B"), (2, -20, "lvl3", "A")], "pid BIGINT, time INT, level STRING, code STRING")
+    tests = spark.createDataFrame([(1, "NPU1", 10, -1), (3, "NPU2", 9, 1)], "pid BIGINT, qid STRING, time INT, value INT")
+    codes = spark.createDataFrame([(2, "KA", 5), (3, "KB", 9000)], "pid BIGINT, code STRING, time INT")
+    tables = {"diagnoses": diagnoses, "biochem": tests, "nomesco": codes}
+    study = {X.DIAGNOSES: {"level": "lvl3", "horizon": 365.0}, X.LABS: {"horizon": 365.0}, X.PROCEDURES: {"horizon": 365.0}}
+    X.STUDIES["test"] = study
+    try:
+        widths = []
+        for pids in ([1], [2, 3]):
+            cohort = spark.createDataFrame([(p,) for p in pids], "pid BIGINT")
+            features, names = Z.study_matrix(tables, cohort, "test")
+            widths.append(names)
+            assert all(len(r["features"]) == len(names) for r in features.collect())
+    finally:
+        del X.STUDIES["test"]
+    assert widths[0] == widths[1] and len(widths[0]) == 2 + 6 + 2
+
+
+def test_fitted_model_solves_its_equations(people):
+    rows, df = people
+    labels = df.selectExpr("pid", "array(pid % 3 = 0, pid % 2 = 0) AS died", "array(pid % 3 <> 0, pid % 2 <> 0) AS survived")
+    model = Z.fit_hazard(df, labels, [0.0, 1.0, 2.0], MODEL.features, reg=0.01)
+    off = Z.score_equations(model, df, labels, 0.01).collect()
+    assert len(off) == 2 * (1 + len(MODEL.features)) and all(abs(r["gradient"]) < 1e-3 for r in off)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,17 +268,51 @@ def study_features(tables: dict[str, DataFrame], patients: DataFrame, study: str
     return assemble_features(tables, study_patients(patients, tables, study), sets)
 
 
+def set_vocabulary(alias: str, tables: dict[str, DataFrame], long: DataFrame, params: dict) -> DataFrame:
+    """The columns (feature) that a set gives to a matrix, whatever the rows of the patients at hand.
+
+    Diagnoses have the codes seen within the window in all events, procedures all codes whatever the window, tests three
+    columns each, the other sets the same columns for every patient.
+    """
+    source = tables[FEATURE_SETS[alias][0]]
+    if alias == DIAGNOSES:
+        return multi_hot_vocabulary(source, alias, diagnosis_window(params["level"], params["horizon"])).select("feature")
+    if alias == PROCEDURES:
+        return multi_hot_vocabulary(source, alias).select("feature")
+    if alias == LABS:
+        return tri_state_vocabulary(source, params.get("pattern", "")).select("feature")
+    return long.where(F.col("feature").startswith(f"{alias}_")).select("feature").distinct()
+
+
+def study_vocabulary(tables: dict[str, DataFrame], long: DataFrame, study: str, overrides: dict[str, dict] | None = None) -> DataFrame:
+    """Feature and column index of a study's matrix; the same for any two cohorts over the same event tables."""
+    overrides = overrides or {}
+    parts = [set_vocabulary(alias, tables, long, {**params, **overrides.get(alias, {})}) for alias, params in STUDIES[study].items()]
+    return index_features(reduce(DataFrame.unionByName, parts))
+
+
 def feature_arrays(long: DataFrame, vocabulary: DataFrame, width: int, out: str = "features", patients: DataFrame | None = None) -> DataFrame:
     """Dense array per patient in vocabulary order, absent features 0. For the model boundary only.
 
-    With ``patients`` every one of them gets a row, also those without any feature.
+    With ``patients`` every one of them gets a row, also those without any feature. What is shuffled are the known
+    cells; arrays are filled batch by batch, one write a cell.
     """
     cells = long.join(vocabulary, "feature").groupBy("pid").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("column_index").cast("int"), F.coalesce("value", F.lit(0.0))))).alias("_m"))
+        F.collect_list(F.struct(F.col("column_index").cast("int").alias("i"), F.coalesce("value", F.lit(0.0)).cast("double").alias("x"))).alias("_m"))
     if patients is not None:
         cells = patients.select("pid").join(cells, "pid", "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return cells.select("pid", dense.alias(out))
+
+    @F.pandas_udf("array<double>")
+    def fill(places: pd.Series, values: pd.Series) -> pd.Series:
+        rows = []
+        for at, x in zip(places, values):
+            row = np.zeros(width)
+            if at is not None and len(at):
+                row[np.asarray(at, dtype=np.int64)] = np.asarray(x, dtype=float)
+            rows.append(row)
+        return pd.Series(rows, dtype=object)
+
+    return cells.select("pid", fill(F.col("_m.i"), F.col("_m.x")).alias(out))
 
 
 # Which parameter of which feature set a search parameter sets; windows are given in years.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.operators.features import (
-    feature_arrays, index_features, kfold_assign, person_periods, search_overrides, study_features, study_patients, survival_labels,
+    feature_arrays, kfold_assign, person_periods, search_overrides, study_features, study_patients, study_vocabulary, survival_labels,
 )
 from vitalspan.operators.metrics import discrete_nll
 from vitalspan.operators.ordered import quantiles
@@ -74,6 +74,21 @@ def fit_hazard(features: DataFrame, labels: DataFrame, breaks: Sequence[float],
     return HazardModel([float(b) for b in breaks], list(names), weights)
 
 
+def score_equations(model: HazardModel, features: DataFrame, labels: DataFrame, reg: float = 0.0) -> DataFrame:
+    """Gradient of the penalised mean loss at the model's weights, by interval and feature; zero at the optimum."""
+    n, width = len(model.breaks) - 1, len(model.features)
+    rows = training_rows(features, labels, n, width)
+    scored = with_hazards(model, rows.join(features, "pid"))
+    total = rows.count()
+    names = F.array(*[F.lit(name) for name in ["(intercept)", *model.features]])
+    inputs = F.concat(F.array(F.lit(1.0)), F.col("features"))
+    cells = scored.select("interval", (F.element_at("hazard", F.col("interval") + 1) - F.col("label")).alias("e"), F.posexplode(inputs).alias("j", "x"))
+    sums = cells.groupBy("interval", F.get(names, F.col("j")).alias("feature")).agg((F.sum(F.col("e") * F.col("x")) / F.lit(total)).alias("g"))
+    weights = model.coefficients(features.sparkSession)
+    return weights.join(sums, ["interval", "feature"], "left").select(
+        "interval", "feature", (F.coalesce("g", F.lit(0.0)) + F.col("weight") * F.lit(reg)).alias("gradient"))
+
+
 def with_hazards(model: HazardModel, features: DataFrame) -> DataFrame:
     """Add the array of interval hazards: one Arrow-batched matrix product, no shuffle."""
     weights = model.weights
@@ -127,11 +142,18 @@ def cross_validate(features: DataFrame, labels: DataFrame, breaks: Sequence[floa
     return features.sparkSession.createDataFrame(results, schema)
 
 
-def study_matrix(tables: dict[str, DataFrame], patients: DataFrame, study: str, params: dict | None = None) -> tuple[DataFrame, list[str]]:
-    """Feature arrays of a study's patients and the column names, under the given search parameters."""
+def study_matrix(tables: dict[str, DataFrame], patients: DataFrame, study: str, params: dict | None = None,
+                 max_width: int = 100_000) -> tuple[DataFrame, list[str]]:
+    """Feature arrays of a study's patients and the column names, under the given search parameters.
+
+    The names reach the driver, as the model's coefficients do; ``max_width`` bounds them.
+    """
     members = study_patients(patients, tables, study)
-    long = settle(study_features(tables, patients, study, search_overrides(params or {})))
-    vocabulary = index_features(long.select("feature"))
+    overrides = search_overrides(params or {})
+    long = settle(study_features(tables, patients, study, overrides))
+    vocabulary = settle(study_vocabulary(tables, long, study, overrides))
+    if vocabulary.count() > max_width:
+        raise ValueError(f"the matrix would have more than {max_width} columns; raise max_width or take a coarser code level")
     names = [r["feature"] for r in vocabulary.orderBy("column_index").collect()]
     return feature_arrays(long, vocabulary, len(names), patients=members), names
 
@@ -150,10 +172,19 @@ def cross_validate_study(tables: dict[str, DataFrame], surv: DataFrame, study: s
 
 
 def training_medians(features: DataFrame, names: Sequence[str]) -> list[float]:
-    """Exact median of every feature column; one number per feature reaches the driver."""
-    cells = features.select(F.posexplode("features").alias("i", "x"))
-    rows = quantiles(cells, ["i"], "x", [0.5]).collect()
-    found = {r["i"]: r["q"][0] for r in rows}
+    """Exact median of every feature column; one number per feature reaches the driver.
+
+    Only cells other than 0 are shuffled; the zeros of a column are what is left of the patients.
+    """
+    rows = settle(features.select("features"))
+    total = rows.count()
+    cells = rows.select(F.explode(F.filter(F.transform("features", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: c["x"] != 0)).alias("c"))
+    counted = cells.groupBy("c.i", "c.x").agg(F.count("*").alias("n"))
+    known = counted.groupBy("i").agg(F.sum("n").alias("n"))
+    columns = features.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("i"))
+    zeros = columns.join(known, "i", "left").select("i", F.lit(0.0).alias("x"), (F.lit(total) - F.coalesce("n", F.lit(0))).alias("n"))
+    both = settle(counted.unionByName(zeros.where("n > 0")))
+    found = {r["i"]: r["q"][0] for r in quantiles(both, ["i"], "x", [0.5], count="n").collect()}
     return [float(found.get(i, 0.0)) for i in range(len(names))]
 
 
@@ -202,9 +233,9 @@ def ablate_features(model: HazardModel, features: DataFrame, medians: Sequence[f
     return out.withColumn("surv", F.when(~F.isnan("surv"), F.col("surv")))
 
 
-def sample_background(features: DataFrame, n: int = 100, seed: int = 42) -> np.ndarray:
-    """``n`` reproducibly chosen rows as a matrix; ``n`` bounds what reaches the driver."""
-    rows = features.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(n).select("features").collect()
+def sample_background(features: DataFrame, n: int = 100) -> np.ndarray:
+    """``n`` reproducibly chosen rows (smallest MD5 of the patient key) as a matrix; ``n`` bounds what reaches the driver."""
+    rows = features.orderBy(F.md5(F.col("pid").cast("string").cast("binary")), "pid").limit(n).select("features").collect()
     return np.asarray([r["features"] for r in rows], dtype=float)
 
 
@@ -244,9 +275,14 @@ def attribute(model: HazardModel, features: DataFrame, background: np.ndarray, t
         run, "pid BIGINT, feature STRING, shap DOUBLE, vals DOUBLE, timepoint DOUBLE")
 
 
+def cluster_matrix(medians: DataFrame, levels: Sequence[str], feature: str = "fname") -> DataFrame:
+    """What is clustered: one row a feature, the median attribution of each level, 0 where it has none."""
+    return to_wide(medians, [feature], "text", "median", levels).fillna(0.0)
+
+
 def cluster_features(medians: DataFrame, levels: Sequence[str], k: int = 6, seed: int = 2022, feature: str = "fname") -> DataFrame:
     """Cluster features by their median attribution per level."""
-    wide = settle(to_wide(medians, [feature], "text", "median", levels).fillna(0.0))
+    wide = settle(cluster_matrix(medians, levels, feature))
     names = {c: f"_c{i}" for i, c in enumerate(levels)}
     ready = VectorAssembler(inputCols=list(names.values()), outputCol="_x").transform(wide.withColumnsRenamed(names))
     model = KMeans(k=k, seed=seed, maxIter=1000, featuresCol="_x", predictionCol="cluster").fit(ready)

@@ -136,9 +136,14 @@ def quantiles(
     probs: Sequence[float],
     out: str = "q",
     block_rows: int = BLOCK_ROWS,
+    count: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group, ``out`` is an array in the order of ``probs``."""
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_w"))
+    """Exact quantiles with linear interpolation: one row per group, ``out`` is an array in the order of ``probs``.
+
+    ``count`` is a column that tells how many equal rows a row stands for.
+    """
+    number = F.count("*") if count is None else F.sum(count)
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(number.alias("_w"))
     ranked = running(distinct, by, [value], {"_cum": ("sum", "_w")}, block_rows=block_rows)
     sizes = distinct.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.sum("_w").alias("_n"))
     joined = (

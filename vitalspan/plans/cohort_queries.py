@@ -313,3 +313,13 @@ def validate_tables(spark, sf):
     reports = {"surv_master": validate_table(surv, RULES["surv_master"], {}), "pats": validate_table(pats, own, {"surv_master": surv}),
                "baseline": validate_table(base, RULES["baseline"], {"surv_master": surv})}
     return reduce(DataFrame.unionByName, [df.withColumn("tab", F.lit(n)) for n, df in reports.items()])
+
+
+@query("code_hierarchy", "C19", """
+WITH d AS (SELECT DISTINCT 'I' || CAST(p_partkey % 1000 AS VARCHAR) AS icd10, p_brand AS block, p_size AS chapter FROM part)
+SELECT 'D' || icd10 AS code_lvl4, substr('D' || icd10, 1, 4) AS code_lvl3, block AS code_block, 'Ch' || CAST(chapter AS VARCHAR) AS code_chap FROM d WHERE length(icd10) = 4""")
+def code_hierarchy(spark, sf):
+    """Leaf codes and their parents from a definition table with codes of several lengths."""
+    definitions = table(spark, sf, "part").select(
+        F.concat(F.lit("I"), (F.col("p_partkey") % 1000).cast("string")).alias("icd10"), F.col("p_brand").alias("block"), F.col("p_size").alias("chapter")).distinct()
+    return E.build_code_hierarchy(definitions)

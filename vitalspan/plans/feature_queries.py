@@ -281,6 +281,24 @@ def risk_score_completeness(spark, sf):
     return rounded(missing_rates(v_baseline(spark, sf), list(R.INPUTS.values())), "missing")
 
 
+_IMPUTED = ["age", "pulse", "sys_bp", "crea", "smoking", "killip"]
+
+
+@query("imputed_cells", "H26", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, COUNT({c}) AS known, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS missing, COUNT(*) - COUNT({c}) AS filled FROM v_baseline" for c in _IMPUTED))
+def imputed_cells(spark, sf):
+    """Known cells stay as they are, and none is left missing."""
+    base = settle(v_baseline(spark, sf).select("pid", *_IMPUTED))
+    done = R.impute_forest(base, "pid", _IMPUTED[:4], _IMPUTED[4:], iterations=1, trees=10, depth=4)
+    both = base.join(done.select("pid", *[F.col(c).alias(f"n_{c}") for c in _IMPUTED]), "pid")
+    kind = lambda c: F.col(c).cast("double") if c in _IMPUTED[:4] else F.col(c).cast("string")
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).isNotNull().alias("known"), (~kind(c).eqNullSafe(F.col(f"n_{c}"))).alias("other"),
+                      F.col(f"n_{c}").isNull().alias("missing")) for c in _IMPUTED]
+    return both.select(F.inline(F.array(*cells))).groupBy("name").agg(
+        F.count_if("known").alias("known"), F.count_if(F.col("known") & F.col("other")).alias("changed"), F.count_if("missing").alias("missing"),
+        F.count_if(~F.col("known") & ~F.col("missing")).alias("filled"))
+
+
 @query("impute_forest", "H26")
 def impute_forest(spark, sf):
     return R.impute_forest(v_baseline(spark, sf), "pid", ["age", "pulse", "sys_bp", "crea"], ["smoking", "killip"], iterations=1, trees=10, depth=4)

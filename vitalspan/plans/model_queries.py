@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitalspan.operators import attribution as A
 from vitalspan.operators import features as X
 from vitalspan.operators import hazard as Z
+from vitalspan.plans.attribution_queries import COLLAPSE_SQL
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import v_attributions, v_patients, v_surv
 from vitalspan.session import settle
@@ -98,12 +99,22 @@ def fit_hazard(spark, sf):
     return model.coefficients(spark)
 
 
+@query("hazard_score_equations", "J1", """
+WITH f AS (SELECT unnest(['(intercept)', 'age', 'sex', 'season']) AS feature)
+SELECT CAST(i AS INTEGER) AS interval, feature, CAST(0 AS DOUBLE) AS gradient FROM range(0, 8) t(i), f""")
+def hazard_score_equations(spark, sf):
+    """The fitted model solves the equations of its penalised likelihood (to three decimals of the mean gradient)."""
+    model, features, surv, breaks = _fitted(spark, sf, reg=0.001)
+    out = Z.score_equations(model, features, X.survival_labels(surv.where("train"), breaks), 0.001)
+    return out.withColumn("gradient", F.round("gradient", 3) + F.lit(0.0))
+
+
 @query("cross_validate_hazard", "J2 H24 I18")
 def cross_validate_hazard(spark, sf):
     surv = v_surv(spark, sf).where("train")
     breaks = X.time_breaks(surv, 4, MAX_TIME).first()["breaks"]
     known = X.survival_labels(surv, breaks)
-    return Z.cross_validate(feature_arrays(spark, sf), known, breaks, NAMES, {"reg": [0.0, 0.01]}, k=2, max_iter=20)
+    return Z.cross_validate(feature_arrays(spark, sf), known, breaks, NAMES, {"reg": [0.0, 0.01]}, k=5)
 
 
 @query("cross_validate_study", "J2 H20 H21")
@@ -113,20 +124,53 @@ def cross_validate_study(spark, sf):
     surv = v_surv(spark, sf).where("train")
     breaks = X.time_breaks(surv, 4, MAX_TIME).first()["breaks"]
     tables = {"diagnoses": settle(diagnosis_events(spark, sf))}
-    return Z.cross_validate_study(tables, surv, "001", {"diag_window": [2.0], "diag_level": ["block", "chap"]}, breaks, [0.01], k=2, max_iter=10)
+    return Z.cross_validate_study(tables, surv, "001", {"diag_window": [2.0], "diag_level": ["block", "chap"]}, breaks, [0.01], k=5)
 
 
-@query("attribute_survival", "J5")
+def _attribution_sql(tau: float, rows: int, steps: int) -> str:
+    """Mean gradient of the interpolated survival over background rows and points between them and the patient."""
+    times = GIVEN.breaks[1:]
+    i = max(k for k, t in enumerate(times[:-1]) if t <= tau)
+    share = (tau - times[i]) / (times[i + 1] - times[i])
+    xs = range(1, len(NAMES) + 1)
+    point = {j: f"(b{j} + a * (x{j} - b{j}))" for j in xs}
+    hazard = [f"1 / (1 + exp(-({w[0]} + " + " + ".join(f"{w[j]} * {point[j]}" for j in xs) + ")))" for w in GIVEN.weights]
+    survival = lambda n: " * ".join(f"(1 - h{k})" for k in range(n + 1))
+    slope = lambda j, n: "(" + " + ".join(f"h{k} * {GIVEN.weights[k][j]}" for k in range(n + 1)) + f") * {survival(n)}"
+    cells = " UNION ALL ".join(
+        f"SELECT pid, '{NAMES[j - 1]}' AS feature, AVG(-(x{j} - b{j}) * ((1 - {share}) * {slope(j, i)} + {share} * {slope(j, i + 1)})) AS shap, MAX(x{j}) AS vals FROM g GROUP BY pid" for j in xs)
+    return f"""
+WITH {_INPUT_SQL}, tr AS (SELECT fx.* FROM fx JOIN v_surv USING (pid) WHERE train), te AS (SELECT fx.* FROM fx JOIN v_surv USING (pid) WHERE NOT train),
+bg AS (SELECT {", ".join(f"x{j} AS b{j}" for j in xs)} FROM tr ORDER BY md5(CAST(pid AS VARCHAR)), pid LIMIT {rows}),
+al AS (SELECT (range + 0.5) / {steps}.0 AS a FROM range(0, {steps})),
+g AS (SELECT te.*, bg.*, {", ".join(f"{h} AS h{k}" for k, h in enumerate(hazard))} FROM te, bg, al),
+r AS ({cells}) SELECT pid, feature, {q6("shap", "shap")}, {q6("vals", "vals")}, CAST({tau} AS DOUBLE) AS timepoint FROM r"""
+
+
+@query("attribute_survival", "J5", _attribution_sql(1095.0, 100, 8))
 def attribute_survival(spark, sf):
     features = feature_arrays(spark, sf)
     surv = v_surv(spark, sf)
-    background = Z.sample_background(features.join(surv.where("train").select("pid"), "pid", "left_semi"), 25)
+    background = Z.sample_background(features.join(surv.where("train").select("pid"), "pid", "left_semi"), 100)
     test = features.join(surv.where("NOT train").select("pid"), "pid", "left_semi")
-    return rounded(Z.attribute(GIVEN, test, background, 1095.0), "shap")
+    return rounded(Z.attribute(GIVEN, test, background, 1095.0), "shap", "vals")
+
+
+_LEVELS = ["A", "N", "R", "missing", "A;N", "A;R", "N;R", "A;N;R"]
+
+
+def _cluster_input(spark, sf):
+    medians = A.median_by_level(A.collapse_one_hot(v_attributions(spark, sf)))
+    return medians.where(F.col("text").isin(*_LEVELS))
+
+
+@query("cluster_matrix", "J6 D20", f"""
+WITH {COLLAPSE_SQL}, m AS (SELECT fname, text, quantile_cont(shap, 0.5) AS median FROM col WHERE text IN ({", ".join(f"'{v}'" for v in _LEVELS)}) GROUP BY fname, text)
+SELECT fname, {", ".join(q6(f"COALESCE(MAX(CASE WHEN text = '{v}' THEN median END), 0)", f'"{v}"') for v in _LEVELS)} FROM m GROUP BY fname""")
+def cluster_matrix(spark, sf):
+    return rounded(Z.cluster_matrix(_cluster_input(spark, sf), _LEVELS), *_LEVELS)
 
 
 @query("cluster_features", "J6 D16 D20")
 def cluster_features(spark, sf):
-    collapsed = A.collapse_one_hot(v_attributions(spark, sf))
-    medians = A.median_by_level(collapsed.where(F.col("text").isin("A", "N", "R", "missing")))
-    return rounded(Z.cluster_features(medians, ["A", "N", "R", "missing"], k=6), "A", "N", "R", "missing")
+    return rounded(Z.cluster_features(_cluster_input(spark, sf), _LEVELS, k=6), *_LEVELS)

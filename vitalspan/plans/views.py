@@ -168,9 +168,9 @@ def v_refint(spark, sf):
 
 @_view("v_vitals", """
 SELECT user_id AS pid, event_id, ts, value AS pulse, event_type = 'error' AS flag, TIMESTAMP '2024-01-15 00:00:00' AS index_ts
-FROM events WHERE event_type IN ('view', 'click', 'error')""")
+FROM events""")
 def v_vitals(spark, sf):
-    return table(spark, sf, "events").where(F.col("event_type").isin("view", "click", "error")).select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("pid"), "event_id", "ts", F.col("value").alias("pulse"),
         (F.col("event_type") == "error").alias("flag"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("index_ts"))
 
