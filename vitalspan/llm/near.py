@@ -28,7 +28,7 @@ TREES = 24
 LABEL_HASHES = 10
 TARGET_RECALL = 0.999
 #: Nodes of a block; two blocks are verified together.
-BLOCK_NODES = 512
+BLOCK_NODES = 256
 NODE = "binary"
 
 
