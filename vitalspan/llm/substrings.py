@@ -121,8 +121,11 @@ def _emit(size: int, anchor_words: int, blocks: int) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _factor_block(messages: pa.Table) -> pa.Table:
-    """Factors of all documents relative to one block; messages without runs hold factors that a slice has found itself."""
+def _factor_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Factors of all documents relative to the block of a partition; messages without runs hold what a slice has found itself."""
+    messages = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("runs", pa.binary()), ("windows", pa.binary())]))
+    if not messages.num_rows:
+        return
     unpacker = zstandard.ZstdDecompressor()
     found: list[np.ndarray] = []
     runs, hashes = [], []
@@ -147,7 +150,7 @@ def _factor_block(messages: pa.Table) -> pa.Table:
         known = _repeats(hashed, anchors, ids, starts)
         found.append(np.frombuffer(_factors(ids[known], starts[known], hashed[known]), "<i8").reshape(4, -1))
     rows = np.concatenate(found, axis=1)
-    return pa.table({n: pa.array(rows[i]) for i, n in enumerate(("id", "start", "count", "check"))})
+    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["id", "start", "count", "check"])
 
 
 def factors(docs: DataFrame, size: int = SIZE, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -158,7 +161,8 @@ def factors(docs: DataFrame, size: int = SIZE, anchor_words: int = ANCHOR_WORDS)
     chars = docs.agg(F.sum(F.length("_text"))).collect()[0][0] or 0
     blocks = max(64, chars // BLOCK_CHARS)
     sent = docs.select("_id", "_text").mapInArrow(_emit(size, anchor_words, blocks), "block bigint, runs binary, windows binary")
-    return sent.groupBy("block").applyInArrow(_factor_block, "id bigint, start bigint, count bigint, check bigint")
+    one_each = sent.repartitionById(blocks, F.col("block").cast("int"))
+    return one_each.mapInArrow(_factor_block, "id bigint, start bigint, count bigint, check bigint")
 
 
 def _remove(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
