@@ -40,6 +40,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 def plain(word: str) -> str:
     """A word in lower case without signs at its ends, if anything is left of it."""
     small = word.lower()
+    if small.isalnum():
+        return small
     return _EDGE.sub("", small) or small
 
 
@@ -184,8 +186,9 @@ def _find(texts: pa.Array, index: ItemIndex) -> list[tuple[int, int, float, floa
     half = (known_at - words.starts[row]) // step  # a word is in the passages that begin at its step and at the one before
     code, size = known[known_at], len(index.words) + 1
     later, earlier = half < counts[row], half > 0
-    pairs = np.unique(np.concatenate([
+    pairs = np.sort(np.concatenate([
         (first[row] + half)[later] * size + code[later], (first[row] + half - 1)[earlier] * size + code[earlier]]))
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
     best: dict[tuple[int, int], float] = {}
     for begin in range(0, int(counts.sum()), PASSAGES_AT_ONCE):
         own = pairs[np.searchsorted(pairs, begin * size) : np.searchsorted(pairs, (begin + PASSAGES_AT_ONCE) * size)]
