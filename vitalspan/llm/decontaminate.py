@@ -207,7 +207,11 @@ def _find(texts: pa.Array, index: ItemIndex) -> list[tuple[int, int, float, floa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, unchanged; one pass over the texts, which stay where they are."""
+    """The rows of ``docs`` that contain no item, unchanged; one pass over the texts, which stay where they are.
+
+    Null and empty texts contain none, repeated rows stay or go together, an empty benchmark or table removes nothing, and
+    columns of any name stay as they are.
+    """
     items = benchmark.select(item_text).distinct()
     size = items.agg(F.sum(F.length(item_text))).collect()[0][0] or 0
     if size > MAX_ITEM_CHARS:

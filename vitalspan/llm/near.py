@@ -285,7 +285,10 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
-    """One row of each class of ``join_classes``: that of the smallest id, and of these that of the smallest text hash."""
+    """One row of each class of ``join_classes``: that of the smallest id, and of these that of the smallest text hash.
+
+    Of rows that repeat it one stays. A class of null ids alone keeps one of them. Columns of any name stay as they are.
+    """
     classes = join_classes(docs, doc_id, text, **options)
     chosen = classes.groupBy("class_id").agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("id"), "node")).alias("first"))
     chosen = chosen.select(F.col("first.id").alias("_id"), F.col("first.node").alias("_first"))

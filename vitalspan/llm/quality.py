@@ -107,23 +107,27 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carried: li
     A document fails the base rules with fewer than 50 words or more than half of its words in repeated three-word
     windows. ``kept`` is false for these and for all documents of a host whose shrunk failure rate of some rule exceeds
     ``max_rate``. Null and empty texts have no words and fail. A null host is a host of its own. An empty table gives an
-    empty one, repeated rows are judged each, and a column that has the name of an added one gives way to it.
+    empty one, repeated rows are judged each, a column that has the name of an added one gives way to it, and one
+    whose name begins with an underscore is not carried.
     """
     added = {*COUNTS, "base_failed", "kept", "host_rate"}
-    carried = [c for c in (docs.columns if carried is None else carried) if c != text and c not in added]
-    own = docs.select(*carried, F.col(host).alias("_host"), F.col(text).alias("_raw"))
-    measured = settle(measure(own, "_raw", [*carried, "_host"]))
+    carried = [c for c in (docs.columns if carried is None else carried) if c != text and c not in added and c[:1] != "_"]
+    inner = {c: f"_c{i}" for i, c in enumerate(carried)}
+    own = docs.select(*(F.col(c).alias(n) for c, n in inner.items()), F.col(host).alias("_host"), F.col(text).alias("_raw"))
+    measured = settle(measure(own, "_raw", [*inner.values(), "_host"]))
     hosts = host_verdicts(measured, "_host", max_rate)
     failed = F.col("fails_short") | F.col("fails_repetitive")
     return measured.join(hosts, F.col("_host").eqNullSafe(F.col("verdict_host")), "left").select(
-        *carried, *COUNTS, "host_rate", failed.alias("base_failed"), (~failed & ~F.col("host_rejected")).alias("kept"))
+        *(F.col(n).alias(c) for c, n in inner.items()), *COUNTS, "host_rate", failed.alias("base_failed"),
+        (~failed & ~F.col("host_rejected")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns.
 
     Texts stay where they were read: the second pass over them needs the verdicts of hosts alone, whose table is
-    written first so that the planner knows its size.
+    written first so that the planner knows its size. Null and empty texts fail, null hosts are one host, repeated rows
+    are kept or go together, an empty table gives an empty one, and columns of any name stay as they are.
     """
     measured = settle(measure(docs.select(F.col(host).alias("_host"), F.col(text).alias("_raw")), "_raw", ["_host"]))
     rejected = settle(host_verdicts(measured, "_host", max_rate).where("host_rejected").select("verdict_host"))

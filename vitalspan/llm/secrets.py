@@ -257,10 +257,10 @@ def scan(docs: DataFrame, formats: Formats, text: str = "text", carried: list[st
     """The carried columns (default: all but the text) and ``spans``: start, end (code points, end exclusive), kind, bits.
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty one; a carried column
-    named ``spans`` gives way to the result.
+    named ``spans`` gives way to the result, and one whose name begins with an underscore is not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
-    carried = [c for c in (docs.columns if carried is None else carried) if c not in (text, "spans")]
+    carried = [c for c in (docs.columns if carried is None else carried) if c not in (text, "spans") and c[:1] != "_"]
     source = docs.select(*carried, F.col(text).cast("string").alias("_text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text"]
 

@@ -222,10 +222,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", carried: list[str]
     """The carried columns (default: all but the text) with ``score`` (0 to 1) and ``evidence``, the nearest examples.
 
     Null and empty texts, and texts without any of the terms, get the share of toxic ones among such examples and no
-    evidence. Repeated rows are scored each; an empty table gives an empty one; columns of the added names give way.
+    evidence. Repeated rows are scored each; an empty table gives an empty one; columns of the added names give way,
+    and those whose names begin with an underscore are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [c for c in (docs.columns if carried is None else carried) if c not in (text, "score", "evidence")]
+    carried = [c for c in (docs.columns if carried is None else carried) if c not in (text, "score", "evidence") and c[:1] != "_"]
     source = docs.select(*carried, F.col(text).cast("string").alias("_text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text"]
 
