@@ -19,6 +19,7 @@ HEADLINE = [
     "procedure_codes_common", "closest_vital", "multi_hot_diagnoses", "polygenic_features", "risk_score", "survival_labels",
     "interp_survival", "concordance", "td_auc", "auc_over_time", "brier_ipa", "calibration_20", "bootstrap_auc",
     "global_importance", "collapse_one_hot", "cumulative_contribution", "fingerprint_matches",
+    "td_auc_continuous", "hazard_score_equations", "attribute_survival", "imputed_cells",
 ]
 
 

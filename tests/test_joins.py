@@ -55,6 +55,15 @@ def test_nearest_lookup_takes_the_lower_value_on_a_tie(spark):
     assert found == {("t", 15.0): 1.0, ("t", 15.1): 2.0, ("t", -5.0): 1.0, ("t", 99.0): 2.0, ("t", None): None, ("w", 1.0): None}
 
 
+def test_nearest_lookup_against_brute_force(spark):
+    rng = random.Random(8)
+    points = [(k, rng.randrange(200) / 2, rng.randrange(5)) for k in "ab" for _ in range(40)]
+    rows = [(k, rng.randrange(-20, 240) / 2) for k in "abc" for _ in range(60)] + [("a", None), (None, 1.0)]
+    out = J.nearest_lookup_join(spark.createDataFrame(rows, "k STRING, x DOUBLE"), "x", spark.createDataFrame(points, "k STRING, at DOUBLE, o INT"), ["k"], "at", "o")
+    best = lambda k, x: None if x is None else min(((abs(a - x), a, o) for q, a, o in points if q == k), default=(0, 0, None))[2]
+    assert sorted(map(repr, map(tuple, out.select("k", "x", "o").collect()))) == sorted(repr((k, x, best(k, x))) for k, x in rows)
+
+
 def test_bracket_join(spark):
     brackets = spark.createDataFrame([(0.0, 7.0, "a"), (7.0, 27.0, "b"), (30.0, 40.0, "c"), (240.0, None, "d")], "`from` DOUBLE, `to` DOUBLE, band STRING")
     rows = spark.createDataFrame([(v,) for v in (0.0, 0.1, 7.0, 7.5, 28.0, 40.0, 240.0, 241.0, None, 7.0)], "x DOUBLE")

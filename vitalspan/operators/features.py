@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.scalars import min_max, split_feature
-from vitalspan.operators.ordered import BLOCK_ROWS, random_rank, running
+from vitalspan.operators.ordered import BLOCK_ROWS, quantiles, random_rank, running
 from vitalspan.operators.reshape import to_long, value_kind, with_group_stats
 from vitalspan.session import settle
 
@@ -175,11 +175,12 @@ def winsorize(df: DataFrame, by: Sequence[str], value: str, limit: float, block_
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_w"))
     ranked = running(counts, by, [value], {"_cum": ("sum", "_w")}, block_rows=block_rows)
+    ranked = settle(ranked)
     sized = with_group_stats(ranked, by, {"_n": F.sum("_w")})
     k = F.floor(F.col("_n") * F.lit(float(limit)))
-    bounds = sized.groupBy(*by).agg(
+    bounds = settle(sized.groupBy(*by).agg(
         F.min(F.when(F.col("_cum") > k, F.col(value))).alias("_lo"),
-        F.min(F.when(F.col("_cum") >= F.col("_n") - k, F.col(value))).alias("_hi"))
+        F.min(F.when(F.col("_cum") >= F.col("_n") - k, F.col(value))).alias("_hi")))
     clamped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")))
     return df.join(bounds, list(by)).withColumn(value, clamped).drop("_lo", "_hi")
 
@@ -355,13 +356,12 @@ def feature_dictionary(features: DataFrame, long: DataFrame, *definitions: DataF
 
 
 def time_breaks(surv: DataFrame, n_intervals: int, max_time: float, train_only: bool = True, start_at_zero: bool = False) -> DataFrame:
-    """One row with the percentile grid of event times. Whole-day times keep the percentile buffer small."""
+    """One row with the percentile grid of event times, exact for any number of distinct times."""
     rows = surv.where(F.col("event") & (F.col("time") <= max_time))
     if train_only:
         rows = rows.where("train")
     probs = [i / n_intervals for i in range(n_intervals + 1)]
-    breaks = F.percentile(F.col("time").cast("double"), F.array(*[F.lit(p) for p in probs]))
-    out = rows.agg(breaks.alias("breaks"))
+    out = quantiles(rows.select(F.col("time").cast("double").alias("time")), [], "time", probs, "breaks")
     if start_at_zero:
         out = out.select(F.concat(F.array(F.lit(0.0)), F.slice("breaks", 2, n_intervals)).alias("breaks"))
     return out

@@ -111,13 +111,27 @@ def last_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], keep: Se
 def nearest_lookup_join(df: DataFrame, value: str, lookup: DataFrame, on: Sequence[str], at: str, out: str) -> DataFrame:
     """Take ``out`` from the lookup row of the same key whose ``at`` is nearest; on a tie the lower ``at``.
 
-    The lookup becomes one sorted array per key, so a row is matched by an expression instead of by a row per
-    candidate. Spark broadcasts the grouped lookup when its real size allows.
+    Distinct values and points are merged in one order per key; a running maximum carries the last point up to each value,
+    a running minimum from above the next one, and the rows meet their value again in an equi-join. So a key may have any
+    number of points and rows. Of equal points the smallest ``out`` counts.
     """
-    grouped = lookup.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(out).alias("o")))).alias("_pts"))
-    x = F.col(value)
-    best = F.array_min(F.transform("_pts", lambda p: F.struct(F.abs(p["a"] - x), p["a"], p["o"].alias("o"))))
-    return df.join(grouped, list(on), "left").withColumn(out, F.when(x.isNotNull(), best["o"])).drop("_pts")
+    keys = list(on)
+    values = settle(df.select(*keys, F.col(value).cast("double").alias("_at")).where("_at IS NOT NULL").distinct())
+    points = lookup.groupBy(*keys, F.col(at).cast("double").alias("_at")).agg(F.min(out).alias("_o"))
+    points = settle(points.select(*keys, "_at", F.struct(F.col("_at").alias("a"), F.col("_o").alias("o")).alias("_p")))
+    def carried(kind: str, side: int, descending: bool) -> DataFrame:
+        both = values.withColumn("_side", F.lit(side)).unionByName(points.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+        return running(both, keys, ["_at", "_side"], {"_near": (kind, F.col("_p"))}, descending=descending).where(F.col("_side") == side)
+    below = carried("max", 1, False).select(*keys, "_at", F.col("_near").alias("_below"))
+    above = carried("min", -1, True).select(*keys, "_at", F.col("_near").alias("_above"))
+    met = [below[c].eqNullSafe(above[c]) for c in [*keys, "_at"]]
+    pairs = below.join(above, reduce(lambda x, y: x & y, met)).select(*[below[c].alias(f"_k_{c}") for c in keys], below["_at"].alias("_x"), "_below", "_above")
+    low, high = F.col("_x") - F.col("_below.a"), F.col("_above.a") - F.col("_x")
+    nearest = F.when(F.col("_above").isNull() | (low <= high), F.col("_below.o")).otherwise(F.col("_above.o"))
+    found = pairs.select(*[f"_k_{c}" for c in keys], "_x", nearest.alias("_found"))
+    joined = df.withColumn("_v", F.col(value).cast("double"))
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_k_{c}") for c in keys], F.col("_v") == F.col("_x"))
+    return joined.join(found, same, "left").withColumn(out, F.col("_found")).drop("_v", "_x", "_found", *[f"_k_{c}" for c in keys])
 
 
 def bracket_join(df: DataFrame, value: str, brackets: DataFrame, out: str, lo: str = "from", hi: str = "to") -> DataFrame:

@@ -97,7 +97,11 @@ def bootstrap_auc(weighted: DataFrame, by: Sequence[str], n: int = 100, key: str
     """
     cases, controls = (F.sum(F.when(F.col(c), F.col("w")).otherwise(0.0)).alias(f"_{c}") for c in ("case", "control"))
     rows = weighted.where(F.col(risk).isNotNull()).groupBy(*by, key, F.col(risk).cast("double").alias("_risk")).agg(cases, controls)
-    rows = with_blocks(rows.where("_case > 0 OR _control > 0"), by, ["_risk"], block_rows).withColumn("_weights", replicate_weights(key, n))
+    rows = settle(rows.where("_case > 0 OR _control > 0"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    keys = rows.select(key).distinct().repartition(tasks, key)  # few bytes but much hashing: not to be merged into one task
+    weights = keys.withColumn("_weights", replicate_weights(key, n))  # models and horizons share them
+    rows = with_blocks(rows, by, ["_risk"], block_rows).join(weights, key)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     group = [*by, "_block"]
 

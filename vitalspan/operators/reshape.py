@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.aggregates import missing_share
+from vitalspan.session import settle
 
 
 def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, name: str = "name",
@@ -29,21 +30,24 @@ def tagged_union(frames: dict[str, DataFrame], tag: str = "source") -> DataFrame
 
 
 def share_within(df: DataFrame, value: str, by: Sequence[str], out: str, scale: float = 1.0) -> DataFrame:
-    """Value over the group total. The totals are aggregated and joined, so no group is gathered in one task."""
+    """Value over the group total. The totals are aggregated and joined, so no group is gathered in one task.
+
+    They are settled, so that the planner knows their size before it decides to move the long side.
+    """
     if not by:
         total = df.agg(F.sum(value).alias("_total")).withColumn("_k", F.lit(0))
         joined = df.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
     else:
-        joined = df.join(df.groupBy(*by).agg(F.sum(value).alias("_total")), list(by))
+        joined = df.join(settle(df.groupBy(*by).agg(F.sum(value).alias("_total"))), list(by))
     return joined.withColumn(out, F.try_divide(F.col(value) * F.lit(scale), F.col("_total"))).drop("_total")
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column]) -> DataFrame:
-    """Repeat group aggregates on every row (aggregate and join; a hot group is split by the join)."""
+    """Repeat group aggregates on every row: aggregate, settle, and join by the true size of the small side."""
     if not by:
         one = df.agg(*[c.alias(n) for n, c in stats.items()]).withColumn("_k", F.lit(0))
         return df.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
-    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
+    return df.join(settle(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])), list(by))
 
 
 def distinct_keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
