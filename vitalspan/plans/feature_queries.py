@@ -301,7 +301,7 @@ def imputed_cells(spark, sf):
 
 @query("impute_forest", "H26")
 def impute_forest(spark, sf):
-    return R.impute_forest(v_baseline(spark, sf), "pid", ["age", "pulse", "sys_bp", "crea"], ["smoking", "killip"], iterations=1, trees=10, depth=4)
+    return R.impute_forest(v_baseline(spark, sf), "pid", _IMPUTED[:4], _IMPUTED[4:])
 
 
 @query("feature_dictionary", "H28 B7 D1 D18 C2", """
