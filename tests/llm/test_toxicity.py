@@ -36,6 +36,14 @@ def test_neighbours_are_exact():
         np.testing.assert_allclose(true[near], cosine)
 
 
+def test_all_parts_of_the_index(monkeypatch):
+    monkeypatch.setattr(t, "BLOCK_EXAMPLES", 8)
+    monkeypatch.setattr(t, "HEAD_TERMS", 20)
+    for few in (0, 10**9):  # remaining blocks by themselves, or all of them together
+        monkeypatch.setattr(t, "FEW_BLOCKS", few)
+        test_neighbours_are_exact()
+
+
 def _corpus(spark, n):
     rng = random.Random(9)
     plain = [f"word{i}" for i in range(400)]
@@ -58,6 +66,16 @@ def test_held_out_documents(spark):
     assert all(e.label == 1 for r in rows if r.toxic for e in r.evidence[:1])
 
 
+def test_every_example_and_term_counts(spark):
+    docs = _corpus(spark, 300)
+    twin = docs.where("doc_id < 20").selectExpr("doc_id + 1000 AS doc_id", "text")  # most have no telling term at all
+    model = t.fit(docs.select("doc_id", "text").union(twin), docs.select("doc_id", "toxic"))
+    assert sorted(model.index.ids.tolist()) == list(range(300))
+    assert {f"word{i}" for i in range(400)} <= set(model.index.terms)
+    for r in t.score(twin, model).collect():
+        assert r.evidence[0].id == r.doc_id - 1000 and abs(r.evidence[0].cosine - 1) < 1e-9 and len(r.evidence) == t.NEIGHBOURS
+
+
 def test_terms():
     row, term, often, names = t.document_terms(pa.array(["Idiots, idiots! a", None, "", "... idiotic"]))
     found = {(r, names[k]): n for r, k, n in zip(row.tolist(), term.tolist(), often.tolist(), strict=True)}

@@ -1,19 +1,25 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and beginnings of words, of which those stay that labelled examples of one class have far more often. The
-examples are kept in an inverted index whose postings lie in blocks of examples with the largest weight of each term and
-block. A document's bound in a block is the sum of its terms' block maxima; blocks are scored in the order of their bounds
-until no bound reaches the k-th best cosine, so the neighbours are exact. Their votes, weighted by cosine and shrunk towards
-the share of toxic examples, are the score; the neighbours are the evidence.
+Terms are words and beginnings of words. All terms of all examples are indexed; one that labelled examples of one class have
+more often weighs more, by its likelihood ratio, and none is left out. Terms of very many or of few examples are scored for
+every example; the postings of the others lie in blocks of examples with the largest weight of each term and block. A
+document's bound in a block is the best score so far of an example in it and the sum of its other terms' block maxima;
+the blocks of the best bounds are scored first, then all whose bounds reach the k-th best score, so the neighbours are exact.
+Their votes, weighted by cosine and shrunk towards the share of toxic examples, are the score; the neighbours are the
+evidence. A document's length is taken over the terms that examples have, as the others have no counted frequency; this
+changes no order of neighbours.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +29,19 @@ from vitalspan.session import settle
 
 #: Labelled rows that are learned from at most: those of smallest hash of their id.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4096
 PREFIXES = (4, 5, 6)
-#: A term stays if so many examples have it, and as many as this share of the smaller class (what a few copies of one text
-#: have is no sign), and one class this many times as often as the other, beyond chance (a likelihood ratio of twice the
-#: logarithm of the number of terms).
-MIN_EXAMPLES = 3
-MIN_SHARE = 0.01
-MIN_LIFT = 3.0
 NEIGHBOURS = 25
-BLOCK_EXAMPLES = 64
+BLOCK_EXAMPLES = 256
+#: Terms of one in so many examples are columns of a matrix (of so many columns at most); terms of fewer examples than a
+#: block has get no block maxima. Both change the layout only.
+HEAD_SHARE = 16
+HEAD_TERMS = 512
+#: Blocks that are scored before all others, for a first bound, and the largest share of block maxima, one in so many, up to
+#: which the remaining blocks are scored by themselves.
+FIRST_BLOCKS = 4
+FEW_BLOCKS = 5
+#: Documents whose scores in the matrix are computed together.
+TOGETHER = 64
 #: Weight of the examples' share of toxic ones, in neighbours of cosine 1.
 PRIOR_WEIGHT = 1.0
 _SIGNS = ".,;:!?|#$%&*\"'()[]{}<>-_"
@@ -44,21 +53,39 @@ def terms_of(word: str) -> list[str]:
     return [small, *(f"{small[:n]}~" for n in PREFIXES if len(small) > n)] if small else []
 
 
-def document_terms(texts: pa.Array, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+class Terms:
+    """Spelled terms and their numbers; kept as one Arrow array, as there may be millions."""
+
+    def __init__(self, spelled: pa.Array):
+        self.spelled = spelled
+
+    def __len__(self) -> int:
+        return len(self.spelled)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.spelled.to_pylist())
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each name; -1 for others."""
+        return pc.fill_null(pc.index_in(pa.array(names, pa.string()), value_set=self.spelled), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def document_terms(texts: pa.Array, known: Terms | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(row, term, frequency) of the distinct terms of each text, and the terms; only ``known`` ones if given."""
     words = split_words(texts)
-    numbers: dict[str, int] = {} if known is None else known
-    lists = []
-    for w in words.vocabulary.to_pylist():
-        own = terms_of(w)
-        lists.append([numbers.setdefault(t, len(numbers)) for t in own] if known is None else [known[t] for t in own if t in known])
+    numbers: dict[str, int] = {}
+    lists = [[numbers.setdefault(t, len(numbers)) for t in terms_of(w)] for w in words.vocabulary.to_pylist()]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     flat = np.array([t for x in lists for t in x], dtype=np.int64)
     counts = sizes[words.codes]
     place = np.arange(counts.sum()) + np.repeat((np.cumsum(sizes) - sizes)[words.codes] - np.cumsum(counts) + counts, counts)
     width = max(1, len(numbers))
     keys, often = np.unique(np.repeat(words.rows, counts) * width + flat[place], return_counts=True)
-    return keys // width, keys % width, often, list(numbers) if known is None else []
+    if known is None:
+        return keys // width, keys % width, often, list(numbers)
+    term = known.numbers(list(numbers))[keys % width] if numbers else keys
+    found = term >= 0
+    return keys[found] // width, term[found], often[found], []
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,42 +100,61 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*(batch.column(c) for c in ("_id", "_text", "_toxic")), pa.array(least.view(np.int64))], ["_id", "_text", "_toxic", "_sketch"])
 
 
-def _term_counts(known: dict[str, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In each slice the numbers of documents, and of toxic ones, that have a term."""
+    for batch in sliced(batches, "_text"):
+        row, term, _, names = document_terms(batch.column("_text"))
+        toxic = batch.column("_toxic").to_numpy(zero_copy_only=False)
+        n, t = np.bincount(term, minlength=len(names)), np.bincount(term, toxic[row], minlength=len(names))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(t.astype(np.int64), pa.int64())], ["term", "n", "t"])
+
+
+def _known_counts(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In each slice the numbers of documents that have a known term, by the term's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(known, key=known.__getitem__) if known is not None else []
         for batch in sliced(batches, "_text"):
-            row, term, _, found = document_terms(batch.column("_text"), known)
-            toxic = batch.column("_toxic").to_numpy(zero_copy_only=False)
-            n, t = np.bincount(term), np.bincount(term, toxic[row])
+            n = np.bincount(document_terms(batch.column("_text"), known.value)[1])
             some = np.flatnonzero(n)
-            spelled = names or found
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([spelled[i] for i in some.tolist()], pa.string()), pa.array(n[some], pa.int64()),
-                 pa.array(t[some].astype(np.int64), pa.int64())], ["term", "n", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["term", "n"])
 
     return run
 
 
 class ExampleIndex:
-    """A block-max inverted index of labelled examples with unit TF-IDF vectors."""
+    """A block-max inverted index of labelled examples with unit vectors; ``idf`` is the weight of each term."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], base: float):
+    def __init__(self, terms: Collection[str], idf: np.ndarray, examples: list[tuple[int, int, Sequence[int], Sequence[int]]], base: float):
         self.terms, self.idf, self.base = terms, idf, base
-        vectors = [(i, y, np.array(t), self.weights(np.array(t), np.array(n))) for i, y, t, n in examples]
+        vectors = [(i, y, np.asarray(t, np.int32), self.weights(np.asarray(t), np.asarray(n))) for i, y, t, n in examples]
         vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))  # alike ones share a block
         self.ids, self.labels = np.array([v[0] for v in vectors], dtype=np.int64), np.array([v[1] for v in vectors], dtype=np.int64)
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK_EXAMPLES)
-        term = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        at = np.repeat(np.arange(self.n), [len(v[2]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        term = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, np.int32)
+        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[2]) for v in vectors])
         weight = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((at, term))
+        del vectors
+        holders = np.bincount(term, minlength=len(terms))
+        heads = np.flatnonzero(holders * HEAD_SHARE >= max(1, self.n))
+        heads = heads[np.argsort(-holders[heads], kind="stable")[:HEAD_TERMS]]
+        self.column = np.full(len(terms), -1, dtype=np.int32)
+        self.column[heads] = np.arange(len(heads))
+        self.dense = np.zeros((len(heads), self.n))
+        inside = self.column[term] >= 0
+        self.dense[self.column[term[inside]], at[inside]] = weight[inside]
+        term, at, weight = term[~inside], at[~inside], weight[~inside]
+        order = np.argsort(term, kind="stable")
         term, self.at, self.weight = term[order], at[order], weight[order]
-        key = term * max(1, self.blocks) + self.at // BLOCK_EXAMPLES
-        pair, first = np.unique(key, return_index=True)
-        self.pair_block, self.pair_range = pair % max(1, self.blocks), np.append(first, len(key))
-        self.pair_max = np.maximum.reduceat(self.weight, first) if len(key) else np.zeros(0)
+        self.range = np.searchsorted(term, np.arange(len(terms) + 1))
+        self.blocked = (holders >= BLOCK_EXAMPLES) & (self.column < 0)
+        posting = np.flatnonzero(self.blocked[term])
+        key = term[posting].astype(np.int64) * max(1, self.blocks) + self.at[posting] // BLOCK_EXAMPLES
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        pair = key[first]
+        self.pair_block = (pair % max(1, self.blocks)).astype(np.int32)
+        self.pair_start, self.pair_end = posting[first], posting[np.append(first[1:], len(key)) - 1] + 1 if len(key) else first
+        self.pair_max = np.maximum.reduceat(self.weight[posting], first) if len(key) else np.zeros(0)
         self.term_range = np.searchsorted(pair, np.arange(len(terms) + 1) * max(1, self.blocks))
 
     def weights(self, term: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -117,26 +163,62 @@ class ExampleIndex:
 
     def nearest(self, term: np.ndarray, often: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (all positive ones if fewer), ties in index order, and the cosines."""
-        weight = self.weights(term, often)
+        return next(self.nearest_each([(term, often)], k))
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each query."""
+        for begin in range(0, len(queries), TOGETHER):
+            some = [(term, self.weights(term, often)) for term, often in queries[begin : begin + TOGETHER]]
+            own = np.zeros((len(some), len(self.dense)))
+            for i, (term, weight) in enumerate(some):
+                column = self.column[term]
+                own[i, column[column >= 0]] = weight[column >= 0]
+            for (term, weight), cosine in zip(some, own @ self.dense, strict=True):
+                rest = self.column[term] < 0
+                yield self._nearest(term[rest], weight[rest], cosine, k)
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``cosine`` has the sums over the terms of the matrix."""
+        if not self.n:
+            return np.zeros(0, np.int64), cosine
+        blocked = self.blocked[term]
+        cosine = cosine + self._sums(self.range[term[~blocked]], self.range[term[~blocked] + 1], weight[~blocked])
+        term, weight = term[blocked], weight[blocked]
         which, pair = _ranges(self.term_range[term], self.term_range[term + 1])
         block = self.pair_block[pair]
-        bound = np.bincount(block, weight[which] * self.pair_max[pair], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        cosine = np.zeros(self.n)
-        least, begin, step = 0.0, 0, 4
-        while begin < self.blocks and bound[order[begin]] > 0 and bound[order[begin]] * (1 + 1e-9) >= least:
-            now = np.zeros(self.blocks, dtype=bool)
-            now[order[begin : begin + step]] = True
-            chosen = now[block]
-            again, posting = _ranges(self.pair_range[pair[chosen]], self.pair_range[pair[chosen] + 1])
-            cosine += np.bincount(self.at[posting], weight[which[chosen]][again] * self.weight[posting], minlength=self.n)
-            begin, step = begin + step, 2 * step
-            if (cosine > 0).sum() >= k:
-                least = np.partition(cosine, self.n - k)[self.n - k]
-        best = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
+        bound = np.maximum.reduceat(cosine, np.arange(0, self.n, BLOCK_EXAMPLES))
+        bound = bound + np.bincount(block, weight[which] * self.pair_max[pair], minlength=self.blocks)
+        k = min(k, self.n)
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        sums = cosine + self._block_sums(first, block, pair, which, weight)
+        least = np.partition(sums, self.n - k)[self.n - k]  # sums of some terms are no larger than cosines
+        able = ~first & (bound > 0) & (bound * (1 + 1e-9) >= least)
+        if able[block].sum() * FEW_BLOCKS <= len(block):
+            cosine = sums + self._block_sums(able, block, pair, which, weight)
+        else:  # whole ranges of postings are read faster than parts of them
+            cosine = cosine + self._sums(self.range[term], self.range[term + 1], weight)
+        least = np.partition(cosine, self.n - k)[self.n - k]
+        able = np.flatnonzero(cosine >= least - 2e-12)
+        best = able[np.argsort(-np.round(cosine[able], 12), kind="stable")[:k]]
         best = best[cosine[best] > 0]
         return best, cosine[best]
 
+    def _sums(self, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Each example's sum over ranges of postings, which are copied whole."""
+        if not len(starts):
+            return np.zeros(self.n)
+        ranges = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        products = np.concatenate([self.weight[r] for r in ranges])
+        products *= np.repeat(weight, ends - starts)
+        return np.bincount(np.concatenate([self.at[r] for r in ranges]), products, minlength=self.n)
+
+    def _block_sums(self, chosen: np.ndarray, block: np.ndarray, pair: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Each example's sum over the postings that lie in the chosen blocks."""
+        own = chosen[block]
+        again, posting = _ranges(self.pair_start[pair[own]], self.pair_end[pair[own]])
+        return np.bincount(self.at[posting], weight[which[own]][again] * self.weight[posting], minlength=self.n)
+
     def score(self, neighbours: np.ndarray, cosine: np.ndarray) -> float:
         votes = float((cosine * self.labels[neighbours]).sum())
         return (votes + PRIOR_WEIGHT * self.base) / (float(cosine.sum()) + PRIOR_WEIGHT)
@@ -151,7 +233,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    """The index, and the share of toxic examples among those without any of its terms."""
+    """The index, and the share of toxic examples among those without any term."""
 
     index: ExampleIndex
     silent: float
@@ -161,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         most: int = MAX_EXAMPLES) -> Model:
     """Learns from at most ``most`` labelled rows, those of smallest hash of their id; rows that repeat an id are toxic if one is.
 
-    Only labelled rows, terms and counts of terms reach the driver: ``most`` rows with their chosen terms, and
-    ``MAX_TERMS`` terms. How many documents have a term is counted over all of ``docs``.
+    Only labelled rows and their terms reach the driver: ``most`` rows as numbers of terms, and each term with its counts.
+    How many documents have a term is counted over all of ``docs``.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("_id")).agg(
         F.max(F.col(label).cast("long")).alias("_toxic"))
@@ -173,42 +255,43 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     examples = settle(labelled.groupBy("_sketch", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("e")).select("e.*", "_toxic"))
     totals = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).collect()[0]
     n, toxic = int(totals[0]), int(totals[1])
-    counted = examples.select("_text", "_toxic").mapInArrow(_term_counts(None), "term string, n bigint, t bigint")
-    table = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(
-        F.col("n") >= max(MIN_EXAMPLES, MIN_SHARE * min(toxic, n - toxic)))
-    inside, outside = (F.col("t") + 0.5) / (toxic + 1), (F.col("n") - F.col("t") + 0.5) / (n - toxic + 1)
+    counted = examples.select("_text", "_toxic").mapInArrow(_term_counts, "term string, n bigint, t bigint")
+    table = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     base = (toxic + 0.5) / (n + 1)
     gain = lambda count, share: F.when(count > 0, count * F.log(count / (F.col("n") * share))).otherwise(0.0)
-    table = settle(table.withColumn("g", 2 * (gain(F.col("t"), base) + gain(F.col("n") - F.col("t"), 1 - base))))
-    least = 2 * np.log(max(2, table.count()))  # a term that tells nothing passes by chance once in all terms, about
-    telling = table.where((F.col("g") >= least) & ((inside >= MIN_LIFT * outside) | (outside >= MIN_LIFT * inside)))
-    terms = [r["term"] for r in telling.orderBy(F.col("g").desc(), "term").limit(MAX_TERMS).select("term").collect()]
-    numbers = {t: i for i, t in enumerate(sorted(terms))}
-    every = texts.select("_text", F.lit(0).cast("long").alias("_toxic"))
-    spread = every.mapInArrow(_term_counts(numbers), "term string, n bigint, t bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    idf = np.ones(len(numbers))
-    rows = spread.collect() if numbers else []
-    total = texts.count()
-    for r in rows:
-        idf[numbers[r["term"]]] = 1 + np.log((1 + total) / (1 + r["n"]))
-    vectors = examples.mapInArrow(_vectors(numbers), "id bigint, toxic bigint, terms array<bigint>, often array<bigint>").collect()
-    own = [(r["id"], r["toxic"], r["terms"], r["often"]) for r in vectors]
-    spoken = sum(r[1] for r in own)
-    return Model(ExampleIndex(numbers, idf, own, (toxic + 0.1) / (n + 1)), (toxic - spoken + 0.1) / (n - len(own) + 1))
-
-
-def _vectors(known: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ratio = F.greatest(F.lit(0.0), 2 * (gain(F.col("t"), base) + gain(F.col("n") - F.col("t"), 1 - base)))
+    rows = table.select("term", ratio.alias("g")).toArrow().sort_by("term")
+    terms = Terms(_whole(rows["term"]))
+    by_chance = 2 * np.log(max(2, len(terms)))  # a term that tells nothing reaches this once in all terms, about
+    telling = 1 + rows["g"].to_numpy() / by_chance
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    spread = texts.select("_text").mapInArrow(_known_counts(shared), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    idf = np.ones(len(terms))
+    idf[spread["term"].to_numpy()] = 1 + np.log((1 + texts.count()) / (1 + spread["n"].to_numpy()))
+    vectors = examples.mapInArrow(_vectors(shared), "id bigint, toxic bigint, terms array<int>, often array<int>").toArrow()
+    ids, labels_of = vectors["id"].to_pylist(), vectors["toxic"].to_pylist()
+    parts = [[x.values.to_numpy()[a:b] for x in vectors[c].chunks for a, b in pairwise(x.offsets.to_numpy())] for c in ("terms", "often")]
+    own = list(zip(ids, labels_of, *parts, strict=True))
+    spoken = sum(labels_of)
+    return Model(ExampleIndex(terms, idf * telling, own, (toxic + 0.1) / (n + 1)), (toxic - spoken + 0.1) / (n - len(own) + 1))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([pa.array([], column.type), *column.chunks])
+
+
+def _vectors(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The terms of the examples that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            row, term, often, _ = document_terms(batch.column("_text"), known)
+            row, term, often, _ = document_terms(batch.column("_text"), known.value)
             has, begins = np.unique(row, return_index=True)
             offsets = pa.array(np.append(begins, len(row)), pa.int32())
             take = pa.array(has)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(take), batch.column("_toxic").take(take),
-                 pa.ListArray.from_arrays(offsets, pa.array(term, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(often, pa.int64()))],
+                 pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(often, pa.int32()))],
                 ["id", "toxic", "terms", "often"])
 
     return run
@@ -221,7 +304,7 @@ _EVIDENCE = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int64()), ("cos
 def score(docs: DataFrame, model: Model, text: str = "text", carried: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all but the text) with ``score`` (0 to 1) and ``evidence``, the nearest examples.
 
-    Null and empty texts, and texts without any of the terms, get the share of toxic ones among such examples and no
+    Null and empty texts, and texts that share no term with any example, get the share of toxic ones among such examples and no
     evidence. Repeated rows are scored each; an empty table gives an empty one; columns of the added names give way,
     and those whose names begin with an underscore are not carried.
     """
@@ -237,8 +320,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", carried: list[str]
             scores, evidence = np.full(batch.num_rows, silent), [[] for _ in range(batch.num_rows)]
             has, begins = np.unique(row, return_index=True)
             ends = np.append(begins, len(row))[1:]
-            for i, a, b in zip(has.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                near, cosine = index.nearest(term[a:b], often[a:b])
+            queries = [(term[a:b], often[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            for i, (near, cosine) in zip(has.tolist(), index.nearest_each(queries), strict=True):
                 if len(near):
                     scores[i] = index.score(near, cosine)
                     evidence[i] = [{"id": int(index.ids[e]), "label": int(index.labels[e]), "cosine": float(c)}
