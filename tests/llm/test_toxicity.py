@@ -76,6 +76,17 @@ def test_every_example_and_term_counts(spark):
         assert r.evidence[0].id == r.doc_id - 1000 and abs(r.evidence[0].cosine - 1) < 1e-9 and len(r.evidence) == t.NEIGHBOURS
 
 
+def test_rows_with_a_shared_passage_stay_examples(spark):
+    shared, rng = " ".join(f"same{i}" for i in range(30)), random.Random(2)
+    own = [" ".join(rng.choices([f"word{i}" for i in range(400)], k=20)) for _ in range(60)]
+    rows = [(i, f"{shared} {x}", i % 2) for i, x in enumerate(own)] + [(100 + i, "equal texts are votes each", 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = t.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert sorted(model.index.ids.tolist()) == sorted(r[0] for r in rows) and abs(model.index.base - 39.1 / 70) < 1e-9
+    near = t.score(docs.where("doc_id = 104"), model).collect()[0]
+    assert [e.id for e in near.evidence if e.cosine > 0.999] == list(range(100, 109)) and near.score > 0.9
+
+
 def test_terms():
     row, term, often, names = t.document_terms(pa.array(["Idiots, idiots! a", None, "", "... idiotic"]))
     found = {(r, names[k]): n for r, k, n in zip(row.tolist(), term.tolist(), often.tolist(), strict=True)}

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.near import shingles
+from vitalspan.llm.near import node_of
 from vitalspan.llm.texts import sliced, split_words
 from vitalspan.session import settle
 
@@ -88,18 +88,6 @@ def document_terms(texts: pa.Array, known: Terms | None = None) -> tuple[np.ndar
     return keys[found] // width, term[found], often[found], []
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest hash of each text's five-word shingles, which most copies share; texts without words have none."""
-    for batch in sliced(batches, "_text"):
-        own, begins = shingles(batch.column("_text"), 5)
-        least = np.zeros(batch.num_rows, dtype=np.uint64)
-        full = np.flatnonzero(np.diff(begins))
-        if len(full):
-            least[full] = np.minimum.reduceat(own, begins[full])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("_id", "_text", "_toxic")), pa.array(least.view(np.int64))], ["_id", "_text", "_toxic", "_sketch"])
-
-
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In each slice the numbers of documents, and of toxic ones, that have a term."""
     for batch in sliced(batches, "_text"):
@@ -250,14 +238,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         F.max(F.col(label).cast("long")).alias("_toxic"))
     chosen = settle(known.orderBy(F.xxhash64("_id"), "_id").limit(most))  # so many rows at most, hence broadcast
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    labelled = texts.join(F.broadcast(chosen), "_id").mapInArrow(_sketched, "_id bigint, _text string, _toxic bigint, _sketch bigint")
-    # Copies are one example of each label: what they share would otherwise look like a sign.
-    examples = settle(labelled.groupBy("_sketch", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("e")).select("e.*", "_toxic"))
-    totals = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).collect()[0]
-    n, toxic = int(totals[0]), int(totals[1])
-    counted = examples.select("_text", "_toxic").mapInArrow(_term_counts, "term string, n bigint, t bigint")
+    examples = settle(texts.join(F.broadcast(chosen), "_id"))  # every row is an example, equal texts too
+    # In the choice of weights equal texts are one of each label: what they share would otherwise look like a sign.
+    different = settle(examples.groupBy(node_of(F.col("_text")).alias("_node"), "_toxic").agg(F.min("_text").alias("_text")))
+    rows = [d.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).collect()[0] for d in (examples, different)]
+    (n, toxic), (texts_n, texts_toxic) = [(int(r[0]), int(r[1])) for r in rows]
+    counted = different.select("_text", "_toxic").mapInArrow(_term_counts, "term string, n bigint, t bigint")
     table = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    base = (toxic + 0.5) / (n + 1)
+    base = (texts_toxic + 0.5) / (texts_n + 1)
     gain = lambda count, share: F.when(count > 0, count * F.log(count / (F.col("n") * share))).otherwise(0.0)
     ratio = F.greatest(F.lit(0.0), 2 * (gain(F.col("t"), base) + gain(F.col("n") - F.col("t"), 1 - base)))
     rows = table.select("term", ratio.alias("g")).toArrow().sort_by("term")
