@@ -12,6 +12,7 @@ changes no order of neighbours.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
@@ -115,26 +116,44 @@ class ExampleIndex:
 
     def __init__(self, terms: Collection[str], idf: np.ndarray, examples: list[tuple[int, int, Sequence[int], Sequence[int]]], base: float):
         self.terms, self.idf, self.base = terms, idf, base
-        vectors = [(i, y, np.asarray(t, np.int32), self.weights(np.asarray(t), np.asarray(n))) for i, y, t, n in examples]
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))  # alike ones share a block
-        self.ids, self.labels = np.array([v[0] for v in vectors], dtype=np.int64), np.array([v[1] for v in vectors], dtype=np.int64)
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK_EXAMPLES)
-        term = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, np.int32)
-        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[2]) for v in vectors])
-        weight = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0)
-        del vectors
-        holders = np.bincount(term, minlength=len(terms))
+        lengths = [self._length(np.asarray(t), np.asarray(n)) for _, _, t, n in examples]
+        # alike ones share a block
+        alike = sorted(range(len(examples)), key=lambda e: (lengths[e][1], examples[e][0]))
+        self.ids = np.array([examples[e][0] for e in alike], dtype=np.int64)
+        self.labels = np.array([examples[e][1] for e in alike], dtype=np.int64)
+        self.lengths = np.array([lengths[e][0] for e in alike])
+        self.n, self.blocks = len(alike), -(-len(alike) // BLOCK_EXAMPLES)
+        term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(examples[e][2], np.int32) for e in alike)])
+        order = np.argsort(term, kind="stable")
+        self.range = np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
+        del term
+        self.at = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), [len(examples[e][2]) for e in alike])[order]
+        self.often = np.concatenate([np.zeros(0, np.int32), *(np.asarray(examples[e][3], np.int32) for e in alike)])[order]
+        self.often = self.often.astype(np.min_scalar_type(self.often.max(initial=0)))
+        self.dense: np.ndarray | None = None  # until the first query, as the postings are what is shipped
+
+    def _length(self, term: np.ndarray, often: np.ndarray) -> tuple[float, int]:
+        """The length of a vector before it is cut to 1, and its term of largest weight."""
+        raw = (1 + np.log(often)) * self.idf[term]
+        return float(np.sqrt((raw * raw).sum())), int(term[np.argmax(raw)])
+
+    def _open(self) -> None:
+        """Weights, matrix and block maxima of the postings."""
+        holders = np.diff(self.range)
+        term = np.repeat(np.arange(len(holders), dtype=np.int32), holders)
+        weight = (1 + np.log(self.often.astype(np.float64))) * self.idf[term] / self.lengths[self.at]
         heads = np.flatnonzero(holders * HEAD_SHARE >= max(1, self.n))
         heads = heads[np.argsort(-holders[heads], kind="stable")[:HEAD_TERMS]]
-        self.column = np.full(len(terms), -1, dtype=np.int32)
+        self.column = np.full(len(holders), -1, dtype=np.int32)
         self.column[heads] = np.arange(len(heads))
         self.dense = np.zeros((len(heads), self.n))
-        inside = self.column[term] >= 0
-        self.dense[self.column[term[inside]], at[inside]] = weight[inside]
-        term, at, weight = term[~inside], at[~inside], weight[~inside]
-        order = np.argsort(term, kind="stable")
-        term, self.at, self.weight = term[order], at[order], weight[order]
-        self.range = np.searchsorted(term, np.arange(len(terms) + 1))
+        for i, head in enumerate(heads.tolist()):
+            own = slice(self.range[head], self.range[head + 1])
+            self.dense[i, self.at[own]] = weight[own]
+        rest = self.column[term] < 0
+        term, self.at, self.weight = term[rest], self.at[rest].astype(np.int32), weight[rest]
+        self.range = np.append(0, np.cumsum(np.where(self.column < 0, holders, 0)))
+        del self.often
         self.blocked = (holders >= BLOCK_EXAMPLES) & (self.column < 0)
         posting = np.flatnonzero(self.blocked[term])
         key = term[posting].astype(np.int64) * max(1, self.blocks) + self.at[posting] // BLOCK_EXAMPLES
@@ -143,7 +162,12 @@ class ExampleIndex:
         self.pair_block = (pair % max(1, self.blocks)).astype(np.int32)
         self.pair_start, self.pair_end = posting[first], posting[np.append(first[1:], len(key)) - 1] + 1 if len(key) else first
         self.pair_max = np.maximum.reduceat(self.weight[posting], first) if len(key) else np.zeros(0)
-        self.term_range = np.searchsorted(pair, np.arange(len(terms) + 1) * max(1, self.blocks))
+        self.term_range = np.searchsorted(pair, np.arange(len(holders) + 1) * max(1, self.blocks))
+
+    def __reduce__(self) -> tuple:
+        """Compressed, as every executor keeps a copy on disk."""
+        state = pickle.dumps(self.__dict__, pickle.HIGHEST_PROTOCOL)
+        return _unpacked, (pa.compress(state, "zstd", asbytes=True), len(state))
 
     def weights(self, term: np.ndarray, often: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(often)) * self.idf[term]
@@ -155,6 +179,8 @@ class ExampleIndex:
 
     def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The nearest examples of each query."""
+        if self.dense is None:
+            self._open()
         for begin in range(0, len(queries), TOGETHER):
             some = [(term, self.weights(term, often)) for term, often in queries[begin : begin + TOGETHER]]
             own = np.zeros((len(some), len(self.dense)))
@@ -212,6 +238,12 @@ class ExampleIndex:
         return (votes + PRIOR_WEIGHT * self.base) / (float(cosine.sum()) + PRIOR_WEIGHT)
 
 
+def _unpacked(state: bytes, size: int) -> ExampleIndex:
+    index = ExampleIndex.__new__(ExampleIndex)
+    index.__dict__.update(pickle.loads(pa.decompress(state, size, "zstd", asbytes=True)))
+    return index
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ranges of positions: the range and the position of each."""
     counts = ends - starts
