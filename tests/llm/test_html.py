@@ -65,3 +65,23 @@ def test_hosts_vote(spark):
     hosts = {r.host: r.host_path for r in html.host_paths(pages).collect()}
     assert hosts == {"host.example": "/body/div.body-#", "": "/main"}
     assert html.extract(pages.limit(0)).count() == 0
+
+
+LAYOUTS = [
+    f"<body><div class='post'><h1>Head line</h1><div class='text'>{P}{P}</div></div></body>",
+    f"<body><div class='content'><div class='intro'>{P}</div><div class='body'>{P}{P}</div></div></body>",
+    f"<body><main><div class='intro'>{P}</div><div class='body'>{P}{P}{P}</div></main></body>",
+    f"<body><article><h1>Head line</h1><p>A lead of more than five words.</p><div><div class='body'>{P}{P}</div></div></article></body>",
+]
+WHOLE = [f"Head line\n\n{T}\n\n{T}", f"{T}\n\n{T}\n\n{T}", "\n\n".join([T] * 4), f"Head line\n\nA lead of more than five words.\n\n{T}\n\n{T}"]
+
+
+def test_nothing_outside_the_best_container_is_lost(spark):
+    rows = [(i, f"https://h{i}.example/", page) for i, page in enumerate(LAYOUTS)]
+    rows += [(10 + i, "https://two.example/", f"<body><div class='a'>{P}{P}</div></body>") for i in range(5)]
+    rows += [(20 + i, "https://two.example/", f"<body><div class='a'>short</div><main>{P}{P}</main></body>") for i in range(3)]
+    links = "".join(f"<li><a href='/{i}'>A link of some more words, number {i}</a></li>" for i in range(9))
+    rows += [(30, "https://links.example/", f"<body><div class='b'>{P}</div><div class='c'><ul>{links}</ul></div></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == WHOLE
+    assert all(got[20 + i] == f"{T}\n\n{T}" for i in range(3)) and got[30] == T

@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page's containers are scored by the prose they hold, and the page votes for the generalised path of tags and classes
-of its best one. Spark sums the votes of a host and keeps the winning path; every page is then read again by the path that
-won at its host, or by its own best container where the page has nothing under that path.
+Each page's containers are scored by the prose they hold; from the best one the page goes out to the outermost container
+that adds prose or headings but few links, and votes for its generalised path of tags and classes. Spark sums the votes of a
+host and keeps the winning path; every page is then read again by the path that won at its host, or by its own container
+where the page has clearly less under that path (a host may have several templates).
 """
 
 from __future__ import annotations
@@ -49,6 +50,15 @@ NOT_ASIDE = frozenset("no has with without not".split())
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
         "option": {"option"}}
 WEIGHT = {"article": 4, "main": 3}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A step outwards may add one character of links to so many characters, and counts if it adds a heading or a block of so
+#: many words.
+LINK_SHARE = 2
+PROSE_WORDS = 5
+#: A page keeps its own container where that has so many times the prose under the host's path and other pages of the host
+#: have the same one, or so many times where none has.
+MORE_PROSE = 1.25
+FAR_MORE_PROSE = 5
 
 
 @dataclass
@@ -57,12 +67,15 @@ class Container:
     parent: int
     tag: str
     score: int = 0
+    length: int = 0
+    linked: int = 0
+    prose: int = 0  # blocks that are prose or headings
 
 
 @dataclass
 class Page:
     containers: list[Container] = field(default_factory=list)
-    blocks: list[tuple[str, int, int]] = field(default_factory=list)  # text, its container, characters of links
+    blocks: list[tuple[str, int, int, bool]] = field(default_factory=list)  # text, its container, characters of links, heading
 
     def ancestors(self, container: int) -> Iterator[int]:
         while container >= 0:
@@ -71,7 +84,7 @@ class Page:
 
     def best(self) -> Container | None:
         """The container of most prose: a block counts for its container, and half as much a step further out."""
-        for text, container, linked in self.blocks:
+        for text, container, linked, _ in self.blocks:
             worth = 4 * max(0, len(text) - 2 * linked)
             for c in self.ancestors(container):
                 self.containers[c].score += worth * WEIGHT.get(self.containers[c].tag, 2) // 2
@@ -79,9 +92,40 @@ class Page:
         scored = [c for c in self.containers if c.score > 0]
         return max(scored, key=lambda c: (c.score, -len(c.path)), default=None)
 
+    def whole(self) -> Container | None:
+        """The outermost container around the best one to which each step adds prose or a heading and little link text."""
+        best = self.best()
+        if best is None:
+            return None
+        for text, container, linked, heading in self.blocks:
+            c = self.containers[container]
+            c.linked += linked
+            c.length += len(text)
+            c.prose += heading or len(text.split()) >= PROSE_WORDS and 2 * linked <= len(text)
+        for c in reversed(self.containers):  # parents come first
+            if c.parent >= 0:
+                out = self.containers[c.parent]
+                out.length, out.linked, out.prose = out.length + c.length, out.linked + c.linked, out.prose + c.prose
+        kept = inner = best
+        while inner.parent >= 0 and inner.tag != "main":
+            out = self.containers[inner.parent]
+            if inner.tag == "article" and not any(self.containers[a].tag == "main" for a in self.ancestors(inner.parent)):
+                break
+            if LINK_SHARE * (out.linked - inner.linked) > out.length - inner.length:
+                break
+            if out.prose > inner.prose:
+                kept = out
+            inner = out
+        return kept
+
+    def prose(self, path: str | None) -> int:
+        """Characters outside links of the blocks under the path."""
+        inside = {i for i, c in enumerate(self.containers) if c.path == path}
+        return sum(len(t) - linked for t, c, linked, _ in self.blocks if not inside.isdisjoint(self.ancestors(c)))
+
     def text(self, path: str | None) -> str:
         inside = {i for i, c in enumerate(self.containers) if c.path == path}
-        return "\n\n".join(t for t, c, _ in self.blocks if not inside.isdisjoint(self.ancestors(c)))
+        return "\n\n".join(t for t, c, *_ in self.blocks if not inside.isdisjoint(self.ancestors(c)))
 
 
 def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
@@ -114,7 +158,7 @@ def read_page(source: str | None) -> Page:
         if pieces:
             text = " ".join(references.unescape("".join(pieces)).split())
             if text:
-                page.blocks.append((text, container(), min(linked, len(text))))
+                page.blocks.append((text, container(), min(linked, len(text)), any(s[0] in HEADINGS for s in stack)))
             pieces.clear()
         linked = 0
 
@@ -194,7 +238,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "_html"):
         votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
         for host, source in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-            if best := read_page(source).best():
+            if best := read_page(source).whole():
                 cast = votes[host, best.path]
                 cast[0] += 1
                 cast[1] += best.score
@@ -207,27 +251,33 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "_html"):
         texts, paths = [], []
-        for source, path in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist(), strict=True):
+        for source, path, others in zip(*(batch.column(c).to_pylist() for c in ("_html", "_path", "_others")), strict=True):
             page = read_page(source)
             text = page.text(path) if path is not None else ""
-            if not text:
-                best = page.best()
-                path = best.path if best else None
-                text = page.text(path) if best else ""
+            own = page.whole()
+            more = MORE_PROSE if own and own.path in (others or ()) else FAR_MORE_PROSE
+            if own and (not text or page.prose(own.path) > more * page.prose(path)):
+                path = own.path
+                text = page.text(path)
             texts.append(text)
             paths.append(path if text else None)
-        rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_html", "_path", "_host")]
+        rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_html", "_path", "_others", "_host")]
         yield pa.RecordBatch.from_arrays(
             [c for _, c in rest] + [pa.array(texts, pa.string()), pa.array(paths, pa.string())], [n for n, _ in rest] + ["text", "path"])
 
 
 def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """The winning path of each host: (host, host_path); most votes, then most prose, then the later path by name."""
+    """The winning path of each host: (host, host_path, others); most votes, then most prose, then the later path by name.
+
+    ``others`` are the paths that more than one page voted for.
+    """
     votes = pages.select(host_of(F.col(url)).alias("_host"), F.col(source).cast("string").alias("_html")).mapInArrow(
         _votes, "_host string, path string, votes bigint, score bigint")
     summed = votes.groupBy("_host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    return summed.groupBy(F.col("_host").alias("host")).agg(F.max(F.struct("votes", "score", "path")).alias("won")).select(
-        "host", F.col("won.path").alias("host_path"))
+    return summed.groupBy(F.col("_host").alias("host")).agg(
+        F.max(F.struct("votes", "score", "path")).alias("won"),
+        F.collect_list(F.when(F.col("votes") > 1, F.col("path"))).alias("others")).select(
+        "host", F.col("won.path").alias("host_path"), "others")
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", carried: list[str] | None = None) -> DataFrame:
@@ -238,7 +288,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", carried: l
     read each; pages without a host vote together; an empty table gives an empty one; a column that has the name of an
     added one gives way to it, and one whose name begins with an underscore is not carried. The table of winning paths is written before the join, so that the planner knows its size.
     """
-    won = settle(host_paths(pages, url, source)).toDF("_of", "_path")
+    won = settle(host_paths(pages, url, source)).toDF("_of", "_path", "_others")
     carried = [c for c in (pages.columns if carried is None else carried) if c not in (source, "text", "path") and c[:1] != "_"]
     own = pages.select(*carried, host_of(F.col(url)).alias("_host"), F.col(source).cast("string").alias("_html"))
     joined = own.join(won, F.col("_host") == F.col("_of"), "left").drop("_of")
