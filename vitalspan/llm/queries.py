@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, html, near, packing, quality, secrets, substrings, toxicity, warc
+from vitalspan.llm import chat, decontaminate, html, interactions, lloyd, near, packing, quality, secrets, substrings, toxicity, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -177,6 +177,84 @@ def toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         nearest.alias("evidence"))
 
 
+def sharded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole vector's cluster after five rounds of sharded Lloyd, with the inertias and the centroid's digest."""
+    found = lloyd.cluster(table(spark, sf_dir, "embeddings"))
+    return lloyd.described(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _sharded_clusters_sql() -> str:
+    """The rounds written out one after the other."""
+    parts = ["""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+cells AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT r AS c, i, x FROM cells WHERE r < 40)"""]
+    for n in range(6):
+        parts.append(f"""
+d{n} AS (SELECT cells.r, c, sum((cells.x - c{n}.x) * (cells.x - c{n}.x))::BIGINT AS d FROM cells JOIN c{n} USING (i) GROUP BY cells.r, c),
+a{n} AS MATERIALIZED (SELECT r, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < 5:
+            parts.append(f"""
+s{n} AS (SELECT c, i, sum(cells.x)::BIGINT AS s, count(*) AS n FROM cells JOIN a{n} USING (r) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.c, c{n}.i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN s{n} USING (c, i))""")
+    return f"""
+WITH {",".join(parts)},
+digest AS (SELECT c, sha256(string_agg(x::BIGINT, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN a5 USING (r) JOIN digest USING (c)
+"""
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in every order of them."""
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+FILTER_INTERACTIONS_SQL = r"""
+WITH label AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+own AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+doc AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    [len(words) < 200, 100 * list_unique(words) < 50 * len(words),
+     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM own LEFT JOIN label USING (doc_id)),
+kind AS (SELECT part, good, bad, fails, count(*) AS n FROM doc GROUP BY ALL),
+letter AS (SELECT unnest(range(1, 6)) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, s.step FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+outcome AS (
+  SELECT part, o, step, o[step] AS f, n, good, bad, fails[o[step]] AS now,
+    coalesce(list_bool_or(list_transform(o[1:step - 1], lambda g: fails[g])), false) AS gone,
+    len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM kind, steps),
+total AS (
+  SELECT part, o, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT now AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE now AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE now AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE now AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE now AND NOT gone AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (WHERE now AND NOT gone AND bad), 0)::BIGINT AS toxic_lost
+  FROM outcome GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step::INTEGER AS step,
+  kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM total
+"""
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op2_near_duplicates": LlmQuery(near_duplicates),
@@ -188,4 +266,6 @@ QUERIES: dict[str, LlmQuery] = {
     "op8_host_quality": LlmQuery(host_quality, HOST_QUALITY_SQL),
     "op9_benchmark_leaks": LlmQuery(benchmark_leaks),
     "op10_chat_format": LlmQuery(chat_format, CHAT_FORMAT_SQL),
+    "op11_sharded_clusters": LlmQuery(sharded_clusters, _sharded_clusters_sql()),
+    "op12_filter_interactions": LlmQuery(filter_interactions, FILTER_INTERACTIONS_SQL),
 }
