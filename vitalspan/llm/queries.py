@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import chat, decontaminate, html, interactions, lloyd, near, packing, quality, secrets, substrings, toxicity, warc
+from vitalspan.llm import chat, decontaminate, html, interactions, language, lloyd, near, packing, quality, secrets, substrings, toxicity, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -255,6 +255,12 @@ FROM total
 """
 
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of each document under the word counts and under the attention model."""
+    return language.score_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_secret_grammars": LlmQuery(secret_grammars),
     "op2_near_duplicates": LlmQuery(near_duplicates),
@@ -268,4 +274,5 @@ QUERIES: dict[str, LlmQuery] = {
     "op10_chat_format": LlmQuery(chat_format, CHAT_FORMAT_SQL),
     "op11_sharded_clusters": LlmQuery(sharded_clusters, _sharded_clusters_sql()),
     "op12_filter_interactions": LlmQuery(filter_interactions, FILTER_INTERACTIONS_SQL),
+    "op13_language_scores": LlmQuery(language_scores),
 }
