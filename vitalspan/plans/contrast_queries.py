@@ -24,17 +24,17 @@ def _ablated_sql() -> str:
     chosen = {n: tuple(f"m{j + 1}" if j in own else f"x{j + 1}" for j in range(3)) for n, own in {"full": [], **_ABLATED}.items()}
     curves = ", ".join(_curve_sql(f"c_{n}", "fx, md", x) for n, x in chosen.items())
     rows = " UNION ALL ".join(
-        f"SELECT pid, '{n}' AS model, CAST({t} AS DOUBLE) AS tau, {_tau_sql(t)} AS pred FROM c_{n}" for n in chosen for t in _HORIZONS)
+        f"SELECT pid, '{n}' AS model, CAST({t} AS DOUBLE) AS tau, round({_tau_sql(t)}, 9) AS pred FROM c_{n}" for n in chosen for t in _HORIZONS)
     values = ", ".join(f"({t})" for t in _HORIZONS)
     return f"taus AS (SELECT CAST(col0 AS DOUBLE) AS tau FROM (VALUES {values})), {_INPUT_SQL}, {medians}, {curves}, interp AS ({rows})"
 
 
 def _ablated(spark, sf):
-    """The test patients under every ablated model, weighted at all horizons."""
+    """All patients under every ablated model, weighted at all horizons; values are rounded, so that equal ones are equal everywhere."""
     features = feature_arrays(spark, sf)
     train = features.join(v_surv(spark, sf).where("train").select("pid"), "pid", "left_semi")
     scored = Z.ablate_features(GIVEN, features, Z.training_medians(train, NAMES), _ABLATED, _HORIZONS)
-    rows = scored.select("pid", F.col("feature").alias("model"), "tau", (1 - F.col("surv")).alias("risk"))
+    rows = scored.select("pid", F.col("feature").alias("model"), "tau", (1 - F.round("surv", 9)).alias("risk"))
     return M.ipcw(settle(rows), v_surv(spark, sf), list(_HORIZONS))
 
 
