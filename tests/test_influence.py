@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators import influence as I
 from vitalspan.operators import metrics as M
+from vitalspan.operators import resample as B
 
 TAU = 6.0
 
@@ -93,3 +94,14 @@ def test_a_score_and_a_time_of_most_rows(spark):
     weighted, _ = _weighted(spark, rows)
     a, b = (sorted((r.model, r.pid, round(r.influence, 9)) for r in I.influence(weighted, ["model", "tau"], "auc", block_rows=n).collect()) for n in (4, 1 << 20))
     assert a == b
+
+
+@pytest.mark.parametrize("block_rows", [1 << 6, 1 << 16])
+def test_bootstrap_of_shared_scores(spark, block_rows):
+    """One score of a third of the rows, some of a few rows, most of one: the same as with all replicates written out."""
+    rows = [(i, 9 if i % 3 else 1 + i % 7, i % 5 != 0, 0.5 if i % 3 == 1 else (i % 89 if i % 2 else i) / 601, (i * 37 % 101) / 101) for i in range(600)]
+    weighted, _ = _weighted(spark, rows)
+    got = {(r.model, r.replicate): r.auc for r in B.bootstrap_auc(weighted, ["model", "tau"], 12, block_rows=block_rows).collect()}
+    plain = M.td_auc(B.with_replicates(weighted, "pid", 12), ["model", "tau", "replicate"], weight="w_boot")
+    want = {(r.model, r.replicate): r.auc for r in plain.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)

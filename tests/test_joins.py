@@ -21,6 +21,54 @@ def test_interval_join_filters_after_the_left_join(spark, mode, kept):
     assert sorted(r["id"] for r in out.collect()) == sorted(kept)
 
 
+def _valid(x, lo, hi):
+    """BETWEEN in three-valued logic, unknown as true."""
+    low = None if x is None or lo is None else lo <= x
+    high = None if x is None or hi is None else x <= hi
+    return low is not False and high is not False
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "string", "timestamp"])
+def test_interval_join_against_all_pairs(spark, kind):
+    rng = random.Random(4)
+    make = {"double": float, "date": lambda x: dt.date(2000, 1, 1) + dt.timedelta(x), "string": lambda x: f"v{x:05d}",
+            "timestamp": lambda x: dt.datetime(2000, 1, 1) + dt.timedelta(hours=x)}[kind]
+    def bound(x):
+        return None if rng.random() < 0.1 else make(x)
+    lookup = []
+    for i in range(150):
+        a = rng.randrange(2000)
+        lookup.append((rng.choice(["a", "a", "b", None]), bound(a), bound(a + rng.choice([-3, 0, 0, 1, 5, 40, 700, 5000])), i, rng.choice([None, 1, 2])))
+    events = [(rng.choice(["a", "a", "b", "none", None]), None if rng.random() < 0.05 else make(rng.randrange(-50, 2500)), rng.randrange(4), rng.randrange(3)) for _ in range(300)]
+    events += events[:20]  # equal rows count each
+    left = spark.createDataFrame(events, f"k STRING, x {kind}, z INT, e INT")
+    right = spark.createDataFrame(lookup, f"k STRING, lo {kind}, hi {kind}, v INT, top INT")
+    pairs = [[r[3] for r in lookup if e[0] is not None and r[0] == e[0] and _valid(e[1], r[1], r[2]) and _valid(e[2], None, r[4])] for e in events]
+    has_key = [e[0] in {r[0] for r in lookup if r[0]} for e in events]
+    want = {
+        "drop": [(e, v) for e, vs in zip(events, pairs) for v in vs],
+        "no_key_only": [(e, v) for e, vs, k in zip(events, pairs, has_key) for v in (vs if k else [None])],
+        "keep": [(e, v) for e, vs in zip(events, pairs) for v in vs or [None]]}
+    for mode, rows in want.items():
+        got = J.interval_join(left, right.withColumn("low_top", F.lit(None).cast("int")), ["k"], [("x", "lo", "hi"), ("z", "low_top", "top")], mode).collect()
+        assert sorted(repr(((r.k, r.x, r.z, r.e), r.v)) for r in got) == sorted(map(repr, rows))
+
+
+def test_interval_join_of_a_key_with_a_million_intervals(spark):
+    """Events of one key meet the few intervals of their cells: narrow ones, wide ones and half-open ones."""
+    n = 1_000_000
+    i = F.col("id")
+    high = F.when(i % 1000 == 0, i + 20_000).when(i % 250_000 != 1, i + 1)
+    lookup = spark.range(n).select(F.lit("k").alias("k"), i.cast("double").alias("lo"), high.cast("double").alias("hi"), i.alias("v"))
+    events = spark.range(0, n, 100).select(F.lit("k").alias("k"), (i + 0.5).alias("x"))
+    found = J.interval_join(events, lookup, ["k"], [("x", "lo", "hi")], "drop")
+    got = {r.x: r.n for r in found.groupBy("x").agg(F.count("*").alias("n")).collect()}
+    open_ended = [1, 250_001, 500_001, 750_001]
+    for e in range(0, n, 100):
+        wide = sum(1 for w in range(max(0, (e - 20_000) // 1000 * 1000), e + 1, 1000) if w <= e + 0.5 <= w + 20_000)
+        assert got[e + 0.5] == wide + (e % 1000 != 0) + sum(o < e for o in open_ended)
+
+
 def test_one_sided_flags_and_age_window(spark):
     patients = spark.createDataFrame([(1, day("2010-01-10"), 50.0, True)], "pid BIGINT, index_date DATE, age DOUBLE, sex BOOLEAN")
     cases = {"low1": (10.0, None, 5.0), "high1": (None, 40.0, 50.0), "two_low": (10.0, 40.0, 5.0), "inside": (10.0, 40.0, 20.0), "none": (None, None, 5.0), "late": (10.0, None, 5.0)}

@@ -71,6 +71,16 @@ def test_fill_edge_runs(spark):
     assert out == [5, 5, 5, 7, 7, None, None]
 
 
+def test_fill_of_a_long_group(spark):
+    """A million rows of one group, known at few places: each row is looked at once each way."""
+    n = 1_000_000
+    known = F.when(F.col("id") % 250_000 == 125_000, F.col("id"))
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("o"), known.alias("x"))
+    filled = fill_downup(df, ["g"], ["o"], ["x"], 1 << 24)
+    last = F.greatest(F.floor((F.col("o") - 125_000) / 250_000), F.lit(0)) * 250_000 + 125_000
+    assert filled.where(F.col("x") != last).count() == 0 and filled.where("x IS NULL").count() == 0
+
+
 @pytest.mark.parametrize("block_rows", [11, 1 << 20])
 def test_quantiles_match_linear_interpolation(rows, block_rows):
     pdf, df = rows

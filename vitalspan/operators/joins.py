@@ -57,23 +57,105 @@ def keep_groups(df: DataFrame, by: Sequence[str], condition: Column) -> DataFram
     return df.join(good, list(by), "left_semi")
 
 
+#: Cells of each grid are this many times as wide as those of the one before.
+GRID_STEP = 16
+#: An event whose value is unknown is valid for all rows of its key; these are dealt to so many cells.
+UNKNOWN_CELLS = 16
+
+
+def _position(c: Column, kind: str) -> Column:
+    """A number that never falls as the value rises, for the types that ranges come in; NaN is above all others."""
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    number = (c.cast("timestamp") if kind == "timestamp_ntz" else c).cast("double")
+    return F.nanvl(number, F.lit(float("inf")))
+
+
+def _compared_as(kinds: Sequence[str]) -> str | None:
+    """The type that values of these types are cast to when they are compared, where they are of different kinds."""
+    if len({*kinds}) == 1:
+        return None
+    if any(k.startswith("timestamp") for k in kinds):
+        return "timestamp"
+    return next((k for k in kinds if k != "string"), None) if "string" in kinds else None
+
+
+def _grid(lookup: DataFrame, on: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """Per key ``_grid``: where its finite bounds begin and end, and the finest cell, the span divided by the number of rows."""
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    least = F.min(F.least(finite(low), finite(high)))
+    most = F.max(F.greatest(finite(low), finite(high)))
+    ends = lookup.dropna(subset=list(on)).groupBy(*on).agg(
+        F.coalesce(least, F.lit(0.0)).alias("a"), F.coalesce(most, F.lit(0.0)).alias("b"), F.count(F.lit(1)).alias("n"))
+    cell = F.greatest((F.col("b") - F.col("a")) / F.col("n"), F.lit(1e-6))
+    return ends.select(*on, F.struct("a", "b", cell.alias("cell")).alias("_grid"))
+
+
+def _held(position: Column) -> Column:
+    """Positions beyond the key's finite bounds count as one cell before or after them."""
+    held = F.greatest(F.least(position, F.col("_grid.b") + F.col("_grid.cell")), F.col("_grid.a") - F.col("_grid.cell"))
+    return F.when(position.isNotNull(), held)
+
+
+def _cell(position: Column, level: Column) -> Column:
+    return F.floor((position - F.col("_grid.a")) / (F.col("_grid.cell") * F.pow(F.lit(float(GRID_STEP)), level)))
+
+
 def interval_join(
     events: DataFrame, lookup: DataFrame, on: Sequence[str], ranges: Sequence[tuple[str, str, str]],
     unmatched: str = "no_key_only",
 ) -> DataFrame:
     """Attach lookup rows valid for an event: equal keys and every ``(value, low, high)`` range containing the value.
 
-    NULL bounds are open. ``unmatched`` says which events survive without a valid lookup row: ``no_key_only``
-    keeps events whose key has no lookup row at all, ``drop`` none of them, ``keep`` all of them.
+    NULL bounds are open and a NULL value is in every range. ``unmatched`` says which events survive without a valid
+    lookup row: ``no_key_only`` keeps events whose key has no lookup row at all, ``drop`` none of them, ``keep`` all.
+
+    The first range is indexed. Each key has grids of growing cells; an interval is listed in the first one whose cells
+    are as wide as itself, so in three cells at most, and an event looks up one cell in each grid that its key
+    uses. An event meets the rows of these cells only, and each of them once, however many intervals its key has.
     """
-    valid = reduce(lambda a, b: a & b, [between_or_unknown(v, lo, hi) for v, lo, hi in ranges])
-    if unmatched == "drop":
-        return events.join(lookup, list(on), "inner").where(valid)
+    if unmatched not in ("no_key_only", "drop", "keep"):
+        raise ValueError(f"unmatched {unmatched!r}")
+    on = list(on)
+    value, lo, hi = ranges[0]
+    valid = reduce(lambda a, b: a & b, [between_or_unknown(v, low, high) for v, low, high in ranges])
+    kinds = {**dict(lookup.dtypes), **dict(events.dtypes)}
+    kind = _compared_as([kinds[c] for c in (value, lo, hi)])
+    at, low, high = (_position(F.col(c).cast(kind) if kind else F.col(c), kind or kinds[c]) for c in (value, lo, hi))
+    out = [*on, *[c for c in events.columns if c not in on], *[c for c in lookup.columns if c not in on]]
+
+    gridded = lookup.join(_grid(lookup, on, low, high), on)
+    begin, end = F.coalesce(_held(low), F.col("_grid.a") - F.col("_grid.cell")), F.coalesce(_held(high), F.col("_grid.b") + F.col("_grid.cell"))
+    level = F.greatest(F.ceil(F.log(F.greatest((end - begin) / F.col("_grid.cell"), F.lit(1.0))) / F.log(F.lit(float(GRID_STEP)))), F.lit(0)).cast("int")
+    leveled = gridded.withColumns({"_begin": begin, "_end": end}).withColumn("_level", level)
+    grids = leveled.where("_begin <= _end").groupBy(*on).agg(F.first("_grid").alias("_grid"), F.collect_set("_level").alias("_levels"))
+    cells = F.when(F.col("_begin") <= F.col("_end"), F.transform(
+        F.sequence(_cell(F.col("_begin"), F.col("_level")), _cell(F.col("_end"), F.col("_level"))),
+        lambda c: F.struct(F.col("_level").alias("l"), c.alias("c")))).otherwise(F.array().cast("array<struct<l:int,c:bigint>>"))
+    anywhere = F.struct(F.lit(-1).alias("l"), F.pmod(F.xxhash64(*lookup.columns), F.lit(UNKNOWN_CELLS)).alias("c"))
+    listed = leveled.withColumn("_at", F.explode(F.concat(cells, F.array(anywhere))))
+    listed = listed.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in lookup.columns if c not in on], F.col("_at.l").alias("_l"), F.col("_at.c").alias("_c"))
+
+    if unmatched == "keep":  # an event that matches nothing has to be told from its equals
+        events = settle(events.withColumn("_event", F.monotonically_increasing_id()))
+    keyed = lookup.select(*on).dropna().distinct().join(grids, on, "left").withColumn("_known", F.lit(True))
+    probed = events.join(keyed, on, "left" if unmatched == "no_key_only" else "inner")
+    position = _held(at)
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(UNKNOWN_CELLS - 1)), lambda c: F.struct(F.lit(-1).alias("l"), c.cast("bigint").alias("c")))
+    own = F.transform("_levels", lambda n: F.struct(n.alias("l"), _cell(position, n).alias("c")))
+    probes = F.when(F.col("_known") & F.col(value).isNull(), everywhere).otherwise(own)
+    spread = probed.withColumn("_probe", F.explode_outer(probes)).drop("_grid", "_levels")
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in on], (F.col("_probe.l") == F.col("_l")) & (F.col("_probe.c") == F.col("_c")))
     if unmatched == "no_key_only":
-        return events.join(lookup, list(on), "left").where(valid)
-    keyed = lookup.withColumnsRenamed({c: f"_k_{c}" for c in on})
-    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in on])
-    return events.join(keyed, match & valid, "left").drop(*[f"_k_{c}" for c in on])
+        return spread.join(listed, same, "left").where(F.col("_known").isNull() | (F.col("_l").isNotNull() & valid)).select(*out)
+    matched = spread.join(listed, same).where(valid)
+    if unmatched == "drop":
+        return matched.select(*out)
+    rest = events.join(matched.select("_event").distinct(), "_event", "left_anti")
+    absent = {c: F.lit(None).cast(t) for c, t in lookup.dtypes if c not in on}
+    return matched.select(*out).unionByName(rest.withColumns(absent).select(*out))
 
 
 def nearest_before_else_after(

@@ -106,7 +106,8 @@ def running(
 def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill missing values with the last known one before, else the first known one after, within each group.
 
-    One shuffle and one sort by group and block; values crossing a block border come from the small offset table.
+    One shuffle by group and block, and one sort in either direction: the next known value is the last one met on the
+    way back, so each row is looked at once each way. Values crossing a block border come from the small offset table.
     """
     rows = with_blocks(df, by, order, block_rows)
     by = list(by) or ["_all"]
@@ -121,10 +122,11 @@ def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], columns:
         *[F.last(f"_l_{c}", True).over(earlier).alias(f"_d_{c}") for c in columns],
         *[F.first(f"_f_{c}", True).over(later).alias(f"_u_{c}") for c in columns])
     joined = rows.join(F.broadcast(offsets), _same(rows, offsets, [(c, f"_b_{c}") for c in [*by, "_block"]]), "left")
-    inside = Window.partitionBy(*by, "_block").orderBy(*order)
-    down, up = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    filled = joined.withColumns({
-        c: F.coalesce(F.last(c, True).over(down), F.col(f"_d_{c}"), F.first(c, True).over(up), F.col(f"_u_{c}")) for c in columns
+    so_far = lambda c, *sort: F.last(c, True).over(
+        Window.partitionBy(*by, "_block").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0))
+    next_known = joined.withColumns({f"_n_{c}": so_far(c, *[F.col(o).desc() for o in order]) for c in columns})
+    filled = next_known.withColumns({
+        c: F.coalesce(so_far(c, *order), F.col(f"_d_{c}"), F.col(f"_n_{c}"), F.col(f"_u_{c}")) for c in columns
     })
     return filled.select(*df.columns)
 

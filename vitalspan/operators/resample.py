@@ -3,7 +3,7 @@
 Replicates are Poisson-weighted copies of the data. The weight of a row in a replicate is a function of a hash of its key,
 so all models see the same weights (paired contrasts) and lost tasks reproduce them. Means, Brier scores and calibration
 explode replicates inside the map side of an aggregation, so one row per group, replicate and task is shuffled; for the
-AUC each row is shuffled once with its weights.
+AUC each row is shuffled once with its weights, and a score that many rows share is summed up by replicate before that.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from vitalspan.operators.ordered import running, with_blocks
 from vitalspan.operators.survival import normal_two_sided
 from vitalspan.session import settle
 
-#: Rows of a block of the bootstrap of the AUC, which a task holds with all their weights.
+#: Rows of a block of the bootstrap of the AUC.
 BOOTSTRAP_ROWS = 1 << 16
+#: A score that more rows share is one row with its sums by replicate, which then are no larger than the rows.
+SHARED_ROWS = 16
+#: Rows whose weights are unfolded at once.
+UNFOLDED_ROWS = 1 << 13
 
 
 def poisson_steps() -> tuple[float, ...]:
@@ -91,9 +95,11 @@ def bootstrap_auc(weighted: DataFrame, by: Sequence[str], n: int = 100, key: str
                   block_rows: int = BOOTSTRAP_ROWS) -> DataFrame:
     """AUC per group and replicate (0 is the original data), with each row sorted and sent once.
 
-    Rows are cut into blocks of the order of scores and carry their weights as a short text. A task returns, for its
-    block and each replicate, the weight of cases, of controls, and of pairs won inside the block; what the cases win
-    against earlier blocks follows from the running sum of the controls.
+    Rows carry their weights as a short text. Where more than ``SHARED_ROWS`` rows have a score, they are added up by
+    replicate on the map side and go on as one row, so that a score of a third of all rows is no task's burden. Rows
+    are cut into blocks of the order of scores. A task returns, for its block and each replicate, the weight of cases,
+    of controls, and of pairs won inside the block; what the cases win against earlier blocks follows from the running
+    sum of the controls.
     """
     cases, controls = (F.sum(F.when(F.col(c), F.col("w")).otherwise(0.0)).alias(f"_{c}") for c in ("case", "control"))
     rows = weighted.where(F.col(risk).isNotNull()).groupBy(*by, key, F.col(risk).cast("double").alias("_risk")).agg(cases, controls)
@@ -101,16 +107,42 @@ def bootstrap_auc(weighted: DataFrame, by: Sequence[str], n: int = 100, key: str
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
     keys = rows.select(key).distinct().repartition(tasks, key)  # few bytes but much hashing: not to be merged into one task
     weights = keys.withColumn("_weights", replicate_weights(key, n))  # models and horizons share them
-    rows = with_blocks(rows, by, ["_risk"], block_rows).join(weights, key)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     group = [*by, "_block"]
+    scores = rows.groupBy(*by, "_risk").agg((F.count(F.lit(1)) > SHARED_ROWS).alias("_shared"))
+    scores = settle(with_blocks(scores, by, ["_risk"], max(1, block_rows // SHARED_ROWS)).select(*group, "_risk", "_shared"))
+    placed = settle(rows.join(scores, [*by, "_risk"]).join(weights, key).select(*group, "_risk", "_shared", "_case", "_control", "_weights"))
+    each = placed.where("_shared").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    each = each.withColumn("_w", F.ascii(F.expr("substring(_weights, replicate + 1, 1)")) - 48).where("_w > 0")
+    sums = each.groupBy(*group, "_risk", "replicate").agg(
+        F.sum(F.col("_case") * F.col("_w")).alias("_case"), F.sum(F.col("_control") * F.col("_w")).alias("_control"))
+    vector = F.collect_list(F.struct("replicate", "_case", "_control")).alias("_sums")  # one element a replicate
+    merged = sums.groupBy(*group, "_risk").agg(vector)
+    rest = placed.where("NOT _shared").drop("_shared")
+    rows = rest.unionByName(merged, allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def unfold(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of cases and of controls by row and replicate."""
+        single = part["_weights"].notna().to_numpy()
+        text = "".join(w if one else "0" * (n + 1) for w, one in zip(part["_weights"], single, strict=True))
+        weights = np.frombuffer(text.encode(), dtype=np.uint8).reshape(len(part), n + 1).astype(np.float64) - 48
+        cases, controls = (weights * part[c].fillna(0.0).to_numpy()[:, None] for c in ("_case", "_control"))
+        for i in np.flatnonzero(~single):
+            for x in part["_sums"].iloc[i]:
+                cases[i, x["replicate"]], controls[i, x["replicate"]] = x["_case"], x["_control"]
+        return cases, controls
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_risk", kind="stable")
-        weights = np.frombuffer("".join(pdf["_weights"]).encode(), dtype=np.uint8).reshape(len(pdf), n + 1).astype(np.float64) - 48
-        cases, controls = weights * pdf["_case"].to_numpy()[:, None], weights * pdf["_control"].to_numpy()[:, None]
         first = np.flatnonzero(np.append(True, np.diff(pdf["_risk"].to_numpy()) != 0))
-        cases, controls = np.add.reduceat(cases, first), np.add.reduceat(controls, first)  # equal scores are one
+        ends = np.append(first[1:], len(pdf))
+        parts, at = [], 0
+        while at < len(first):  # whole scores, about UNFOLDED_ROWS rows at a time
+            to = max(at + 1, int(np.searchsorted(ends, first[at] + UNFOLDED_ROWS, side="right")))
+            own = unfold(pdf.iloc[first[at] : ends[to - 1]])
+            parts.append([np.add.reduceat(x, first[at:to] - first[at]) for x in own])  # equal scores are one
+            at = to
+        cases, controls = (np.concatenate(x) for x in zip(*parts, strict=True))
         won = (cases * (np.cumsum(controls, axis=0) - controls / 2)).sum(axis=0)
         out = pd.DataFrame({"replicate": np.arange(n + 1), "_cases": cases.sum(axis=0), "_controls": controls.sum(axis=0), "_won": won})
         for c in reversed(group):
@@ -118,7 +150,7 @@ def bootstrap_auc(weighted: DataFrame, by: Sequence[str], n: int = 100, key: str
         return out
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), "replicate int, _cases double, _controls double, _won double"])
-    parts = rows.select(*group, "_risk", "_case", "_control", "_weights").groupBy(*group).applyInPandas(block, schema)
+    parts = rows.select(*group, "_risk", "_case", "_control", "_weights", "_sums").groupBy(*group).applyInPandas(block, schema)
     earlier = Window.partitionBy(*by, "replicate").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("_before", F.coalesce(F.sum("_controls").over(earlier), F.lit(0.0)))
     sums = placed.groupBy(*by, "replicate").agg(
