@@ -143,6 +143,19 @@ def test_fingerprints_against_brute_force(spark):
     assert {r["pid"] for r in kept.collect()} == {p for p, n in want.items() if n >= 3}
 
 
+def test_fingerprints_of_frequent_items(spark):
+    """Sets of items that nearly everybody holds share the nodes of one trie, so their holders are found once a node."""
+    rng = random.Random(6)
+    held = {p: {f"f{i}" for i in range(12) if rng.random() < 0.9} for p in range(300)}
+    held[999] = set()
+    items = spark.createDataFrame([(p, f) for p, s in held.items() for f in s], "pid BIGINT, f STRING")
+    out = {r["pid"]: r["n_matches"] for r in J.fingerprint_matches(items, "pid", items, ["f"]).collect()}
+    assert out == {p: sum(s <= other for other in held.values()) for p, s in held.items() if s}
+    other = spark.createDataFrame([(1, "f0"), (1, "none"), (2, None)], "pid BIGINT, f STRING")
+    assert {r["pid"]: r["n_matches"] for r in J.fingerprint_matches(items, "pid", other, ["f"]).collect()} == {1: 0, 2: 0}
+    assert J.fingerprint_matches(items, "pid", other.where("false"), ["f"]).count() == 0
+
+
 def test_align_fills_only_absent_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None)], "pid INT, x DOUBLE")
     keys = spark.createDataFrame([(1,), (2,), (3,)], "pid INT")

@@ -254,9 +254,10 @@ def align_to(df: DataFrame, keys: DataFrame, on: Sequence[str], fill: dict | Non
 def fingerprint_matches(items: DataFrame, owner: str, fingerprints: DataFrame, item: Sequence[str]) -> DataFrame:
     """For each owner's item set, the number of ``items`` owners that hold the whole set.
 
-    Equal sets are matched once. A set starts with the holders of its rarest item and loses those that miss the next
-    rarer one, item by item, in joins by owner and item; a frequent item is only looked up for owners that hold all
-    rarer ones. So the work follows the holders of the rarest items, and no pair of owners is formed otherwise.
+    Equal sets are matched once. Sets are written from their rarest item on and form a trie. Down the trie, the holders
+    of a node are those of its parent that hold the node's item too, found in one join a level and once a node, however
+    many sets begin with it; items that nobody else needs are met by few holders by then. So the work is that of the
+    trie's edges, each times the holders of its parent, and no pair of owners is formed otherwise.
     """
     code = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in item])
     held = settle(items.select(F.col(owner).alias("_owner"), code.alias("_item")).distinct())
@@ -266,14 +267,26 @@ def fingerprint_matches(items: DataFrame, owner: str, fingerprints: DataFrame, i
     needed = sets.select("_id", "_set").distinct().select("_id", F.explode("_set").alias("_item"))
     ranked = needed.join(often, "_item", "left").groupBy("_id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col("_item").alias("i")))).alias("_o"))
-    ranked = settle(ranked.select("_id", F.transform("_o", lambda x: x["i"]).alias("_order")))
-    longest = ranked.agg(F.max(F.size("_order"))).first()[0] or 0
-    found = ranked.withColumn("_item", F.get("_order", F.lit(0))).join(held, "_item").drop("_item")
-    for k in range(1, longest):
-        step = found.withColumn("_item", F.get("_order", F.lit(k)))
-        hits = held.withColumn("_hit", F.lit(True))
-        found = step.join(hits, ["_owner", "_item"], "left").where("_item IS NULL OR _hit").drop("_item", "_hit")
-    matched = found.groupBy("_id").agg(F.count("*").alias("n_matches"))
+    ranked = ranked.select("_id", F.transform("_o", lambda x: x["i"]).alias("_order"))
+    node = lambda length: F.md5(F.array_join(F.slice("_order", F.lit(1), length), "\u0002").cast("binary"))
+    depth = F.col("_level")
+    trie = settle(
+        ranked.withColumn("_level", F.explode(F.sequence(F.lit(1), F.size("_order"))))
+        .select("_level", node(depth - 1).alias("_parent"), node(depth).alias("_node"), F.get("_order", depth - 1).alias("_item"),
+                F.when(depth == F.size("_order"), F.col("_id")).alias("_id"))
+        .groupBy("_level", "_parent", "_node", "_item").agg(F.max("_id").alias("_id")))
+    deepest = trie.agg(F.max("_level")).first()[0] or 0
+    holders, ends = None, []
+    for k in range(1, deepest + 1):
+        step = trie.where(depth == k).drop("_level")
+        if holders is not None:
+            step = step.join(holders, "_parent")
+        met = settle(step.join(held, ["_item"] if holders is None else ["_item", "_owner"]).select("_node", "_id", "_owner"))
+        ends.append(met.where("_id IS NOT NULL"))
+        holders = met.select(F.col("_node").alias("_parent"), "_owner")
+    if not ends:
+        return sets.select(owner, F.lit(0).cast("long").alias("n_matches"))
+    matched = reduce(DataFrame.unionByName, ends).groupBy("_id").agg(F.count("*").alias("n_matches"))
     return sets.join(matched, "_id", "left").select(owner, F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 
