@@ -251,6 +251,10 @@ def align_to(df: DataFrame, keys: DataFrame, on: Sequence[str], fill: dict | Non
     return joined.drop("_present")
 
 
+#: After so many levels of a trie its holders are written, so that no plan grows with the longest set.
+SETTLED_LEVELS = 8
+
+
 def fingerprint_matches(items: DataFrame, owner: str, fingerprints: DataFrame, item: Sequence[str]) -> DataFrame:
     """For each owner's item set, the number of ``items`` owners that hold the whole set.
 
@@ -276,17 +280,21 @@ def fingerprint_matches(items: DataFrame, owner: str, fingerprints: DataFrame, i
                 F.when(depth == F.size("_order"), F.col("_id")).alias("_id"))
         .groupBy("_level", "_parent", "_node", "_item").agg(F.max("_id").alias("_id")))
     deepest = trie.agg(F.max("_level")).first()[0] or 0
-    holders, ends = None, []
+    holders = None
     for k in range(1, deepest + 1):
-        step = trie.where(depth == k).drop("_level")
-        if holders is not None:
-            step = step.join(holders, "_parent")
-        met = settle(step.join(held, ["_item"] if holders is None else ["_item", "_owner"]).select("_node", "_id", "_owner"))
-        ends.append(met.where("_id IS NOT NULL"))
-        holders = met.select(F.col("_node").alias("_parent"), "_owner")
-    if not ends:
+        step = trie.where(depth == k).select("_parent", "_node", "_item")
+        if holders is None:
+            holders = step.join(held, "_item").select("_node", "_owner")
+            continue
+        # a set that has ended keeps its holders: an edge from its node to itself, without an item
+        ended = trie.where((depth < k) & F.col("_id").isNotNull()).select(F.col("_node").alias("_parent"), "_node", F.lit(None).cast("string").alias("_item"))
+        met = step.unionByName(ended).join(holders.withColumnRenamed("_node", "_parent"), "_parent")
+        holders = met.join(held.withColumn("_hit", F.lit(True)), ["_item", "_owner"], "left").where("_item IS NULL OR _hit").select("_node", "_owner")
+        if k % SETTLED_LEVELS == 0:
+            holders = settle(holders)
+    if holders is None:
         return sets.select(owner, F.lit(0).cast("long").alias("n_matches"))
-    matched = reduce(DataFrame.unionByName, ends).groupBy("_id").agg(F.count("*").alias("n_matches"))
+    matched = holders.groupBy("_node").agg(F.count("*").alias("n_matches")).join(trie.select("_node", "_id"), "_node").where("_id IS NOT NULL")
     return sets.join(matched, "_id", "left").select(owner, F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 

@@ -172,7 +172,7 @@ def _study(study: str):
     return run
 
 
-for _number in ("004", "006", "007"):
+for _number in ("001", "002", "003", "004", "005", "006", "007", "008", "009", "010"):
     query(f"study_{_number}", "H16 H20 H21 M5", _study_sql(_number))(_study(_number))
 
 

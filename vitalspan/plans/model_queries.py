@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from vitalspan.operators import attribution as A
 from vitalspan.operators import features as X
 from vitalspan.operators import hazard as Z
+from vitalspan.operators import hazard_search as HS
 from vitalspan.plans.attribution_queries import COLLAPSE_SQL
+from vitalspan.plans.feature_queries import LABEL_SQL, tables
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import v_attributions, v_patients, v_surv
 from vitalspan.session import settle
@@ -127,6 +129,36 @@ def cross_validate_study(spark, sf):
     return Z.cross_validate_study(tables, surv, "001", {"diag_window": [2.0], "diag_level": ["block", "chap"]}, breaks, [0.01], k=5)
 
 
+@query("fit_study_equations", "J1 H20 H21", f"""
+WITH {LABEL_SQL} SELECT interval, SUM(CAST(died AS INTEGER) + CAST(survived AS INTEGER))::BIGINT AS n_rows, CAST(0 AS BIGINT) AS n_off
+FROM lab JOIN v_surv USING (pid) WHERE train GROUP BY interval""")
+def fit_study_equations(spark, sf):
+    """Study 005 fitted on its own matrix: how many coefficients miss their equation by more than a thousandth of the
+    feature's exposure, by interval. The equations are worked out by joins and sums, apart from the optimiser."""
+    surv = v_surv(spark, sf).where("train")
+    breaks = X.time_breaks(surv, 10, MAX_TIME).first()["breaks"]  # n_intervals + 1 numbers
+    known = settle(X.survival_labels(surv, breaks).select("pid", "died", "survived"))
+    sources = tables(spark, sf)
+    long = settle(X.study_features(sources, surv, "005"))
+    vocabulary = settle(X.study_vocabulary(sources, long, "005"))
+    names = [r["feature"] for r in vocabulary.orderBy("column_index").collect()]  # as many as coefficients of an interval
+    model = HS.fit_sparse(long, vocabulary, known, breaks, names, reg=0.001, tolerance=5e-4)
+    found = HS.sparse_equations(model, settle(HS.sparse_rows(long, vocabulary, known)), 0.001)
+    off = found.groupBy("interval").agg(F.count_if(F.abs("gradient") > 1e-3 * F.col("exposure") + 1e-12).alias("n_off"))
+    rows = X.person_periods(known).groupBy("interval").agg(F.sum(F.col("died").cast("long") + F.col("survived").cast("long")).alias("n_rows"))
+    return off.join(rows, "interval").select("interval", "n_rows", "n_off")
+
+
+@query("search_study", "J2 H20 H21 H24")
+def search_study(spark, sf):
+    """Held-out losses of study 001 over windows, all four code levels and penalties, five folds each."""
+    from vitalspan.plans.cohort_queries import diagnosis_events
+    surv = v_surv(spark, sf).where("train")
+    breaks = X.time_breaks(surv, 10, MAX_TIME).first()["breaks"]
+    grid = {"diag_window": [0.5, 2.0, 10.0], "diag_level": list(X.SEARCH_SPACE["diag_level"])}
+    return HS.search_study({"diagnoses": settle(diagnosis_events(spark, sf))}, surv, "001", grid, breaks, [0.001, 0.01, 0.1], tolerance=1e-3)
+
+
 def _attribution_sql(tau: float, rows: int, steps: int) -> str:
     """Mean gradient of the interpolated survival over background rows and points between them and the patient."""
     times = GIVEN.breaks[1:]
