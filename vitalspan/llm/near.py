@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a forest of MinHash tries.
+"""N-gram Jaccard join by MinHash labels in several trees.
 
 Each text has one label a tree: the minima of several hash functions over its shingles. Texts that share a prefix of a
-tree's labels are candidates. Matching begins with whole labels and the prefixes are shortened until two texts of just the
-wanted similarity share one in some tree with the target recall. Candidates are then verified: the Jaccard similarity of
-their shingles is computed exactly, so no wrong link is reported.
+tree's labels are candidates. All trees use one prefix length, fixed by the parameters: the longest with which two texts of
+just the wanted similarity share a prefix in some tree with the target recall, by the formula. There are no tries, and
+nothing is shortened by the data. Candidates are then verified: the Jaccard similarity of their shingles is computed
+exactly, so no wrong link is reported.
 
 Copies of a text are one node. Candidate groups that hold the same nodes in several trees are kept once. A large group is
 cut into blocks, and each pair of blocks is verified by itself, so no task holds a whole group and no pair is written: a

@@ -130,13 +130,13 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE}' FROM range(2) r(i)),
 e AS (
-  SELECT *, replace(replace(text, '', '\'), '<|', '<\|') AS safe,
-    replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '<\>') AS name FROM t)
+  SELECT *, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS safe,
+    replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), '<' || chr(92) || '>') AS name FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, safe)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, safe) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>' || name || ' ' || safe || '<|im_end|> '))::BIGINT AS formatted_chars
+  sum(length('<|im_start|>' || name || chr(10) || safe || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
 

@@ -1,11 +1,11 @@
-"""Substring duplicates by parsing documents relative to what the corpus had before.
-
-The reference is the corpus itself, indexed in blocks: a block holds the windows of ``size`` words whose anchor (the
-smallest hash of their shorter word sequences) falls into its range, so equal windows of all documents meet in one block.
-Within its block each document is factored greedily: a factor is a maximal run of neighbouring windows that occur at an
-earlier place. A factor of one window already has ``size`` words, so all factors are long enough to be duplicate spans;
-factors of neighbouring blocks touch, and their union is the document's removed words. Before words are removed, the hash
-at each factor's boundary is compared with the text it is applied to.
+"""Substring duplicates: windows of words that the corpus had before.
+
+The corpus is indexed in blocks: a block holds the windows of ``size`` words whose anchor (the smallest hash of their
+shorter word sequences) falls into its range, so equal windows of all documents meet in one block. There, runs of
+neighbouring windows that occur at an earlier place become factors. Windows are equal when two 64-bit hashes are; a
+factor has no one source, so this is not a relative parsing with longest matches. A factor of one window already has
+``size`` words; factors of neighbouring blocks touch, and their union is the document's removed words. Before words are
+removed, the hash at each factor's boundary is compared with the text it is applied to.
 
 Tasks reduce first: a window that occurs earlier in the same slice of documents is decided there, and only the first
 occurrence of a slice is sent. What is sent is a few binary rows a slice and block, not a row a window.
