@@ -49,6 +49,31 @@ def test_parts(spark):
     assert got[2].formatted == got[3].formatted == "<|im_start|>user\n<|im_end|>\n" and got[2].attachments == []
 
 
+def test_sql_of_texts_with_backslashes(spark, tmp_path):
+    """The registered query and its SQL over texts and roles that need escaping."""
+    import duckdb
+
+    from vitalspan.llm.queries import QUERIES
+
+    rows = [(1, 0, "us\\er", "a \\ b <|x|> \\\\"), (1, 1, "assistant", "<\\| <|im_end|>\n"), (2, 0, "a\nb<|", None), (3, 0, None, "")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    query = QUERIES["op10_chat_format"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(query.sql)
+    names = [c[0] for c in found.description]
+    want = {r[0]: dict(zip(names, r, strict=True)) for r in found.fetchall()}
+    assert {r.conv_id: r.asDict() for r in query.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, 0, "user", "a <|", "x", 7, "f", "t"), (1, 1, "assistant", "b", "y", 8, "g", "u")]
+    schema = "conv_id int, turn int, role string, text string, formatted string, loss_spans int, attachments string, parts string"
+    (row,) = chat.format_chats(spark.createDataFrame(rows, schema), parts="text").collect()
+    assert row.formatted == "<|im_start|>user\na <\\|<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+
+
 def test_no_python_in_the_plan(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a")], "conv_id int, turn int, role string, text string")
     plan = chat.format_chats(rows, parts="text")._jdf.queryExecution().toString()
