@@ -76,6 +76,19 @@ def test_imputation_fills_everything_and_keeps_known_cells(spark):
     assert sum(abs(x - y) for x, y in guessed) / len(guessed) < 4
 
 
+def test_imputation_stops_and_reports_its_errors(spark):
+    rows = [(i, float(i % 10), 2.0 * (i % 10) if i % 7 else None, ("lo" if i % 10 < 5 else "hi") if i % 5 else None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "pid INT, a DOUBLE, b DOUBLE, c STRING, d STRING")
+    filled, changes = R.impute_rounds(df, "pid", ["a", "b"], ["c", "d"], iterations=8, trees=10, depth=5)
+    assert 2 <= len(changes) < 8 and filled.where("b IS NULL OR c IS NULL OR a IS NULL OR d IS NOT NULL").count() == 0
+    last = [x for pair in changes[-2:] for x in pair]
+    assert all(b >= a for a, b in zip(last[:2], last[2:]))  # the round that changed no less than the one before is not taken
+    found = {r.name: r for r in R.imputation_errors(df, "pid", ["a", "b"], ["c"], iterations=3, trees=10).collect()}
+    assert all(r.n_masked > 10 and r.error < 0.8 * r.start_error for r in found.values())
+    none = R.impute_rounds(df.where("false"), "pid", ["a"], ["c"])
+    assert none[0].count() == 0 and none[1] == []
+
+
 def test_plausible_input_ranges(spark):
     schema = "pid INT, age DOUBLE, pulse INT, sys_bp INT, crea DOUBLE, killip INT, arrest BOOLEAN, enzymes BOOLEAN, stemi BOOLEAN"
     df = spark.createDataFrame([(1, 60.0, None, 120, 1.0, 1, False, True, False), (2, 12.0, 80, 120, 1.0, 1, False, True, False)], schema)

@@ -54,33 +54,50 @@ class Problems:
         return len(self.held) * self.intervals
 
 
-def sparse_rows(long: DataFrame, vocabulary: DataFrame, labels: DataFrame, setting: int = 0, first: int = 0) -> DataFrame:
-    """(pid, setting, at, x, died, survived, fold) a patient of ``labels``: places and values of the known cells other than 0.
+def sparse_cells(long: DataFrame, vocabulary: DataFrame, patients: DataFrame, first: int = 0) -> DataFrame:
+    """The patients' rows with ``at`` and ``x``: places and values of their known cells other than 0, in order.
 
-    ``vocabulary`` has ``feature, column_index``; place ``first`` is the intercept. ``labels`` may bring a ``fold``, else it is 0.
+    ``long`` has ``pid, feature, value``, ``vocabulary`` has ``feature, column_index``; place ``first`` is the intercept, of value 1.
     """
-    cells = long.join(vocabulary, "feature").where("value <> 0").groupBy("pid").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("column_index") + first + 1).cast("int").alias("i"), F.col("value").cast("double").alias("x")))).alias("_m"))
+    cell = F.struct((F.col("column_index") + first + 1).cast("int").alias("i"), F.col("value").cast("double").alias("x"))
+    cells = long.join(vocabulary, "feature").where("value <> 0").groupBy("pid").agg(F.array_sort(F.collect_list(cell)).alias("_m"))
+    intercept = F.array(F.struct(F.lit(first).alias("i"), F.lit(1.0).alias("x")))
+    joined = patients.join(cells, "pid", "left").withColumn("_m", F.concat(intercept, F.coalesce("_m", F.array())))
+    return joined.select(*patients.columns, F.col("_m.i").alias("at"), F.col("_m.x").alias("x"))
+
+
+def sparse_rows(long: DataFrame, vocabulary: DataFrame, labels: DataFrame, setting: int = 0, first: int = 0) -> DataFrame:
+    """(pid, setting, at, x, died, survived, fold) a patient of ``labels``, which may bring a ``fold``, else it is 0."""
     fold = F.col("fold") if "fold" in labels.columns else F.lit(0)
-    own = labels.select("pid", "died", "survived", fold.cast("int").alias("fold")).join(cells, "pid", "left")
-    with_intercept = F.concat(F.array(F.struct(F.lit(first).alias("i"), F.lit(1.0).alias("x"))), F.coalesce("_m", F.array()))
-    return own.withColumn("_m", with_intercept).select(
-        "pid", F.lit(setting).alias("setting"), F.col("_m.i").alias("at"), F.col("_m.x").alias("x"), "died", "survived", "fold")
+    known = labels.select("pid", F.lit(setting).alias("setting"), "died", "survived", fold.cast("int").alias("fold"))
+    return sparse_cells(long, vocabulary, known, first).select("pid", "setting", "at", "x", "died", "survived", "fold")
+
+
+def cells_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and values of all cells of a batch, and where each row's begin."""
+    starts = np.concatenate([[0], np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    at, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "x"))
+    return at.astype(np.int64), x, starts[:-1]
+
+
+def slices_of(batch: pa.RecordBatch, problems: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``WORK`` numbers, cells times problems, or one row."""
+    ends = np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = 0
+    while row < batch.num_rows:
+        before = ends[row - 1] if row else 0
+        to = max(row + 1, int(np.searchsorted(ends, before + WORK // max(1, problems), side="right")))
+        yield batch.slice(row, to - row)
+        row = to
 
 
 def _batches(batches: Iterator[pa.RecordBatch], problems: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slices of rows with at most ``WORK`` numbers, cells times problems: places, values, row starts, labels, folds, settings."""
+    """Slices of rows: places, values, row starts, labels, folds, settings."""
     for batch in batches:
-        starts = np.concatenate([[0], np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        at, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "x"))
-        died, survived = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for c in ("died", "survived"))
-        fold, setting = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "setting"))
-        row = 0
-        while row < batch.num_rows:
-            to = max(row + 1, int(np.searchsorted(starts, starts[row] + WORK // max(1, problems), side="right")) - 1)
-            cells = slice(starts[row], starts[to])
-            yield at[cells].astype(np.int64), x[cells], starts[row:to] - starts[row], died[row:to], survived[row:to], fold[row:to], setting[row:to]
-            row = to
+        for part in slices_of(batch, problems):
+            died, survived = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64) for c in ("died", "survived"))
+            fold, setting = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "setting"))
+            yield (*cells_of(part), died, survived, fold, setting)
 
 
 def _logits(weights: np.ndarray, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -269,23 +286,33 @@ def fit_sparse(long: DataFrame, vocabulary: DataFrame, labels: DataFrame, breaks
     return HazardModel([float(b) for b in breaks], list(names), found.weights[:, 0, :].T.copy())
 
 
-def sparse_hazards(model: HazardModel, rows: DataFrame) -> DataFrame:
-    """The rows of :func:`sparse_rows` with the array of interval ``hazard``."""
+def _applied(model: HazardModel, rows: DataFrame, out: str, value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     weights = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = []
-            for at, x, starts, *_ in _batches(iter([batch]), weights.value.shape[1]):
-                out.append(1 / (1 + np.exp(-_logits(weights.value, at, x, starts))))
-            hazard = np.concatenate(out)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hazard) + 1) * hazard.shape[1], pa.int32()), pa.array(hazard.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "hazard"])
+            found = []
+            for part in slices_of(batch, weights.value.shape[1]):
+                at, x, starts = cells_of(part)
+                found.append(value(_logits(weights.value, at, x, starts)))
+            numbers = np.concatenate(found)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(numbers) + 1) * numbers.shape[1], pa.int32()), pa.array(numbers.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, hazard array<double>")
+    return rows.mapInArrow(run, f"{schema}, {out} array<double>")
+
+
+def sparse_hazards(model: HazardModel, rows: DataFrame) -> DataFrame:
+    """Rows with ``at`` and ``x`` as in :func:`sparse_rows`, with the array of interval ``hazard``."""
+    return _applied(model, rows, "hazard", lambda z: 1 / (1 + np.exp(-z)))
+
+
+def sparse_logits(model: HazardModel, rows: DataFrame) -> DataFrame:
+    """Rows with ``at`` and ``x`` as in :func:`sparse_rows`, with the array of interval ``logit``."""
+    return _applied(model, rows, "logit", lambda z: z)
 
 
 def sparse_equations(model: HazardModel, rows: DataFrame, reg: float) -> DataFrame:

@@ -104,27 +104,59 @@ def risk_scores_table(df: DataFrame, imputed: DataFrame | None = None, score_typ
 
 def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), iterations: int = 15,
                   trees: int = 75, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Iterative random-forest imputation of numeric and text columns.
+    """Iterative random-forest imputation of numeric and text columns; see :func:`impute_rounds`."""
+    return impute_rounds(df, key, numeric, categorical, iterations, trees, depth, seed)[0]
+
+
+def _start_values(base: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict:
+    """Median or most frequent level of each column that has a value."""
+    found = base.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in categorical])
+    return {c: v for c, v in found.first().asDict().items() if v is not None}
+
+
+def _change(before: DataFrame, after: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[float | None, float | None]:
+    """How far filled cells moved: squares of the differences over squares of the new values, and the share of levels changed."""
+    old = before.select(key, *[F.col(c).alias(f"_o_{c}") for c in [*numeric, *categorical]])
+    both = after.join(old, key)
+    filled = lambda c, x: F.sum(F.when(F.col(f"_na_{c}"), x).otherwise(0.0))
+    cells = [filled(c, F.pow(F.col(c) - F.col(f"_o_{c}"), F.lit(2.0))).alias(f"_d_{c}") for c in numeric]
+    cells += [filled(c, F.pow(F.col(c), F.lit(2.0))).alias(f"_s_{c}") for c in numeric]
+    cells += [filled(c, (F.col(c) != F.col(f"_o_{c}")).cast("double")).alias(f"_d_{c}") for c in categorical]
+    cells += [filled(c, F.lit(1.0)).alias(f"_s_{c}") for c in categorical]
+    r = both.agg(*cells).first() if cells else None
+    def ratio(columns: Sequence[str]) -> float | None:
+        size = sum(r[f"_s_{c}"] or 0.0 for c in columns)
+        return sum(r[f"_d_{c}"] or 0.0 for c in columns) / size if size else None
+    return ratio(numeric), ratio(categorical)
+
+
+def impute_rounds(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), iterations: int = 15, trees: int = 75,
+                  depth: int = 5, seed: int = 42) -> tuple[DataFrame, list[tuple[float | None, float | None]]]:
+    """Imputed rows and the change that each round made, numeric and text columns apart.
 
     Missing cells start at the column median or most frequent level; then each column is predicted from all others,
-    least-missing column first, for a fixed number of rounds. Forests are trained by MLlib on the whole table.
-    The state is written to the shared folder after each round, so the plan stays short.
+    least-missing column first. Rounds end after ``iterations``, or as soon as neither kind of column changes less than in the
+    round before, whose cells are then returned. Forests are trained by MLlib on the whole table; ``key`` is unique. A column
+    without any value stays as it is and predicts nothing. The state is written to the shared folder after each round, so
+    the plan stays short.
     """
     base = df.select(key, *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
-    rates = base.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in [*numeric, *categorical]]).first()
-    holes = sorted((c for c in [*numeric, *categorical] if rates[c] > 0), key=lambda c: (rates[c], c))
-    start = base.agg(
-        *[F.percentile_approx(c, 0.5, 10000).alias(c) for c in numeric],
-        *[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
-    state = base.withColumns({f"_na_{c}": F.col(c).isNull() for c in holes}).fillna({c: v for c, v in start.items() if v is not None})
-    codes = {c: StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep").fit(state) for c in categorical}
-    hot = {c: OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False, handleInvalid="keep").fit(codes[c].transform(state)) for c in categorical}
+    start = _start_values(base, numeric, categorical)
+    numeric_in, categorical_in = [c for c in numeric if c in start], [c for c in categorical if c in start]
+    inputs = [*numeric_in, *categorical_in]
+    rates = base.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in inputs]).first() if inputs else {}
+    holes = sorted((c for c in inputs if rates[c] > 0), key=lambda c: (rates[c], c))
+    state = base.withColumns({f"_na_{c}": F.col(c).isNull() for c in inputs}).fillna({c: start[c] for c in holes})
+    codes = {c: StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep").fit(state) for c in categorical_in}
+    hot = {c: OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False, handleInvalid="keep").fit(codes[c].transform(state)) for c in categorical_in}
     state = settle(state)
-    for _ in range(iterations):
+    changes: list[tuple[float | None, float | None]] = []
+    for _ in range(iterations if holes and len(inputs) > 1 else 0):
+        before = state
         for target in holes:
-            others = [c for c in [*numeric, *categorical] if c != target]
+            others = [c for c in inputs if c != target]
             staged = state
-            for c in categorical:
+            for c in categorical_in:
                 staged = hot[c].transform(codes[c].transform(staged))
             assembler = VectorAssembler(inputCols=[f"_h_{c}" if c in hot else c for c in others], outputCol="_x")
             ready = assembler.transform(staged)
@@ -139,4 +171,34 @@ def impute_forest(df: DataFrame, key: str, numeric: Sequence[str], categorical:
             filled = guessed.withColumn(target, F.when(F.col(f"_na_{target}"), F.col("_g")).otherwise(F.col(target)))
             state = filled.select(*state.columns)
         state = settle(state)
-    return state.select(key, *numeric, *categorical)
+        changes.append(_change(before, state, key, [c for c in numeric_in if c in holes], [c for c in categorical_in if c in holes]))
+        if len(changes) > 1 and not any(b is not None and b < a for a, b in zip(*changes[-2:], strict=True)):
+            state = before
+            break
+    return state.select(key, *numeric, *categorical), changes
+
+
+def imputation_errors(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), share: int = 10, **options) -> DataFrame:
+    """How well masked known cells come back: ``name, n_masked, error, start_error``.
+
+    One known cell in ``share``, by the MD5 of ``key:name``, is hidden before the imputation. Numeric errors are root mean
+    squares over the column's standard deviation, errors of text columns the share of wrong levels; ``start_error`` is that of
+    the median or most frequent level of what is left.
+    """
+    columns = [*numeric, *categorical]
+    token = lambda c: F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{c}")).cast("binary")), 1, 6), 16, 10).cast("long")
+    typed = df.select(key, *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
+    marked = settle(typed.withColumns({f"_m_{c}": F.col(c).isNotNull() & (token(c) % share == 0) for c in columns}))
+    masked = marked.select(key, *[F.when(~F.col(f"_m_{c}"), F.col(c)).alias(c) for c in columns])
+    start = _start_values(masked, numeric, categorical)
+    filled = impute_forest(masked, key, numeric, categorical, **options).select(key, *[F.col(c).alias(f"_g_{c}") for c in columns])
+    both = marked.join(filled, key)
+    def row(c: str) -> list:
+        own, hidden = F.col(c), F.col(f"_m_{c}")
+        guesses = {"error": F.col(f"_g_{c}"), "start_error": F.lit(start.get(c))}
+        if c in numeric:
+            errors = {n: F.sqrt(F.avg(F.when(hidden, F.pow(own - g, F.lit(2.0))))) / F.stddev_samp(own) for n, g in guesses.items()}
+        else:
+            errors = {n: F.avg(F.when(hidden, (own != g).cast("double"))) for n, g in guesses.items()}
+        return [F.lit(c).alias("name"), F.count_if(hidden).alias("n_masked"), *[e.alias(n) for n, e in errors.items()]]
+    return both.agg(F.array(*[F.struct(*row(c)) for c in columns]).alias("_r")).select(F.inline("_r"))
