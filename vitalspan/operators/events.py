@@ -74,7 +74,7 @@ def flag_lab_results(
     }).where(F.col("ref_1").isNotNull() | F.col("ref_2").isNotNull())
     tiebreak = [c for c in ("test_id",) if c in tests.columns]
     latest = last_row(
-        limited, ["pid", "qid"], [F.col("drawn_date"), *[F.col(c) for c in tiebreak], F.col("ref_1"), F.col("ref_2")],
+        limited, ["pid", "qid"], [F.col("drawn_date"), *[F.col(c) for c in tiebreak], F.col("ref_1"), F.col("ref_2"), F.col("result")],
         ["index_date", "drawn_date", "result", "ref_1", "ref_2"])
     common = keep_common_codes(latest, patients, min_share, code="qid")
     onesided = F.col("ref_1").isNull() | F.col("ref_2").isNull()

@@ -248,7 +248,7 @@ m AS (SELECT t.*, p.index_date, p.age, p.sex, r.npu_code, r.refint_1, r.refint_2
   WHERE p.index_date >= t.drawn_date - INTERVAL 1 DAY AND t.result IS NOT NULL),
 k AS (SELECT *, COALESCE(ref_lower, refint_1) AS ref_1, COALESCE(ref_upper, refint_2) AS ref_2 FROM m
   WHERE COALESCE(drawn_date BETWEEN valid_from AND valid_to, TRUE) AND COALESCE(age_days BETWEEN age_from_days AND age_to_days, TRUE)),
-latest AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pid, qid ORDER BY drawn_date DESC, test_id DESC, ref_1 DESC NULLS LAST, ref_2 DESC NULLS LAST) AS rn FROM k WHERE ref_1 IS NOT NULL OR ref_2 IS NOT NULL) WHERE rn = 1),
+latest AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pid, qid ORDER BY drawn_date DESC, test_id DESC, ref_1 DESC NULLS LAST, ref_2 DESC NULLS LAST, result DESC) AS rn FROM k WHERE ref_1 IS NOT NULL OR ref_2 IS NOT NULL) WHERE rn = 1),
 common AS (SELECT qid FROM latest GROUP BY qid HAVING COUNT(*) > 0.05 * (SELECT COUNT(*) FROM v_patients)),
 labs AS (SELECT pid, qid, CAST(datediff('day', drawn_date, index_date) AS BIGINT) AS time,
   CAST(CASE WHEN COALESCE(result < ref_1, FALSE) AND (ref_1 IS NULL OR ref_2 IS NULL) THEN -1 WHEN COALESCE(result < ref_1, FALSE) OR COALESCE(result > ref_2, FALSE) THEN 1 ELSE 0 END AS INTEGER) AS value
