@@ -29,8 +29,9 @@ from vitalspan.llm.texts import sliced, split_words
 from vitalspan.session import settle
 
 #: Labelled rows that are learned from at most: those of smallest hash of their id.
-MAX_EXAMPLES = 20_000
-PREFIXES = (4, 5, 6)
+MAX_EXAMPLES = 8_000
+#: Lengths of the beginnings of words that are terms too.
+PREFIXES = (5,)
 NEIGHBOURS = 25
 BLOCK_EXAMPLES = 256
 #: Terms of one in so many examples are columns of a matrix (of so many columns at most); terms of fewer examples than a
@@ -48,10 +49,17 @@ PRIOR_WEIGHT = 1.0
 _SIGNS = ".,;:!?|#$%&*\"'()[]{}<>-_"
 
 
-def terms_of(word: str) -> list[str]:
-    """A word in lower case without signs at its ends, and the beginnings of longer ones."""
-    small = word.lower().strip(_SIGNS)
-    return [small, *(f"{small[:n]}~" for n in PREFIXES if len(small) > n)] if small else []
+def _spellings(vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Terms of words, kind by kind: the words that have one, and their terms.
+
+    A word's terms are the word in lower case without signs at its ends, and the beginnings of a longer one.
+    """
+    small = pc.utf8_trim(pc.utf8_lower(vocabulary), characters=_SIGNS)
+    size = pc.utf8_length(small).to_numpy(zero_copy_only=False)
+    for n in (0, *PREFIXES):
+        own = np.flatnonzero(size > n)
+        names = small.take(pa.array(own))
+        yield own, pc.binary_join_element_wise(pc.utf8_slice_codeunits(names, 0, n), "~", "") if n else names
 
 
 class Terms:
@@ -66,27 +74,34 @@ class Terms:
     def __iter__(self) -> Iterator[str]:
         return iter(self.spelled.to_pylist())
 
-    def numbers(self, names: list[str]) -> np.ndarray:
+    def numbers(self, names: pa.Array) -> np.ndarray:
         """The number of each name; -1 for others."""
-        return pc.fill_null(pc.index_in(pa.array(names, pa.string()), value_set=self.spelled), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pc.fill_null(pc.index_in(names, value_set=self.spelled), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def document_terms(texts: pa.Array, known: Terms | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def document_terms(texts: pa.Array, known: Terms | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, term, frequency) of the distinct terms of each text, and the terms; only ``known`` ones if given."""
     words = split_words(texts)
-    numbers: dict[str, int] = {}
-    lists = [[numbers.setdefault(t, len(numbers)) for t in terms_of(w)] for w in words.vocabulary.to_pylist()]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.array([t for x in lists for t in x], dtype=np.int64)
-    counts = sizes[words.codes]
-    place = np.arange(counts.sum()) + np.repeat((np.cumsum(sizes) - sizes)[words.codes] - np.cumsum(counts) + counts, counts)
-    width = max(1, len(numbers))
-    keys, often = np.unique(np.repeat(words.rows, counts) * width + flat[place], return_counts=True)
-    if known is None:
-        return keys // width, keys % width, often, list(numbers)
-    term = known.numbers(list(numbers))[keys % width] if numbers else keys
-    found = term >= 0
-    return keys[found] // width, term[found], often[found], []
+    kinds = list(_spellings(words.vocabulary))
+    coded = pa.concat_arrays([pa.array([], pa.string()), *(names for _, names in kinds)]).dictionary_encode()
+    number = np.arange(len(coded.dictionary)) if known is None else known.numbers(coded.dictionary)
+    number = number[coded.indices.to_numpy(zero_copy_only=False)]
+    size, width = max(1, len(words.vocabulary)), max(1, len(coded.dictionary) if known is None else len(known))
+    pair, often = np.unique(words.rows * size + words.codes, return_counts=True)
+    row, word = pair // size, pair % size
+    keys, counts, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for own, names in kinds:
+        term = np.full(size, -1, dtype=np.int64)
+        term[own] = number[begin : begin + len(names)]
+        begin += len(names)
+        found = np.flatnonzero(term[word] >= 0)
+        keys.append(row[found] * width + term[word[found]])
+        counts.append(often[found])
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    return key[first] // width, key[first] % width, np.add.reduceat(count, first) if len(key) else count, coded.dictionary
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +111,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column("_toxic").to_numpy(zero_copy_only=False)
         n, t = np.bincount(term, minlength=len(names)), np.bincount(term, toxic[row], minlength=len(names))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(t.astype(np.int64), pa.int64())], ["term", "n", "t"])
+            [names, pa.array(n, pa.int64()), pa.array(t.astype(np.int64), pa.int64())], ["term", "n", "t"])
 
 
 def _known_counts(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
