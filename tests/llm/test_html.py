@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import html as references
 import re
+import time
+import tracemalloc
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
@@ -17,7 +21,7 @@ T = "A paragraph that is long enough to be the main text of this page, as it has
 def _text(source):
     page = html.read_page(source)
     best = page.best()
-    return page.text(best.path) if best else ""
+    return page.text(page.path(best)) if best is not None else ""
 
 
 @pytest.mark.parametrize(("source", "want"), [
@@ -46,6 +50,72 @@ def test_long_and_deep_pages():
     assert _text("<" * 20000 + "<a " * 2000) != "never fails"
 
 
+@pytest.mark.parametrize("source", [
+    "<a '" * 262144, "<a " * 349525, "<div>" * 100000 + P + "</div>" * 100000, "<a x='>' " * 120000, "<!--" * 250000,
+    "<div>" * 100000 + "</span></a><dt></dt>x" * 50000, "<script>" + "</script" * 120000 + ">", "<main>" + "<article>" * 100000 + P,
+    '<a x="' * 160000 + ">", "<p " + "a " * 500000 + ">x", "&" * 1000000, "<div>" * 50000 + "<li>x</li>" * 50000, "<h1>" * 50000 + P * 5000,
+], ids=lambda s: s[:8])
+def test_time_and_memory_grow_with_the_page(source):
+    begin = time.process_time()
+    page = html.read_page(source)
+    best = page.whole()
+    if best is not None:
+        assert page.text(page.path(best))
+    assert time.process_time() - begin < 20  # a quadratic reader takes many minutes
+    tracemalloc.start()
+    html.read_page(source[: len(source) // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+
+
+def test_numbers_of_any_length():
+    assert _text(f"<p>a &#{'9' * 9000}; b &#{'0' * 9000}65; c &#65 &#x{'f' * 9000};</p>") == "a \ufffd b A c A \ufffd"
+
+
+class _Blocks(HTMLParser):
+    """Blocks of well-formed pages of div, p and a, with the path of their container, element by element."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.steps, self.blocks = [], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            self.blocks.append(["/".join(["", *self.steps]), ""])
+        elif tag != "a":
+            classes = sorted(re.sub(r"[0-9]+", "#", c) for c in dict(attrs).get("class", "").split())
+            self.steps.append(".".join([tag, *classes]))
+
+    def handle_endtag(self, tag):
+        if tag not in ("p", "a"):
+            self.steps.pop()
+
+    def handle_data(self, data):
+        self.blocks[-1][1] += data
+
+
+def test_consensus_of_several_templates(spark):
+    words = "some plain words that make a block of prose here".split()
+    prose = lambda k: "".join(f"<p>{' '.join(words[(i + k) % 9:] + words)} {k}.{i}</p>" for i in range(3 + k % 4))
+    templates = [
+        lambda k: f"<body><div class='wrap'><div class='post p{k}'>{prose(k)}</div><div class='more'><p><a>{k} on</a></p></div></div></body>",
+        lambda k: f"<body><section class='story'>{prose(k)}</section><div class='extra'><p><a>all of {k}</a></p></div></body>",
+        lambda k: f"<body><div class='a{k} b'><div class='c'>{prose(k)}</div></div></body>",
+    ]
+    containers = ["/body/div.wrap/div.p#.post", "/body/section.story", "/body/div.a#.b/div.c"]
+    rows = [(k, f"https://h{k % 7}.example/{k}", templates[(k * k // 7 + k) % 3](k)) for k in range(90)]
+    votes = Counter((r[1].split("/")[2], containers[(r[0] * r[0] // 7 + r[0]) % 3]) for r in rows)
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    won = {r.host: r.host_path for r in html.host_paths(pages).collect()}
+    assert len({h for h, _ in votes}) == len(won) and len(set(won.values())) > 1
+    assert all(votes[h, path] == max(n for (host, _), n in votes.items() if host == h) for h, path in won.items())
+    for r in html.extract(pages).collect():
+        own = containers[(r.page_id ** 2 // 7 + r.page_id) % 3]
+        assert r.text == "\n\n".join(text for path, text in _Blocks(rows[r.page_id][2]).blocks if path == own)
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     texts = {r.page_id: r.text for r in html.extract(pages, carried=["page_id"]).collect()}

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from vitalspan.llm.texts import sliced
 from vitalspan.session import settle
 
+#: A comment, a tag or a declaration. A quote opens a value after an equals sign only.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|<[!?][^>]*+>""", re.DOTALL)
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 WORD = re.compile(r"[a-z0-9]+")
 
 # Tags of each kind
@@ -49,6 +49,8 @@ NOT_ASIDE = frozenset("no has with without not".split())
 #: Opening one of these ends an open one of those.
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
         "option": {"option"}}
+#: One of these around it keeps it open.
+HOLDS = frozenset("ul ol table dl select".split())
 WEIGHT = {"article": 4, "main": 3}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A step outwards may add one character of links to so many characters, and counts if it adds a heading or a block of so
@@ -61,11 +63,13 @@ MORE_PROSE = 1.25
 FAR_MORE_PROSE = 5
 
 
-@dataclass
+@dataclass(slots=True)
 class Container:
-    path: str
+    step: str  # tag and classes
+    size: int  # characters of the path, which is the steps from the outermost container on
     parent: int
     tag: str
+    in_main: bool  # it or one around it is a main element
     score: int = 0
     length: int = 0
     linked: int = 0
@@ -74,25 +78,35 @@ class Container:
 
 @dataclass
 class Page:
+    """Parents come before their children in ``containers``; all methods take time in proportion to the page."""
+
     containers: list[Container] = field(default_factory=list)
     blocks: list[tuple[str, int, int, bool]] = field(default_factory=list)  # text, its container, characters of links, heading
 
-    def ancestors(self, container: int) -> Iterator[int]:
+    def add(self, step: str, parent: int, tag: str) -> int:
+        around = self.containers[parent]
+        self.containers.append(Container(step, around.size + len(step), parent, tag, around.in_main or tag == "main"))
+        return len(self.containers) - 1
+
+    def path(self, container: int) -> str:
+        steps = []
         while container >= 0:
-            yield container
+            steps.append(self.containers[container].step)
             container = self.containers[container].parent
+        return "".join(reversed(steps))
 
-    def best(self) -> Container | None:
+    def best(self) -> int | None:
         """The container of most prose: a block counts for its container, and half as much a step further out."""
         for text, container, linked, _ in self.blocks:
             worth = 4 * max(0, len(text) - 2 * linked)
-            for c in self.ancestors(container):
-                self.containers[c].score += worth * WEIGHT.get(self.containers[c].tag, 2) // 2
-                worth //= 2
-        scored = [c for c in self.containers if c.score > 0]
-        return max(scored, key=lambda c: (c.score, -len(c.path)), default=None)
-
-    def whole(self) -> Container | None:
+            while worth and container >= 0:
+                c = self.containers[container]
+                c.score += worth * WEIGHT.get(c.tag, 2) // 2
+                worth, container = worth // 2, c.parent
+        scored = [i for i, c in enumerate(self.containers) if c.score > 0]
+        return max(scored, key=lambda i: (self.containers[i].score, -self.containers[i].size), default=None)
+
+    def whole(self) -> int | None:
         """The outermost container around the best one to which each step adds prose or a heading and little link text."""
         best = self.best()
         if best is None:
@@ -102,30 +116,94 @@ class Page:
             c.linked += linked
             c.length += len(text)
             c.prose += heading or len(text.split()) >= PROSE_WORDS and 2 * linked <= len(text)
-        for c in reversed(self.containers):  # parents come first
+        for c in reversed(self.containers):
             if c.parent >= 0:
                 out = self.containers[c.parent]
                 out.length, out.linked, out.prose = out.length + c.length, out.linked + c.linked, out.prose + c.prose
-        kept = inner = best
+        kept = best
+        inner = self.containers[best]
         while inner.parent >= 0 and inner.tag != "main":
             out = self.containers[inner.parent]
-            if inner.tag == "article" and not any(self.containers[a].tag == "main" for a in self.ancestors(inner.parent)):
+            if inner.tag == "article" and not out.in_main:
                 break
             if LINK_SHARE * (out.linked - inner.linked) > out.length - inner.length:
                 break
             if out.prose > inner.prose:
-                kept = out
+                kept = inner.parent
             inner = out
         return kept
 
+    def under(self, path: str | None) -> list[tuple[str, int, int, bool]]:
+        """The blocks in containers of that path or inside them."""
+        if path is None:
+            return []
+        begins, inside = [], []  # whether the container's path begins ``path``, and whether it is it or inside one that is
+        for c in self.containers:
+            own = (c.parent < 0 or begins[c.parent]) and path.startswith(c.step, c.size - len(c.step))
+            begins.append(own)
+            inside.append(c.parent >= 0 and inside[c.parent] or own and c.size == len(path))
+        return [b for b in self.blocks if inside[b[1]]]
+
     def prose(self, path: str | None) -> int:
         """Characters outside links of the blocks under the path."""
-        inside = {i for i, c in enumerate(self.containers) if c.path == path}
-        return sum(len(t) - linked for t, c, linked, _ in self.blocks if not inside.isdisjoint(self.ancestors(c)))
+        return sum(len(text) - linked for text, _, linked, _ in self.under(path))
 
     def text(self, path: str | None) -> str:
-        inside = {i for i, c in enumerate(self.containers) if c.path == path}
-        return "\n\n".join(t for t, c, *_ in self.blocks if not inside.isdisjoint(self.ancestors(c)))
+        return "\n\n".join(text for text, *_ in self.under(path))
+
+
+@dataclass(slots=True)
+class Open:
+    """An element that is open."""
+
+    tag: str
+    container: int
+    dropped: bool
+    link: bool  # it or one around it is a link, and so on
+    heading: bool
+    holders: int  # containers among it and those around it
+
+
+class Stack:
+    """Open elements, and where each tag is open, so that no search walks through them."""
+
+    def __init__(self) -> None:
+        self.elements: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def __len__(self) -> int:
+        return len(self.elements)
+
+    @property
+    def last(self) -> Open:
+        return self.elements[-1] if self.elements else OUTSIDE
+
+    def push(self, tag: str, container: int, dropped: bool) -> None:
+        around = self.last
+        self.places[tag].append(len(self.elements))
+        self.elements.append(Open(tag, container, dropped, around.link or tag == "a", around.heading or tag in HEADINGS,
+                                  around.holders + (tag in CONTAINERS)))
+
+    def place(self, *tags: str) -> int:
+        """The innermost place where one of the tags is open; -1 if none is."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def pop(self, place: int) -> None:
+        while len(self.elements) > place:
+            self.places[self.elements.pop().tag].pop()
+
+    def has_block(self, place: int) -> bool:
+        return any(self.elements[i].tag in BLOCKS for i in range(place, len(self.elements)))
+
+
+OUTSIDE = Open("", 0, False, False, False, 0)
+
+
+def decoded(text: str) -> str:
+    """Character references replaced; a number of any length is one, beyond the last code point if it is too large."""
+    if "&#" in text:
+        text = re.sub(r"&#[0-9]{8,}+", lambda m: f"&#{m[0][2:].lstrip('0')[:8] or '0'}", text)
+    return references.unescape(text)
 
 
 def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
@@ -143,85 +221,84 @@ def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def read_page(source: str | None) -> Page:
-    """Containers and text blocks of a page, without what is no main text. Never fails: unknown markup is passed over."""
+    """Containers and text blocks of a page, without what is no main text. Never fails: unknown markup is passed over.
+
+    The time is in proportion to the page, whatever it holds: the search ends behind the last sign that ends a tag, which
+    no quote can hold there, so every opened tag has an end and is read once.
+    """
     page, source = Page(), source or ""
-    page.containers.append(Container("", -1, ""))
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, container, dropped, link
+    page.containers.append(Container("", 0, -1, "", False))
+    stack = Stack()
     pieces: list[str] = []
     linked = at = 0
-
-    def container() -> int:
-        return stack[-1][1] if stack else 0
+    last = source.rfind(">") + 1
+    if "<!--" in source[last:]:
+        last = len(source)  # an open comment goes on to the end
 
     def close_block() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(references.unescape("".join(pieces)).split())
+            text = " ".join(decoded("".join(pieces)).split())
             if text:
-                page.blocks.append((text, container(), min(linked, len(text)), any(s[0] in HEADINGS for s in stack)))
+                page.blocks.append((text, stack.last.container, min(linked, len(text)), stack.last.heading))
             pieces.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not (stack and stack[-1][2]):
+        if text and not stack.last.dropped:
             pieces.append(text)
-            if stack and stack[-1][3]:
+            if stack.last.link:
                 linked += len(text)
 
-    def pop(depth: int) -> None:
-        if any(s[0] in BLOCKS for s in stack[depth:]):
+    def pop(place: int) -> None:
+        if stack.has_block(place):
             close_block()
-        del stack[depth:]
+        stack.pop(place)
 
-    for m in iter(lambda: TAG.search(source, at), None):
+    while m := TAG.search(source, at, last):
         take(source[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(source)
             continue
-        tag, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag, closing, rest = m[2].lower(), m[1], m[3]
         if closing:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-            if depth is not None and not (tag not in BLOCKS and any(s[0] in CONTAINERS for s in stack[depth + 1 :])):
-                pop(depth)
-            elif tag in BLOCKS and not (stack and stack[-1][2]):
+            place = stack.place(tag)
+            if place >= 0 and (tag in BLOCKS or stack.last.holders == stack.elements[place].holders):
+                pop(place)
+            elif place < 0 and tag in BLOCKS and not stack.last.dropped:
                 close_block()
             continue
         if tag == "br":
             take(" ")
         if tag in BLOCKS:
-            if not (stack and stack[-1][2]):
+            if not stack.last.dropped:
                 close_block()
-            if stack and stack[-1][0] == "p":
+            if stack.last.tag == "p":
                 pop(len(stack) - 1)
-            if tag in ENDS:
-                for d in range(len(stack) - 1, -1, -1):
-                    if stack[d][0] in ENDS[tag]:
-                        pop(d)
-                        break
-                    if stack[d][0] in ("ul", "ol", "table", "dl", "select"):
-                        break
+            if tag in ENDS and (place := stack.place(*ENDS[tag])) > stack.place(*HOLDS):
+                pop(place)
         if tag in VOID:
             continue
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
-        outside = bool(stack and stack[-1][2])
+        outside = stack.last.dropped
         dropped = outside or _is_aside(tag, attributes)
         if dropped and not outside and tag not in BLOCKS:
             take(" ")
         if rest.endswith("/") and tag in ("svg", "path", "use", "iframe"):
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(source, at)
+            end = re.compile(f"</{tag}[^>]*+>", re.IGNORECASE).search(source, at, last)
             at = end.end() if end else len(source)
             continue
-        own = container()
+        own = stack.last.container
         if tag in CONTAINERS and not dropped:
             classes = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})
-            page.containers.append(Container(f"{page.containers[own].path}/{'.'.join([tag, *classes])}", own, tag))
-            own = len(page.containers) - 1
+            own = page.add(f"/{'.'.join([tag, *classes])}", own, tag)
         if tag in BLOCKS or dropped or tag == "a":
-            stack.append((tag, own, dropped, tag == "a" or bool(stack and stack[-1][3])))
+            stack.push(tag, own, dropped)
     take(source[at:])
     close_block()
     return page
@@ -238,10 +315,12 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "_html"):
         votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
         for host, source in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-            if best := read_page(source).whole():
-                cast = votes[host, best.path]
+            page = read_page(source)
+            best = page.whole()
+            if best is not None:
+                cast = votes[host, page.path(best)]
                 cast[0] += 1
-                cast[1] += best.score
+                cast[1] += page.containers[best].score
         rows = [(*k, *v) for k, v in votes.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))],
@@ -253,12 +332,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, paths = [], []
         for source, path, others in zip(*(batch.column(c).to_pylist() for c in ("_html", "_path", "_others")), strict=True):
             page = read_page(source)
-            text = page.text(path) if path is not None else ""
-            own = page.whole()
-            more = MORE_PROSE if own and own.path in (others or ()) else FAR_MORE_PROSE
-            if own and (not text or page.prose(own.path) > more * page.prose(path)):
-                path = own.path
-                text = page.text(path)
+            text = page.text(path)
+            best = page.whole()
+            own = None if best is None else page.path(best)
+            more = MORE_PROSE if own in (others or ()) else FAR_MORE_PROSE
+            if own is not None and (not text or page.prose(own) > more * page.prose(path)):
+                path, text = own, page.text(own)
             texts.append(text)
             paths.append(path if text else None)
         rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_html", "_path", "_others", "_host")]
