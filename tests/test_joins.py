@@ -172,3 +172,14 @@ def test_first_and_last_row(spark):
     df = spark.createDataFrame([("a", 1, 9, "x"), ("a", 1, 8, "y"), ("a", 2, 1, "z")], "g STRING, d INT, e INT, v STRING")
     assert J.first_row(df, ["g"], [F.col("d"), F.col("e")], ["v"]).first()["v"] == "y"
     assert J.last_row(df, ["g"], [F.col("d"), F.col("e")], ["v"]).first()["v"] == "z"
+
+
+def test_a_vocabulary_of_any_size_meets_every_row(spark):
+    rows = spark.range(40).selectExpr("id % 37 AS pid", "IF(id = 5, NULL, 'x') AS note")
+    values = spark.range(230).selectExpr("IF(id = 7, NULL, id % 200) AS code", "1 AS size")
+    want = sorted((r.pid, str(r.note), str(v.code)) for r in rows.collect() for v in values.distinct().collect())
+    for block_values in (1000, 20):
+        got = J.with_vocabulary(rows, values, block_values, 4)
+        assert got.columns == ["pid", "note", "code", "size"]
+        assert sorted((r.pid, str(r.note), str(r.code)) for r in got.collect()) == want
+    assert J.with_vocabulary(rows, values.limit(0)).count() == 0 and J.with_vocabulary(rows.limit(0), values, 20).count() == 0

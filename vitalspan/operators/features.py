@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.scalars import min_max, split_feature
+from vitalspan.operators.joins import with_vocabulary
 from vitalspan.operators.ordered import BLOCK_ROWS, quantiles, random_rank, running
 from vitalspan.operators.reshape import to_long, value_kind, with_group_stats
 from vitalspan.session import settle
@@ -190,12 +191,9 @@ def polygenic_features(scores: DataFrame, patients: DataFrame, limit: float = 0.
     clamped = settle(winsorize(scores, ["name"], "score", limit))  # read twice below
     stats = with_group_stats(clamped, ["name"], {"_m": F.avg("score"), "_s": F.stddev_samp("score")})
     z = stats.select("pid", "name", zscore(F.col("score"), "_m", "_s", None).alias("value"))
-    names = scores.select("name").distinct().agg(F.array_sort(F.collect_list("name")).alias("_names")).withColumn("_k", F.lit(0))
     has = scores.select("pid").distinct().withColumn("_has", F.lit(True))
-    grid = (
-        patients.select("pid").join(has, "pid", "left").withColumn("_k", F.lit(0))
-        .join(F.broadcast(names), "_k").select("pid", "_has", F.explode("_names").alias("name"))
-    )
+    names = scores.select("name").where(F.col("name").isNotNull())
+    grid = with_vocabulary(patients.select("pid").join(has, "pid", "left"), names)
     filled = grid.join(z, ["pid", "name"], "left")
     value = F.when(F.col("_has"), F.col("value")).otherwise(F.lit(0.0))
     return filled.select("pid", _named(GENETIC, F.col("name")).alias("feature"), value.alias("value"))

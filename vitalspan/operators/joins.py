@@ -239,6 +239,30 @@ def with_values(df: DataFrame, name: str, values: Sequence) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
+#: Values that a broadcast row or a block of them holds, and the copies of each block.
+BLOCK_VALUES, COPIES = 1000, 64
+
+
+def with_vocabulary(df: DataFrame, values: DataFrame, block_values: int = BLOCK_VALUES, copies: int = COPIES) -> DataFrame:
+    """Every row of ``df`` with every different row of ``values``, a vocabulary of any size whose columns are added.
+
+    A vocabulary of at most ``block_values`` rows travels as one broadcast row. A larger one is dealt over blocks of about
+    so many, and a row meets each block in one of its copies, so neither side gathers in one task. Nulls are values.
+    """
+    listed = settle(values.distinct())
+    n = listed.count()
+    if n <= block_values:
+        row = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("_values")).withColumn("_one", F.lit(0))
+        return df.withColumn("_one", F.lit(0)).join(F.broadcast(row), "_one").select(*df.columns, F.inline("_values"))
+    blocks = -(-n // block_values)
+    dealt = listed.groupBy(F.pmod(F.xxhash64(*listed.columns), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(*listed.columns)).alias("_values"))
+    copied = settle(dealt.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))  # written, so its size is known
+    rows = df.withColumn("_copy", F.pmod(F.xxhash64(*df.columns), F.lit(copies)).cast("int")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return rows.join(copied, ["_block", "_copy"]).select(*df.columns, F.inline("_values"))
+
+
 def align_to(df: DataFrame, keys: DataFrame, on: Sequence[str], fill: dict | None = None) -> DataFrame:
     """Exactly the rows of ``keys``; absent rows are filled with the given constants, else left NULL.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.aggregates import missing_share
+from vitalspan.operators.joins import with_vocabulary
 from vitalspan.session import settle
 
 
@@ -121,13 +122,8 @@ def event_prevalence(events: DataFrame, cohort: DataFrame, by: str, code: str =
         .groupBy(code, by).agg(F.count("*").alias("seen"))
     )
     sizes = cohort.groupBy(by).agg(F.count("*").alias("size"))
-    codes = seen.select(code).distinct()
-    # one row per group and code: both are report-sized vocabularies
-    listed = sizes.agg(F.collect_list(F.struct(by, "size")).alias("_groups")).withColumn("_k", F.lit(0))
-    grid = (
-        codes.withColumn("_k", F.lit(0)).join(F.broadcast(listed), "_k")
-        .select(code, F.inline("_groups"))
-    )
+    seen = settle(seen)  # read for its codes and for its counts
+    grid = with_vocabulary(seen.select(code).distinct(), sizes)
     both = grid.join(seen, [code, by], "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("long")))
     cells = both.select(
         by, code,
@@ -160,13 +156,9 @@ def histogram_2d(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
 def complete_grid(df: DataFrame, nesting: Sequence[str], column: str, fill: dict) -> DataFrame:
     """Every combination of the observed ``nesting`` rows and ``column`` values, absent ones filled.
 
-    Meant for report-sized grids. The values travel as one array column instead of a cross join.
+    A null is no value of the column. Values travel in blocks, whatever their number.
     """
-    values = df.agg(F.array_sort(F.collect_set(column)).alias("_values")).withColumn("_k", F.lit(0))
-    grid = (
-        df.select(*nesting).distinct().withColumn("_k", F.lit(0)).join(F.broadcast(values), "_k")
-        .select(*nesting, F.explode("_values").alias(column))
-    )
+    grid = with_vocabulary(df.select(*nesting).distinct(), df.select(column).where(F.col(column).isNotNull()))
     return grid.join(df, [*nesting, column], "left").fillna(fill)
 
 

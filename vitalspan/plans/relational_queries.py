@@ -15,7 +15,7 @@ from vitalspan.operators.ordered import random_rank, running
 from vitalspan.plans.cohort_queries import DIAG_SQL, LAB_SQL, diagnosis_events, lab_events
 from vitalspan.plans.registry import longs, q6, query, r6, rounded
 from vitalspan.plans.views import (
-    table, v_attributions, v_baseline, v_patients, v_persons, v_predictions, v_procedures_raw, v_scores, v_surv, v_tests, v_trials, TIMES,
+    table, v_attributions, v_baseline, v_patients, v_persons, v_predictions, v_procedures_raw, v_scores, v_surv, v_tests, v_trials, SCORED_MODELS, TIMES,
 )
 from vitalspan.session import run_folder
 from vitalspan.sources import readers, writers
@@ -285,10 +285,12 @@ def nearest_and_bracket_lookup(spark, sf):
 
 
 @query("aligned_predictions", "C17 C13", f"""
-WITH k AS (SELECT pid FROM v_surv), p AS (SELECT pid, surv FROM v_predictions WHERE model = '001' AND time = 420 AND surv > 0.8) SELECT k.pid, {q6("COALESCE(p.surv, 0)", "surv")} FROM k LEFT JOIN p ON p.pid = k.pid""")
+WITH k AS (SELECT pid, model, time FROM (SELECT pid FROM v_surv), (SELECT DISTINCT model FROM v_predictions), (SELECT DISTINCT time FROM v_predictions UNION ALL SELECT CAST(30 AS DOUBLE)))
+SELECT k.pid, k.model, k.time, {q6("COALESCE(p.surv, 0)", "surv")} FROM k LEFT JOIN v_predictions p ON p.pid = k.pid AND p.model = k.model AND p.time = k.time""")
 def aligned_predictions(spark, sf):
-    predictions = v_predictions(spark, sf).where((F.col("model") == "001") & (F.col("time") == 420.0) & (F.col("surv") > 0.8)).select("pid", "surv")
-    return rounded(J.align_to(predictions, v_surv(spark, sf), ["pid"], {"surv": 0.0}), "surv")
+    """All predictions for the patients at hand, and a time that has none."""
+    wanted = J.with_values(J.with_values(v_surv(spark, sf).select("pid"), "model", list(SCORED_MODELS)), "time", [*TIMES, 30.0])
+    return rounded(J.align_to(v_predictions(spark, sf), wanted, ["pid", "model", "time"], {"surv": 0.0}), "surv")
 
 
 @query("repeated_for_horizons", "C14", "SELECT h AS tau, COUNT(*) AS n, COUNT(*) FILTER (WHERE time > h) AS alive FROM v_surv, (SELECT 183 AS h UNION ALL SELECT 365 UNION ALL SELECT 1095) GROUP BY h")
@@ -409,10 +411,9 @@ def nested_rows(spark, sf):
 
 
 @query("prediction_histogram", "D23", f"""
-WITH b AS (SELECT model, CAST(ceil(surv / 0.025) - 1 AS BIGINT) AS bin, COUNT(*) AS n FROM v_predictions WHERE time = 1540 GROUP BY 1, 2) SELECT model, bin, n, {q6("bin * CAST(0.025 AS DOUBLE)", "lower")}, {q6("n / SUM(n) OVER (PARTITION BY model)", "share")} FROM b""")
+WITH b AS (SELECT model, time, CAST(ceil(surv / 0.025) - 1 AS BIGINT) AS bin, COUNT(*) AS n FROM v_predictions GROUP BY 1, 2, 3) SELECT model, time, bin, n, {q6("bin * CAST(0.025 AS DOUBLE)", "lower")}, {q6("n / SUM(n) OVER (PARTITION BY model, time)", "share")} FROM b""")
 def prediction_histogram(spark, sf):
-    rows = v_predictions(spark, sf).where(F.col("time") == 1540.0)
-    return rounded(H.histogram(rows, "surv", 0.025, ["model"]), "lower", "share")
+    return rounded(H.histogram(v_predictions(spark, sf), "surv", 0.025, ["model", "time"]), "lower", "share")
 
 
 @query("first_row_per_key", "D25 E1 E2", """
