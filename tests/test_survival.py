@@ -96,13 +96,17 @@ def brute_concordance(rows):
 
 
 @pytest.mark.parametrize("block_rows", [5, 1 << 20])
-@pytest.mark.parametrize("kind", ["INT", "DOUBLE"])
+@pytest.mark.parametrize("kind", ["INT", "DOUBLE", "negative", "BIGINT"])
 def test_concordance_against_all_pairs(spark, block_rows, kind):
     rng = random.Random(11)
     rows = [(rng.randint(0, 25), rng.random() < 0.6, rng.randint(0, 12) / 10) for _ in range(150)]
     rows += [(7, False, 0.3)] * 60  # a third of all rows are copies
     if kind == "DOUBLE":
         rows = [(t / 2, e, r) for t, e, r in rows]
+    if kind == "negative":
+        rows, kind = [(t - 12, e, r) for t, e, r in rows], "INT"
+    if kind == "BIGINT":  # a span that no long holds
+        rows = [((t - 12) << 59, e, r) for t, e, r in rows]
     df = spark.createDataFrame(rows, f"time {kind}, event BOOLEAN, risk DOUBLE")
     out = M.concordance(df, block_rows=block_rows).first()
     pairs, conc, tied = brute_concordance(rows)
@@ -110,6 +114,12 @@ def test_concordance_against_all_pairs(spark, block_rows, kind):
     assert out["c_index"] == pytest.approx((conc + tied / 2) / pairs)
 
 
+def test_concordance_of_an_empty_table(spark):
+    for kind in ("INT", "DOUBLE"):
+        df = spark.createDataFrame([], f"grp INT, time {kind}, event BOOLEAN, risk DOUBLE")
+        assert M.concordance(df, ["grp"]).count() == 0
+
+
 def test_concordance_of_negated_risk(spark):
     rows = [(t, t % 3 != 0, (t * 7 % 31) + t / 100) for t in range(1, 40)]
     df = spark.createDataFrame(rows, "time INT, event BOOLEAN, risk DOUBLE")

@@ -28,19 +28,22 @@ def concordance(
     Two subjects with different whole-day times agree on the leading bits of their times down to exactly one bit
     position, where the earlier one has 0 and the later one 1. So each comparable pair meets in exactly one
     (bit, prefix) cell, and within a cell the pairs ordered by risk are counted by running sums over distinct
-    risks. Work and shuffle grow with rows times the number of time bits. A subject with an event and one censored
+    risks. Times count from the first one, so negative ones may occur. Work and shuffle grow with rows times the number of
+    bits of the time span. A subject with an event and one censored
     at the same time are comparable too and meet in a cell of that time. Risk ties count one half.
     """
     kind = dict(df.dtypes)[time]
     w = F.lit(1) if weight is None else F.col(weight)
     known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(risk).isNotNull())
     base = known.groupBy(*by, F.col(time).alias("_t"), F.col(event).alias("_e"), F.col(risk).alias("_r")).agg(F.sum(w).alias("_n"))
-    if kind not in ("int", "bigint", "smallint", "tinyint"):
+    base = settle(base)
+    low, top = (0, None) if kind not in ("int", "bigint", "smallint", "tinyint") else base.agg(F.min("_t"), F.max("_t")).first()
+    if top is None or top - low >= 1 << 62:  # no whole numbers, none at all, or too far apart to be counted from the first
         ranks = running(base.select("_t").distinct(), [], ["_t"], {"_rank": ("sum", F.lit(1))}, block_rows=block_rows)
-        base = base.join(ranks, "_t").withColumn("_t", F.col("_rank")).drop("_rank")
-    base = settle(base.withColumn("_t", F.col("_t").cast("long")))
-    top = base.agg(F.max("_t")).first()[0] or 0
-    bits = max(int(top).bit_length(), 1)
+        base = settle(base.join(ranks, "_t").withColumn("_t", F.col("_rank").cast("long")).drop("_rank"))
+        low, top = 0, base.agg(F.max("_t")).first()[0] or 0
+    base = base.withColumn("_t", F.col("_t").cast("long") - F.lit(low).cast("long"))
+    bits = max(int(top - low).bit_length(), 1)
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
     split = base.withColumn("_level", levels).select(
