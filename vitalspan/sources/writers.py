@@ -48,10 +48,12 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", null_token: str =
 
 
 def wide_predictions(df: DataFrame, breaks: Sequence[float], value: str = "surv", keys: Sequence[str] = ("pid",)) -> DataFrame:
-    """One row per patient, one column per break. The break list is given, so no extra pass finds it."""
-    times = [float(b) for b in breaks]
-    wide = df.groupBy(*keys).pivot("time", times).agg(F.first(value))
-    return wide.select(*keys, *[F.col(f"`{t}`").alias(f"{t:g}") for t in times])
+    """One row per patient, one column per break. The break list is given, so no extra pass finds it.
+
+    One aggregation by patient: a pivot would first keep a row a patient and break in memory.
+    """
+    cells = [F.first(F.when(F.col("time") == F.lit(float(b)), F.col(value)), True).alias(f"{float(b):g}") for b in breaks]
+    return df.groupBy(*keys).agg(*cells)
 
 
 def long_predictions(wide: DataFrame, keys: Sequence[str] = ("pid",), value: str = "surv") -> DataFrame:
