@@ -95,6 +95,15 @@ def test_closest_event_prefers_the_past_with_one_day_of_grace(spark, offsets, be
     assert (row["v"] if row else None) == best
 
 
+def test_closest_of_equal_events_does_not_depend_on_their_order(spark):
+    """Two lines of one order may have the same number and day, and so the same tie-break."""
+    found = set()
+    for values in ([30.0, None, 6.0], [6.0, 30.0, None], [None, 6.0, 30.0]):
+        events = spark.createDataFrame([(1, 0.0, 7, v) for v in values], "pid INT, t DOUBLE, id INT, v DOUBLE").coalesce(1)
+        found.add(J.nearest_before_else_after(events, ["pid"], "t", -90, 21, ["v"], ["id"]).first()["v"])
+    assert found == {6.0}
+
+
 def test_nearest_lookup_takes_the_lower_value_on_a_tie(spark):
     lookup = spark.createDataFrame([("t", 10.0, 1.0), ("t", 20.0, 2.0), ("u", 0.0, 9.0)], "term STRING, at DOUBLE, points DOUBLE")
     rows = spark.createDataFrame([("t", 15.0), ("t", 15.1), ("t", -5.0), ("t", 99.0), ("t", None), ("w", 1.0)], "term STRING, x DOUBLE")
