@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,20 @@ def test_fingerprints_of_frequent_items(spark):
     assert J.fingerprint_matches(items, "pid", other.where("false"), ["f"]).count() == 0
 
 
+def test_fingerprints_in_blocks_of_owners_and_parts_of_sets(spark, monkeypatch):
+    """Many blocks, parts and slices of bits; no row is made for a set and its holder."""
+    for name, value in (("OWNERS_A_BLOCK", 70), ("SETS_A_PART", 30), ("BIT_WORDS", 12)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(7)
+    held = {p: {f"f{i}" for i in range(10) if rng.random() < 0.8} | {"all"} for p in range(400)}
+    prints = {p: set(rng.sample(sorted(s), min(len(s), 4))) for p, s in held.items()}
+    frame = lambda sets: spark.createDataFrame([(p, f) for p, s in sets.items() for f in s], "pid BIGINT, f STRING")
+    out = J.fingerprint_matches(frame(held), "pid", frame(prints), ["f"])
+    assert {r["pid"]: r["n_matches"] for r in out.collect()} == {p: sum(s <= other for other in held.values()) for p, s in prints.items()}
+    bits = J._count_holders(pa.table({"_owner": [1, 1, 2], "_item": ["a", "b", "a"]}), pa.table({"_id": ["x", "y", "z"], "_set": [["a"], ["a", "b"], ["c"]]}))
+    assert bits["_n"].to_pylist() == [2, 1, 0]
+
+
 def test_align_fills_only_absent_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None)], "pid INT, x DOUBLE")
     keys = spark.createDataFrame([(1,), (2,), (3,)], "pid INT")
