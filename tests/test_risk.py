@@ -93,3 +93,15 @@ def test_plausible_input_ranges(spark):
     schema = "pid INT, age DOUBLE, pulse INT, sys_bp INT, crea DOUBLE, killip INT, arrest BOOLEAN, enzymes BOOLEAN, stemi BOOLEAN"
     df = spark.createDataFrame([(1, 60.0, None, 120, 1.0, 1, False, True, False), (2, 12.0, 80, 120, 1.0, 1, False, True, False)], schema)
     assert {r["pid"]: r["ok"] for r in df.select("pid", R.in_score_range().alias("ok")).collect()} == {1: True, 2: False}
+
+
+def test_imputation_trains_on_rows_dealt_over_all_cores(spark, monkeypatch):
+    """No forest works through the one before it again, and each is trained on as many partitions as there are cores."""
+    seen = []
+    settled = R.settle
+    monkeypatch.setattr(R, "settle", lambda df: seen.append(df.rdd.getNumPartitions()) or settled(df))
+    rows = [(i, float(i % 7) if i % 5 else None, float(i % 3) if i % 4 else None, "ab"[i % 2] if i % 6 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "pid BIGINT, a DOUBLE, b DOUBLE, c STRING").coalesce(1)
+    out = R.impute_forest(df, "pid", ["a", "b"], ["c"], iterations=1, trees=3, depth=2)
+    assert seen == [spark.sparkContext.defaultParallelism] * 4
+    assert out.count() == 60 and out.where("a IS NULL OR b IS NULL OR c IS NULL").count() == 0

@@ -137,7 +137,7 @@ def impute_rounds(df: DataFrame, key: str, numeric: Sequence[str], categorical:
     Missing cells start at the column median or most frequent level; then each column is predicted from all others,
     least-missing column first. Rounds end after ``iterations``, or as soon as neither kind of column changes less than in the
     round before, whose cells are then returned. Forests are trained by MLlib on the whole table; ``key`` is unique. A column
-    without any value stays as it is and predicts nothing. The state is written to the shared folder after each round, so
+    without any value stays as it is and predicts nothing. The state is written to the shared folder after each column, dealt by key over all cores, so
     the plan stays short.
     """
     base = df.select(key, *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
@@ -149,7 +149,10 @@ def impute_rounds(df: DataFrame, key: str, numeric: Sequence[str], categorical:
     state = base.withColumns({f"_na_{c}": F.col(c).isNull() for c in inputs}).fillna({c: start[c] for c in holes})
     codes = {c: StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep").fit(state) for c in categorical_in}
     hot = {c: OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False, handleInvalid="keep").fit(codes[c].transform(state)) for c in categorical_in}
-    state = settle(state)
+    # the planner merges these few bytes into few partitions, but every pass over them works through all trees of a forest
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda rows: settle(rows.repartition(tasks, key))
+    state = dealt(state)
     changes: list[tuple[float | None, float | None]] = []
     for _ in range(iterations if holes and len(inputs) > 1 else 0):
         before = state
@@ -169,8 +172,7 @@ def impute_rounds(df: DataFrame, key: str, numeric: Sequence[str], categorical:
                 model = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="_g", numTrees=trees, maxDepth=depth, seed=seed).fit(known)
                 guessed = model.transform(ready)
             filled = guessed.withColumn(target, F.when(F.col(f"_na_{target}"), F.col("_g")).otherwise(F.col(target)))
-            state = filled.select(*state.columns)
-        state = settle(state)
+            state = dealt(filled.select(*state.columns))  # else the next forest's passes would work through this one again
         changes.append(_change(before, state, key, [c for c in numeric_in if c in holes], [c for c in categorical_in if c in holes]))
         if len(changes) > 1 and not any(b is not None and b < a for a, b in zip(*changes[-2:], strict=True)):
             state = before
