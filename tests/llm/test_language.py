@@ -158,3 +158,26 @@ def test_spelling_is_word_by_word():
     ids, lengths = speller.spell(pa.array(words))
     at = np.concatenate([[0], np.cumsum(lengths)])
     assert [speller.encoding.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)] == [f" {w}" for w in words]
+
+
+def test_every_training_window_is_learned_from(docs):
+    """The windows of all rounds together are those of all documents that are not held out, each once."""
+    from vitalspan.llm.attention import WINDOW, windows
+
+    size = 50257
+    parts = language.slices(docs, PATH, PATTERN)
+    wanted = 0
+    for row in parts.collect():
+        read = language._read(row.asDict(), size, None)
+        lengths = np.diff(read.starts)
+        text, first, _ = windows(lengths)
+        wanted += int(np.minimum(WINDOW, lengths[text] - first)[read.learn[text]].sum())
+    send = docs.sparkSession.sparkContext.broadcast
+    rows, group = np.arange(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    model = send(attention.Model.start(size, group, np.full((size, attention.MIXTURE), 1 / size, dtype=np.float32)))
+    texts = parts.select("slice", "learn", "starts", "codes", "lengths", "pieces")
+    met = 0
+    for r in range(language.ROUNDS):
+        found = texts.mapInArrow(language._train(size, send(rows), model, r, language.ROUNDS, 1), language._PARTS).where("key = -1")
+        met += sum(int(np.frombuffer(x["values"], "<f4")[-1]) for x in found.collect())
+    assert met == wanted > 0

@@ -30,8 +30,8 @@ from vitalspan.session import settle
 FOLDS = 10
 #: Added to the count of each word in the base score.
 BASE_PRIOR = 0.1
-#: Each round trains on one window of ``SHARE``, another one in each round; all documents give windows.
-ROUNDS, SHARE = 2, 24
+#: The training windows are dealt over the rounds by a hash: each one is learned from, in one round.
+ROUNDS = 2
 #: Windows of a training step.
 STEP_WINDOWS = 64
 #: The weight of the corpus's id counts in each distribution of the mixture.
@@ -266,8 +266,8 @@ def _count_followers(size: int, rows: Broadcast, group: Broadcast, salts: int) -
 _SMALL = ("place", "query", "key", "value", "out")
 
 
-def _train(size: int, rows: Broadcast, model: Broadcast, round_number: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Trains a task's own copy on its share of windows: tables weighted by use, the rest by positions, and counts."""
+def _train(size: int, rows: Broadcast, model: Broadcast, round_number: int, rounds: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trains a task's own copy on the round's windows: tables weighted by use, the rest by positions, and counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = model.value
         learner = Learner(replace(begun, **{n: getattr(begun, n).copy() for n in begun.trained}))
@@ -276,7 +276,7 @@ def _train(size: int, rows: Broadcast, model: Broadcast, round_number: int, salt
                 read = _read(row, size, rows.value)
                 text, first, _ = windows(np.diff(read.starts))
                 drawn = mix(np.arange(len(text), dtype=np.uint64) + mix(np.array([row["slice"]], dtype=np.uint64))).astype(np.int64)
-                mine = np.flatnonzero(read.learn[text] & (drawn % SHARE == round_number % SHARE))
+                mine = np.flatnonzero(read.learn[text] & (drawn % rounds == round_number))
                 mine = mine[np.argsort(drawn[mine], kind="stable")]
                 for at in range(0, len(mine), STEP_WINDOWS):
                     own = mine[at : at + STEP_WINDOWS]
@@ -333,7 +333,7 @@ def fit(cut_docs: DataFrame, size: int, rounds: int = ROUNDS) -> Trained:
     followers = _joined(_summed(texts.mapInArrow(_count_followers(size, sent, send(group), salts), _PARTS)), n, MIXTURE)
     model = Model.start(n, group, spread(followers))
     for r in range(rounds):
-        found = _summed(texts.mapInArrow(_train(size, sent, send(model), r, salts), _PARTS), "<f4")
+        found = _summed(texts.mapInArrow(_train(size, sent, send(model), r, rounds, salts), _PARTS), "<f4")
         if -1 not in found:
             continue
         tables = _joined(found, n, 1 + 2 * MIXTURE + WIDTH)
