@@ -11,6 +11,7 @@ from vitalspan.functions.scalars import cut_breaks, feature_stem, from_min_max,
 from vitalspan.operators.joins import join_rounded
 from vitalspan.operators.ordered import quantiles, random_rank
 from vitalspan.operators.reshape import dense_ranked, share_within, top_k, with_group_stats
+from vitalspan.session import settle
 
 # Display names of horizons and feature groups.
 TIMEPOINTS = {182.5: "6m", 183.0: "6m", 365.0: "1y", 1095.0: "3y", 1825.0: "5y"}
@@ -40,7 +41,12 @@ def per_patient(df: DataFrame, by: Sequence[str] = ("timepoint",)) -> DataFrame:
 
 def global_importance(df: DataFrame, by: Sequence[str] = ("timepoint",)) -> DataFrame:
     """Share of the total absolute per-patient attribution, and dense rank, per feature."""
-    sums = per_patient(df, by).groupBy(*by, "stem").agg(F.sum(F.abs("shap")).alias("magnitude"))
+    return importance_of(per_patient(df, by), by)
+
+
+def importance_of(sums: DataFrame, by: Sequence[str] = ("timepoint",)) -> DataFrame:
+    """:func:`global_importance` from the rows of :func:`per_patient`."""
+    sums = settle(sums.groupBy(*by, "stem").agg(F.sum(F.abs("shap")).alias("magnitude")))  # a row a feature, read for its total too
     ranked = dense_ranked(share_within(sums, "magnitude", by, "share"), by, "magnitude")
     named = with_parts(ranked.withColumnRenamed("stem", "feature"))
     return named.select(*by, "fgroup", "fname", F.col("share").alias("shap"), "rank")
@@ -159,16 +165,18 @@ FIRST_LEVELS, LAST_LEVELS = ("[0,10]",), ("missing", "nan")
 def level_values(collapsed: DataFrame, feature: str = "fname", low: int = 3, high: int = 9) -> DataFrame:
     """Order the levels of each feature and scale values to [0, 1] per feature; missing levels have no value.
 
-    Features with 3 to 9 distinct labels use the level number, the others their own value.
+    Features with 3 to 9 distinct labels use the level number, the others their own value. The rows are read for their
+    labels, for the range of values and for the result, so they are settled; so are the labels, which are few.
     """
+    collapsed = settle(collapsed)
     place = F.when(F.col("text").isin(*FIRST_LEVELS), 0).when(F.col("text").isin(*LAST_LEVELS), 2).otherwise(1)
     texts = collapsed.select(feature, "text").distinct()
     w = Window.partitionBy(feature).orderBy("_p", "text")  # one row per label
     known = texts.withColumn("_p", place).where(F.col("text").isNotNull()).withColumn("_lvl", F.row_number().over(w))
     counts = known.groupBy(feature).agg(F.count("*").alias("_n"))
-    levels = known.join(counts, feature).select(
+    levels = settle(known.join(counts, feature).select(
         feature, "text", F.when(F.col("_n").between(low, high), F.col("_lvl")).otherwise(1).alias("level"),
-        F.col("_n").between(low, high).alias("_use"))
+        F.col("_n").between(low, high).alias("_use")))
     rows = collapsed.join(levels, [feature, "text"], "left").withColumn("level", F.coalesce("level", F.lit(1)))
     value = F.when(F.coalesce("_use", F.lit(False)), F.col("level").cast("double")).otherwise(F.col("value"))
     value = F.when(F.coalesce(F.col("text").isin(*LAST_LEVELS), F.lit(False)), F.lit(None)).otherwise(value)

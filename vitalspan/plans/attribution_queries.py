@@ -211,9 +211,9 @@ def feature_distribution(spark, sf):
 WITH {IMPORTANCE_SQL}, b AS (SELECT timepoint, {STEM} AS stem, pid, SUM(shap) AS shap FROM v_attributions GROUP BY 1, 2, 3)
 SELECT b.timepoint, b.pid, i.fname, {q6("b.shap", "shap")}, i.rank, {q6("SUM(b.shap) OVER (PARTITION BY b.timepoint, b.stem)", "total")} FROM b JOIN imp i ON i.timepoint = b.timepoint AND i.fgroup || '_' || i.fname = b.stem WHERE i.rank <= 5""")
 def top_feature_rows(spark, sf):
-    attributions = v_attributions(spark, sf)
-    top = A.global_importance(attributions).where("rank <= 5").select("timepoint", F.concat_ws("_", "fgroup", "fname").alias("stem"), "fname", "rank")
-    rows = A.per_patient(attributions).join(top, ["timepoint", "stem"])
+    sums = settle(A.per_patient(v_attributions(spark, sf)))  # read for the importances, the rows and their totals
+    top = A.importance_of(sums).where("rank <= 5").select("timepoint", F.concat_ws("_", "fgroup", "fname").alias("stem"), "fname", "rank")
+    rows = sums.join(settle(top), ["timepoint", "stem"])
     out = with_group_stats(rows, ["timepoint", "stem"], {"total": F.sum("shap")})
     return rounded(out.drop("stem"), "shap", "total")
 
