@@ -10,7 +10,7 @@ from vitalspan.operators import features as X
 from vitalspan.operators import hazard as Z
 from vitalspan.operators import hazard_search as HS
 from vitalspan.plans.attribution_queries import COLLAPSE_SQL
-from vitalspan.plans.feature_queries import LABEL_SQL, tables
+from vitalspan.plans.feature_queries import LABEL_SQL, sources
 from vitalspan.plans.registry import q6, query, rounded
 from vitalspan.plans.views import v_attributions, v_patients, v_surv
 from vitalspan.session import settle
@@ -135,12 +135,12 @@ FROM lab JOIN v_surv USING (pid) WHERE train GROUP BY interval""")
 def fit_study_equations(spark, sf):
     """Study 005 fitted on its own matrix: how many coefficients miss their equation by more than a thousandth of the
     feature's exposure, by interval. The equations are worked out by joins and sums, apart from the optimiser."""
-    surv = v_surv(spark, sf).where("train")
+    made = sources(spark, sf, X.STUDIES["005"])
+    surv = made["surv_master"].where("train")
     breaks = X.time_breaks(surv, 10, MAX_TIME).first()["breaks"]  # n_intervals + 1 numbers
     known = settle(X.survival_labels(surv, breaks).select("pid", "died", "survived"))
-    sources = tables(spark, sf)
-    long = settle(X.study_features(sources, surv, "005"))
-    vocabulary = settle(X.study_vocabulary(sources, long, "005"))
+    long = settle(X.study_features(made, surv, "005"))
+    vocabulary = settle(X.study_vocabulary(made, long, "005"))
     names = [r["feature"] for r in vocabulary.orderBy("column_index").collect()]  # as many as coefficients of an interval
     model = HS.fit_sparse(long, vocabulary, known, breaks, names, reg=0.001, tolerance=5e-4)
     found = HS.sparse_equations(model, settle(HS.sparse_rows(long, vocabulary, known)), 0.001)
