@@ -47,10 +47,15 @@ class HazardModel:
 
 def training_rows(features: DataFrame, labels: DataFrame, n_intervals: int, width: int) -> DataFrame:
     """Person-period rows with label, interval indicator and feature vector. A time on a break gives two rows."""
-    periods = person_periods(labels.select("pid", "died", "survived"))
+    return rows_of_labelled(labels.select("pid", "died", "survived").join(features.select("pid", "features"), "pid"), n_intervals, width)
+
+
+def rows_of_labelled(labelled: DataFrame, n_intervals: int, width: int) -> DataFrame:
+    """:func:`training_rows` of patients that have ``features``, ``died`` and ``survived`` in one row, without a join."""
+    periods = person_periods(labelled, ("pid", "features"))
     outcomes = F.filter(
         F.array(F.when(F.col("died"), F.lit(1.0)), F.when(F.col("survived"), F.lit(0.0))), lambda x: x.isNotNull())
-    rows = periods.select("pid", "interval", F.explode(outcomes).alias("label")).join(features, "pid")
+    rows = periods.select("pid", "features", "interval", F.explode(outcomes).alias("label"))
     indicator = F.transform(F.sequence(F.lit(0), F.lit(n_intervals - 1)), lambda i: (i == F.col("interval")).cast("double"))
     return rows.select(
         "pid", "interval", "label", array_to_vector(indicator).alias("_i", metadata=_numeric(n_intervals)),
@@ -65,8 +70,15 @@ def _numeric(n: int) -> dict:
 def fit_hazard(features: DataFrame, labels: DataFrame, breaks: Sequence[float], names: Sequence[str], reg: float = 0.0,
                elastic: float = 0.0, max_iter: int = 100) -> HazardModel:
     """Fit on ``features (pid, features ARRAY<DOUBLE>)`` and ``labels (pid, died, survived)``."""
+    labelled = labels.select("pid", "died", "survived").join(features.select("pid", "features"), "pid")
+    return fit_labelled(labelled, breaks, names, reg, elastic, max_iter)
+
+
+def fit_labelled(labelled: DataFrame, breaks: Sequence[float], names: Sequence[str], reg: float = 0.0, elastic: float = 0.0,
+                 max_iter: int = 100) -> HazardModel:
+    """:func:`fit_hazard` on rows ``(pid, features, died, survived)``."""
     n = len(breaks) - 1
-    rows = Interaction(inputCols=["_i", "_x"], outputCol="_f").transform(training_rows(features, labels, n, len(names)))
+    rows = Interaction(inputCols=["_i", "_x"], outputCol="_f").transform(rows_of_labelled(labelled, n, len(names)))
     estimator = LogisticRegression(
         featuresCol="_f", labelCol="label", fitIntercept=False, standardization=False, regParam=reg, elasticNetParam=elastic, maxIter=max_iter)
     model = estimator.fit(rows.select("label", "_f"))
@@ -120,23 +132,32 @@ def score_at(model: HazardModel, features: DataFrame, taus: Sequence[float], cla
 
 def model_loss(model: HazardModel, features: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean negative log-likelihood of held-out patients."""
-    scored = with_hazards(model, features).select("pid", "hazard").join(labels.select("pid", "died", "survived"), "pid")
+    return labelled_loss(model, features.select("pid", "features").join(labels.select("pid", "died", "survived"), "pid"))
+
+
+def labelled_loss(model: HazardModel, labelled: DataFrame) -> DataFrame:
+    """:func:`model_loss` of rows ``(pid, features, died, survived)``."""
+    scored = with_hazards(model, labelled)
     cells = F.transform(F.arrays_zip("died", "survived", "hazard"), lambda p: F.struct(p["died"].alias("died"), p["survived"].alias("survived"), p["hazard"].alias("hazard")))
     return discrete_nll(scored.select("pid", F.inline(cells)))
 
 
 def cross_validate(features: DataFrame, labels: DataFrame, breaks: Sequence[float], names: Sequence[str], grid: dict[str, Sequence],
                    k: int = 5, seed: int = 42, max_iter: int = 50) -> DataFrame:
-    """Mean held-out loss per parameter combination, folds by patient. One row per combination comes back."""
-    folds = settle(kfold_assign(labels, k, seed).join(features, "pid"))
+    """Mean held-out loss per parameter combination, folds by patient. One row per combination comes back.
+
+    Labels and features meet once, in a sort-merge join; fits and losses read their rows together, so no fold is sent anywhere.
+    """
+    assigned = kfold_assign(labels.select("pid", "died", "survived"), k, seed)
+    folds = settle(assigned.hint("merge").join(features.select("pid", "features"), "pid"))
     results = []
     for values in product(*grid.values()):
         params = dict(zip(grid, values))
         losses = []
         for fold in range(k):
             train, held = folds.where(F.col("fold") != fold), folds.where(F.col("fold") == fold)
-            model = fit_hazard(train.select("pid", "features"), train, breaks, names, max_iter=max_iter, **params)
-            losses.append(model_loss(model, held.select("pid", "features"), held).first()["nll"])
+            model = fit_labelled(train, breaks, names, max_iter=max_iter, **params)
+            losses.append(labelled_loss(model, held).first()["nll"])
         results.append((*[float(v) for v in values], float(np.mean(losses))))
     schema = ", ".join(f"{name} DOUBLE" for name in grid) + ", loss DOUBLE"
     return features.sparkSession.createDataFrame(results, schema)
