@@ -30,6 +30,10 @@ from vitalspan.session import settle
 CHUNK = 256
 #: Numbers that a task works out at once.
 WORK = 1 << 22
+#: Rows times problems that are worked out together.
+BLOCK = 1 << 16
+#: Rows are a dense matrix if this has at most so many numbers a known cell.
+DENSE = 32
 #: A coefficient is settled when the mean residual over the rows that have its feature is below this.
 TOLERANCE = 1e-4
 MEMORY = 10
@@ -92,12 +96,19 @@ def slices_of(batch: pa.RecordBatch, problems: int) -> Iterator[pa.RecordBatch]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], problems: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slices of rows: places, values, row starts, labels, folds, settings."""
+    """Slices of rows: places, values, row starts, labels, folds, settings, numbers of patients."""
     for batch in batches:
         for part in slices_of(batch, problems):
             died, survived = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64) for c in ("died", "survived"))
             fold, setting = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "setting"))
-            yield (*cells_of(part), died, survived, fold, setting)
+            n = part.column("n").to_numpy(zero_copy_only=False).astype(np.float64) if "n" in part.schema.names else np.ones(part.num_rows)
+            yield (*cells_of(part), died, survived, fold, setting, n)
+
+
+def merged(rows: DataFrame, intervals: int) -> DataFrame:
+    """Patients with the same cells in a setting and fold as one row: ``died`` and ``survived`` count them, ``n`` is their number."""
+    count = lambda c: F.array(*[F.sum(F.get(c, F.lit(i)).cast("long")) for i in range(intervals)]).alias(c)
+    return rows.groupBy("setting", "fold", "at", "x").agg(count("died"), count("survived"), F.count("*").alias("n"))
 
 
 def _logits(weights: np.ndarray, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -111,31 +122,82 @@ def _to_columns(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     total[places] += np.add.reduceat(values[order], begins, axis=0)
 
 
-def _sums(problems: Problems, weights: Broadcast | None, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per task: gradients and losses at the weights; without weights, curvatures, exposures and numbers of rows."""
-    models = len(problems.held)
+class _Cells:
+    """The cells of some rows over the columns they use: as a dense matrix, or as a list where that would be mostly zeros."""
+
+    def __init__(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray, columns: int):
+        used = np.zeros(columns, dtype=bool)
+        used[at] = True
+        self.used, self.x, self.starts = np.flatnonzero(used), x, starts
+        self.at = (np.cumsum(used) - 1)[at]
+        self.row = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(at)))
+        width = len(self.used)
+        self.dense = None
+        if width * len(starts) <= DENSE * len(at):
+            self.dense = np.bincount(self.row * width + self.at, weights=x, minlength=len(starts) * width).reshape(len(starts), width)
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        return self.dense @ weights if self.dense is not None else _logits(weights, self.at, self.x, self.starts)
+
+    def sums(self, values: np.ndarray, power: int = 1) -> np.ndarray:
+        """Sums over the rows of their values times a column's cells, or the squares (2) or sizes (0) of these."""
+        change = {0: np.abs, 1: lambda x: x, 2: np.square}[power]
+        if self.dense is not None:
+            return change(self.dense).T @ values
+        out = np.zeros((len(self.used), values.shape[1]))
+        _to_columns(out, self.at, values[self.row] * change(self.x)[:, None])
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], problems: Problems) -> Iterator[tuple]:
+    """Rows of one setting and fold, few enough for what is worked out on them to stay in a core's cache."""
+    for at, x, starts, died, survived, fold, setting, n in _batches(batches, problems.size):
+        ends = np.append(starts[1:], len(at))
+        turns = np.flatnonzero((np.diff(fold) != 0) | (np.diff(setting) != 0)) + 1
+        for begin, end in zip([0, *turns], [*turns, len(starts)]):
+            step = max(1, BLOCK // max(1, problems.size))
+            for i in range(begin, end, step):
+                j = min(i + step, end)
+                own = slice(starts[i], ends[j - 1])
+                yield _Cells(at[own], x[own], starts[i:j] - starts[i], problems.columns), died[i:j], survived[i:j], int(fold[i]), int(setting[i]), n[i:j].sum()
+
+
+def _sums(problems: Problems, weights: Broadcast | None, salts: int, held_out: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task: gradients and losses at the weights, or the held-out losses alone; without weights, curvatures, exposures and numbers of rows."""
+    models, intervals = len(problems.held), problems.intervals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((problems.columns, problems.size * (1 if weights else 2)))
-        extra = np.zeros((3, len(problems.settings), models, problems.intervals))
-        for at, x, starts, died, survived, fold, setting in _batches(batches, problems.size):
-            known = fold[:, None] != problems.held[None, :]
-            rows = (died + survived)[:, None, :] * known[:, :, None]
-            cells = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(at)))
+        total = np.zeros((problems.columns, 1 if weights else 2, models, intervals))
+        extra = np.zeros((3, len(problems.settings), models, intervals))
+        for cells, died, survived, fold, setting, n in _blocks(batches, problems):
+            known = np.flatnonzero((problems.held == fold) if held_out else (problems.held != fold))
+            rows = died + survived
+            place = np.ix_(cells.used, [0], known)
             if weights is None:
-                flat = rows.reshape(len(starts), -1)
-                _to_columns(total, at, np.concatenate([flat[cells] * (x * x)[:, None] / 4, flat[cells] * np.abs(x)[:, None]], axis=1))
-                _to_columns(extra[0], setting, rows)
-                _to_columns(extra[2], setting, np.repeat((~known)[:, :, None], problems.intervals, axis=2).astype(np.float64))
+                both = np.stack([cells.sums(rows, 2) / 4, cells.sums(rows, 0)], axis=1)
+                total[np.ix_(cells.used, [0, 1], known)] += both[:, :, None, :]
+                extra[0, setting, known] += rows.sum(axis=0)
+                extra[2, setting, problems.held == fold] += n
+                continue
+            if not len(known):
+                continue
+            own = weights.value.reshape(problems.columns, models, intervals)[np.ix_(cells.used, known)]
+            z = cells.logits(own.reshape(len(cells.used), -1)).reshape(len(rows), len(known), intervals)
+            if held_out:
+                hazard = 1 / (1 + np.exp(-z))
+                extra[1, setting, known] += (-died[:, None, :] * np.log(hazard + EPS) - survived[:, None, :] * np.log(1 - hazard + EPS)).sum(axis=0)
                 continue
-            z = _logits(weights.value, at, x, starts).reshape(len(starts), models, -1)
-            hazard = 1 / (1 + np.exp(-z))
-            dead = died[:, None, :] * known[:, :, None]
-            _to_columns(total, at, (rows * hazard - dead).reshape(len(starts), -1)[cells] * x[:, None])
-            _to_columns(extra[0], setting, rows * np.logaddexp(0, z) - dead * z)
-            missed = -died[:, None, :] * np.log(hazard + EPS) - survived[:, None, :] * np.log(1 - hazard + EPS)
-            _to_columns(extra[1], setting, missed * ~known[:, :, None])
+            np.maximum(z, -700, out=z)  # no overflow below
+            odds = np.exp(-z)
+            odds += 1
+            z += np.log(odds)  # log(1 + exp(z))
+            dead = cells.sums(died)
+            extra[0, setting, known] += np.einsum("ni,nmi->mi", rows, z) - np.einsum("ci,cmi->mi", dead, own)
+            hazard = np.divide(rows[:, None, :], odds, out=odds)
+            gradient = cells.sums(hazard.reshape(len(rows), -1)).reshape(len(cells.used), len(known), intervals) - dead[:, None, :]
+            total[place] += gradient[:, None]
         keys, values = [-1], [extra.tobytes()]
+        total = total.reshape(problems.columns, -1)
         for c in range(0, problems.columns, CHUNK):
             if (part := total[c : c + CHUNK]).any():
                 keys.append(c)
@@ -157,12 +219,18 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table({"key": group.column("key").slice(0, 1), "salt": group.column("salt").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _pass(rows: DataFrame, problems: Problems, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows over all cores: a pass costs far more than a row's bytes tell the planner, which would merge them into few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _pass(rows: DataFrame, problems: Problems, weights: np.ndarray | None, held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The sums of all tasks, added in two steps so that no group has one from every task."""
     spark = rows.sparkSession
     salts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
     sent = None if weights is None else spark.sparkContext.broadcast(weights)
-    parts = rows.drop("pid").mapInArrow(_sums(problems, sent, salts), _PARTS)
+    parts = rows.drop("pid").mapInArrow(_sums(problems, sent, salts, held_out), _PARTS)
     if salts > 1:
         parts = parts.groupBy("key", "salt").applyInArrow(_add, _PARTS)
     width = problems.size * (1 if weights is not None else 2)
@@ -214,7 +282,7 @@ def fit_all(rows: DataFrame, problems: Problems, max_passes: int = 200, toleranc
     The steps are preconditioned by an upper bound of each coefficient's curvature; a problem whose step does not lower its
     loss enough halves it while the others go on.
     """
-    rows = settle(rows)
+    rows = settle(dealt(rows).sortWithinPartitions("setting", "fold"))
     blocks, settings, models = _Blocks(problems), len(problems.settings), len(problems.held)
     first, extra = _pass(rows, problems, None)
     # rows of each setting's model, for all its problems
@@ -225,16 +293,16 @@ def fit_all(rows: DataFrame, problems: Problems, max_passes: int = 200, toleranc
     curvature, exposure = first[:, : problems.size] / n_all + penalty, first[:, problems.size :] / n_all
     scale = np.where(curvature > 0, 1 / np.maximum(curvature, 1e-300), 0)
 
-    def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total, own = _pass(rows, problems, w)
         value = own[0].reshape(settings, -1) / n + penalty / 2 * blocks.sum(w * w)
-        return value, total / n_all + penalty * w, own[1].sum(axis=2)
+        return value, total / n_all + penalty * w
 
     def off(g: np.ndarray) -> np.ndarray:
         return blocks.most(np.abs(g) / np.maximum(exposure, 1e-300) * (exposure > 0))
 
     w = np.zeros((problems.columns, problems.size))
-    value, grad, missed = evaluate(w)
+    value, grad = evaluate(w)
     passes, pairs = 2, []
     step = np.ones_like(value)
     direction = -scale * grad
@@ -246,7 +314,7 @@ def fit_all(rows: DataFrame, problems: Problems, max_passes: int = 200, toleranc
         direction = np.where(blocks.spread(slope >= 0), -scale * grad, direction)
         slope = blocks.sum(direction * grad)
         trial = np.where(blocks.spread(open_), w + blocks.spread(step) * direction, w)
-        new_value, new_grad, missed = evaluate(trial)
+        new_value, new_grad = evaluate(trial)
         passes += 1
         good = open_ & (new_value <= value + 1e-4 * step * slope + 1e-15)
         taken = blocks.spread(good)
@@ -256,7 +324,7 @@ def fit_all(rows: DataFrame, problems: Problems, max_passes: int = 200, toleranc
         w, grad, value = np.where(taken, trial, w), np.where(taken, new_grad, grad), np.where(good, new_value, value)
         step = np.where(good, 1.0, step / 2)
         direction = np.where(taken, _two_loops(grad, pairs, scale, blocks), direction)
-    missed = evaluate(w)[2]  # of the weights that are returned
+    missed = _pass(rows, problems, w, held_out=True)[1][1].sum(axis=2)  # of the weights that are returned
     loss = np.where(held_out > 0, missed / np.maximum(held_out, 1), np.nan)
     return Fits(w.reshape(problems.columns, models, -1), loss, off(grad).reshape(settings, models, -1), passes + 1)
 
@@ -358,7 +426,7 @@ def search_study(tables: dict[str, DataFrame], surv: DataFrame, study: str, feat
         columns += vocabulary.count() + 1
     models = list(product(reg, range(k)))
     problems = Problems(np.array([f for _, f in models]), np.array([float(r) for r, _ in models]), len(breaks) - 1, columns, tuple(begins))
-    found = fit_all(reduce(DataFrame.unionByName, parts), problems, max_passes, tolerance)
+    found = fit_all(merged(reduce(DataFrame.unionByName, parts), len(breaks) - 1), problems, max_passes, tolerance)
     losses = found.loss.reshape(len(settings), len(reg), k).mean(axis=2)
     rows = [(*map(str, values), float(r), float(losses[i, j])) for i, values in enumerate(settings) for j, r in enumerate(reg)]
     return spark.createDataFrame(rows, ", ".join([*(f"{n} string" for n in feature_grid), "reg double, loss double"]))

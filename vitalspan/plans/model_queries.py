@@ -152,11 +152,11 @@ def fit_study_equations(spark, sf):
 @query("search_study", "J2 H20 H21 H24")
 def search_study(spark, sf):
     """Held-out losses of study 001 over windows, all four code levels and penalties, five folds each."""
-    from vitalspan.plans.cohort_queries import diagnosis_events
-    surv = v_surv(spark, sf).where("train")
+    made = sources(spark, sf, X.STUDIES["001"])
+    surv = made["surv_master"].where("train")
     breaks = X.time_breaks(surv, 10, MAX_TIME).first()["breaks"]
     grid = {"diag_window": [0.5, 2.0, 10.0], "diag_level": list(X.SEARCH_SPACE["diag_level"])}
-    return HS.search_study({"diagnoses": settle(diagnosis_events(spark, sf))}, surv, "001", grid, breaks, [0.001, 0.01, 0.1], tolerance=1e-3)
+    return HS.search_study({"diagnoses": settle(made["diagnoses"])}, surv, "001", grid, breaks, [0.001, 0.01, 0.1], tolerance=1e-3)
 
 
 def _attribution_sql(tau: float, rows: int, steps: int) -> str:
