@@ -100,3 +100,34 @@ def test_search_of_a_study(spark):
     plain = {r.reg: r.loss for r in Z.cross_validate(features, labels, [0.0, 10.0, 20.0, 30.0], names, {"reg": [0.001, 0.1]}, k=3, max_iter=200).collect()}
     for reg in (0.001, 0.1):
         assert rows["2.0", "lvl3", reg] == pytest.approx(plain[reg], rel=1e-3)
+
+
+def test_equal_patients_are_one_counted_row(spark, monkeypatch):
+    from vitalspan.session import settle
+    *_, long, vocabulary, labels = _data(spark, n=40)
+    wide = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    more = lambda df: df.withColumn("_c", wide).withColumn("pid", F.col("pid") + F.col("_c") * 1000).drop("_c")
+    rows = settle(S.sparse_rows(more(long), vocabulary, more(labels)))
+    counted = S.merged(rows, 3)
+    assert rows.count() == 120 and counted.count() <= 40 and counted.agg(F.sum("n")).first()[0] == 120
+    problems = S.Problems(np.array([-1, 0, 1, 2]), np.array([0.01, 0.01, 0.05, 0.05]), 3, 7)
+    plain, found = S.fit_all(rows, problems, tolerance=1e-6), S.fit_all(counted, problems, tolerance=1e-6)
+    assert np.allclose(plain.weights, found.weights, atol=1e-9) and np.allclose(plain.loss, found.loss, atol=1e-9, equal_nan=True)
+    monkeypatch.setattr(S, "DENSE", 0)  # lists of cells instead of small matrices
+    weights = np.linspace(-1, 1, 7 * problems.size).reshape(7, -1)
+    batches = lambda: iter(counted.sort("setting", "fold", "at").toArrow().combine_chunks().to_batches())
+    listed = [b for b in S._blocks(batches(), problems)]
+    monkeypatch.setattr(S, "DENSE", 1000)
+    for (a, died, *_), (b, *_) in zip(listed, S._blocks(batches(), problems), strict=True):
+        assert a.dense is None and b.dense is not None and np.array_equal(a.used, b.used)
+        assert np.allclose(a.logits(weights[a.used]), b.logits(weights[b.used]))
+        assert all(np.allclose(a.sums(died, power), b.sums(died, power)) for power in (0, 1, 2))
+
+
+def test_passes_go_over_all_cores_and_equations_join_nothing_by_patient(spark):
+    *_, long, vocabulary, labels = _data(spark, n=60)
+    rows = S.sparse_rows(long, vocabulary, labels)
+    assert S.dealt(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    model = S.fit_sparse(long, vocabulary, labels, [0.0, 1.0, 2.0, 3.0], [f"f{j}" for j in range(6)], reg=0.02)
+    text = S.sparse_equations(model, rows, 0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "pid" not in text

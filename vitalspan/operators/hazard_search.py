@@ -349,8 +349,14 @@ def _two_loops(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, np.nd
 def fit_sparse(long: DataFrame, vocabulary: DataFrame, labels: DataFrame, breaks: Sequence[float], names: Sequence[str], reg: float = 0.01,
                max_passes: int = 200, tolerance: float = TOLERANCE) -> HazardModel:
     """A hazard model of the long features ``(pid, feature, value)``; ``names`` in the order of ``vocabulary``'s indices."""
+    return fit_rows(sparse_rows(long, vocabulary, labels), breaks, names, reg, max_passes, tolerance)
+
+
+def fit_rows(rows: DataFrame, breaks: Sequence[float], names: Sequence[str], reg: float = 0.01, max_passes: int = 200,
+             tolerance: float = TOLERANCE) -> HazardModel:
+    """:func:`fit_sparse` of the rows that :func:`sparse_rows` gives."""
     problems = Problems(np.array([-1]), np.array([float(reg)]), len(breaks) - 1, len(names) + 1)
-    found = fit_all(sparse_rows(long, vocabulary, labels), problems, max_passes, tolerance)
+    found = fit_all(rows, problems, max_passes, tolerance)
     return HazardModel([float(b) for b in breaks], list(names), found.weights[:, 0, :].T.copy())
 
 
@@ -384,20 +390,23 @@ def sparse_logits(model: HazardModel, rows: DataFrame) -> DataFrame:
 
 
 def sparse_equations(model: HazardModel, rows: DataFrame, reg: float) -> DataFrame:
-    """(interval, place, gradient, exposure) of the penalised mean loss, by joins and sums alone.
+    """(interval, place, gradient, exposure) of the penalised mean loss, by sums alone.
 
-    Errors of patients and intervals meet the patients' cells; ``exposure`` is the mean size of the feature over the
+    A patient's cells meet its errors of all intervals in one row, so none is sent anywhere before it is summed; ``exposure`` is the mean size of the feature over the
     person-period rows, the scale a gradient is compared with.
     """
-    scored = settle(sparse_hazards(model, rows))
-    pair = lambda p, i: F.struct(
-        i.alias("interval"), (p["died"].cast("int") + p["survived"].cast("int")).alias("n"),
-        ((p["died"].cast("int") + p["survived"].cast("int")) * p["hazard"] - p["died"].cast("int")).alias("e"))
-    errors = scored.select("pid", F.inline(F.transform(F.arrays_zip("died", "survived", "hazard"), pair))).where("n > 0")
-    total = F.broadcast(errors.agg(F.sum("n").alias("_rows")))  # one number
-    cells = scored.select("pid", F.inline(F.arrays_zip("at", "x")))
-    sums = errors.join(cells, "pid").groupBy("interval", F.col("at").alias("place")).agg(
-        F.sum(F.col("e") * F.col("x")).alias("_g"), F.sum(F.col("n") * F.abs("x")).alias("_e"))
+    times = lambda p: p["died"].cast("int") + p["survived"].cast("int")
+    labelled = F.arrays_zip("died", "survived", "hazard")
+    scored = settle(sparse_hazards(model, rows).select(
+        "at", "x", F.transform(labelled, times).alias("n"),
+        F.transform(labelled, lambda p: F.when(times(p) > 0, times(p) * p["hazard"] - p["died"].cast("int")).otherwise(0.0)).alias("e")))
+    total = F.broadcast(scored.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b)).alias("_rows")))  # one number
+    intervals = range(len(model.breaks) - 1)
+    at = lambda name, i: F.get(name, F.lit(i))
+    by_place = scored.select("n", "e", F.inline(F.arrays_zip("at", "x"))).groupBy(F.col("at").alias("place")).agg(
+        *[F.sum(at("e", i) * F.col("x")).alias(f"_g{i}") for i in intervals], *[F.sum(at("n", i) * F.abs("x")).alias(f"_e{i}") for i in intervals])
+    sums = by_place.select("place", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("interval"), F.col(f"_g{i}").alias("_g"), F.col(f"_e{i}").alias("_e")) for i in intervals])))
     weights = model.coefficients(rows.sparkSession).withColumn(
         "place", F.when(F.col("feature") == "(intercept)", 0).otherwise(F.lit(None).cast("int")))
     known = rows.sparkSession.createDataFrame([(i + 1, f) for i, f in enumerate(model.features)], "_place int, feature string")

@@ -134,7 +134,7 @@ WITH {LABEL_SQL} SELECT interval, SUM(CAST(died AS INTEGER) + CAST(survived AS I
 FROM lab JOIN v_surv USING (pid) WHERE train GROUP BY interval""")
 def fit_study_equations(spark, sf):
     """Study 005 fitted on its own matrix: how many coefficients miss their equation by more than a thousandth of the
-    feature's exposure, by interval. The equations are worked out by joins and sums, apart from the optimiser."""
+    feature's exposure, by interval. The equations are worked out by sums, apart from the optimiser."""
     made = sources(spark, sf, X.STUDIES["005"])
     surv = made["surv_master"].where("train")
     breaks = X.time_breaks(surv, 10, MAX_TIME).first()["breaks"]  # n_intervals + 1 numbers
@@ -142,8 +142,9 @@ def fit_study_equations(spark, sf):
     long = settle(X.study_features(made, surv, "005"))
     vocabulary = settle(X.study_vocabulary(made, long, "005"))
     names = [r["feature"] for r in vocabulary.orderBy("column_index").collect()]  # as many as coefficients of an interval
-    model = HS.fit_sparse(long, vocabulary, known, breaks, names, reg=0.001, tolerance=5e-4)
-    found = HS.sparse_equations(model, settle(HS.sparse_rows(long, vocabulary, known)), 0.001)
+    cells = settle(HS.dealt(HS.sparse_rows(long, vocabulary, known)))  # fitted, and read again by the equations
+    model = HS.fit_rows(cells, breaks, names, reg=0.001, tolerance=5e-4)
+    found = HS.sparse_equations(model, cells, 0.001)
     off = found.groupBy("interval").agg(F.count_if(F.abs("gradient") > 1e-3 * F.col("exposure") + 1e-12).alias("n_off"))
     rows = X.person_periods(known).groupBy("interval").agg(F.sum(F.col("died").cast("long") + F.col("survived").cast("long")).alias("n_rows"))
     return off.join(rows, "interval").select("interval", "n_rows", "n_off")
