@@ -225,3 +225,31 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
 def test_external_horizons(spark):
     row = M.align_external(spark.createDataFrame([(1, 183.0, 25.0)], "pid INT, time DOUBLE, value DOUBLE")).first()
     assert (row["tau"], row["risk"], row["surv"]) == (182.5, 0.25, 0.75)
+
+
+@pytest.mark.parametrize("risk_rows, limit", [(3, 1 << 22), (1 << 17, 1 << 22), (3, 0)])
+def test_concordance_in_blocks_of_risks(spark, monkeypatch, risk_rows, limit):
+    monkeypatch.setattr(M, "RISK_ROWS", risk_rows)
+    monkeypatch.setattr(M, "BLOCK_LIMIT", limit)
+    rows = [(i * 7 % 23, i % 3 == 0, round((i * 37 % 41) / 41, 3), g) for g in ("a", None) for i in range(90 if g else 40)]
+    df = spark.createDataFrame(rows, "time long, event boolean, risk double, grp string")
+    found = {r["grp"]: r for r in M.concordance(df, ["grp"], block_rows=5).collect()}
+    assert len(found) == 2
+    for g, r in found.items():
+        assert (r["pairs"], r["concordant"], r["tied"]) == brute_concordance([x[:3] for x in rows if x[3] == g])
+
+
+def test_concordance_shuffles_no_row_for_each_bit_of_the_time(spark):
+    df = spark.createDataFrame([(i % 1000, i % 2 == 0, i / 7) for i in range(4000)], "time long, event boolean, risk double")
+    sent = []
+    whole = M._cells_of_times
+
+    def counted(base, *rest):
+        sent.append(base.count())
+        return whole(base, *rest)
+    M._cells_of_times = counted
+    try:
+        M.concordance(df).collect()
+    finally:
+        M._cells_of_times = whole
+    assert sent == [1000]  # times and events of one block, where the risks have 4000 values
