@@ -69,3 +69,33 @@ def test_labelled_rows_are_fitted_without_a_join(spark):
     apart = Z.fit_hazard(rows.select("pid", "features"), rows.drop("features"), [0.0, 1.0, 2.0], ["x"], reg=0.01)
     assert np.allclose(model.weights, apart.weights, atol=1e-6)
     assert np.isclose(Z.labelled_loss(model, rows).first()["nll"], Z.model_loss(model, rows.select("pid", "features"), rows.drop("features")).first()["nll"])
+
+
+def test_order_lines_meet_their_patients_once(spark, monkeypatch):
+    from vitalspan.operators.features import STUDIES
+    from vitalspan.plans import feature_queries, views
+
+    made, read = [], views.table
+    monkeypatch.setattr(views, "table", lambda s, sf, name: (made.append(name), read(s, sf, name))[1])
+    shared = feature_queries.sources(spark, FOLDER, STUDIES["007"])
+    assert made.count("lineitem") == 1 and "Aggregate" not in plan(shared["polygenic_scores"])
+    apart = {"biochem": feature_queries.lab_events(spark, FOLDER), "diagnoses": feature_queries.diagnosis_events(spark, FOLDER),
+             "nomesco": feature_queries.proc_events(spark, FOLDER), "clinicaltwo": feature_queries.clinical_two_table(spark, FOLDER)}
+    for name, rows in apart.items():
+        columns = rows.columns
+        assert sorted(map(str, shared[name].select(columns).collect())) == sorted(map(str, rows.collect())), name
+
+
+def test_values_are_carried_to_the_index_without_a_sort(spark):
+    import datetime as dt
+
+    from vitalspan.operators import cohort as C
+
+    days = [dt.date(1950, 1, 1), dt.date(2010, 1, 2), dt.date(2010, 1, 2), dt.date(2010, 1, 2), None, dt.date(2031, 1, 1)]
+    entries = [2**62, -(2**62), 5, 2**62, 1, -(2**62)]
+    rows = spark.createDataFrame([(1, d, e, x, y) for d, e, x, y in zip(days, entries, [1.0, 2.0, None, 4.0, 5.0, 6.0], [None, None, None, 7, 8, 9])],
+                                 "pid long, d date, e long, x double, y int").withColumns({"_d": F.lit(days[2]), "_e": F.lit(5).cast("long")})
+    out = C.filled_at_index(rows, "pid", ["d", "e"], ["_d", "_e"], ["x", "y"])
+    assert "SortAggregate" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [(1, 2.0, 7)]
+    assert C.filled_at_index(rows.where("e <> 5"), "pid", ["d", "e"], ["_d", "_e"], ["x", "y"]).count() == 0
