@@ -99,3 +99,14 @@ def test_values_are_carried_to_the_index_without_a_sort(spark):
     assert "SortAggregate" not in plan(out)
     assert [tuple(r) for r in out.collect()] == [(1, 2.0, 7)]
     assert C.filled_at_index(rows.where("e <> 5"), "pid", ["d", "e"], ["_d", "_e"], ["x", "y"]).count() == 0
+
+
+@pytest.mark.parametrize("study", ["005", "012"])
+def test_studies_read_order_lines_once(spark, monkeypatch, study):
+    from vitalspan.operators.features import STUDIES
+    from vitalspan.plans import feature_queries, views
+
+    made, read = [], views.table
+    monkeypatch.setattr(views, "table", lambda s, sf, name: (made.append(name), read(s, sf, name))[1])
+    feature_queries.sources(spark, FOLDER, STUDIES[study])
+    assert made.count("lineitem") == 1
