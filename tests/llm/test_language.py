@@ -181,3 +181,34 @@ def test_every_training_window_is_learned_from(docs):
         found = texts.mapInArrow(language._train(size, send(rows), model, r, language.ROUNDS, 1), language._PARTS).where("key = -1")
         met += sum(int(np.frombuffer(x["values"], "<f4")[-1]) for x in found.collect())
     assert met == wanted > 0
+
+
+def test_a_task_holds_one_slice_at_a_time(docs, monkeypatch):
+    """Slices of one task are row groups and batches of their own, so that memory does not follow how many a task has."""
+    import pyarrow.parquet as pq
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = docs.sparkSession.conf.get(key)
+    monkeypatch.setattr(language, "SLICE_BYTES", 20_000)
+    parts = language.slices(docs.coalesce(1), PATH, PATTERN)
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")) for f in parts.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 3 and set(groups) == {1}
+
+    def one_by_one(make):
+        def made(*args):
+            run = make(*args)
+
+            def watched(batches):
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    yield batch
+
+            return lambda batches: run(watched(batches))
+        return made
+
+    for name in ("_count_ids", "_count_followers", "_train"):
+        monkeypatch.setattr(language, name, one_by_one(getattr(language, name)))
+    trained = language.fit(parts, 50257, 1)
+    assert docs.sparkSession.conf.get(key) == before
+    assert language.score(parts, trained, language.word_counts(parts)).count() == docs.count()

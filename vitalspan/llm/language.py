@@ -3,7 +3,8 @@
 Texts are read once into slices: their words as codes into the slice's vocabulary, and the piece ids of each word there, so
 that a word is spelled and encoded once a slice. Slices hold all that follows: word counts, counts of ids, the training
 rounds and the scoring. In a round each task trains its own copy of the model on its slices; tasks' models are averaged,
-row by row of the tables by how often each task met the row, and their expected counts are summed.
+row by row of the tables by how often each task met the row, and their expected counts are summed. A slice is one row of
+several MB: a task holds one at a time as it writes, reads and sends them, however many it has.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from vitalspan.llm.attention import MIXTURE, WIDTH, Learner, Model, Pass, cut, log_likelihoods, windows
 from vitalspan.llm.packing import spread as ranges
 from vitalspan.llm.texts import filled, mix, sliced, split_words
-from vitalspan.session import settle
+from vitalspan.session import arrow_batches, settle
 
 #: Folds of documents: those with remainder 0 are not learned from.
 FOLDS = 10
@@ -38,8 +39,8 @@ STEP_WINDOWS = 64
 PRIOR = 20.0
 #: Frequent ids that start as groups of their own; the others share the rest of the mixture.
 OWN_GROUPS = MIXTURE - 8
-#: Rows of the model's tables that travel together.
-ROWS = 256
+#: Rows of the model's tables that travel together, and such blocks that a task makes ready at once.
+ROWS, BLOCKS = 256, 32
 SLICE_BYTES = 6 << 20
 
 SLICE = "slice bigint, ids array<{}>, learn binary, starts binary, codes binary, lengths binary, pieces binary, words array<string>, counts array<bigint>"
@@ -134,7 +135,7 @@ def slices(docs: DataFrame, pieces_path: str, pattern: str, text: str = "text",
     with open(pieces_path) as f:
         source = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
     own = docs.select(F.col(id).alias("_id"), is_held_out(F.col(id)).alias("_held"), F.col(text).cast("string").alias("_text"))
-    return settle(own.mapInArrow(_slice(source), SLICE.format(own.schema["_id"].dataType.simpleString())), compression="zstd")
+    return settle(own.mapInArrow(_slice(source), SLICE.format(own.schema["_id"].dataType.simpleString())), compression="zstd", group_rows=1)
 
 
 def _gather(group: pa.Table) -> pa.Table:
@@ -155,7 +156,7 @@ def word_counts(cut_docs: DataFrame) -> Counts:
     same = Window.partitionBy("w.words")
     summed = words.select("of", "at", F.sum("w.counts").over(same).alias("c"), (F.min(F.struct("of")).over(same)["of"] == F.col("of")).alias("first"))
     summed = summed.withColumn("first", F.col("first") & (F.col("c") > 0))
-    known = settle(summed.groupBy("of").applyInArrow(_gather, "of bigint, known binary, firsts bigint"), compression="zstd")
+    known = settle(summed.groupBy("of").applyInArrow(_gather, "of bigint, known binary, firsts bigint"), compression="zstd", group_rows=16)
     distinct = known.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0]
     each = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, b: a + b)
     ends = F.length(F.regexp_replace(F.hex("learn"), "00", "")) / 2
@@ -163,6 +164,14 @@ def word_counts(cut_docs: DataFrame) -> Counts:
     return Counts(known, total + n, distinct + (n > 0), n)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of slices one by one, their numbers as they lie in the batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_buffer() if pa.types.is_binary(column.type) else column[i].values.to_numpy() if pa.types.is_list(column.type)
+                   else column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 @dataclass(frozen=True)
 class _Read:
     """A slice's texts as rows of the model's tables: position by position, the id before it and its own."""
@@ -204,7 +213,9 @@ def _summed(parts: DataFrame, kind: str = "<f8") -> dict[int, np.ndarray]:
         return pa.table({"key": pa.array(keys[:1], pa.int64()), "salt": pa.array(keys[1:], pa.int64()), "values": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     once = parts.groupBy("key", "salt").applyInArrow(add, _PARTS).withColumn("salt", F.lit(0).cast("bigint"))
-    return {r["key"]: np.frombuffer(r["values"], dtype=kind).astype(np.float64) for r in once.groupBy("key", "salt").applyInArrow(add, _PARTS).collect()}
+    with arrow_batches(parts.sparkSession, 1):  # a row is a slice, or a block of a table
+        found = once.groupBy("key", "salt").applyInArrow(add, _PARTS).collect()
+    return {r["key"]: np.frombuffer(r["values"], dtype=kind).astype(np.float64) for r in found}
 
 
 _PARTS = "key bigint, salt bigint, values binary"
@@ -220,22 +231,24 @@ def _parts(key_values: list[tuple[int, np.ndarray]], salts: int, kind: str = "<f
 def _count_ids(size: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            for row in batch.to_pylist():
-                counts = np.repeat(np.array(row["counts"], dtype=np.float64), _numbers(row["lengths"]))
-                total += np.bincount(_numbers(row["pieces"]), weights=counts, minlength=size)
-                total[-1] += np.frombuffer(row["learn"], dtype="u1").sum()
+        for row in _rows(batches):
+            counts = np.repeat(row["counts"].astype(np.float64), _numbers(row["lengths"]))
+            total += np.bincount(_numbers(row["pieces"]), weights=counts, minlength=size)
+            total[-1] += np.frombuffer(row["learn"], dtype="u1").sum()
         yield _parts([(0, total)], salts)
 
     return run
 
 
-def _table_parts(tables: np.ndarray, used: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Blocks of ``ROWS`` rows that have a used row."""
-    blocks = np.unique(np.flatnonzero(used) // ROWS)
-    padded = np.zeros((-(-len(tables) // ROWS) * ROWS, tables.shape[1]))
-    padded[: len(tables)] = tables
-    return [(int(b), padded[b * ROWS : (b + 1) * ROWS].ravel()) for b in blocks]
+def _table_parts(table: Callable[[slice], np.ndarray], used: np.ndarray, salts: int, kind: str = "<f8") -> Iterator[pa.RecordBatch]:
+    """Blocks of ``ROWS`` rows that have a used row, made from ``table`` a few at a time."""
+    def block(b: int) -> np.ndarray:
+        own = table(slice(b * ROWS, (b + 1) * ROWS))
+        return np.pad(own, ((0, ROWS - len(own)), (0, 0))).ravel()
+
+    blocks = np.unique(np.flatnonzero(used) // ROWS).tolist()
+    for at in range(0, len(blocks), BLOCKS):
+        yield _parts([(b, block(b)) for b in blocks[at : at + BLOCKS]], salts, kind)
 
 
 def _joined(found: dict[int, np.ndarray], rows: int, columns: int) -> np.ndarray:
@@ -251,14 +264,12 @@ def _count_followers(size: int, rows: Broadcast, group: Broadcast, salts: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(group.value)
         total = np.zeros(n * MIXTURE)
-        for batch in batches:
-            for row in batch.to_pylist():
-                read = _read(row, size, rows.value)
-                kept = np.repeat(read.learn, np.diff(read.starts))
-                total += np.bincount(read.nexts[kept] * MIXTURE + group.value[read.inputs[kept]], minlength=len(total))
+        for row in _rows(batches):
+            read = _read(row, size, rows.value)
+            kept = np.repeat(read.learn, np.diff(read.starts))
+            total += np.bincount(read.nexts[kept] * MIXTURE + group.value[read.inputs[kept]], minlength=len(total))
         table = total.reshape(n, MIXTURE)
-        if (parts := _table_parts(table, table.any(axis=1))):
-            yield _parts(parts, salts)
+        yield from _table_parts(lambda rows: table[rows], table.any(axis=1), salts)
 
     return run
 
@@ -271,22 +282,26 @@ def _train(size: int, rows: Broadcast, model: Broadcast, round_number: int, roun
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = model.value
         learner = Learner(replace(begun, **{n: getattr(begun, n).copy() for n in begun.trained}))
-        for batch in batches:
-            for row in batch.to_pylist():
-                read = _read(row, size, rows.value)
-                text, first, _ = windows(np.diff(read.starts))
-                drawn = mix(np.arange(len(text), dtype=np.uint64) + mix(np.array([row["slice"]], dtype=np.uint64))).astype(np.int64)
-                mine = np.flatnonzero(read.learn[text] & (drawn % rounds == round_number))
-                mine = mine[np.argsort(drawn[mine], kind="stable")]
-                for at in range(0, len(mine), STEP_WINDOWS):
-                    own = mine[at : at + STEP_WINDOWS]
-                    place, real = cut(read.starts, text[own], first[own], len(read.inputs) - 1)
-                    learner.learn(read.inputs[place], read.nexts[place], real)
+        for row in _rows(batches):
+            read = _read(row, size, rows.value)
+            text, first, _ = windows(np.diff(read.starts))
+            drawn = mix(np.arange(len(text), dtype=np.uint64) + mix(np.array([row["slice"]], dtype=np.uint64))).astype(np.int64)
+            mine = np.flatnonzero(read.learn[text] & (drawn % rounds == round_number))
+            mine = mine[np.argsort(drawn[mine], kind="stable")]
+            for at in range(0, len(mine), STEP_WINDOWS):
+                own = mine[at : at + STEP_WINDOWS]
+                place, real = cut(read.starts, text[own], first[own], len(read.inputs) - 1)
+                learner.learn(read.inputs[place], read.nexts[place], real)
         if learner.positions:
-            m, seen = learner.model, learner.seen.astype(np.float64)
-            tables = np.concatenate([seen[:, None], (m.gate - begun.gate) * seen[:, None], (m.embed - begun.embed) * seen[:, None], learner.counts], axis=1)
+            m = learner.model
+
+            def table(rows: slice) -> np.ndarray:
+                seen = learner.seen[rows, None].astype(np.float64)
+                return np.concatenate([seen, (m.gate[rows] - begun.gate[rows]) * seen, (m.embed[rows] - begun.embed[rows]) * seen, learner.counts[rows]], axis=1)
+
+            yield from _table_parts(table, (learner.seen > 0) | learner.counts.any(axis=1), salts, "<f4")
             small = np.concatenate([(getattr(m, n) - getattr(begun, n)).ravel() for n in _SMALL]) * learner.positions
-            yield _parts(_table_parts(tables, tables.any(axis=1)) + [(-1, np.append(small, learner.positions))], salts, "<f4")
+            yield _parts([(-1, np.append(small, learner.positions))], salts, "<f4")
 
     return run
 
@@ -349,24 +364,27 @@ def fit(cut_docs: DataFrame, size: int, rounds: int = ROUNDS) -> Trained:
     return Trained(model, rows, size)
 
 
-def _score(trained: Broadcast, log10: Callable[[np.ndarray], np.ndarray], ends: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(trained: Broadcast, log10: Callable[[np.ndarray], np.ndarray], ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of one slice's texts, given the slice and the counts of its words."""
+    ready: list[Pass] = []  # once a task
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
         model = trained.value
-        ready = Pass(model.model)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("learn", "starts", "codes", "lengths", "pieces", "known")}
-                read = _read(row, model.size, model.rows)
-                codes, word_starts = _numbers(row["codes"]), _numbers(row["starts"]).astype(np.int64)
-                counts = np.frombuffer(row["known"] or b"", dtype="<i8")[codes]
-                n = np.diff(word_starts)
-                text = np.repeat(np.arange(len(n)), n)
-                add = lambda x: np.bincount(text, weights=x, minlength=len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [pc.list_flatten(batch.column("ids").slice(i, 1)), pa.array(~read.learn), pa.array(n + 1, pa.int64()),
-                     pa.array((add(counts > 0) + (ends > 0)).astype(np.int64), pa.int64()), pa.array(add(log10(counts)) + log10(np.array([ends]))[0]),
-                     pa.array(log_likelihoods(ready, read.inputs, read.nexts, read.starts))],
-                    ["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        if not ready:
+            ready.append(Pass(model.model))
+        ids = own.column("ids").combine_chunks()
+        row = {n: own.column(n)[0].as_buffer() for n in ("learn", "starts", "codes", "lengths", "pieces")}
+        read = _read(row, model.size, model.rows)
+        codes, word_starts = _numbers(row["codes"]), _numbers(row["starts"]).astype(np.int64)
+        counts = np.frombuffer(known.column("known")[0].as_buffer() if known.num_rows else b"", dtype="<i8")[codes]
+        n = np.diff(word_starts)
+        text = np.repeat(np.arange(len(n)), n)
+        add = lambda x: np.bincount(text, weights=x, minlength=len(n))
+        return pa.table(
+            [pc.list_flatten(ids), pa.array(~read.learn), pa.array(n + 1, pa.int64()),
+             pa.array((add(counts > 0) + (ends > 0)).astype(np.int64), pa.int64()), pa.array(add(log10(counts)) + log10(np.array([ends]))[0]),
+             pa.array(log_likelihoods(ready[0], read.inputs, read.nexts, read.starts))],
+            ["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -378,7 +396,8 @@ def score(cut_docs: DataFrame, trained: Trained, counts: Counts, id: str = "doc_
     out = f"_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     model = cut_docs.sparkSession.sparkContext.broadcast(trained)
     log10 = partial(_log10, tokens=counts.tokens, distinct=counts.distinct)
-    scored = texts.join(counts.known.select("of", "known"), F.col("slice") == F.col("of"), "left").mapInArrow(_score(model, log10, counts.ends), out)
+    known = counts.known.select("of", "known")  # a group is a slice and its counts, so the worker gets one slice at a time
+    scored = texts.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(_score(model, log10, counts.ends), out)
     return scored.select(F.col("_id").alias(id), "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("bigint").alias("train_tokens"),
                          "base_score", "score")
 
