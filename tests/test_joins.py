@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,57 @@ def test_fingerprints_in_blocks_of_owners_and_parts_of_sets(spark, monkeypatch):
     assert bits["_n"].to_pylist() == [2, 1, 0]
 
 
+def test_fingerprints_write_each_item_and_set_once(spark, monkeypatch):
+    """However many blocks meet however many parts: an owner's items and a set are packed once, and the product is not dealt."""
+    for name, value in (("OWNERS_A_BLOCK", 60), ("SETS_A_PART", 25), ("PACKED_ROWS", 100)):
+        monkeypatch.setattr(J, name, value)
+    settled = []
+    settle = J.settle
+
+    def kept(df, *args, **kwargs):
+        settled.append((df._jdf.queryExecution().executedPlan().toString(), out := settle(df, *args, **kwargs)))
+        return out
+
+    monkeypatch.setattr(J, "settle", kept)
+    rng = random.Random(8)
+    held = {p: {f"f{i}" for i in range(12) if rng.random() < 0.6} | {"all"} for p in range(400)}
+    prints = {p: set(rng.sample(sorted(s), min(len(s), 4))) for p, s in held.items()}
+    frame = lambda sets: spark.createDataFrame([(p, f) for p, s in sets.items() for f in s], "pid BIGINT, f STRING")
+    repeated = frame(held).unionAll(frame(held)).repartition(7)  # an owner's rows come from several tasks, and twice
+    out = J.fingerprint_matches(repeated, "pid", frame(prints), ["f"])
+    assert {r["pid"]: r["n_matches"] for r in out.collect()} == {p: sum(s <= other for other in held.values()) for p, s in prints.items()}
+    plans = [plan for plan, _ in settled]
+    assert sum("CartesianProduct" in plan for plan in plans) == 1 and not any("Generate explode(sequence" in plan for plan in plans)
+    tables = {tuple(df.columns): df for _, df in settled}
+    blocks = next(df for columns, df in tables.items() if "_at" in columns).collect()
+    parts = next(df for columns, df in tables.items() if "_ids" in columns).collect()
+    assert len(blocks) > 3 and sum(r["_n"] for r in blocks) == sum(map(len, held.values()))
+    assert len(parts) > 3 and sum(len(r["_ids"]) for r in parts) == 16 * len({frozenset(s) for s in prints.values()})
+
+
+def test_a_null_owner_holds_and_matches_nothing(spark):
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "b"), (2, "b")], "pid BIGINT, f STRING")
+    out = {r["pid"]: r["n_matches"] for r in J.fingerprint_matches(items, "pid", items, ["f"]).collect()}
+    assert out == {1: 1, 2: 2, None: 0}
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.95])
+def test_holders_of_rare_and_frequent_items(monkeypatch, share):
+    """Sets of one to nine items whose holders are listed, or kept as bits, in one or many slices of owners."""
+    rng = np.random.default_rng(4)
+    has = rng.random((500, 40)) < share
+    has[:, 5:8] |= rng.random((500, 3)) < 0.9
+    at, item = np.nonzero(has)
+    wanted = [sorted(rng.choice(41, size, replace=False).tolist()) for size in rng.integers(1, 10, 300)]  # nobody has the last item
+    wanted += [rng.choice(np.flatnonzero(has[i]), min(6, has[i].sum()), replace=False).tolist() for i in range(200) if has[i].any()]
+    want = [int(np.column_stack([has, np.zeros(500, bool)])[:, s].all(axis=1).sum()) for s in wanted]
+    for words, candidates in ((1 << 22, 1 << 20), (100, 50)):
+        monkeypatch.setattr(J, "BIT_WORDS", words)
+        monkeypatch.setattr(J, "CANDIDATES", candidates)
+        got = J._Holders(item, at, 40, 500).count(np.concatenate([np.array(s) for s in wanted]), np.array([len(s) for s in wanted]))
+        assert got.tolist() == want
+
+
 def test_align_fills_only_absent_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None)], "pid INT, x DOUBLE")
     keys = spark.createDataFrame([(1,), (2,), (3,)], "pid INT")

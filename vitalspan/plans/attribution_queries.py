@@ -64,8 +64,8 @@ act AS (SELECT ag.pid, ag.fgroup, ag.fname, ag.shap, ap.fvalue, ap.value FROM ag
   UNION ALL SELECT pid, fgroup, fname, shap, 'normal', 0 FROM ag WHERE n > 1 AND any_on = 0)"""
 
 
-def _active(spark, sf):
-    return A.active_rows(v_attributions(spark, sf).where(F.col("timepoint") == 1825.0))
+def _active(spark, sf, by_patient=False):
+    return A.active_rows(v_attributions(spark, sf, by_patient).where(F.col("timepoint") == 1825.0))
 
 
 @query("active_features", "K5 E8", f"WITH {ACTIVE_SQL} SELECT pid, fgroup, fname, fvalue, value, {q6('shap', 'shap')} FROM act")
@@ -88,8 +88,11 @@ nm AS (SELECT sz.pid, COUNT(hit.other) AS n_matches FROM sz LEFT JOIN hit ON hit
 
 
 def _matches(spark, sf):
-    """Patients with the number of patients that hold all of their top eight features, and the rows searched."""
-    active = settle(_active(spark, sf))
+    """Patients with the number of patients that hold all of their top eight features, and the rows searched.
+
+    Files of the rows have all rows of a patient, so a task that reads them keeps eight a patient before it deals them.
+    """
+    active = settle(_active(spark, sf, by_patient=True))
     order = [F.round(F.abs("shap"), 9).desc(), F.col("fgroup"), F.col("fname"), F.col("fvalue").asc_nulls_first()]
     return match_fingerprints(active, "pid", top_k(active, ["pid"], order, 8), ["fgroup", "fname", "fvalue", "value"]), active
 
