@@ -232,6 +232,22 @@ def test_holders_of_rare_and_frequent_items(monkeypatch, share):
         assert got.tolist() == want
 
 
+def test_rows_of_few_matched_owners_are_not_dealt(spark):
+    """A few owners are broadcast, although their number is not known before the matches are worked out."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        items = spark.range(100_000).selectExpr("IF(id < 50, 1, id) AS pid", "id AS item")
+        matches = items.groupBy("pid").agg(F.count("item").alias("n_matches"))
+        out = J.rows_of_matched(items, "pid", matches, 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((r["pid"], r["item"], r["n_matches"]) for r in out.collect()) == [(1, i, 50) for i in range(50)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_align_fills_only_absent_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None)], "pid INT, x DOUBLE")
     keys = spark.createDataFrame([(1,), (2,), (3,)], "pid INT")
