@@ -212,3 +212,17 @@ def test_a_task_holds_one_slice_at_a_time(docs, monkeypatch):
     trained = language.fit(parts, 50257, 1)
     assert docs.sparkSession.conf.get(key) == before
     assert language.score(parts, trained, language.word_counts(parts)).count() == docs.count()
+
+
+def test_slices_are_put_together_from_small_batches():
+    """Slices follow the bytes of text, not the batches in which documents come; nothing is lost or reordered."""
+    texts = ["a" * n for n in (10, 0, 30, 5, 200, 7, 7, 90, 1)] + [None, "b" * 60]
+    whole = pa.record_batch({"_id": list(range(len(texts))), "_text": pa.array(texts, pa.string())})
+    for rows in (1, 2, 4, 100):
+        batches = [whole.slice(i, rows) for i in range(0, len(texts), rows)]
+        got = list(language._gathered(iter([whole.slice(0, 0), *batches]), "_text", 100))
+        assert [i for b in got for i in b.column("_id").to_pylist()] == list(range(len(texts)))
+        assert [t for b in got for t in b.column("_text").to_pylist()] == texts
+        assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column("_text").to_pylist()) <= 100 for b in got)
+    assert [b.num_rows for b in language._gathered(iter([whole.slice(i, 1) for i in range(len(texts))]), "_text", 100)] == [4, 1, 2, 3, 1]
+    assert list(language._gathered(iter([]), "_text", 100)) == []

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.llm.attention import MIXTURE, WIDTH, Learner, Model, Pass, cut, log_likelihoods, windows
-from vitalspan.llm.packing import spread as ranges
 from vitalspan.llm.texts import filled, mix, sliced, split_words
 from vitalspan.session import arrow_batches, settle
 
@@ -42,6 +41,8 @@ OWN_GROUPS = MIXTURE - 8
 #: Rows of the model's tables that travel together, and such blocks that a task makes ready at once.
 ROWS, BLOCKS = 256, 32
 SLICE_BYTES = 6 << 20
+#: Documents that reach a worker at once; slices are put together from them.
+BATCH_DOCS = 256
 
 SLICE = "slice bigint, ids array<{}>, learn binary, starts binary, codes binary, lengths binary, pieces binary, words array<string>, counts array<bigint>"
 
@@ -107,10 +108,24 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype="u1").reshape(4, -1).T).view("<u4").ravel()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, and cut, so that each has at most ``limit`` bytes of ``column``, or one row."""
+    kept, size = [], 0
+    for batch in sliced(batches, column, limit):
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if kept and size + own > limit:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, size = [], 0
+        kept.append(batch)
+        size += own
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
 def _slice(source: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller, number = _speller(source), TaskContext.get().partitionId() << 32
-        for batch in sliced(batches, "_text", SLICE_BYTES):
+        for batch in _gathered(batches, "_text", SLICE_BYTES):
             words = split_words(pc.ascii_lower(filled(batch.column("_text"))))
             learn = ~batch.column("_held").to_numpy(zero_copy_only=False)
             often = np.argsort(-np.bincount(words.codes, minlength=len(words.vocabulary)), kind="stable")  # small codes for frequent words
@@ -135,7 +150,9 @@ def slices(docs: DataFrame, pieces_path: str, pattern: str, text: str = "text",
     with open(pieces_path) as f:
         source = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
     own = docs.select(F.col(id).alias("_id"), is_held_out(F.col(id)).alias("_held"), F.col(text).cast("string").alias("_text"))
-    return settle(own.mapInArrow(_slice(source), SLICE.format(own.schema["_id"].dataType.simpleString())), compression="zstd", group_rows=1)
+    cut_docs = own.mapInArrow(_slice(source), SLICE.format(own.schema["_id"].dataType.simpleString()))
+    with arrow_batches(docs.sparkSession, BATCH_DOCS):
+        return settle(cut_docs, compression="zstd", group_rows=1)
 
 
 def _gather(group: pa.Table) -> pa.Table:
@@ -183,19 +200,24 @@ class _Read:
 
 
 def _read(row: dict, size: int, rows: np.ndarray | None) -> _Read:
-    """The ids of a slice, an end id after each text and before the first; as table rows if they are known."""
-    lengths, codes = _numbers(row["lengths"]).astype(np.int64), _numbers(row["codes"])
+    """The ids of a slice, an end id after each text and before the first; as table rows if they are known.
+
+    Four bytes a number, since a slice has millions of positions.
+    """
+    lengths, codes = _numbers(row["lengths"]).astype(np.int32), _numbers(row["codes"])
     pieces, word_starts = _numbers(row["pieces"]), _numbers(row["starts"]).astype(np.int64)
-    begins = np.cumsum(lengths) - lengths
+    begins = np.cumsum(lengths, dtype=np.int32) - lengths
     each = lengths[codes]
-    at = np.concatenate([[0], np.cumsum(each)])
+    at = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
     starts = at[word_starts] + np.arange(len(word_starts))
-    nexts = np.full(int(starts[-1]), size - 1, dtype=np.int64)
+    nexts = np.full(int(starts[-1]), size - 1, dtype=np.int32)
     own = np.ones(len(nexts), dtype=bool)
     own[starts[1:] - 1] = False
-    nexts[own] = pieces[ranges(begins[codes], each)]
+    piece = np.repeat(begins[codes] - at[:-1].astype(np.int32), each)
+    piece += np.arange(len(piece), dtype=np.int32)
+    nexts[own] = pieces[piece]
     if rows is not None:
-        nexts = rows[nexts]
+        nexts = rows.astype(np.int32)[nexts]
     inputs = np.empty_like(nexts)
     inputs[1:] = nexts[:-1]  # what comes before a text's first id is the end of another text
     inputs[starts[:-1]] = size - 1 if rows is None else rows[size - 1]
@@ -262,12 +284,12 @@ def _joined(found: dict[int, np.ndarray], rows: int, columns: int) -> np.ndarray
 def _count_followers(size: int, rows: Broadcast, group: Broadcast, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How often each id follows each group of ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(group.value)
+        n, groups = len(group.value), group.value.astype(np.int32)
         total = np.zeros(n * MIXTURE)
         for row in _rows(batches):
             read = _read(row, size, rows.value)
             kept = np.repeat(read.learn, np.diff(read.starts))
-            total += np.bincount(read.nexts[kept] * MIXTURE + group.value[read.inputs[kept]], minlength=len(total))
+            total += np.bincount(read.nexts[kept] * np.int32(MIXTURE) + groups[read.inputs[kept]], minlength=len(total))
         table = total.reshape(n, MIXTURE)
         yield from _table_parts(lambda rows: table[rows], table.any(axis=1), salts)
 
